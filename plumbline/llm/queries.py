@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, licenses, line_dedup, media, mixing, topk
-from plumbline.llm.common import table
+from plumbline.llm import bpe, licenses, line_dedup, media, mixing, quality, topk, toxicity
+from plumbline.llm.common import crc_mod3, table
 
 #: Mixing: entropy as a share of the most possible, and the most epochs of a source.
 ENTROPY, REPETITION = 0.98, 3.0
@@ -26,11 +26,26 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("coverage", F.round("coverage", 6))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    good = F.coalesce(F.element_at("tail_probability", -1), F.lit(1.0))
+    held_out = F.coalesce(crc_mod3("doc_id") == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "expected_grade", good.alias("top_probability"), (good >= 0.5).cast("int").alias("keep"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.schedule(table(spark, sf_dir, "documents"), entropy=ENTROPY, repetition=REPETITION)
     return plan.select(F.col("id").alias("doc_id"), "source", "tokens", "epoch", "block", F.round("weight", 6).alias("weight"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(crc_mod3("doc_id") == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup(table(spark, sf_dir, "documents"), report=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -50,7 +65,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op3_source_mixing, op5_line_dedup, op7_bpe, op8_media, op10_topk)
+    f.__name__: f for f in (op1_license_scan, op2_quality, op3_source_mixing, op4_toxicity, op5_line_dedup, op7_bpe, op8_media, op10_topk)
 }
 
 ORACLES: dict[str, str] = {
