@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, licenses, line_dedup, media, mixing, quality, topk, toxicity
+from plumbline.llm import bpe, licenses, line_dedup, media, mixing, pii, quality, topk, toxicity
 from plumbline.llm.common import crc_mod3, table
 
 #: Mixing: entropy as a share of the most possible, and the most epochs of a source.
@@ -51,6 +51,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -65,7 +69,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_quality, op3_source_mixing, op4_toxicity, op5_line_dedup, op7_bpe, op8_media, op10_topk)
+    f.__name__: f for f in (op1_license_scan, op2_quality, op3_source_mixing, op4_toxicity, op5_line_dedup, op6_pii, op7_bpe, op8_media, op10_topk)
 }
 
 ORACLES: dict[str, str] = {
