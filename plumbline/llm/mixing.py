@@ -52,7 +52,7 @@ def exponent(sources: DataFrame, entropy: float | None, repetition: float | None
     head = live.agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.max("tokens").alias("hi"), F.min("tokens").alias("lo")).first()
     if not head["n"] or head["hi"] == head["lo"]:
         return 1.0
-    a = 1.0
+    a = 1.0 if repetition is None else 0.0
     if entropy is not None:
         goal, lo, hi = entropy * math.log(head["n"]), 0.0, 1.0
         share = F.col("tokens") / float(head["t"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, licenses, line_dedup, media, mixing, pii, quality, topk, toxicity
+from plumbline.llm import bpe, jaccard, licenses, line_dedup, media, mixing, pii, quality, topk, toxicity
 from plumbline.llm.common import crc_mod3, table
 
 #: Mixing: entropy as a share of the most possible, and the most epochs of a source.
@@ -63,17 +63,22 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(table(spark, sf_dir, "documents")))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_quality, op3_source_mixing, op4_toxicity, op5_line_dedup, op6_pii, op7_bpe, op8_media, op10_topk)
+    f.__name__: f for f in (op1_license_scan, op2_quality, op3_source_mixing, op4_toxicity, op5_line_dedup, op6_pii, op7_bpe, op8_media, op9_ngram_jaccard, op10_topk)
 }
 
 ORACLES: dict[str, str] = {
     "op3_source_mixing": mixing.sql(ENTROPY, REPETITION),
     "op5_line_dedup": line_dedup.SQL,
+    "op9_ngram_jaccard": jaccard.SQL,
     "op10_topk": topk.sql(),
 }
