@@ -11,21 +11,29 @@ from plumbline.functions.tables import dropped, written
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that edges a, b lead to, for every node with an edge to another.
 
-    In each round a label becomes the smallest of its neighbours', then that label's own label, so paths shorten
-    as by doubling. Every round's labels are a written table; the one before goes.
+    Contraction: every node takes its smallest neighbour (or itself) as parent, labels jump to the parent's parent's
+    parent, and edges are drawn anew between labels. Inner nodes of each round's trees are gone in the next, so edges
+    shrink fast whatever the graph's diameter. Each round's tables are written; those before go.
     """
     spark = edges.sparkSession
-    two_ways = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both, both_path = written(two_ways)
-    labels, path = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("new"))
-        up = labels.select(F.col("node").alias("new"), F.col("label").alias("upper"))
-        rows, next_path = written(spread.join(up, "new").select("node", "old", F.least("new", "upper").alias("label")))
-        still = rows.where("old <> label").isEmpty()
-        dropped(spark, path)
-        labels, path = rows.select("node", "label"), next_path
-        if still:
-            dropped(spark, both_path)
-            return labels
+    live, live_path = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels, labels_path = None, None
+    while labels is None or not live.isEmpty():
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up, up_path = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("up")))
+        higher = up.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+        to = up.join(higher, "up").select("node", F.col("upper").alias("up")).join(higher, "up").select("node", F.col("upper").alias("to"))
+        if labels is None:
+            fresh = to.select("node", F.col("to").alias("label"))
+        else:
+            fresh = labels.join(to.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        ends = live.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        drawn = ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        new_labels, new_labels_path = written(fresh)
+        new_live, new_live_path = written(drawn)
+        for path in (live_path, labels_path, up_path):
+            if path:
+                dropped(spark, path)
+        labels, labels_path, live, live_path = new_labels, new_labels_path, new_live, new_live_path
+    dropped(spark, live_path)
+    return labels

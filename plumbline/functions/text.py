@@ -110,10 +110,10 @@ def perturbed(c: Column, draw: Column) -> Column:
 
 
 def majority_vote(votes: Column, least: int = 2) -> Column:
-    """The most common element (the first met, of several), -1 if it has fewer than `least` votes."""
+    """The most common element as a string (the first met, of several), -1 if it has fewer than `least` votes."""
     counted = F.transform(votes, lambda v, i: F.struct(F.size(F.filter(votes, lambda x: x == v)).alias("n"), (-i).alias("first"), v.alias("v")))
     best = F.array_max(counted)
-    return F.when(best["n"] >= least, best["v"]).otherwise(-1)
+    return F.when(best["n"] >= least, best["v"].cast("string")).otherwise("-1")
 
 
 def yes_no_vote(votes: Column) -> Column:

@@ -20,14 +20,19 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def over(a: Column, scalar: Column) -> Column:
+    """The vector over a number, which is computed once, not for each element."""
+    return F.zip_with(a, F.array_repeat(scalar, F.size(a)), lambda x, y: x.cast("double") / y)
+
+
 def unit(a: Column, floor: float = 1e-12) -> Column:
     """The vector over its length, or over `floor` if that is more."""
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(floor)))
+    return over(a, F.greatest(norm(a), F.lit(floor)))
 
 
 def unit_eps(a: Column, eps: float = 1e-8) -> Column:
     """The vector over its length plus eps."""
-    return F.transform(a, lambda x: x.cast("double") / (norm(a) + eps))
+    return over(a, norm(a) + eps)
 
 
 def minus(a: Column, b: Column) -> Column:
@@ -36,9 +41,9 @@ def minus(a: Column, b: Column) -> Column:
 
 def log_softmax(z: Column) -> Column:
     """Shifted by the largest, so it never overflows."""
-    top = F.array_max(z)
-    total = F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.transform(z, lambda x: x - top - F.log(total))
+    less = lambda a, scalar: F.zip_with(a, F.array_repeat(scalar, F.size(a)), lambda x, y: x - y)
+    shifted = less(z, F.array_max(z))
+    return less(shifted, F.log(F.aggregate(shifted, F.lit(0.0), lambda s, x: s + F.exp(x))))
 
 
 def softmax(z: Column) -> Column:

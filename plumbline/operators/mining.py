@@ -27,18 +27,15 @@ def ngrams(c: Column, sizes: tuple[int, int] = NGRAMS, stops: list[str] = STOP_W
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     stop = F.array(*map(F.lit, stops)) if stops else F.array().cast("array<string>")
     kept = F.filter(found, lambda w: ~F.array_contains(stop, w))
-    grams = [kept if n == 1 else _joined(kept, n) for n in range(sizes[0], sizes[1] + 1)]
+    grams, longer = [], kept
+    for n in range(1, sizes[1] + 1):
+        if n > 1:  # each gram with the word n - 1 places on; past the end that is null
+            longer = F.filter(F.zip_with(longer, F.slice(kept, n, F.greatest(F.size(kept), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
+        if n >= sizes[0]:
+            grams.append(longer)
     return F.array_distinct(F.flatten(F.array(*grams)))
 
 
-def _joined(kept: Column, n: int) -> Column:
-    return F.when(F.size(kept) >= n, F.transform(F.sequence(F.lit(0), F.size(kept) - n), _joiner(kept, n))).otherwise(F.array().cast("array<string>"))
-
-
-def _joiner(kept: Column, n: int):
-    return lambda i: F.array_join(F.slice(kept, i + 1, n), " ")
-
-
 def mine_phrases(docs: DataFrame, text: str, label: str, k: int = TOP_K, min_df: int = MIN_DF, alpha: float = ALPHA) -> DataFrame:
     """class, rank, term, logodds: the k terms whose presence speaks most for each class.
 
