@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import bpe, jaccard, line_dedup, mixing, queries, toxicity
-from plumbline.llm.common import table, use_checkpoints
+from plumbline.llm.common import shared_folder, table
 
 #: The mix: entropy as a share of the most possible, and the most epochs of a source.
 ENTROPY, REPETITION = 0.98, 2.0
@@ -56,8 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written to the shared checkpoint folder and read again."""
-    use_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"

@@ -5,34 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.tables import saved, shared_folder
+
+__all__ = ["crc_mod3", "saved", "shared_folder", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder, on any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the session's spark.checkpoint.dir, or, in a local session without one, a folder of its own.
-
-    A cluster must name a folder that all machines share; without one this raises.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "/tmp/checkpoints"
-    context.setCheckpointDir(folder)
-
-
-def saved(frame: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder; the lineage ends there."""
-    use_checkpoints(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
 def crc_mod3(column: str) -> Column:
     """crc32 of an id's decimal text, modulo 3; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3
