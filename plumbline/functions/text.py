@@ -148,7 +148,9 @@ def split_merged(word: Column, vocabulary: Column) -> Column:
     Dynamic programming over places: the best split of every beginning.
     """
     n = F.length(word)
-    start = F.array(F.array().cast("array<string>"))
+    empty = F.array().cast("array<string>")
+    # an array that may hold nulls, which stand for beginnings that no words spell
+    start = F.filter(F.array(empty, F.lit(None).cast("array<string>")), lambda x: x.isNotNull())
 
     def step(best: Column, end: Column) -> Column:
         options = F.filter(
