@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.tables import saved, shared_folder
 
-__all__ = ["crc_mod3", "saved", "shared_folder", "table"]
+__all__ = ["crc_mod3", "fresh", "saved", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores before it as long as a frame has a column of that name (in any case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod3(column: str) -> Column:
     """crc32 of an id's decimal text, modulo 3; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import saved
+from plumbline.llm.common import fresh, saved
 
 WIDTH = 3
 #: A hash with more than a HEAVY-th of all windows is heavy; so there are fewer than HEAVY of them.
@@ -66,13 +66,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool
 
     With `report`, columns n_lines and n_removed are added (replacing any of those names).
     """
-    gone = removed_lines(docs, key, text)
-    named = docs.withColumn("_id", F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("text")))
-    joined = named.join(gone.withColumnRenamed("_d", "_id2"), F.col("_id").eqNullSafe(F.col("_id2")), "left")
+    own, other, gone = (fresh(name, docs) for name in ("_own", "_other", "_gone"))
+    lost = removed_lines(docs, key, text).select(F.col("_d").alias(other), F.col("_gone").alias(gone))
+    named = docs.withColumn(own, F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("text")))
+    joined = named.join(lost, F.col(own).eqNullSafe(F.col(other)), "left")
     lines = _lines(F.col(text))
-    kept = F.filter(F.transform(lines, lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda s: ~F.array_contains(F.col("_gone"), s["k"]))
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")] if report else []
+    kept = F.filter(F.transform(lines, lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda s: ~F.array_contains(F.col(gone), s["k"]))
+    cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")] if report else []
     names = [c for c in docs.columns if not (report and c in ("n_lines", "n_removed"))]
     return joined.select(*(cleaned.alias(c) if c == text else F.col(c) for c in names), *extra)
 

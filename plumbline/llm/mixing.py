@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import saved
+from plumbline.llm.common import fresh, saved
 
 BLOCKS = 64
 SEED = "mix"
@@ -127,9 +127,10 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
     Rows are written out in no order; `schedule` gives block and order for a loader.
     """
-    times = schedule(docs, key, source, text, **how).groupBy("source", "id").agg(F.count("*").cast("int").alias("_times")).select(F.col("source").alias("_s"), F.col("id").alias("_i"), "_times")
-    joined = docs.join(times, docs[key].eqNullSafe(F.col("_i")) & docs[source].eqNullSafe(F.col("_s")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    s, i, n = (fresh(name, docs) for name in ("_s", "_i", "_n"))
+    times = schedule(docs, key, source, text, **how).groupBy("source", "id").agg(F.count("*").cast("int").alias(n)).select(F.col("source").alias(s), F.col("id").alias(i), n)
+    joined = docs.join(times, docs[key].eqNullSafe(times[i]) & docs[source].eqNullSafe(times[s]))
+    return joined.select("*", F.explode(F.sequence(F.lit(1), F.col(n))).alias(fresh("_copy", joined))).select(*docs.columns)
 
 
 def sql(entropy: float, repetition: float, blocks: int = BLOCKS, seed: str = SEED) -> str:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import fresh
 from plumbline.llm.features import Keys, design, labelled_sample, letter_features, presence, sample_features, select, shape_features
 from plumbline.llm.words import chunks
 
@@ -122,6 +123,6 @@ def score(docs: DataFrame, model: Ordinal, text: str = "text", expected: str = "
 
 def keep(docs: DataFrame, labels: DataFrame, grade_index: int = 1, least: float = 0.5, text: str = "text", **how) -> DataFrame:
     """`docs` whose probability of the grade of that place, or a better one, is at least `least`."""
-    name = "_tail"
-    scored = score(docs, fit(docs, labels, text=text, **how), text, "_grade", name)
-    return scored.where(F.coalesce(F.get(F.col(name), F.lit(grade_index - 1)), F.lit(1.0)) >= least).drop(name, "_grade")
+    grade, name = fresh("_grade", docs), fresh("_tail", docs)
+    scored = score(docs, fit(docs, labels, text=text, **how), text, grade, name)
+    return scored.where(F.coalesce(F.get(F.col(name), F.lit(grade_index - 1)), F.lit(1.0)) >= least).drop(name, grade)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import crc_mod3
+from plumbline.llm.common import crc_mod3, fresh
 from plumbline.llm.features import Keys, design, fit_logistic, labelled_sample, letter_features, presence, sample_features, select, word_key
 from plumbline.llm.words import SPACE, chunks, spans
 
@@ -276,5 +276,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", score_column: str =
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text", **how) -> DataFrame:
     """`docs` without the rows that score at least `threshold`."""
-    name = "_toxic_score"
+    name = fresh("_toxic_score", docs)
     return score(docs, fit(docs, labels, text=text, **how), text, name).where(F.col(name) < threshold).drop(name)
