@@ -1,6 +1,6 @@
 """All queries: importing this registers them."""
 
-from plumbline.plans import data_tier, learned, symbolic, system_tier  # noqa: F401
+from plumbline.plans import data_tier, learned, regimes, symbolic, system_tier  # noqa: F401
 from plumbline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

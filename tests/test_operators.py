@@ -202,3 +202,61 @@ def test_rule_firing_and_prediction_ties(spark):
 
 def test_levels():
     assert decisions.SEVERE > decisions.NOTABLE and decisions.CLEAN_LIFT < decisions.NOTABLE[0]
+
+
+def test_learned_cuts_and_beam(spark):
+    from plumbline.operators import regimes
+
+    g = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(240):
+        c = "a" if i % 3 == 0 else "b"
+        labels.append((i, c))
+        rows += [(i, "f0", float(g.normal(2.0 if c == "a" else 0.0))), (i, "f1", float(g.normal()))]
+    scores, lb = spark.createDataFrame(rows, "item_id long, feature string, value double"), spark.createDataFrame(labels, "item_id long, class string")
+    got = {}
+    for r in regimes.learned_cuts(scores, lb).collect():
+        got.setdefault(r["feature"], []).append(r["cut"])
+    assert len(got["f0"]) == 3 and any(0.7 < c < 1.9 for c in got["f0"])
+    lits = mining.literals(scores, lb)
+    fires = mining.true_literals(scores, lits)
+    cands = mining.clauses(fires, lits, lb)
+    greedy = {}
+    for r in mining.greedy_dnf(cands, fires, lb).collect():
+        greedy[r["class"]] = max(greedy.get(r["class"], 0), r["dnf_fbeta"])
+    beam = {r["class"]: r["fbeta"] for r in regimes.beam_dnf(cands, fires, lb).collect()}
+    assert set(beam) == set(greedy) and all(beam[c] >= greedy[c] - 1e-9 for c in beam)
+    shapes = regimes.complexity_by_folds(fires, lits, lb, grid=((1, 1), (2, 1)), folds=2).collect()
+    assert {r["class"] for r in shapes} == {"a", "b"}
+
+
+def test_banks(spark):
+    from plumbline.operators import regimes
+
+    bank = regimes.random_bank(5, 7)
+    assert np.linalg.norm(bank, axis=1) == pytest.approx(np.ones(5)) and bank == regimes.random_bank(5, 7)
+    g = np.random.default_rng(0)
+    side = lambda: spark.createDataFrame([(i, g.normal(size=4).tolist()) for i in range(60)], "item_id long, vec array<double>")
+    assert np.linalg.norm(regimes.unsupervised_bank(side(), side(), 3, 5), axis=1) == pytest.approx(np.ones(3))
+
+
+def test_routed_system_end_to_end(spark, tmp_path):
+    from plumbline.operators import routed
+
+    g = np.random.default_rng(2)
+    rows = []
+    for i in range(240):
+        c = i % 2
+        centre = np.array([1.0, 0, 0, 0]) if c else np.array([0, 1.0, 0, 0])
+        ln = np.log([0.7, 0.3] if (c == 0) == (i % 7 > 0) else [0.3, 0.7])
+        split = ["train", "train", "train", "val", "test"][i % 5]
+        rows.append((i, (centre + g.normal(size=4) * 0.2).tolist(), (centre + g.normal(size=4) * 0.2).tolist(), f"w{c}", "neg pos".split()[c], split, ln.tolist()))
+    df = spark.createDataFrame(rows, "item_id long, image array<double>, words array<double>, word string, label string, split string, ln array<double>")
+    system = routed.fit(df, concepts=4, folds=2)
+    got = routed.decide(df, system)
+    right = got.where("split = 'test' AND label = label_pred").count()
+    assert right > 40 and got.count() == 240
+    system.save(str(tmp_path / "m"))
+    again = routed.decide(df, routed.load(spark, str(tmp_path / "m")))
+    same = [tuple(r) for r in got.select("item_id", "label_pred", "state").orderBy("item_id").collect()]
+    assert same == [tuple(r) for r in again.select("item_id", "label_pred", "state").orderBy("item_id").collect()]
