@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import rng
 from plumbline.operators import decisions, learners
+from plumbline.plans.audit import AuditSpec, run_data_tier
 from plumbline.plans.fixtures import LABELLED_SQL, embedded, labelled, manifest
 from plumbline.plans.registry import query, rounded
 from plumbline.sources.manifest import label_dim
@@ -58,3 +59,13 @@ def oof_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def length_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learners.length_auc(labelled(spark, sf_dir), "text", F.col("label") == "toxic"))
+
+
+@query()
+def data_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data tier as a whole on the labelled documents: check, subject, verdict."""
+    rows = labelled(spark, sf_dir).select("item_id", "text", "title", "lang", "split", "label")
+    r = run_data_tier(rows, AuditSpec("label", ["text", "title"], "split", "lang"))
+    out = [("D1", f["field"], f["verdict"]) for f in r["D1"]["fields"]] + [("D2", x["relation"], x["verdict"]) for x in r["D2"]]
+    out += [(check, f, x["verdict"]) for check in ("D3", "D4") for f, x in r[check].items()] + [("D6", "text", r["D6"]["verdict"])]
+    return spark.createDataFrame(out, "check string, subject string, verdict string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import rng
 from plumbline.operators import resampling, system
 from plumbline.plans.fixtures import CLASSES, EMBEDDED_SQL, LABELLED_SQL, PRED_SQL, embedded, labelled, predictions
-from plumbline.plans.registry import query, rounded
+from plumbline.plans.registry import ORACLES, query, rounded
 
 H = rng.draw_sql
 #: Resamples in the test queries (2000 in production).
@@ -113,6 +113,10 @@ def s2_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumns({c: F.array_join(c, ",") for c in ("gains", "gain_partly_from_inputs")}))
 
 
+@query(
+    f"""SELECT CASE WHEN lo > 0 THEN 'caption' ELSE '' END AS gains, CASE WHEN lo > 0 THEN 'caption' ELSE '' END AS gain_partly_from_inputs, round(greatest(mean, 0), 6) AS swing,
+    CASE WHEN lo > 0 THEN 'FLAG' ELSE 'ok' END AS verdict, CASE WHEN lo > 0 THEN 'FLAG' ELSE 'ok' END AS verdict_no_gain_survives FROM ({ORACLES['paired_bootstrap']}) p WHERE metric = 'd_macro_f1'"""
+)
 def s2_same_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Margins and swings of two input configurations from predictions, down to the verdict."""
     p, n = _placed(spark, sf_dir)
@@ -125,8 +129,6 @@ def s2_same_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumns({c: F.array_join(c, ",") for c in ("gains", "gain_partly_from_inputs")}))
 
 
-query()(s2_same_input)
-
 _S3 = f"""{PRED_SQL}, e AS (SELECT item_id, sum(CAST(pb <> y AS INT)) >= 3 AS err FROM pred GROUP BY 1), a AS (
   SELECT item_id, 'system' AS alternative, sum(CAST(pa = y AS INT)) >= 3 AS ok FROM pred GROUP BY 1 UNION ALL SELECT item_id, 'even', sum(CAST((CASE WHEN item_id % 2 = 0 THEN y ELSE pb END) = y AS INT)) >= 3 FROM pred GROUP BY 1)"""
 
