@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = ("n_chars", "n_words", "mean_word_len", "max_word_len", "upper_ratio", "digit_ratio", "punct_ratio", "non_alnum_ratio", "type_token_ratio")
@@ -35,9 +35,16 @@ def _count(c: Column, pattern: str) -> Column:
     return F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
 
 
-def shape(c: Column) -> list[Column]:
-    """The nine features that look at form only; ratios are 0 for an empty text."""
-    t, w = raw(c), words(c)
+def with_shape(df: DataFrame, c: Column, *keep: str | Column) -> DataFrame:
+    """`keep` and the nine shape features. Words are split once, in a projection of their own that the planner keeps apart."""
+    split = df.select(*keep, raw(c).alias("_shape_t"), words(c).alias("_shape_w"))
+    kept = [k for k in split.columns if k not in ("_shape_t", "_shape_w")]
+    return split.select(*kept, *shape(F.col("_shape_t"), F.col("_shape_w")))
+
+
+def shape(c: Column, w: Column | None = None) -> list[Column]:
+    """The nine features that look at form only; ratios are 0 for an empty text. `w`: the text's words, if they are at hand."""
+    t, w = raw(c), words(c) if w is None else w
     n = F.length(t)
     per_char = lambda k: F.when(n > 0, k / n).otherwise(0.0)
     lengths = F.transform(w, F.length)

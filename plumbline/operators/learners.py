@@ -20,7 +20,7 @@ PROBE_CS, CARD_CS = (0.01, 0.1, 1.0), (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 
 def shape_frame(df: DataFrame, field: str, target: str, key: str = "item_id") -> DataFrame:
     """key, split, y, the nine shape features and their vector."""
-    rows = df.select(key, "split", F.col(target).cast("double").alias("y"), *text.shape(F.col(field)))
+    rows = text.with_shape(df, F.col(field), key, "split", F.col(target).cast("double").alias("y"))
     return VectorAssembler(inputCols=list(text.FEATURES), outputCol="features").transform(rows)
 
 

@@ -30,7 +30,7 @@ def _shape_sql(t: str) -> str:
 
 @query(f"WITH {MANIFEST_SQL} SELECT item_id, {_shape_sql('text')} FROM manifest")
 def text_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(manifest(spark, sf_dir).select("item_id", *text.shape(F.col("text"))))
+    return rounded(text.with_shape(manifest(spark, sf_dir), F.col("text"), "item_id"))
 
 
 @query(f"WITH {MANIFEST_SQL} SELECT item_id, md5({NORM.format(t='text')}) AS norm_md5, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) AS phrase_md5 FROM manifest")

@@ -12,7 +12,7 @@ from plumbline.operators.relations import profile
 
 def shape_stream(stream: DataFrame, field: str, key: str = "item_id") -> DataFrame:
     """The nine shape features of every arriving row."""
-    return stream.select(key, *text.shape(F.col(field)))
+    return text.with_shape(stream, F.col(field), key)
 
 
 def profile_stream(stream: DataFrame, fields: list[str], source: str | None = None) -> DataFrame:
