@@ -99,18 +99,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, k
     """At most `most` labelled documents (those of smallest hash of their id): key, text and `label`.
 
     Rows without id, label or document don't count, and, with `held_out`, those whose crc32 modulo 3 is 1. Of several
-    labels of one id the largest counts, of several documents of one id each.
+    labels of one id the largest counts, of several documents of one id the one whose text sorts first.
     """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     if held_out:
         usable = usable.where(crc_mod3(key) != 1)
     one = usable.groupBy(key).agg(F.max(label).alias(label))
     chosen = one.join(docs.select(key).distinct(), key, "left_semi").orderBy(F.xxhash64(key), key).limit(most)
-    return docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
+    return docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).groupBy(key, label).agg(F.min("text").alias("text"))
 
 
 def sample_features(sample: DataFrame, label: str, key: str = "doc_id", shapes: bool = False, pairs: bool = False, least_rows: int = 4) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Ids, labels and distinct features of a bounded sample, on the driver, in the order of ids; features of few documents are left out."""
+    """Hashes of ids, labels and distinct features of a bounded sample, on the driver, in the order of hashes; features of few documents are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,9 +123,9 @@ def sample_features(sample: DataFrame, label: str, key: str = "doc_id", shapes:
                 edges = np.searchsorted(rows[order], np.arange(last - first + 1))
                 features = features[order]
                 out += [np.unique(features[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(key).cast(pa.int64()), batch.column(label).cast(pa.int64()), pa.array(out, pa.binary())], names=["id", "label", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(out, pa.binary())], names=["id", "label", "features"])
 
-    got = sample.select(key, label, "text").mapInArrow(run, "id long, label long, features binary").toArrow().sort_by("id")
+    got = sample.select(F.xxhash64(key).alias("id"), F.col(label).cast("long").alias("label"), "text").mapInArrow(run, "id long, label long, features binary").toArrow().sort_by("id")
     features = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in got.column("features").chunks for x in chunk]
     return got.column("id").to_numpy(), got.column("label").to_numpy(), recurring(features, least_rows)
 
