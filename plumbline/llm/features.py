@@ -132,9 +132,10 @@ def sample_features(sample: DataFrame, label: str, key: str = "doc_id", shapes:
 
 def recurring(features: list[np.ndarray], least_rows: int) -> list[np.ndarray]:
     """Without features that fewer than `least_rows` documents have (by counters that may take some for others and then keep them)."""
-    cell, counts = np.uint64(64 - 22), np.zeros(1 << 22, np.int32)
+    cell, counts = np.uint64(64 - 24), np.zeros(1 << 24, np.uint16)
     for f in features:
-        np.add.at(counts, f >> cell, 1)
+        at = f >> cell
+        counts[at] += counts[at] < least_rows  # it need not count beyond; a cell that a document has twice counts once
     return [f[counts[f >> cell] >= least_rows] for f in features]
 
 

@@ -29,7 +29,7 @@ from plumbline.llm.features import Keys, design, labelled_sample, letter_feature
 from plumbline.llm.words import chunks
 
 #: Labelled rows that the regression learns from, at most.
-MOST = 8000
+MOST = 5000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

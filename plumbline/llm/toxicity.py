@@ -32,7 +32,7 @@ from plumbline.llm.features import Keys, design, fit_logistic, labelled_sample,
 from plumbline.llm.words import SPACE, chunks, spans
 
 #: Labelled rows that the classifier and the mined lexicons learn from, at most.
-MOST = 8000
+MOST = 5000
 THRESHOLD = 0.7
 
 #: Words that voters know.
