@@ -15,6 +15,8 @@ from plumbline.llm.common import shared_folder, table
 
 #: The mix: entropy as a share of the most possible, and the most epochs of a source.
 ENTROPY, REPETITION = 0.98, 2.0
+#: Near copies: words of a shingle, and the least similarity in hundredths (op9's own query has four words and 85).
+WORDS, LEAST = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return jaccard.keep_first(docs)
+    return jaccard.keep_first(docs, k=WORDS, least=LEAST)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

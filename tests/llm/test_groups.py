@@ -196,3 +196,16 @@ def test_pipeline(spark, sf):
     import hashlib
 
     assert all(r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest() for r in final.collect())
+
+
+def test_pipeline_drops_near_copies_at_five_words_and_80(spark, sf, monkeypatch):
+    base = [f"w{j}" for j in range(60)]
+    rows = [(0, " ".join(base)), (1, " ".join(base + [f"more{j}" for j in range(12)])), (2, " ".join(base + [f"much{j}" for j in range(20)]))]
+    one = [f"v{j}" for j in range(50)]
+    rows += [(3, " ".join(one)), (4, " ".join([*one[:25], "other", *one[26:]])), (5, " ".join([*one[:12], "a", *one[13:37], "b", *one[38:]])), (6, ""), (7, "")]
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs(spark, rows), sf).collect()) == [0, 2, 3, 5, 6, 7]
+    rows = planted() + [(1000 + d, t) for d, t in rows]
+    got = sorted(r["doc_id"] for r in stage(spark, docs(spark, rows), sf).collect())
+    monkeypatch.setitem(globals(), "shingles", lambda text, of=shingles: of(text, 5))
+    assert got == sorted(d for d, n, c in brute_components(rows, 80) if n == 0 or d == c)
