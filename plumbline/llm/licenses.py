@@ -8,16 +8,18 @@ aligned in the same way. Gaps without anchors match equal words from both
 ends. Coverage is the share of template words that are matched.
 
 Windows whose words cannot reach the least coverage, by counting, are passed
-over; that drops nothing. A text has a row even if no license is found (null
-license, coverage 0); null and empty texts are of that kind. Of several
-templates the highest coverage wins, then more template words, then the first
-name. Repeated rows are scanned each.
+over; that drops nothing. All licenses are found, each at all its places: of
+hits whose spans overlap the highest coverage wins, then more template words,
+then the first name, and what lies between the winners is scanned again. The
+best hit by the same order has columns of its own. A text has a row even if no
+license is found (null license, coverage 0, an empty array); null and empty
+texts are of that kind. Repeated rows are scanned each.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -143,27 +145,48 @@ class Scanner:
         self.counts = [Counter(words) for _, words in self.templates]
         self.vocabulary = frozenset(w for _, words in self.templates for w in words)
 
-    def scan(self, text: str | None) -> tuple[int, str | None, float, int, int, int]:
-        """(words of the text, license, coverage, matched words, first matched word, place after the last)."""
+    def scan(self, text: str | None) -> tuple[int, str | None, float, int, int, int, list[tuple[str, float, int, int, int]]]:
+        """(words of the text, the best hit's fields, all hits by place); a hit: license, coverage, matched words, first matched word, place after the last."""
         words = words_of(text or "")
+        found: list[tuple] = []
+        parts = [(0, len(words))]
+        while parts:
+            begin, end = parts.pop()
+            kept = self._apart(self._hits(words[begin:end]))
+            found += [(*rank, first + begin, after + begin, matched) for *rank, first, after, matched in kept]
+            if kept:
+                parts += [(x + begin, y + begin) for x, y in zip([0, *(k[4] for k in kept)], [*(k[3] for k in kept), end - begin], strict=True) if x < y]
+        hits = [(name, -coverage, matched, first, after) for coverage, _, name, first, after, matched in sorted(found)]
+        best = hits[0] if hits else (None, 0.0, 0, 0, 0)
+        return len(words), *best, sorted(hits, key=lambda h: h[3])
+
+    def _hits(self, words: list[str]) -> set[tuple]:
+        """All (-coverage, -words of the template, license, first, after, matched), the best first in their order."""
         places: dict[str, list[int]] = {}
         if not self.vocabulary.isdisjoint(words):
             vocabulary = self.vocabulary
             for k, w in enumerate(words):
                 if w in vocabulary:
                     places.setdefault(w, []).append(k)
-        best: tuple = (0.0, 0, "", 0, 0, 0)
+        hits: set[tuple] = set()
         for (name, template), counts in zip(self.templates, self.counts, strict=True):
             need = self.least * len(template)
             if sum(min(c, len(places.get(w, ()))) for w, c in counts.items()) < need:
                 continue
             for matched, first, after in self._windows(words, places, template, counts, need):
-                rank = (matched / len(template), len(template))
-                if rank > best[:2] or rank == best[:2] and not best[2]:
-                    best = (*rank, name, matched, first, after)
-        if not best[2]:
-            return len(words), None, 0.0, 0, 0, 0
-        return len(words), best[2], best[0], best[3], best[4], best[5]
+                hits.add((-matched / len(template), -len(template), name, first, after, matched))
+        return hits
+
+    @staticmethod
+    def _apart(hits: set[tuple]) -> list[tuple]:
+        """The hits, by place, that no better one overlaps."""
+        kept: list[tuple[int, int, tuple]] = []
+        for hit in sorted(hits):
+            first, after = hit[3:5]
+            at = bisect_left(kept, (first,))
+            if (at == len(kept) or after <= kept[at][0]) and (at == 0 or kept[at - 1][1] <= first):
+                insort(kept, (first, after, hit))
+        return [k[2] for k in kept]
 
     def _windows(self, words: list[str], places: dict[str, list[int]], template: list[str], counts: Counter, need: float) -> Iterator[tuple[int, int, int]]:
         m = len(template)
@@ -177,25 +200,29 @@ class Scanner:
                 continue
             pairs = align(words[s:e], template)
             if len(pairs) >= need:
-                yield len(pairs), s + pairs[0][0], s + pairs[-1][0] + 1
+                first, after = s + pairs[0][0], s + pairs[-1][0] + 1
+                # from its end, the span leaves out earlier words that a notice before it shares with the template
+                back = align(words[first:after][::-1], template[::-1])
+                if len(back) >= len(pairs):
+                    first, after, pairs = after - back[-1][0] - 1, after - back[0][0], back
+                yield len(pairs), first, after
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
-    """Per row: the key, n_words, license, coverage, matched words, and the words' range first_word to after_word."""
-    schema = T.StructType(
-        [T.StructField(key, docs.schema[key].dataType)]
-        + [T.StructField(n, k) for n, k in (("n_words", T.LongType()), ("license", T.StringType()), ("coverage", T.DoubleType()), ("matched", T.LongType()), ("first_word", T.LongType()), ("after_word", T.LongType()))]
-    )
+    """Per row: the key, n_words, license, coverage, matched words, and the words' range first_word to after_word of the best hit, and all hits in `found`."""
+    fields = [T.StructField(n, k) for n, k in (("license", T.StringType()), ("coverage", T.DoubleType()), ("matched", T.LongType()), ("first_word", T.LongType()), ("after_word", T.LongType()))]
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_words", T.LongType()), *fields, T.StructField("found", T.ArrayType(T.StructType(fields)))])
     chosen = templates or TEMPLATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from plumbline.llm.bpe import pieces
 
         scanner = Scanner(chosen, least)
-        kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+        hit = {"license": pa.string(), "coverage": pa.float64(), "matched": pa.int64(), "first_word": pa.int64(), "after_word": pa.int64()}
+        kinds = [pa.int64(), *hit.values(), pa.list_(pa.struct(list(hit.items())))]
         for batch in batches:
             for piece in pieces(batch, text):
-                rows = [scanner.scan(x) for x in piece.column(text).to_pylist()]
+                rows = [(*r[:6], [dict(zip(hit, h, strict=True)) for h in r[6]]) for r in map(scanner.scan, piece.column(text).to_pylist())]
                 yield pa.RecordBatch.from_arrays([piece.column(key), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=schema.fieldNames())
 
     return docs.select(key, F.col(text).alias(text)).mapInArrow(run, schema)

@@ -23,7 +23,8 @@ def vocabulary() -> str:
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
-    return found.withColumn("coverage", F.round("coverage", 6))
+    rounded = F.transform("found", lambda h: h.withField("coverage", F.round(h["coverage"], 6)))
+    return found.withColumns({"coverage": F.round("coverage", 6), "found": rounded})
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

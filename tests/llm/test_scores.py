@@ -72,6 +72,21 @@ def test_licenses(spark, sf):
     assert licenses.scan(edge(spark)).count() == len(EDGE) and licenses.scan(edge(spark).limit(0)).count() == 0
 
 
+def test_all_licenses_of_a_text(spark):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    two = scanner.scan("Released under the MIT License. Licensed under CC BY-NC 4.0.")
+    assert [(h[0], h[1], h[3], h[4]) for h in two[6]] == [("MIT", 1.0, 0, 5), ("CC-BY-NC-4.0", 1.0, 5, 12)] and two[1] == "CC-BY-NC-4.0"
+    mit = licenses.TEMPLATES["MIT"][2]
+    m = len(licenses.words_of(mit))
+    text = f"foo {mit} {mit} bar. Licensed under the MIT. Licensed under the MIT License. " + "filler words " * 40 + licenses.TEMPLATES["ISC"][0]
+    found = scanner.scan(text)[6]
+    assert [(h[0], h[3]) for h in found[:4]] == [("MIT", 1), ("MIT", 1 + m), ("MIT", 2 + 2 * m), ("MIT", 6 + 2 * m)] and [h[0] for h in found[4:]] == ["ISC"]
+    many = scanner.scan("x " + "Licensed under CC BY 4.0. Released under the MIT License. " * 300)[6]
+    assert [h[0] for h in many] == ["CC-BY-4.0", "MIT"] * 300 and all(a[4] <= b[3] for a, b in zip(many, many[1:], strict=False))
+    rows = licenses.scan(spark.createDataFrame([(1, "Released under the MIT License. Licensed under CC BY-NC 4.0."), (2, None)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [h["license"] for h in r["found"]] for r in rows} == {1: ["MIT", "CC-BY-NC-4.0"], 2: []}
+
+
 def test_ordinal_regression_orders_five_grades():
     rng = np.random.default_rng(3)
     n, width = 1500, 12
