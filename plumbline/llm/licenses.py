@@ -7,6 +7,10 @@ increasing subsequence of the anchors is kept and the gaps between them are
 aligned in the same way. Gaps without anchors match equal words from both
 ends. Coverage is the share of template words that are matched.
 
+A hit must also match the words that name its license, as far as its template
+has them (NAMES); a template of fewer than SHORT words that has none counts
+only when it is matched whole.
+
 Windows whose words cannot reach the least coverage, by counting, are passed
 over; that drops nothing. All licenses are found, each at all its places: of
 hits whose spans overlap the highest coverage wins, then more template words,
@@ -29,6 +33,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAST_COVERAGE = 0.8
+#: A template without a word that names its license and of fewer words than this must be matched whole.
+SHORT = 20
+
+#: The words that tell a license from others; for other licenses those of the name itself, but for 0.
+NAMES: dict[str, str] = {
+    "GPL-3.0": "gnu general public 3",
+    "MPL-2.0": "mozilla mpl 2",
+    "CC-BY-4.0": "cc by creative commons attribution 4",
+    "CC-BY-SA-4.0": "cc by sa creative commons attribution sharealike 4",
+    "CC-BY-NC-4.0": "cc by nc creative commons attribution noncommercial 4",
+}
 
 #: Public licence texts and customary notices.
 TEMPLATES: dict[str, list[str]] = {
@@ -57,7 +72,10 @@ TEMPLATES: dict[str, list[str]] = {
         "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General "
         "Public License for more details.",
     ],
+    "BSD": ["Released under the BSD License.", "Licensed under the BSD License."],
     "BSD-3-Clause": [
+        "Released under the BSD 3-Clause License.",
+        "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in "
         "binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
@@ -65,6 +83,8 @@ TEMPLATES: dict[str, list[str]] = {
         "promote products derived from this software without specific prior written permission.",
     ],
     "ISC": [
+        "Released under the ISC License.",
+        "Licensed under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         "copyright notice and this permission notice appear in all copies.",
     ],
@@ -143,6 +163,7 @@ class Scanner:
         self.least = least
         self.templates = [(name, words_of(text)) for name, texts in sorted(templates.items()) for text in texts]
         self.counts = [Counter(words) for _, words in self.templates]
+        self.naming = [frozenset(words_of(NAMES.get(name, name))) & set(words) - {"0"} for name, words in self.templates]
         self.vocabulary = frozenset(w for _, words in self.templates for w in words)
 
     def scan(self, text: str | None) -> tuple[int, str | None, float, int, int, int, list[tuple[str, float, int, int, int]]]:
@@ -169,11 +190,11 @@ class Scanner:
                 if w in vocabulary:
                     places.setdefault(w, []).append(k)
         hits: set[tuple] = set()
-        for (name, template), counts in zip(self.templates, self.counts, strict=True):
-            need = self.least * len(template)
-            if sum(min(c, len(places.get(w, ()))) for w, c in counts.items()) < need:
+        for (name, template), counts, naming in zip(self.templates, self.counts, self.naming, strict=True):
+            need = self.least * len(template) if naming or len(template) >= SHORT else len(template)
+            if not all(w in places for w in naming) or sum(min(c, len(places.get(w, ()))) for w, c in counts.items()) < need:
                 continue
-            for matched, first, after in self._windows(words, places, template, counts, need):
+            for matched, first, after in self._windows(words, places, template, counts, need, naming):
                 hits.add((-matched / len(template), -len(template), name, first, after, matched))
         return hits
 
@@ -188,7 +209,7 @@ class Scanner:
                 insort(kept, (first, after, hit))
         return [k[2] for k in kept]
 
-    def _windows(self, words: list[str], places: dict[str, list[int]], template: list[str], counts: Counter, need: float) -> Iterator[tuple[int, int, int]]:
+    def _windows(self, words: list[str], places: dict[str, list[int]], template: list[str], counts: Counter, need: float, naming: frozenset[str]) -> Iterator[tuple[int, int, int]]:
         m = len(template)
         step, width = max(1, m // 2), -(-3 * m // 2) + 1
         rare = min(counts, key=lambda w: (len(places.get(w, ())) / counts[w], w))
@@ -199,11 +220,11 @@ class Scanner:
             if sum(min(c, bisect_left(p, e) - bisect_left(p, s)) for w, c in counts.items() if (p := places.get(w))) < need:
                 continue
             pairs = align(words[s:e], template)
-            if len(pairs) >= need:
+            if len(pairs) >= need and naming.issubset(template[y] for _, y in pairs):
                 first, after = s + pairs[0][0], s + pairs[-1][0] + 1
                 # from its end, the span leaves out earlier words that a notice before it shares with the template
                 back = align(words[first:after][::-1], template[::-1])
-                if len(back) >= len(pairs):
+                if len(back) >= len(pairs) and naming.issubset(template[-1 - y] for _, y in back):
                     first, after, pairs = after - back[-1][0] - 1, after - back[0][0], back
                 yield len(pairs), first, after
 

@@ -87,6 +87,20 @@ def test_all_licenses_of_a_text(spark):
     assert {r["doc_id"]: [h["license"] for h in r["found"]] for r in rows} == {1: ["MIT", "CC-BY-NC-4.0"], 2: []}
 
 
+def test_short_notices_need_the_words_that_name_them():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for notice, name in (
+        ("Licensed under the BSD License.", "BSD"), ("Released under the BSD 3-Clause License.", "BSD-3-Clause"), ("Licensed under the ISC License.", "ISC"),
+        ("released under the terms of this license", None), ("Licensed under the Artistic License.", None), ("Licensed under CC BY 3.0.", None), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", None), ("Licensed under the Apache License, Version 2.", "Apache-2.0"), ("Licensed under MIT License", "MIT"),
+    ):
+        assert scanner.scan(f"some words {notice} and more")[1] == name
+    for name, texts in licenses.TEMPLATES.items():
+        assert all(scanner.scan(t)[1:3] == (name, 1.0) for t in texts)
+    bare = licenses.Scanner({"Own": ["use this as you like"]})
+    assert bare.scan("use this as you like")[1] == "Own" and bare.scan("use this as they like")[1] is None
+
+
 def test_ordinal_regression_orders_five_grades():
     rng = np.random.default_rng(3)
     n, width = 1500, 12
