@@ -11,8 +11,8 @@ from plumbline.plans.fixtures import CLASSES, EMBEDDED_SQL, LABELLED_SQL, PRED_S
 from plumbline.plans.registry import ORACLES, query, rounded
 
 H = rng.draw_sql
-#: Resamples in the test queries (2000 in production).
-REPS = 40
+#: Resamples in the queries and their SQL.
+REPS = resampling.B
 
 _POS = "p AS (SELECT *, dense_rank() OVER (ORDER BY item_id) - 1 AS pos FROM pred), n AS (SELECT count(DISTINCT item_id) AS n FROM pred)"
 _DRAWS = f"w AS (SELECT b, {H('43', 'b', 'i')} % n AS pos, count(*) AS w FROM n, (SELECT unnest(range({REPS})) AS b), (SELECT unnest(range((SELECT n FROM n))) AS i) GROUP BY 1, 2)"

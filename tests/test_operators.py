@@ -101,6 +101,28 @@ def test_softmax(spark):
     assert got == pytest.approx(x - np.log(np.exp(x).sum()))
 
 
+def test_registered_bootstraps_draw_all_resamples(spark):
+    """Lift and share of the registered query, against numpy with 2000 resamples on a small table."""
+    import hashlib
+
+    from plumbline.plans import fixtures, system_tier
+
+    assert system_tier.REPS == resampling.B == 2000
+    rows = sorted((r["item_id"], r["y"], r["pa"]) for r in fixtures.predictions(spark, "/root/testdata/sf0.001").where("seed = 0").collect())
+    y, pa = (np.array([r[c] for r in rows]) for c in (1, 2))
+    n, k = len(rows), fixtures.CLASSES
+    drawn = np.array([[int(hashlib.md5(f"43|{b}|{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)] for b in range(2000)])
+
+    def f1(y, p):
+        d = [(2 * ((y == c) & (p == c)).sum(), (y == c).sum() + (p == c).sum()) for c in range(k)]
+        return sum(a / b if b else 0.0 for a, b in d) / k
+
+    f = np.array([(f1(y[d], pa[d]), f1(y[d], np.ones(n, int))) for d in drawn])
+    want = {"lift": np.percentile(f[:, 0] - f[:, 1], [2.5, 97.5]), "share": np.percentile(f[:, 0] / 0.8, [2.5, 97.5])}
+    for r in system_tier.bootstrap_lift(spark, "/root/testdata/sf0.001").collect():
+        assert [r["lo"], r["hi"]] == pytest.approx(want[r["metric"]], abs=2e-6)
+
+
 def test_positions_and_bootstrap_of_equals(spark):
     p = spark.createDataFrame([(i * 3, s, i % 3, i % 3, i % 3) for i in range(30) for s in range(2)], "item_id long, seed long, y long, pa long, pb long")
     pos = resampling.positions(p)
