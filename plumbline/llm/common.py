@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.tables import saved, shared_folder
 
-__all__ = ["crc_mod3", "fresh", "saved", "shared_folder", "table"]
+__all__ = ["added", "crc_mod3", "fresh", "others", "saved", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,18 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def others(columns: list[str], *names: str) -> list[str]:
+    """The columns that have none of these names, in whatever case."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def added(docs: DataFrame, *fields: T.StructField) -> T.StructType:
+    """The schema of `docs` with these fields at its end, in place of columns of their names, in whatever case."""
+    left = set(others(docs.columns, *(f.name for f in fields)))
+    return T.StructType([*(f for f in docs.schema.fields if f.name in left), *fields])
+
+
 def crc_mod3(column: str) -> Column:
     """crc32 of an id's decimal text, modulo 3; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3

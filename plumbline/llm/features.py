@@ -1,15 +1,22 @@
-"""Hashed features of texts, and sparse linear models over them."""
+"""Hashed features of texts, and sparse linear models over them.
+
+Models learn from a bounded sample, a table of `id` (a hash of the document's
+id), `known` (its label, null where it has none) and `text`. Its features are
+counted, tested and cut by Spark; the driver gets the selected ones and, per
+sampled row, their places (at most `most` numbers of 32 bits), never texts or
+whole feature sets.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import crc_mod3
+from plumbline.llm.common import crc_mod3, saved
 from plumbline.llm.words import LOWER, NO_LETTER, SPACE, Hashes, chunks, mix, spans
 
 #: Lengths in bytes of the word beginnings that are features.
@@ -20,15 +27,17 @@ SHAPE[65:91] = 65
 SHAPE[97:123] = 97
 SHAPE[128:] = 97
 SHAPE[48:58] = 48
-_PREFIX, _HEAD, _TAIL, _PAIR, _REPEAT = (np.uint64(x) for x in (0x1B56C4E9, 0x2C7A5A17, 0x3D1F6B2B, 0x4E8C71D5, 0x5A93B0C7))
+_PREFIX, _HEAD, _TAIL, _REPEAT = (np.uint64(x) for x in (0x1B56C4E9, 0x2C7A5A17, 0x3D1F6B2B, 0x5A93B0C7))
+#: A sample's targets are summed as integers of this unit, so that sums don't depend on their order.
+UNIT = 1 << 20
 
 
 def _row_of(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def letter_features(data: np.ndarray, offsets: np.ndarray, pairs: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, 64-bit features) of a chunk: lower-cased runs of letters, their beginnings, and, if asked, pairs of neighbours."""
+def letter_features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, 64-bit features) of a chunk: lower-cased runs of letters, and their beginnings."""
     starts, ends, first = spans(NO_LETTER[data], offsets)
     hashes, rows = Hashes(LOWER[data]), _row_of(first)
     words = hashes(starts, ends)
@@ -36,9 +45,6 @@ def letter_features(data: np.ndarray, offsets: np.ndarray, pairs: bool = False)
     for k in PREFIXES:
         longer = ends - starts > k
         yield rows[longer], mix(hashes(starts[longer], starts[longer] + k) ^ (_PREFIX + np.uint64(k)))
-    if pairs and len(words) > 1:
-        same = rows[1:] == rows[:-1]
-        yield rows[1:][same], mix(words[:-1][same] * np.uint64(3) + words[1:][same] + _PAIR)
 
 
 def shape_features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -95,69 +101,89 @@ def presence(found: list[tuple[np.ndarray, np.ndarray]], keys: Keys) -> tuple[np
     return np.divmod(pair, max(1, len(keys.keys)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text", held_out: bool = True) -> DataFrame:
-    """At most `most` labelled documents (those of smallest hash of their id): key, text and `label`.
+def sample_of(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text", free: int = 0) -> DataFrame:
+    """id, known, text: at most `most` labelled documents, and `free` of all (known where they have a label), by the least hashes of their ids.
 
-    Rows without id, label or document don't count, and, with `held_out`, those whose crc32 modulo 3 is 1. Of several
+    Documents without id don't count, nor those whose crc32 modulo 3 is 1, nor labels without id or value. Of several
     labels of one id the largest counts, of several documents of one id the one whose text sorts first.
     """
-    usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
-    if held_out:
-        usable = usable.where(crc_mod3(key) != 1)
-    one = usable.groupBy(key).agg(F.max(label).alias(label))
-    chosen = one.join(docs.select(key).distinct(), key, "left_semi").orderBy(F.xxhash64(key), key).limit(most)
-    return docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).groupBy(key, label).agg(F.min("text").alias("text"))
+    usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (crc_mod3(key) != 1))
+    taught = usable.groupBy(F.col(key).alias("key")).agg(F.max(label).cast("long").alias("known"))
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    first = lambda ids, n: ids.orderBy(F.xxhash64("key"), "key").limit(n)
+    chosen = first(taught.join(own.select("key"), "key", "left_semi"), most)
+    if free:
+        teaching = own.select("key").where(F.col("key").isNotNull() & (crc_mod3("key") != 1))
+        # few more than enough go to the top-n, however many documents there are
+        share = 4 * free / max(1, teaching.count())
+        some = teaching if share >= 1 else teaching.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
+        drawn = first(some, free).distinct().join(taught, "key", "left")
+        chosen = chosen.unionByName(drawn).groupBy("key").agg(F.max("known").alias("known"))
+    found = own.join(F.broadcast(chosen), "key").groupBy("key", "known").agg(F.min("text").alias("text"))
+    return saved(found.select(F.xxhash64("key").alias("id"), "known", "text"))
+
+
+def distinct_features(data: np.ndarray, offsets: np.ndarray, shapes: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, features) of a chunk, each pair once, sorted."""
+    found = [*letter_features(data, offsets), *(shape_features(data, offsets) if shapes else [])]
+    rows, features = np.concatenate([r for r, _ in found]), np.concatenate([f for _, f in found])
+    order = np.lexsort((features, rows))
+    rows, features = rows[order], features[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (features[1:] != features[:-1])
+    return rows[new], features[new]
+
+
+def feature_counts(sample: DataFrame, target: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], shapes: bool = False) -> DataFrame:
+    """feature, n, total: how many sampled rows have it, and the sum of their targets in UNITs. target: of a chunk's known labels, bytes and offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.column("known").cast(pa.float64()).to_numpy(zero_copy_only=False)
+            for first, last, data, offsets in chunks(batch.column("text")):
+                worth = np.rint(target(known[first:last], data, offsets) * UNIT).astype(np.int64)
+                rows, features = distinct_features(data, offsets, shapes)
+                order = np.argsort(features, kind="stable")
+                features, worth = features[order], worth[rows[order]]
+                heads = np.flatnonzero(np.concatenate([[True], features[1:] != features[:-1]])) if len(features) else np.zeros(0, np.int64)
+                total = np.add.reduceat(worth, heads) if len(heads) else worth
+                yield pa.RecordBatch.from_arrays([pa.array(features[heads].view(np.int64)), pa.array(np.diff(np.append(heads, len(features)))), pa.array(total)], names=["feature", "n", "total"])
+
+    met = sample.select("known", "text").mapInArrow(run, "feature long, n long, total long")
+    return met.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def strongest(counted: DataFrame, score: Column, least: float, least_rows: int, most: int) -> np.ndarray:
+    """The `most` features of at least `least_rows` rows whose score is largest, and `least` at least; the best first."""
+    scored = counted.where(F.col("n") >= least_rows).select("feature", score.alias("score")).where(F.col("score") >= least)
+    return scored.orderBy(F.desc("score"), "feature").limit(most).select("feature").toArrow().column(0).to_numpy().view(np.uint64)
+
+
+def select(counted: DataFrame, target: np.ndarray, least_rows: int, z: float, most: int) -> np.ndarray:
+    """Features whose mean target differs from that of all sampled rows by `z` standard errors; the `most` furthest."""
+    mean, spread = float(target.mean()), max(float(target.std()), 1e-6)
+    return strongest(counted, F.abs(F.col("total") / UNIT / F.col("n") - mean) * F.sqrt("n") / spread, z, least_rows, most)
 
 
-def sample_features(sample: DataFrame, label: str, key: str = "doc_id", shapes: bool = False, pairs: bool = False, least_rows: int = 4) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Hashes of ids, labels and distinct features of a bounded sample, on the driver, in the order of hashes; features of few documents are left out."""
+def design(sample: DataFrame, keys: Keys, shapes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sampled ids in order, and (row, key place) of all known features of the rows, on the driver."""
+    held = sample.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for first, last, data, offsets in chunks(batch.column("text")):
-                found = list(letter_features(data, offsets, pairs)) + (list(shape_features(data, offsets)) if shapes else [])
-                rows = np.concatenate([r for r, _ in found])
-                features = np.concatenate([f for _, f in found])
-                order = np.argsort(rows, kind="stable")
-                edges = np.searchsorted(rows[order], np.arange(last - first + 1))
-                features = features[order]
-                out += [np.unique(features[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(out, pa.binary())], names=["id", "label", "features"])
-
-    got = sample.select(F.xxhash64(key).alias("id"), F.col(label).cast("long").alias("label"), "text").mapInArrow(run, "id long, label long, features binary").toArrow().sort_by("id")
-    features = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in got.column("features").chunks for x in chunk]
-    return got.column("id").to_numpy(), got.column("label").to_numpy(), recurring(features, least_rows)
-
-
-def recurring(features: list[np.ndarray], least_rows: int) -> list[np.ndarray]:
-    """Without features that fewer than `least_rows` documents have (by counters that may take some for others and then keep them)."""
-    cell, counts = np.uint64(64 - 24), np.zeros(1 << 24, np.uint16)
-    for f in features:
-        at = f >> cell
-        counts[at] += counts[at] < least_rows  # it need not count beyond; a cell that a document has twice counts once
-    return [f[counts[f >> cell] >= least_rows] for f in features]
-
-
-def select(features: list[np.ndarray], target: np.ndarray, least_rows: int, z: float, most: int) -> np.ndarray:
-    """Features of at least `least_rows` documents whose mean target differs from the rest by `z` standard errors; the `most` furthest."""
-    if not len(features):
-        return np.zeros(0, np.uint64)
-    flat = np.concatenate(features)
-    keys, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    sums = np.bincount(inverse, np.repeat(target, [len(f) for f in features]), len(keys))
-    mean, spread = target.mean(), max(target.std(), 1e-6)
-    score = np.abs(sums / counts - mean) * np.sqrt(counts) / spread
-    good = np.flatnonzero((counts >= least_rows) & (score >= z))
-    good = good[np.lexsort((keys[good], -score[good]))][:most]
-    return np.sort(keys[good])
-
-
-def design(features: list[np.ndarray], keys: Keys) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key place) of all known features."""
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    near, at = keys.find(np.concatenate(features) if features else np.zeros(0, np.uint64))
-    return rows[near], at
+                rows, features = distinct_features(data, offsets, shapes)
+                near, at = held.value.find(features)
+                edges = np.searchsorted(rows[near], np.arange(last - first + 1))
+                out += [at[a:b].astype("<i4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "places"])
+
+    got = sample.select("id", "text").mapInArrow(run, "id long, places binary").toArrow().sort_by("id")
+    held.unpersist()
+    places = [np.frombuffer(x.as_buffer(), "<i4") for chunk in got.column("places").chunks for x in chunk]
+    rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    return got.column("id").to_numpy(), rows, np.concatenate(places) if places else np.zeros(0, np.int32)
 
 
 def fit_logistic(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, width: int, ridge: float = 1e-4, steps: int = 1500) -> tuple[np.ndarray, float]:

@@ -8,9 +8,12 @@ expected grade and the tail probabilities, by which documents are selected.
 
 Learns from a bounded sample (`most`) of labelled rows; those whose crc32 of the
 id modulo 3 is 1 are left out for tests. Any integer grades do: they are taken
-in order. Null and empty texts get the score of no feature. Without labels, or
-with one grade only, every text gets that grade (0 without labels). Rows stay
-one to one, other columns as they are.
+in order. Null and empty texts get the score of no feature. Very long texts are
+read whole, one at a time. Ties and repeated rows are scored each, equal texts
+alike. Without labels, or with one grade only, every text gets that grade (0
+without labels) and no tail. An empty table gives an empty result. Rows stay one
+to one, other columns as they are; those that have the new columns' names, in
+whatever case, are replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import fresh
-from plumbline.llm.features import Keys, design, labelled_sample, letter_features, presence, sample_features, select, shape_features
+from plumbline.llm.common import added, fresh
+from plumbline.llm.features import Keys, design, feature_counts, letter_features, presence, sample_of, select, shape_features
 from plumbline.llm.words import chunks
 
 #: Labelled rows that the regression learns from, at most.
 MOST = 5000
+#: Features that it has, at most.
+WIDTH = 20_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -95,28 +100,28 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grade: np.ndarray, kinds:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", most: int = MOST) -> Ordinal:
     """A regression learnt from a bounded sample of labelled rows."""
-    sample = labelled_sample(docs, labels, label, most, key, text)
-    _, y, features = sample_features(sample, label, key, shapes=True)
-    grades, place = np.unique(y, return_inverse=True)
+    sample = sample_of(docs, labels, label, most, key, text)
+    taught = sample.select("id", "known").toArrow().sort_by("id")
+    grades, place = np.unique(taught.column("known").to_numpy(), return_inverse=True)
     if len(grades) < 2:
         return Ordinal(grades if len(grades) else np.zeros(1, np.int64), Keys(np.zeros(0, np.uint64)), np.zeros(0), np.zeros(0))
-    keys = Keys(select(features, place.astype(float), least_rows=4, z=4.0, most=20_000))
-    rows, columns = design(features, keys)
+    counted = feature_counts(sample, lambda known, *_: np.searchsorted(grades, known), shapes=True)
+    keys = Keys(select(counted, place.astype(float), least_rows=4, z=4.0, most=WIDTH))
+    _, rows, columns = design(sample, keys, shapes=True)
     weights, thresholds = fit_ordinal(rows, columns, place, len(grades), len(keys.keys))
     return Ordinal(grades, keys, weights, thresholds)
 
 
 def score(docs: DataFrame, model: Ordinal, text: str = "text", expected: str = "expected_grade", tails: str = "tail_probability") -> DataFrame:
     """All rows and columns of `docs` with the expected grade and the array of tail probabilities (replacing columns of those names)."""
-    fields = [f for f in docs.schema.fields if f.name not in (expected, tails)]
-    schema = T.StructType([*fields, T.StructField(expected, T.DoubleType(), False), T.StructField(tails, T.ArrayType(T.DoubleType(), False), False)])
+    schema = added(docs, T.StructField(expected, T.DoubleType(), False), T.StructField(tails, T.ArrayType(T.DoubleType(), False), False))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tail = held.value.tails(held.value.margins(batch.column(text)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tail) + 1) * tail.shape[1], pa.int32()), pa.array(tail.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(held.value.expected(tail)), lists], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-2]), pa.array(held.value.expected(tail)), lists], names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 

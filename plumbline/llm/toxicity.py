@@ -6,14 +6,18 @@ lexicons mined from labelled rows, in parts. A generative label model, fitted
 by EM over the counts of all documents' vote patterns, estimates the prior, each
 voter's accuracy in either class and the correlations between voters: given the
 class, votes depend on each other along a tree that is estimated too. Labelled
-rows hold their class fixed. The classifier is linear over hashed words and
-word beginnings and learns from the label model's posteriors of a bounded
-sample of labelled rows (`most`).
-
-Only rows whose crc32 of the id modulo 3 is not 1 teach labels. Scores depend
-on the text alone; null and empty texts get the bias. Repeated rows are scored
-each. Without any label in a class the score is a constant (the share of
-toxic labels, 0 without labels), and no row is rejected.
+rows hold their class fixed; nowhere else do labels count. The classifier is
+linear over hashed words, word beginnings and the votes, and learns the label
+model's posteriors of a bounded sample: at most `most` labelled documents and
+`most` of all (MOST), by the least hashes of their ids.
+
+Only rows whose crc32 of the id modulo 3 is not 1 teach labels or are in the
+sample. Scores depend on the text alone. Null and empty texts get the bias.
+Very long texts are read whole, one at a time. Repeated rows and ties are scored
+each, equal texts alike. Without any label in one of the classes the score is a
+constant (the least share of toxic rows that counts, about 0) and no row is
+rejected. An empty table gives an empty result. Other columns stay; one that has
+the score's name, in any case, is replaced by it.
 """
 
 from __future__ import annotations
@@ -27,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import crc_mod3, fresh
-from plumbline.llm.features import Keys, design, fit_logistic, labelled_sample, letter_features, presence, sample_features, select, word_key
+from plumbline.llm.common import added, crc_mod3, fresh
+from plumbline.llm.features import UNIT, Keys, design, feature_counts, fit_logistic, letter_features, presence, sample_of, select, strongest, word_key
 from plumbline.llm.words import SPACE, chunks, spans
 
-#: Labelled rows that the classifier and the mined lexicons learn from, at most.
+#: Labelled rows that the mined lexicons and the classifier learn from, at most; and rows of all documents that the classifier learns from besides.
 MOST = 5000
+#: Features of the classifier, and words of the mined lexicons, at most.
+WIDTH = 20_000
 THRESHOLD = 0.7
 
 #: Words that voters know.
@@ -47,7 +53,7 @@ LEXICONS: dict[str, str] = {
 }
 #: Second persons that make an insult a pattern.
 SECOND_PERSONS = "you your youre tu toi du ihr usted eres"
-MINED_PARTS = 3
+MINED_PARTS = 5
 
 
 @dataclass
@@ -60,18 +66,12 @@ class Voters:
     insults: Keys
     persons: Keys
 
-    def lexical(self, found: list[tuple[np.ndarray, np.ndarray]], rows: int) -> np.ndarray:
-        """Rows x voters: 1 where a known word is a hit for the voter."""
-        out = np.zeros(rows, np.int64)
+    def votes(self, found: list[tuple[np.ndarray, np.ndarray]], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """One bit pattern per row of a chunk. found: what letter_features gives for it."""
+        out = np.zeros(len(offsets) - 1, np.int64)
         for row, features in found:
             near, at = self.keys.find(features)
             np.bitwise_or.at(out, row[near], self.bits[at])
-        return (out[:, None] >> np.arange(len(self.names))) & 1
-
-    def votes(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """One bit pattern per row of a chunk."""
-        found = list(letter_features(data, offsets))
-        out = self.lexical(found, len(offsets) - 1) @ (1 << np.arange(len(self.names)))
         rows, words = found[0]
         insult, _ = self.insults.find(words)
         person, _ = self.persons.find(words)
@@ -89,31 +89,31 @@ class Voters:
         out[shouting] |= 1 << self.names.index("shouting")
         return out
 
+    def columns(self, votes: np.ndarray) -> np.ndarray:
+        """Rows x voters, 0/1, of bit patterns."""
+        return (np.asarray(votes, np.int64)[:, None] >> np.arange(len(self.names))) & 1
+
 
-def make_voters(features: list[np.ndarray], labels: np.ndarray) -> Voters:
-    """The fixed voters and those mined from labelled documents' features."""
+def make_voters(mined: np.ndarray) -> Voters:
+    """The fixed voters and those of mined features (the best first), in parts of falling strength."""
     names = [*LEXICONS, "second person", "shouting", *(f"mined {k}" for k in range(MINED_PARTS))]
     bits: dict[int, int] = {}
     for name, words in LEXICONS.items():
         for word in words.split():
             bits[word_key(word)] = bits.get(word_key(word), 0) | 1 << names.index(name)
-    for key in mined(features, labels):
-        part = names.index(f"mined {int(key) % MINED_PARTS}")
-        bits[int(key)] = bits.get(int(key), 0) | 1 << part
+    for place, key in enumerate(mined.tolist()):
+        bits[key] = bits.get(key, 0) | 1 << names.index(f"mined {place * MINED_PARTS // len(mined)}")
     keys = Keys(np.array(list(bits), np.uint64))
     insults = [word_key(w) for name in ("insult", "contempt", "abuse", "french", "german", "spanish") for w in LEXICONS[name].split()]
     return Voters(names, keys, np.array([bits[int(k)] for k in keys.keys], np.int64), Keys(np.array(insults, np.uint64)), Keys(np.array([word_key(w) for w in SECOND_PERSONS.split()], np.uint64)))
 
 
-def mined(features: list[np.ndarray], labels: np.ndarray, least_rows: int = 5, least_odds: float = 3.0) -> np.ndarray:
-    """Features whose smoothed log odds of the toxic class, less a standard error, over the base rate's reach `least_odds`."""
-    if not len(features) or labels.min() == labels.max():
-        return np.zeros(0, np.uint64)
-    keys, inverse, counts = np.unique(np.concatenate(features), return_inverse=True, return_counts=True)
-    hits = np.bincount(inverse, np.repeat(labels, [len(f) for f in features]), len(keys))
-    odds = np.log((hits + 0.5) / (counts - hits + 0.5)) - np.log(labels.mean() / (1 - labels.mean()))
-    error = np.sqrt(1 / (hits + 0.5) + 1 / (counts - hits + 0.5))
-    return keys[(hits >= least_rows) & (odds - error >= least_odds)]
+def mined(counted: DataFrame, share: float, least_hits: int = 3, least_odds: float = 2.5) -> np.ndarray:
+    """Features whose smoothed log odds of the toxic class, less a standard error, over the base rate's reach `least_odds`. share: of toxic rows."""
+    hits, rest = F.col("total") / UNIT, F.col("n") - F.col("total") / UNIT
+    odds = F.log((hits + 0.5) / (rest + 0.5)) - float(np.log(share / (1 - share)))
+    error = F.sqrt(1 / (hits + 0.5) + 1 / (rest + 0.5))
+    return strongest(counted.where(hits >= least_hits), odds - error, least_odds, least_hits, WIDTH)
 
 
 @dataclass
@@ -201,7 +201,7 @@ class Model:
     label_model: LabelModel | None
     keys: Keys
     weights: np.ndarray
-    lexical: np.ndarray  # weights of the lexicon voters' hits, which stand for words not met in the sample
+    voter_weights: np.ndarray
     bias: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -209,62 +209,58 @@ class Model:
         for first, last, data, offsets in chunks(texts):
             found = list(letter_features(data, offsets))
             rows, places = presence(found, self.keys)
-            hits = self.voters.lexical(found, last - first)
-            out[first:last] = np.bincount(rows, self.weights[places], last - first)[: last - first] + hits @ self.lexical + self.bias
+            votes = self.voters.columns(self.voters.votes(found, data, offsets))
+            out[first:last] = np.bincount(rows, self.weights[places], last - first)[: last - first] + votes @ self.voter_weights + self.bias
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def vote_counts(docs: DataFrame, labels: DataFrame, voters: Voters, label: str, key: str, text: str) -> DataFrame:
-    """Over all documents: votes, known class (-1 if not taught), and how many. At most 3 * 2**voters rows."""
+def voted(rows: DataFrame, voters: Voters) -> DataFrame:
+    """`rows` (with a column text) with `votes` for the text, one bit per voter."""
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != "text"), T.StructField("votes", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [voters.votes(data, offsets) for _, _, data, offsets in chunks(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))], names=["id", "votes"])
+            parts = [voters.votes(list(letter_features(data, offsets)), data, offsets) for _, _, data, offsets in chunks(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))], names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
+
 
-    voted = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("votes", T.LongType())]))
+def vote_counts(docs: DataFrame, labels: DataFrame, voters: Voters, label: str, key: str, text: str) -> DataFrame:
+    """Over all documents: votes, known class (-1 if not taught), and how many. At most 3 * 2**voters rows."""
     taught = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (crc_mod3(key) != 1)).groupBy(F.col(key).alias("id")).agg(F.max(F.col(label).cast("int")).alias("known"))
-    return voted.join(taught, "id", "left").groupBy("votes", F.coalesce("known", F.lit(-1)).alias("known")).count()
+    return voted(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), voters).join(taught, "id", "left").groupBy("votes", F.coalesce("known", F.lit(-1)).alias("known")).count()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = MOST) -> Model:
     """Mines voters from a bounded sample, fits the label model over all documents' votes and the classifier on posteriors."""
-    sample = labelled_sample(docs, labels, label, most, key, text)
-    _, y, features = sample_features(sample, label, key)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) and y.max() == 0 else 0.0
-        voters = make_voters(features, y)
-        return Model(voters, None, Keys(np.zeros(0, np.uint64)), np.zeros(0), np.zeros(len(voters.names)), float(np.log(max(share, 1e-4))))
-    voters = make_voters(features, y)
+    sample = sample_of(docs, labels, label, most, key, text, free=most)
+    taught = sample.where("known IS NOT NULL")
+    classes = {r["known"]: r["count"] for r in taught.groupBy("known").count().collect()}
+    none = np.zeros(0, np.uint64)
+    if len(classes) < 2:
+        voters = make_voters(none)
+        return Model(voters, None, Keys(none), np.zeros(0), np.zeros(len(voters.names)), float(np.log(1e-4)))
+    voters = make_voters(mined(feature_counts(taught, lambda known, *_: known), classes.get(1, 0) / sum(classes.values())))
     counted = vote_counts(docs, labels, voters, label, key, text).orderBy("votes", "known").collect()
-    m = len(voters.names)
-    as_votes = lambda patterns: ((np.array(patterns, np.int64)[:, None] >> np.arange(m)) & 1).astype(np.int64)
-    label_model = fit_label_model(as_votes([r["votes"] for r in counted]), np.array([r["count"] for r in counted], float), np.array([r["known"] for r in counted]))
-    own = votes_of_features(features, voters, m)
-    posterior = label_model.posterior(own)
-    # the row's own label is one more, trusted voter
-    agree = np.where(y == 1, posterior * 0.98, posterior * 0.02)
-    target = agree / (agree + np.where(y == 1, (1 - posterior) * 0.02, (1 - posterior) * 0.98))
-    keys = Keys(select(features, target, least_rows=4, z=5.0, most=20_000))
-    rows, columns = design(features, keys)
+    label_model = fit_label_model(voters.columns([r["votes"] for r in counted]), np.array([r["count"] for r in counted], float), np.array([r["known"] for r in counted]))
+    own = voters.columns(voted(sample.select("id", "text"), voters).toArrow().sort_by("id").column("votes").to_numpy())
+    target = label_model.posterior(own)
+
+    def posterior(_: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return label_model.posterior(voters.columns(voters.votes(list(letter_features(data, offsets)), data, offsets)))
+
+    keys = Keys(select(feature_counts(sample, posterior), target, least_rows=4, z=3.5, most=WIDTH))
+    _, rows, places = design(sample, keys)
     width = len(keys.keys)
     row, voter = np.nonzero(own)
-    weights, bias = fit_logistic(np.concatenate([rows, row]), np.concatenate([columns, width + voter]), target, width + m)
+    weights, bias = fit_logistic(np.concatenate([rows, row]), np.concatenate([places, width + voter]), target, width + len(voters.names))
     return Model(voters, label_model, keys, weights[:width], weights[width:], bias)
 
 
-def votes_of_features(features: list[np.ndarray], voters: Voters, m: int) -> np.ndarray:
-    """The lexicon votes of documents known by their features (patterns that need the text are not hit)."""
-    out = np.zeros(len(features), np.int64)
-    for k, f in enumerate(features):
-        _, at = voters.keys.find(f)
-        out[k] = np.bitwise_or.reduce(voters.bits[at]) if len(at) else 0
-    return (out[:, None] >> np.arange(m)) & 1
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", score_column: str = "score") -> DataFrame:
     """All rows and columns of `docs` with a score (replacing a column of that name)."""
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name != score_column), T.StructField(score_column, T.DoubleType(), False)])
+    schema = added(docs, T.StructField(score_column, T.DoubleType(), False))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

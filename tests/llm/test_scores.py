@@ -162,6 +162,111 @@ def test_label_model_recovers_accuracies_and_correlation():
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.85
 
 
+def brute_votes(voters, text):
+    """The bit pattern by plain Python: whole words and beginnings of four to eight bytes, persons before insults, shouting."""
+    lowered = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    found = re.findall(rb"[a-z\x80-\xff]+", lowered)
+    known = {int(k): int(b) for k, b in zip(voters.keys.keys, voters.bits, strict=True)}
+    out = 0
+    for w in found:
+        out |= known.get(toxicity.word_key(w.decode("utf-8", "surrogateescape")) if w else 0, 0)
+    lists = {n: set(x.encode() for x in ws.split()) for n, ws in toxicity.LEXICONS.items()}
+    insults = set().union(*(v for n, v in lists.items() if n != "threat"))
+    persons = {x.encode() for x in toxicity.SECOND_PERSONS.split()}
+    if any(w in persons and any(x in insults for x in found[i + 1 : i + 4]) for i, w in enumerate(found)):
+        out |= 1 << voters.names.index("second person")
+    raw = (text or "").encode()
+    words = max(1, len(re.findall(rb"[^\x20\x09-\x0d]+", raw)))
+    if sum(65 <= c <= 90 for c in raw) > 2 * words and raw.count(b"!") * 4 > words:
+        out |= 1 << voters.names.index("shouting")
+    return out
+
+
+def test_votes_against_brute_force():
+    import pyarrow as pa
+
+    voters = toxicity.make_voters(np.zeros(0, np.uint64))
+    rng = np.random.default_rng(2)
+    pool = "you YOU idiot Idiots moron! tu imbécil du trottel plain word !! kill. WOW A fine die".split()
+    texts = ["YOU IDIOT!!! YOU MORON!!!", None, "", "you a b c idiot", "you a b idiot", "\n"] + [" ".join(rng.choice(pool, rng.integers(1, 12))) for _ in range(400)]
+    got = np.concatenate([voters.votes(list(features.letter_features(d, o)), d, o) for _, _, d, o in words.chunks(pa.array(texts), limit=300)])
+    assert got.tolist() == [brute_votes(voters, t) for t in texts] and got[0] == brute_votes(voters, "YOU IDIOT!!!") and len(set(got.tolist())) > 20
+
+
+def test_posterior_and_em_against_brute_force():
+    """P(class | votes) by the chain rule over all patterns; EM's fit beats every nearby one in likelihood."""
+    rng = np.random.default_rng(1)
+    votes = np.array(list(np.ndindex(2, 2, 2, 2)))
+    counts, known = rng.integers(1, 60, len(votes) * 3).astype(float), np.repeat([-1, 0, 1], len(votes))
+    every = np.tile(votes, (3, 1))
+    m = toxicity.fit_label_model(every, counts, known, steps=400, smooth=1e-9)
+
+    def joint(model, c, v):
+        p = model.prior if c else 1 - model.prior
+        for j, up in enumerate(model.parent):
+            one = model.table[j, c, v[up] if up >= 0 else 0]
+            p *= one if v[j] else 1 - one
+        return p
+
+    assert sum(joint(m, c, v) for c in (0, 1) for v in votes) == pytest.approx(1)
+    for v, q in zip(votes, m.posterior(votes), strict=True):
+        assert q == pytest.approx(joint(m, 1, v) / (joint(m, 0, v) + joint(m, 1, v)))
+
+    def likelihood(model):
+        return sum(n * np.log(joint(model, 0, v) + joint(model, 1, v) if k < 0 else joint(model, k, v)) for v, n, k in zip(every, counts, known, strict=True))
+
+    best = likelihood(m)
+    for _ in range(60):
+        near = np.clip(m.table + rng.normal(0, 0.02, m.table.shape), 1e-6, 1 - 1e-6)
+        near[m.parent < 0] = near[m.parent < 0][:, :, :1]
+        other = toxicity.LabelModel(float(np.clip(m.prior + rng.normal(0, 0.02), 0.01, 0.99)), m.parent, near, m.accuracy, m.correlation)
+        assert likelihood(other) <= best + 1e-6
+
+
+def test_ordinal_fit_against_a_grid():
+    """Three grades, one feature: no weight and thresholds of a fine grid have a smaller penalised negative log likelihood."""
+    x = np.array([0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 1])
+    grade = np.array([0, 0, 0, 1, 2, 0, 1, 1, 2, 2, 2])
+    rows = np.flatnonzero(x)
+    w, t = quality.fit_ordinal(rows, np.zeros(len(rows), int), grade, 3, 1, steps=4000)
+
+    def loss(w, a, b):
+        low = np.where(grade == 0, 1, 1 / (1 + np.exp(-(w * x - np.where(grade == 1, a, b)))))
+        high = np.where(grade == 2, 0, 1 / (1 + np.exp(-(w * x - np.where(grade == 0, a, b)))))
+        return -np.log(low - high).mean() + 0.5 * 1e-4 * w * w * x.mean()
+
+    found = loss(w[0], *t)
+    grid = min(loss(u, a, b) for u in np.arange(0, 3, 0.05) for a in np.arange(-2, 2, 0.05) for b in np.arange(a + 0.05, 3, 0.05))
+    assert t[0] < t[1] and found <= grid + 1e-6
+
+
+def test_features_are_selected_as_numpy_would(spark):
+    """Counts, sums and the selection made in Spark against the same over whole arrays, whatever the partitions."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice([f"w{i}" if i % 3 else "alpha" * (i + 1) for i in range(40)], rng.integers(0, 30))) + (" toxic" if k % 4 == 0 else "") for k in range(160)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(160)], "doc_id long, toxic int")
+    sample = features.sample_of(docs, labels, "toxic", 500)
+    got = {r["feature"] & (2**64 - 1): (r["n"], r["total"] // features.UNIT) for r in features.feature_counts(sample, lambda known, *_: known).collect()}
+    want, kept = {}, [k for k in range(160) if zlib.crc32(str(k).encode()) % 3 != 1]
+    for k in kept:
+        _, found = features.distinct_features(*next((d, o) for _, _, d, o in words.chunks(pa.array([texts[k]]))), False)
+        for f in found.tolist():
+            n, total = want.get(f, (0, 0))
+            want[f] = (n + 1, total + int(k % 4 == 0))
+    assert got == want
+    target = np.array([float(k % 4 == 0) for k in kept])
+    chosen = set(features.select(features.feature_counts(sample, lambda known, *_: known), target, 4, 3.0, 50).tolist())
+    z = {f: abs(t / n - target.mean()) * n**0.5 / target.std() for f, (n, t) in want.items() if n >= 4}
+    assert chosen == {f for f, s in z.items() if s >= 3.0} and features.word_key("toxic") in chosen
+    ids, rows, places = features.design(sample, features.Keys(np.array(sorted(chosen), np.uint64)))
+    assert len(ids) == len(kept) and np.bincount(places).sum() == sum(want[f][0] for f in chosen)
+    assert features.sample_of(docs, labels, "toxic", 10, free=20).count() <= 30
+    assert features.sample_of(docs.limit(0), labels, "toxic", 10, free=20).count() == 0
+
+
 @pytest.mark.parametrize("labels", [[], [(5, 0, 0), (1, 0, 0)], [(5, 1, 1), (1, 0, None), (None, 1, 1)]])
 def test_scores_of_edge_rows(spark, labels):
     lb = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -172,6 +277,11 @@ def test_scores_of_edge_rows(spark, labels):
     graded = quality.score(df, quality.fit(df, lb))
     assert graded.count() == len(EDGE) and graded.where("expected_grade IS NULL").count() == 0
     assert toxicity.score(df.limit(0), toxicity.fit(df.limit(0), lb)).count() == 0
+    named = df.withColumnsRenamed({"score": "SCORE", "expected_grade": "Expected_Grade", "tail_probability": "TAIL_probability"})
+    again = toxicity.score(named, toxicity.fit(named, lb))
+    assert [c.lower() for c in again.columns].count("score") == 1 and again.select("score").count() == len(EDGE)
+    regraded = quality.score(named, quality.fit(named, lb))
+    assert regraded.select("expected_grade", "tail_probability").count() == len(EDGE) and len(regraded.columns) == len(df.columns)
 
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
