@@ -1,24 +1,19 @@
-"""Text as columns: shape features, normal forms, cleaning, votes. All JVM-side expressions."""
+"""Text as columns: shape features (in Arrow batches), normal forms, cleaning, votes (JVM-side expressions)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FEATURES = ("n_chars", "n_words", "mean_word_len", "max_word_len", "upper_ratio", "digit_ratio", "punct_ratio", "non_alnum_ratio", "type_token_ratio")
 
-#: Unicode digits that are no decimal digits (superscripts, circled and others).
-OTHER_DIGITS = (
-    r"\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}\x{24EA}"
-    r"\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}\x{1369}-\x{1371}\x{19DA}"
-)
-#: Unicode white space.
-SPACES = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}"
-
-UPPER = r"\p{IsUppercase}"
-DIGIT = rf"[\p{{Nd}}{OTHER_DIGITS}]"
-PUNCT = rf"[^\p{{L}}\p{{N}}_{SPACES}]"
-ALNUM = r"[\p{L}\p{N}]"
+#: What a code point is, in bits, filled by blocks of 256 as they are met: upper case, digit, letter or number, white space.
+_KIND = np.zeros(0x110000, np.uint8)
+_known = np.zeros(0x1100, bool)
+_UPPER, _DIGIT, _ALNUM, _SPACE, _WORD = 1, 2, 4, 8, 16
 
 
 def raw(c: Column) -> Column:
@@ -31,37 +26,43 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(raw(c), r"(?U)[\s\x1c-\x1f]+", " "), " "), lambda x: x != "")
 
 
-def _count(c: Column, pattern: str) -> Column:
-    return F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+def _kinds(points: np.ndarray) -> np.ndarray:
+    """The bits of code points."""
+    for block in np.flatnonzero((np.bincount(points >> 8, minlength=len(_known)) > 0) & ~_known):
+        for k in range(block << 8, (block + 1) << 8):
+            c = chr(k)
+            _KIND[k] = c.isupper() * _UPPER | c.isdigit() * _DIGIT | c.isalnum() * _ALNUM | c.isspace() * _SPACE | (c.isalnum() or c == "_") * _WORD
+        _known[block] = True
+    return _KIND[points]
+
+
+def _shape_of(t: str | None) -> tuple[float, ...]:
+    if not t:
+        return (0.0,) * len(FEATURES)
+    n, words = len(t), t.split()
+    many = np.bincount(_kinds(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)), minlength=32)
+    have = lambda bit: int(many[[k for k in range(32) if k & bit]].sum())
+    none = int(many[[k for k in range(32) if not k & (_WORD | _SPACE)]].sum())
+    lengths = list(map(len, words)) or [0]
+    parts = max(1, len(words))
+    return (float(n), float(len(words)), sum(lengths) / parts, float(max(lengths)), have(_UPPER) / n, have(_DIGIT) / n, none / n, (n - have(_ALNUM)) / n, len(set(t.lower().split())) / parts)
+
+
+@F.arrow_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in FEATURES]))
+def _shape(texts: pa.Array) -> pa.Array:
+    rows = np.array([_shape_of(t.as_py()) for t in texts]).reshape(-1, len(FEATURES))
+    return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(FEATURES))], names=list(FEATURES))
 
 
 def with_shape(df: DataFrame, c: Column, *keep: str | Column) -> DataFrame:
-    """`keep` and the nine shape features. Words are split once, in a projection of their own that the planner keeps apart."""
-    split = df.select(*keep, raw(c).alias("_shape_t"), words(c).alias("_shape_w"))
-    kept = [k for k in split.columns if k not in ("_shape_t", "_shape_w")]
-    return split.select(*kept, *shape(F.col("_shape_t"), F.col("_shape_w")))
-
-
-def shape(c: Column, w: Column | None = None) -> list[Column]:
-    """The nine features that look at form only; ratios are 0 for an empty text. `w`: the text's words, if they are at hand."""
-    t, w = raw(c), words(c) if w is None else w
-    n = F.length(t)
-    per_char = lambda k: F.when(n > 0, k / n).otherwise(0.0)
-    lengths = F.transform(w, F.length)
-    total = F.aggregate(lengths, F.lit(0), lambda s, x: s + x)
-    some = F.size(w) > 0
-    values = (
-        n.cast("double"),
-        F.size(w).cast("double"),
-        F.when(some, total / F.size(w)).otherwise(0.0),
-        F.coalesce(F.array_max(lengths), F.lit(0)).cast("double"),
-        per_char(_count(t, UPPER)),
-        per_char(_count(t, DIGIT)),
-        per_char(_count(t, PUNCT)),
-        per_char(n - _count(t, ALNUM)),
-        F.when(some, F.size(F.array_distinct(F.transform(w, F.lower))) / F.size(w)).otherwise(0.0),
-    )
-    return [v.alias(name) for v, name in zip(values, FEATURES, strict=True)]
+    """`keep` and the nine shape features: one pass over each text, in Arrow batches that hold the text only."""
+    return df.select(*keep, *shape(c))
+
+
+def shape(c: Column) -> list[Column]:
+    """The nine features that look at form only; ratios are 0 for an empty text. Character classes are Python's."""
+    found = _shape(c)
+    return [found[name].alias(name) for name in FEATURES]
 
 
 def normal(c: Column) -> Column:

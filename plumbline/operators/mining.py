@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +18,9 @@ QUANTILES, MAX_SUPPORT_FRAC = (0.50, 0.75, 0.90), 0.90
 BETA, MIN_SUPPORT, MAX_LEN, MAX_CLAUSES, POOL, MAX_NEG = 0.5, 15, 3, 3, 40, 1
 MIN_PREC_ABS, MIN_LIFT, PREC_CAP, CAND_CAP = 0.35, 3.0, 0.80, 2000
 
-#: English words that phrases leave out.
+#: N-grams whose counts a task holds before it sends them on.
+HELD_GRAMS = 400_000
+#: English words that phrases leave out unless another list is given (see stop_words).
 STOP_WORDS = (
     "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down "
     "during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now "
@@ -22,32 +29,50 @@ STOP_WORDS = (
 ).split()
 
 
-def ngrams(c: Column, sizes: tuple[int, int] = NGRAMS, stops: list[str] = STOP_WORDS) -> Column:
+def stop_words(path: str) -> list[str]:
+    """A longer list than STOP_WORDS, one word a line, from a file; # begins a comment."""
+    with open(path) as lines:
+        return [w for line in lines if (w := line.partition("#")[0].strip())]
+
+
+def ngrams(text: str | None, sizes: tuple[int, int] = NGRAMS, stops: frozenset[str] = frozenset(STOP_WORDS)) -> set[str]:
     """Distinct n-grams of lower-cased words of two characters at least, stop words left out first."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    stop = F.array(*map(F.lit, stops)) if stops else F.array().cast("array<string>")
-    kept = F.filter(found, lambda w: ~F.array_contains(stop, w))
-    grams, longer = [], kept
-    for n in range(1, sizes[1] + 1):
-        if n > 1:  # each gram with the word n - 1 places on; past the end that is null
-            longer = F.filter(F.zip_with(longer, F.slice(kept, n, F.greatest(F.size(kept), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
-        if n >= sizes[0]:
-            grams.append(longer)
-    return F.array_distinct(F.flatten(F.array(*grams)))
-
-
-def mine_phrases(docs: DataFrame, text: str, label: str, k: int = TOP_K, min_df: int = MIN_DF, alpha: float = ALPHA) -> DataFrame:
-    """class, rank, term, logodds: the k terms whose presence speaks most for each class.
-
-    Smoothed log odds; of the 3k best (then by term) those with more words first on ties.
+    words = [w for w in re.findall(r"\w{2,}", (text or "").lower()) if w not in stops]
+    return {" ".join(words[i : i + n]) for n in range(sizes[0], sizes[1] + 1) for i in range(len(words) - n + 1)}
+
+
+def gram_counts(docs: DataFrame, text: str, label: str, stops: list[str] = STOP_WORDS) -> DataFrame:
+    """term, class, c: documents of the class that have the n-gram. Counted in Arrow batches first, so that few strings are shuffled."""
+    out_of = frozenset(stops)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[1] for k in counts], pa.string()), pa.array([k[0] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "class", "c"])
+
+        for batch in batches:
+            for t, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                counts.update((kind, g) for g in ngrams(t.as_py(), stops=out_of))
+                if len(counts) > HELD_GRAMS:
+                    yield out()
+                    counts.clear()
+        yield out()
+
+    met = docs.select(F.col(text).alias("t"), F.col(label).cast("string").alias("k")).mapInArrow(run, "term string, class string, c long")
+    return met.groupBy("term", "class").agg(F.sum("c").alias("c"))
+
+
+def mine_phrases(docs: DataFrame, text: str, label: str, k: int = TOP_K, min_df: int = MIN_DF, alpha: float = ALPHA, stops: list[str] = STOP_WORDS) -> DataFrame:
+    """class, rank, term, logodds: the k terms whose presence speaks most for each class, of all terms of `min_df` documents at least.
+
+    Smoothed log odds; of the 3k best (then by term) those with more words first on ties. `class` is a string.
     """
-    terms = docs.select(F.col(label).alias("class"), F.explode(ngrams(F.col(text))).alias("term"))
-    by_term = terms.groupBy("term", "class").agg(F.count("*").alias("c"))
-    df = by_term.groupBy("term").agg(F.sum("c").alias("df")).where(F.col("df") >= min_df)
-    sizes = docs.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
+    by_term = gram_counts(docs, text, label, stops).groupBy("term").agg(F.sum("c").alias("df"), F.map_from_entries(F.collect_list(F.struct("class", "c"))).alias("by")).where(F.col("df") >= min_df)
+    sizes = docs.groupBy(F.col(label).cast("string").alias("class")).agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n").alias("total"))
-    # terms that a class never has can't be among its best, as long as it has others
-    met = by_term.join(df, "term").join(F.broadcast(sizes.join(total)), "class")
+    # labels are few: a row for each
+    met = by_term.join(F.broadcast(sizes.join(total))).withColumn("c", F.coalesce(F.try_element_at("by", "class"), F.lit(0)))
     rest, rest_n = F.col("df") - F.col("c"), F.col("total") - F.col("n")
     odds = F.log((F.col("c") + alpha) / (F.col("n") - F.col("c") + alpha)) - F.log((rest + alpha) / (rest_n - rest + alpha))
     scored = met.select("class", "term", F.round(odds, 12).alias("logodds"))

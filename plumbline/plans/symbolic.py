@@ -67,7 +67,7 @@ _STOP = "['" + "', '".join(mining.STOP_WORDS) + "']"
     f"""WITH {LABELLED_SQL}, w AS (SELECT item_id, label, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: NOT list_contains({_STOP}, x)) AS k FROM labelled),
   g AS (SELECT label, unnest(list_distinct(list_concat(k, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]), list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2])))) AS term FROM w),
   c AS (SELECT term, label, count(*) AS c FROM g GROUP BY 1, 2), d AS (SELECT term, sum(c) AS df FROM c GROUP BY 1 HAVING sum(c) >= 3), n AS (SELECT label, count(*) AS n, (SELECT count(*) FROM labelled) AS total FROM labelled GROUP BY 1),
-  s AS (SELECT label, term, round(ln((c + 0.5) / (n - c + 0.5)) - ln((df - c + 0.5) / (total - n - df + c + 0.5)), 12) AS lo FROM c JOIN d USING (term) JOIN n USING (label)),
+  s AS (SELECT label, term, round(ln((c + 0.5) / (n - c + 0.5)) - ln((df - c + 0.5) / (total - n - df + c + 0.5)), 12) AS lo FROM (SELECT d.term, n.label, coalesce(c.c, 0) AS c, df, n, total FROM d CROSS JOIN n LEFT JOIN c ON c.term = d.term AND c.label = n.label)),
   b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY lo DESC, term) AS r FROM s)
   SELECT label AS class, rank, term, round(lo, 6) AS logodds FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY lo DESC, len(string_split(term, ' ')) DESC, term) AS rank FROM b WHERE r <= 36) WHERE rank <= 12"""
 )
