@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import rng
+from plumbline.functions import rng, vectors
 from plumbline.operators import resampling, system
 from plumbline.plans.fixtures import CLASSES, EMBEDDED_SQL, LABELLED_SQL, PRED_SQL, embedded, labelled, predictions
 from plumbline.plans.registry import ORACLES, query, rounded
@@ -45,7 +45,7 @@ def _placed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 @query(_paired_sql(_DRAWS))
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, n = _placed(spark, sf_dir)
-    return rounded(resampling.paired_interval(p, resampling.weights(n, REPS, spark), CLASSES))
+    return rounded(resampling.paired_interval(p, n, CLASSES, b=REPS))
 
 
 _GROUP_DRAWS = f"""g AS (SELECT DISTINCT item_id // 10 AS grp, pos FROM p), gi AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS g FROM (SELECT DISTINCT grp FROM g)), gn AS (SELECT count(*) AS n FROM gi),
@@ -57,7 +57,9 @@ _GROUP_DRAWS = f"""g AS (SELECT DISTINCT item_id // 10 AS grp, pos FROM p), gi A
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, _ = _placed(spark, sf_dir)
     groups = p.select(F.floor(F.col("item_id") / 10).alias("group"), "pos").distinct()
-    return rounded(resampling.paired_interval(p, resampling.group_weights(groups, REPS), CLASSES))
+    place = resampling.group_positions(groups)
+    drawn = p.join(place, "pos").drop("pos").withColumnRenamed("place", "pos")
+    return rounded(resampling.paired_interval(drawn, groups.select("group").distinct().count(), CLASSES, b=REPS))
 
 
 @query(
@@ -69,7 +71,7 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, n = _placed(spark, sf_dir)
     one = p.where("seed = 0").select("pos", "y", F.col("pa").alias("pred"))
-    return rounded(resampling.lift_interval(one, resampling.weights(n, REPS, spark), CLASSES, majority=1, text_ref=0.8))
+    return rounded(resampling.lift_interval(one, n, CLASSES, majority=1, text_ref=0.8, b=REPS))
 
 
 @query(
@@ -81,7 +83,7 @@ def bootstrap_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def perclass_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, n = _placed(spark, sf_dir)
-    return rounded(resampling.class_intervals(p.select("pos", "seed", "y", F.col("pa").alias("pred")), resampling.weights(n, REPS, spark), CLASSES))
+    return rounded(resampling.class_intervals(p.select("pos", "seed", "y", F.col("pa").alias("pred")), n, CLASSES, b=REPS))
 
 
 _INPUTS = [("encoder", "image"), ("encoder", "caption"), ("rules", "caption"), ("rules", "ocr"), ("probe", "image")]
@@ -120,11 +122,10 @@ def s2_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s2_same_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Margins and swings of two input configurations from predictions, down to the verdict."""
     p, n = _placed(spark, sf_dir)
-    draws = resampling.weights(n, REPS, spark)
     equal = p.withColumn("pa", F.col("pb")).withColumn("config", F.lit("equal"))
     rich = p.withColumn("config", F.lit("caption"))
-    margin = resampling.paired_interval(rich.unionByName(equal), draws, CLASSES, ["config"]).where("metric = 'd_macro_f1'").select("config", F.col("mean").alias("margin"), F.col("lo").alias("margin_lo"))
-    swing = resampling.paired_interval(rich, draws, CLASSES, ["config"]).where("metric = 'd_macro_f1'").select("config", F.col("lo").alias("swing_lo"))
+    margin = resampling.paired_interval(rich.unionByName(equal), n, CLASSES, ["config"], REPS).where("metric = 'd_macro_f1'").select("config", F.col("mean").alias("margin"), F.col("lo").alias("margin_lo"))
+    swing = resampling.paired_interval(rich, n, CLASSES, ["config"], REPS).where("metric = 'd_macro_f1'").select("config", F.col("lo").alias("swing_lo"))
     out = system.s2_verdict(margin.join(swing, "config", "left"), "equal")
     return rounded(out.withColumns({c: F.array_join(c, ",") for c in ("gains", "gain_partly_from_inputs")}))
 
@@ -162,22 +163,22 @@ def s4_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(system.s4_influence(rows))
 
 
-#: A fixed linear model over the first eight dimensions, for three classes.
-J = 8
+#: A fixed linear model over all dimensions, for three classes.
+J = 64
 _W = [[round(((c * 7 + j * 3) % 11 - 5) / 5, 2) for j in range(J)] for c in range(3)]
 _BIAS = [0.01, 0.0, -0.01]
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embedded(spark, sf_dir).select("item_id", F.slice("vec", 1, J).alias("z"))
-    scores = F.array(*(sum((F.get("z", F.lit(j)) * w for j, w in enumerate(row)), F.lit(b)) for row, b in zip(_W, _BIAS, strict=True)))
+    e = embedded(spark, sf_dir).select("item_id", F.col("vec").alias("z"))
+    scores = F.array(*(F.round(vectors.dot(F.col("z"), F.array(*map(F.lit, row))) + b, 9) for row, b in zip(_W, _BIAS, strict=True)))
     best = F.array_position(scores, F.array_max(scores)).cast("int")
     weights = F.array(*(F.array(*map(F.lit, row)) for row in _W))
     return e.withColumn("contrib", F.zip_with("z", F.element_at(weights, best), lambda x, w: x * w))
 
 
 def _label_sql(z: str) -> str:
-    scores = "[" + ", ".join("round(" + " + ".join(f"{z}[{j + 1}] * {w}" for j, w in enumerate(row)) + f" + {b}, 9)" for row, b in zip(_W, _BIAS, strict=True)) + "]"
+    scores = "[" + ", ".join(f"round(list_dot_product({z}, {row}::DOUBLE[]) + {b}, 9)" for row, b in zip(_W, _BIAS, strict=True)) + "]"
     return f"list_position({scores}, list_max({scores}))"
 
 
@@ -195,19 +196,17 @@ def _s5_sql() -> str:
   (SELECT round(avg(CAST({top(True, 'ord')} = lab AS DOUBLE)), 6) FROM t) AS keep_top, (SELECT round(avg(CAST({rand(True, 'rnd')} = lab AS DOUBLE)), 6) FROM r) AS keep_random"""
         )
     w = str(_W)
-    return f"""WITH {EMBEDDED_SQL}, z AS (SELECT item_id, vec[1:{J}] AS z FROM embedded), l AS (SELECT *, {_label_sql('z')} AS lab FROM z),
+    return f"""WITH {EMBEDDED_SQL}, z AS (SELECT item_id, vec AS z FROM embedded), l AS (SELECT *, {_label_sql('z')} AS lab FROM z),
   t AS (SELECT *, list_transform(list_sort(list_transform(range(0, {J}), lambda i: {{'c': -z[i + 1] * (({w}::DOUBLE[][])[lab])[i + 1], 'i': i}})), lambda s: s.i) AS ord FROM l),
-  r AS (SELECT t.*, rep, list_transform(list_sort(list_transform(range(0, {J}), lambda j: {{'d': {H('42', 'rep', 'item_id', 'j')}, 'j': j}})), lambda s: s.j) AS rnd FROM t, (SELECT unnest(range(20)) AS rep))
+  d AS (SELECT t.*, {H('42', 'rep', 'item_id')} AS h FROM t, (SELECT unnest(range(20)) AS rep)),
+  x AS (SELECT *, list_transform(range(0, {J}), lambda j: (h + j * j * 40503 + j * 69621) % {system.PRIME}) AS x FROM d),
+  r AS (SELECT *, list_transform(list_sort(list_transform(range(0, {J}), lambda j: {{'d': x[j + 1] * x[j + 1] % {system.PRIME} * x[j + 1] % {system.PRIME}, 'j': j}})), lambda s: s.j) AS rnd FROM x)
   {' UNION ALL '.join(rows)}"""
 
 
 @query(_s5_sql())
 def s5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def label(z):
-        scores = F.array(*(F.round(sum((F.get(z, F.lit(j)) * w for j, w in enumerate(row)), F.lit(0.0)) + b, 9) for row, b in zip(_W, _BIAS, strict=True)))
-        return F.array_position(scores, F.array_max(scores))
-
-    return rounded(system.s5_faithfulness(_scored(spark, sf_dir), label))
+    return rounded(system.s5_faithfulness(_scored(spark, sf_dir), _W, _BIAS))
 
 
 _S6 = [(p, m, round(b + 0.01 * ((p * k) % 5), 3)) for m, b, k in (("d_macro_f1", 0.01, 3), ("d_acc", -0.02, 2)) for p in range(5)]
