@@ -105,7 +105,14 @@ def leak_null(df: DataFrame, near: DataFrame | None = None, reps: int = NULLS, k
 
 
 def d6(df: DataFrame, near: DataFrame | None = None, reps: int = NULLS, flag_share: float = FLAG_SHARE, **how) -> DataFrame:
-    """One row: the shares, the null's means, the excess of lookup over them, and the verdict."""
+    """One row: the shares, the null's means, the excess of lookup over them, and the verdict.
+
+    With label=None there is no lookup: the duplicate share decides, and its columns are null.
+    """
+    if how.get("label", "y") is None:
+        dup = leak_rates(lookup(df.withColumn("_none", F.lit(0).cast("long")), near, **how | {"label": "_none"})).select("n_test", "dup_share", "exact_text_share", "near_share")
+        none = ("leaky_share", "leaky_share_balanced", "leaky_null", "leaky_null_balanced", "leaky_excess", "leaky_excess_balanced")
+        return dup.select("*", *(F.lit(None).cast("double").alias(c) for c in none), F.when(F.col("dup_share") >= flag_share, "FLAG").otherwise("ok").alias("verdict"))
     real = leak_rates(lookup(df, near, **how))
     null = leak_null(df, near, reps, **how).agg(F.avg("leaky_share").alias("leaky_null"), F.avg("leaky_share_balanced").alias("leaky_null_balanced"))
     excess = F.col("leaky_share") - F.col("leaky_null")

@@ -2,67 +2,113 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.functions import metrics, text, vectors
-from plumbline.functions.rng import SEED
-from plumbline.operators import decisions
+from plumbline.functions import boosting, metrics, text, vectors
+from plumbline.functions.rng import SEED, draw, seed_list
+from plumbline.operators import decisions, resampling
 from plumbline.operators.pooling import Scorecard
 
 #: Inverse regularisation grids, least first.
 PROBE_CS, CARD_CS = (0.01, 0.1, 1.0), (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
+#: A column of more values than this is no source.
+MOST_SOURCES = 1000
+
+
+#: Rows that a learner in numpy is fitted on at most (by drawn order); scores cover all rows.
+MOST = 200_000
+
+
+def shape_frame(df: DataFrame, field: str, target: str, key: str = "item_id", *keep: str) -> DataFrame:
+    """key, split, y, `keep` and the nine shape features."""
+    return text.with_shape(df, F.col(field), key, "split", F.col(target).cast("long").alias("y"), *keep)
+
+
+def bounded(rows: DataFrame, key: str, most: int = MOST) -> DataFrame:
+    """About `most` rows at most, by drawn order of their keys; all where there are no more."""
+    n = rows.count()
+    return rows if n <= most else rows.where(draw("fit", F.col(key)) % n < most)
+
+
+def _arrays(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    got = rows.select(key, "split", "y", *text.FEATURES).toArrow().sort_by(key)
+    return np.stack([got.column(c).to_numpy() for c in text.FEATURES], axis=1), got.column("y").to_numpy(), np.array(got.column("split").to_pylist())
 
 
-def shape_frame(df: DataFrame, field: str, target: str, key: str = "item_id") -> DataFrame:
-    """key, split, y, the nine shape features and their vector."""
-    rows = text.with_shape(df, F.col(field), key, "split", F.col(target).cast("double").alias("y"))
-    return VectorAssembler(inputCols=list(text.FEATURES), outputCol="features").transform(rows)
+def fit_shape(rows: DataFrame, k: int, key: str = "item_id", most: int = MOST) -> boosting.Trees:
+    """Boosted trees on the shape of train rows, ended by the loss on val rows (of a drawn 15% of train without any)."""
+    x, y, split = _arrays(bounded(rows.where("split IN ('train', 'val')"), key, most), key)
+    held = split == "val"
+    if not held.any():
+        held = np.random.default_rng(SEED).random(len(y)) < 0.15
+    return boosting.fit_trees(x[~held], y[~held], k, x[held], y[held])
 
 
-def shape_model(rows: DataFrame, kind: str = "forest", seed: int = SEED):
-    """A tree ensemble on shape features. forest: random forest; gbt: boosted trees, one per class against the rest."""
-    forest = RandomForestClassifier(labelCol="y", featuresCol="features", numTrees=60, maxDepth=8, seed=seed)
-    boosted = GBTClassifier(labelCol="y", featuresCol="features", maxIter=20, maxDepth=4, seed=seed)
-    if kind == "gbt":
-        return (OneVsRest(classifier=boosted, labelCol="y", featuresCol="features") if rows.select("y").distinct().count() > 2 else boosted).fit(rows)
-    return forest.fit(rows)
+def with_probabilities(rows: DataFrame, model: boosting.Trees, out: str = "p") -> DataFrame:
+    """`rows` (with the shape features) and the class probabilities."""
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def score(*columns: pa.Array) -> pa.Array:
+        p = model.probabilities(np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
 
+    return rows.withColumn(out, score(*text.FEATURES))
 
-def d3_surface(df: DataFrame, field: str, target: str, k: int, text_ref: float | None = None, kind: str = "forest", keep: DataFrame | None = None, key: str = "item_id", seed: int = SEED) -> DataFrame:
-    """One row: macro-F1 of a model that sees form only, of the majority class, lift, share, level, verdict.
 
-    `keep`: keys of test rows to score (a duplicate-free slice).
+def d3_surface(df: DataFrame, field: str, target: str, k: int, text_ref: float | None = None, keep: DataFrame | None = None, key: str = "item_id", shaped: DataFrame | None = None, model: boosting.Trees | None = None, b: int = resampling.B) -> DataFrame:
+    """One row: macro-F1 of a model that sees form only, of the majority class, lift and share with their 95% intervals, level, verdict.
+
+    `keep`: keys of test rows to score (a duplicate-free slice). `shaped`, `model`: what shape_frame and fit_shape give, if at hand.
     """
-    rows = shape_frame(df, field, target, key)
-    fit, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    rows = shape_frame(df, field, target, key) if shaped is None else shaped
+    model = model or fit_shape(rows, k, key)
+    test = rows.where("split = 'test'")
     if keep is not None:
         test = test.join(keep.select(key), key, "left_semi")
-    scored = shape_model(fit, kind, seed).transform(test).select(F.col("y").cast("long").alias("y"), F.col("prediction").cast("long").alias("pred"))
-    majority = rows.where("split IN ('train', 'val')").groupBy("y").count().agg(F.max_by(F.col("y").cast("long"), F.struct("count", -F.col("y"))).alias("m"))
-    shape = metrics.macro(metrics.confusion(scored, []), [], k).select(F.col("macro_f1").alias("shape_f1"))
-    base = metrics.macro(metrics.confusion(scored.drop("pred").join(F.broadcast(majority)).withColumnRenamed("m", "pred"), []), [], k).select(F.col("macro_f1").alias("majority_f1"))
+    scored = with_probabilities(test, model).select(key, "y", (F.array_position("p", F.array_max("p")) - 1).alias("pred")).persist()
+    n = scored.count()
+    sizes = {r["y"]: r["count"] for r in rows.where("split IN ('train', 'val')").groupBy("y").count().collect()}
+    majority = min(sizes, key=lambda c: (-sizes[c], c)) if sizes else 0
+    shape, base = (metrics.macro(metrics.confusion(scored.withColumn("pred", c), []), [], k).select(F.col("macro_f1").alias(name)) for c, name in ((F.col("pred"), "shape_f1"), (F.lit(majority), "majority_f1")))
     lift = F.col("shape_f1") - F.col("majority_f1")
     share = F.col("shape_f1") / F.lit(text_ref).cast("double")
-    out = shape.join(base).join(test.agg(F.count("*").alias("n_test"))).select("*", lift.alias("lift"), share.alias("share"))
-    return out.withColumn("level", decisions.d3_level(F.col("lift"), F.col("share"))).withColumn("verdict", decisions.d3_verdict(F.col("level")))
+    out = shape.join(base).select("*", lift.alias("lift"), share.alias("share"), F.lit(n).cast("long").alias("n_test"), F.lit(len(model.rounds)).cast("long").alias("rounds"))
+    placed = scored.join(resampling.positions(scored, key), key)
+    ends = {r["metric"]: r for r in resampling.lift_interval(placed, n, k, majority, text_ref, b).collect()} if n else {}
+    end = lambda m, side: F.lit(ends[m][side] if m in ends else None).cast("double").alias(f"{m}_{side}")
+    whole = out.select("*", *(end(m, side) for m in ("lift", "share") for side in ("lo", "hi")))
+    done = df.sparkSession.createDataFrame([whole.first()], whole.schema)
+    scored.unpersist()
+    return done.withColumn("level", decisions.d3_level(F.col("lift"), F.col("share"))).withColumn("verdict", decisions.d3_verdict(F.col("level")))
+
 
+def d4_source(df: DataFrame, field: str, source: str, label: str, key: str = "item_id", shaped: DataFrame | None = None) -> DataFrame:
+    """One row: one-vs-rest AUC of shape for the source (mean over sources), Cramer's V of source and label, verdict.
 
-def d4_source(df: DataFrame, field: str, source: str, label: str, key: str = "item_id", seed: int = SEED) -> DataFrame:
-    """One row: one-vs-rest AUC of shape for the source (mean over sources), Cramer's V of source and label, verdict."""
-    names = df.select(F.col(source).cast("string").alias("s")).distinct()
-    codes = names.withColumn("code", F.row_number().over(Window.orderBy("s")) - 1)
-    k = names.count()
+    `shaped`: shape features beside the source column. 200 rounds at 0.1, ended by a drawn tenth of the rows where there are over 10,000.
+    """
     v = metrics.cramers_v(df, source, label)
+    names = [r[0] for r in df.select(F.col(source).cast("string")).distinct().orderBy(source).limit(MOST_SOURCES + 1).collect()]
+    k = len(names)
+    if k > MOST_SOURCES:
+        raise ValueError(f"{source} has over {MOST_SOURCES} values: no source column")
     if k < 2:
         return v.select(F.lit(None).cast("double").alias("auc"), "v", F.lit(k).cast("long").alias("sources"), F.lit("note").alias("verdict"))
-    rows = shape_frame(df.join(F.broadcast(codes), df[source].cast("string").eqNullSafe(F.col("s"))), field, "code", key)
-    model = shape_model(rows.where("split IN ('train', 'val')"), "forest", seed)
-    p = model.transform(rows.where("split = 'test'")).select(F.col("y").cast("long").alias("y"), F.posexplode(vector_to_array("probability")).alias("code", "p"))
+    code = F.array_position(F.array(*map(F.lit, names)), F.col(source).cast("string")) - 1
+    rows = (text.with_shape(df, F.col(field), key, "split", source) if shaped is None else shaped).withColumn("y", F.coalesce(code, F.lit(names.index(None) if None in names else 0)))
+    x, y, _ = _arrays(bounded(rows.where("split IN ('train', 'val')"), key), key)
+    held = np.random.default_rng(SEED).random(len(y)) < (0.1 if len(y) > 10_000 else 0)
+    model = boosting.fit_trees(x[~held], y[~held], k, x[held], y[held], rounds=200, rate=0.1)
+    p = with_probabilities(rows.where("split = 'test'"), model).select("y", F.posexplode("p").alias("code", "p"))
     auc = metrics.auc(p.withColumn("p", F.round("p", 9)), ["code"], "p", F.col("y") == F.col("code")).agg(F.avg("auc").alias("auc"))
     return auc.join(v).select("auc", "v", F.lit(k).cast("long").alias("sources"), decisions.d4_verdict(F.col("auc"), F.col("v"), F.lit(k)).alias("verdict"))
 
@@ -130,17 +176,47 @@ def probe_f1(rows: DataFrame, k: int) -> float:
     return metrics.macro(metrics.confusion(scored, []), [], k).first()["macro_f1"]
 
 
-def modality_scores(encoders: dict[str, tuple[DataFrame, DataFrame]], labels: DataFrame, k: int, key: str = "item_id") -> DataFrame:
+def mlp_f1(rows: DataFrame, k: int, seeds: list[int], key: str = "item_id", most: int = MOST) -> list[float]:
+    """Test macro-F1 of the two-layer probe, per seed. rows: key, vec, y, split. Seeds are fitted side by side on a bounded sample; all test rows are scored."""
+    spark = rows.sparkSession
+    got = bounded(rows.where("split IN ('train', 'val')"), key, most).select(key, "split", "y", "vec").toArrow().sort_by(key)
+    x = got.column("vec").combine_chunks().flatten().to_numpy().reshape(len(got), -1).astype(np.float32)
+    y, train = got.column("y").to_numpy(), np.array(got.column("split").to_pylist()) == "train"
+    held = spark.sparkContext.broadcast((x[train], y[train], x[~train], y[~train]))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for seed in batch.column("seed").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([seed]), pa.array([pickle.dumps(boosting.fit_probe(*held.value, k, seed).p)], pa.binary())], names=["seed", "model"])
+
+    numbered = spark.createDataFrame([(s,) for s in seeds], "seed long").repartitionByRange(len(seeds), "seed")
+    models = {r["seed"]: boosting.Probe(pickle.loads(r["model"])) for r in numbered.mapInArrow(fit, "seed long, model binary").collect()}
+    held.unpersist()
+    probes = [models[s] for s in seeds]
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def labels(vec: pa.Array) -> pa.Array:
+        z = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
+        return pa.array(np.stack([m.labels(z) for m in probes], axis=1).tolist(), pa.list_(pa.int64()))
+
+    each = rows.where("split = 'test'").select("y", F.posexplode(labels("vec")).alias("s", "pred"))
+    by_seed = {r["s"]: r["macro_f1"] for r in metrics.macro(metrics.confusion(each, ["s"]), ["s"], k).collect()}
+    return [by_seed.get(i, 0.0) for i in range(len(seeds))]
+
+
+def modality_scores(encoders: dict[str, tuple[DataFrame, DataFrame]], labels: DataFrame, k: int, key: str = "item_id", seeds: int = 3, probe: str = "mlp") -> DataFrame:
     """encoder, enc_order, view, seed, macro_f1 of probes on image, text and both; encoders weakest first.
 
-    encoders: name -> (image, text) tables of key, vec; labels: key, y, split.
+    encoders: name -> (image, text) tables of key, vec; labels: key, y, split. probe: mlp, or logreg (which no seed changes, so it is fitted once).
     """
-    out = []
+    out, drawn = [], seed_list(seeds)
     for order, (name, (image, words)) in enumerate(encoders.items()):
         both = image.join(words.select(key, F.col("vec").alias("u")), key).select(key, F.concat("vec", "u").alias("vec"))
         for view, frame in (("image", image), ("text", words), ("both", both)):
-            out.append((name, order, view, 0, float(probe_f1(frame.select(key, "vec").join(labels, key), k))))
-    return labels.sparkSession.createDataFrame(out, "encoder string, enc_order int, view string, seed int, macro_f1 double")
+            rows = frame.select(key, "vec").join(labels, key)
+            scores = mlp_f1(rows, k, drawn, key) if probe == "mlp" else [probe_f1(rows, k)] * seeds
+            out += [(name, order, view, s, float(f)) for s, f in zip(drawn, scores, strict=True)]
+    return labels.sparkSession.createDataFrame(out, "encoder string, enc_order int, view string, seed long, macro_f1 double")
 
 
 def kmeans(rows: DataFrame, k: int, seeds: int = 4, key: str = "item_id") -> tuple[DataFrame, list[list[float]]]:
@@ -209,4 +285,4 @@ def stacked_model(rows: DataFrame, k: int):
     return logistic_probe(rows.select(F.concat("lc", "ln").alias("vec"), "y", "split"), k)
 
 
-__all__ = ["concept_bank", "d3_surface", "d4_source", "kmeans", "length_auc", "logistic_probe", "medoids", "modality_scores", "out_of_fold", "probe_f1", "scorecard", "shape_model", "stacked_model"]
+__all__ = ["concept_bank", "d3_surface", "d4_source", "fit_shape", "kmeans", "length_auc", "logistic_probe", "medoids", "mlp_f1", "modality_scores", "out_of_fold", "probe_f1", "scorecard", "shape_frame", "stacked_model"]

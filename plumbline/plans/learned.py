@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import rng
 from plumbline.operators import decisions, learners
-from plumbline.plans.audit import AuditSpec, run_data_tier
+from plumbline.plans.audit import AuditSpec, findings, run_data_tier
 from plumbline.plans.fixtures import LABELLED_SQL, embedded, labelled, manifest
 from plumbline.plans.registry import query, rounded
 from plumbline.sources.manifest import label_dim
@@ -63,9 +63,12 @@ def length_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def data_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The data tier as a whole on the labelled documents: check, subject, verdict."""
+    """The data tier as a whole on the labelled documents: check, subject, verdict. Rows take the vector of their id, by its remainder, as image and text."""
     rows = labelled(spark, sf_dir).select("item_id", "text", "title", "lang", "split", "label")
-    r = run_data_tier(rows, AuditSpec("label", ["text", "title"], "split", "lang"))
-    out = [("D1", f["field"], f["verdict"]) for f in r["D1"]["fields"]] + [("D2", x["relation"], x["verdict"]) for x in r["D2"]]
-    out += [(check, f, x["verdict"]) for check in ("D3", "D4") for f, x in r[check].items()] + [("D6", "text", r["D6"]["verdict"])]
-    return spark.createDataFrame(out, "check string, subject string, verdict string")
+    vectors = embedded(spark, sf_dir).select(F.col("item_id").alias("v"), "vec")
+    n = vectors.count()
+    placed = rows.select("item_id", (F.col("item_id") % n).alias("v")).join(vectors, "v")
+    half = lambda a: F.slice("vec", a, 32)
+    views = F.explode(F.array(*(F.struct(F.lit(e).alias("encoder"), F.lit(v).alias("view"), F.lit(o).alias("enc_order"), x.alias("vec")) for o, (e, part) in enumerate((("small", 16), ("large", 32))) for v, x in (("image", F.slice(half(1), 1, part)), ("text:text", F.slice(half(33), 1, part))))))
+    r = run_data_tier(rows, AuditSpec("label", ["text", "title"], "split", "lang", embeddings=placed.select("item_id", views.alias("e")).select("item_id", "e.*")))
+    return spark.createDataFrame([(x["check"], x["subject"], x["verdict"]) for x in findings(r)], "check string, subject string, verdict string")
