@@ -2,19 +2,23 @@
 
 Every three consecutive lines of a document form a window. A window whose lines
 (without white space around them) occur before, in the order of document id,
-then text, then place, is a later occurrence; the lines that later occurrences
+then the text's md5, then place, is a later occurrence; the lines that later occurrences
 cover, merged, are removed. Each removed line so has an equal line earlier that
 stays.
 
-Lines end at U+000A. Windows of nothing but blank lines don't count. Documents
-of fewer than three lines stay as they are. Null and empty texts have no
-windows and come back unchanged (n_lines 0 and 1); rows equal in id and text
-are one document that stays in each of its rows. A null id sorts first.
-
-Windows are counted by hash over all documents with partial aggregates; only
-hashes that repeat are joined back. Of these, the heavy ones (a proven few) are
-broadcast, so that a line that a third of all documents share meets in no one
-task.
+Lines end at U+000A. Windows of nothing but blank lines don't count. Windows of
+one document that repeat within it are later occurrences too. Documents of fewer
+than three lines stay as they are. Null and empty texts have no windows and come
+back unchanged (n_lines 0 and 1); rows equal in id and text are one document
+that stays in each of its rows. A null id sorts first. A text of any number of
+lines takes time and memory in proportion to its length. An empty table gives an
+empty result. Other columns stay, whatever their names; with a report, those
+named n_lines or n_removed (in any case) are replaced.
+
+Windows are hashed once and written; they are counted by hash over all documents
+with partial aggregates, and only hashes that repeat are joined back. Of these,
+the heavy ones (a proven few) are broadcast, so that a line that a third of all
+documents share meets in no one task.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh, saved
+from plumbline.functions.tables import written
+from plumbline.llm.common import fresh, others, saved
 
 WIDTH = 3
 #: A hash with more than a HEAVY-th of all windows is heavy; so there are fewer than HEAVY of them.
@@ -34,10 +39,15 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _document(key: str, text: str) -> Column:
+    """A document's place among all: its id, then 60 bits of its text's md5."""
+    return F.struct(F.col(key).alias("id"), F.conv(F.substring(F.md5(F.col(text).cast("binary")), 1, 15), 16, 10).cast("long").alias("text"))
+
+
 def windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per window: _d (document: id and a hash of its text), _p (first line), _h (128 bits of hash)."""
+    """One row per window: _d (document), _p (first line), _h (128 bits of hash)."""
     lines = F.transform(_lines(F.col(text)), lambda x: F.trim(F.translate(x, "\t\r\x0b\x0c", "    ")))
-    made = docs.where(F.col(text).isNotNull()).select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("text")).alias("_d"), lines.alias("_l"))
+    made = docs.where(F.col(text).isNotNull()).select(_document(key, text).alias("_d"), lines.alias("_l"))
 
     def window(k: Column) -> Column:
         parts = [F.get(F.col("_l"), k + j) for j in range(WIDTH)]
@@ -50,7 +60,7 @@ def windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document that loses lines: _d and _gone, the sorted places of its removed lines."""
-    each = windows(docs, key, text)
+    each, _ = written(windows(docs, key, text))
     first = F.min(F.struct("_d", "_p"))
     repeated = saved(each.groupBy("_h").agg(F.count("*").alias("_n"), first.alias("_first")).where("_n > 1"))
     total = repeated.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
@@ -66,31 +76,31 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool
 
     With `report`, columns n_lines and n_removed are added (replacing any of those names).
     """
-    own, other, gone = (fresh(name, docs) for name in ("_own", "_other", "_gone"))
+    own, other, gone, lines = (fresh(name, docs) for name in ("_own", "_other", "_gone", "_lines"))
     lost = removed_lines(docs, key, text).select(F.col("_d").alias(other), F.col("_gone").alias(gone))
-    named = docs.withColumn(own, F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("text")))
-    joined = named.join(lost, F.col(own).eqNullSafe(F.col(other)), "left")
-    lines = _lines(F.col(text))
-    kept = F.filter(F.transform(lines, lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda s: ~F.array_contains(F.col(gone), s["k"]))
-    cleaned = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    # split before the join, which keeps the optimizer from splitting again for every line
+    named = docs.withColumns({own: _document(key, text), lines: _lines(F.col(text))})
+    joined = named.drop(text).join(lost, F.col(own).eqNullSafe(F.col(other)), "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    left = F.when(F.col(gone).isNull(), F.col(lines)).otherwise(F.transform(places, lambda k: F.get(F.col(lines), k)))
     extra = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")] if report else []
-    names = [c for c in docs.columns if not (report and c in ("n_lines", "n_removed"))]
-    return joined.select(*(cleaned.alias(c) if c == text else F.col(c) for c in names), *extra)
+    names = others(docs.columns, "n_lines", "n_removed") if report else docs.columns
+    return joined.select(*(F.array_join(left, "\n").alias(c) if c.lower() == text.lower() else F.col(c) for c in names), *extra)
 
 
 #: The same in DuckDB: the query's rows over `documents`.
 SQL = """
-WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-line AS (SELECT doc_id, unnest(range(len(l))) AS p, unnest(l) AS raw FROM doc WHERE text IS NOT NULL),
-cut AS (SELECT doc_id, p, trim(translate(raw, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' ') AS x FROM line),
-win AS (SELECT doc_id, p, w FROM (
-  SELECT doc_id, p, x || chr(31) || lead(x, 1) OVER d || chr(31) || lead(x, 2) OVER d AS w FROM cut WINDOW d AS (PARTITION BY doc_id ORDER BY p))
+WITH doc AS (SELECT DISTINCT doc_id, text, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS h, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, h, unnest(range(len(l))) AS p, unnest(l) AS raw FROM doc),
+cut AS (SELECT doc_id, h, p, trim(translate(raw, chr(9) || chr(13) || chr(11) || chr(12), '    '), ' ') AS x FROM line),
+win AS (SELECT doc_id, h, p, w FROM (
+  SELECT doc_id, h, p, x || chr(31) || lead(x, 1) OVER d || chr(31) || lead(x, 2) OVER d AS w FROM cut WINDOW d AS (PARTITION BY doc_id, h ORDER BY p))
   WHERE w IS NOT NULL AND w <> chr(31) || chr(31)),
-later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM win) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, p + j AS p FROM later, (VALUES (0), (1), (2)) v(j)),
-left_over AS (SELECT doc_id, count(g.p) AS n_removed, count(*) AS n_lines, string_agg(raw, chr(10) ORDER BY p) FILTER (WHERE g.p IS NULL) AS kept
-  FROM line LEFT JOIN gone g USING (doc_id, p) GROUP BY doc_id)
+later AS (SELECT doc_id, h, p FROM (SELECT doc_id, h, p, row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS FIRST, h, p) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, h, p + j AS p FROM later, (VALUES (0), (1), (2)) v(j)),
+left_over AS (SELECT l.doc_id, l.h, count(g.p) AS n_removed, count(*) AS n_lines, string_agg(raw, chr(10) ORDER BY l.p) FILTER (WHERE g.p IS NULL) AS kept
+  FROM line l LEFT JOIN gone g ON l.doc_id IS NOT DISTINCT FROM g.doc_id AND l.h = g.h AND l.p = g.p GROUP BY l.doc_id, l.h)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
   CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
-FROM documents d LEFT JOIN left_over USING (doc_id)
+FROM documents d LEFT JOIN left_over o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND CAST('0x' || substr(md5(d.text), 1, 15) AS BIGINT) = o.h
 """
