@@ -5,7 +5,11 @@ resampling to the analysis rate, a log-mel filterbank over overlapping frames,
 hysteresis segmentation of frame energy, and for each active segment a tensor
 of BINS x MELS means with its time span. Every text, of any length, is processed
 whole and alone, so equal texts give equal bytes and features whatever stands
-beside them; null and empty texts give the shortest payload.
+beside them. Sums are of 64 bits and rounded to STEP, so that features don't
+depend on a machine's kernels. Null and empty texts give the shortest payload.
+Very long texts are read whole, spectra in blocks. Repeated rows and ties give
+equal rows each; an empty table gives an empty result. Columns other than key
+and text are left out.
 """
 
 from __future__ import annotations
@@ -21,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RATE, UP, DOWN = 16_000, 1, 2
+#: Samples a second, and the analysis rate by it: UP / DOWN, so resampling has UP phases.
+RATE, UP, DOWN = 16_000, 5, 8
 TAPS = 25
 FRAME, HOP, MELS, BINS = 256, 128, 16, 8
 #: Energy in dB over the quietest tenth of frames: a segment begins above the first and ends below the second.
 BEGIN_DB, END_DB, LEAST_FRAMES = 2.5, 1.5, 4
-#: Frames that are transformed at once.
-BLOCK = 4096
+#: Frames that are transformed at once; the unit of features.
+BLOCK, STEP = 4096, 1 / 256
 
 
 def payload_of(text: str | None) -> bytes:
@@ -69,15 +74,15 @@ def polyphase_filters(up: int, down: int, taps: int = TAPS) -> np.ndarray:
     window = np.where(np.abs(n) <= half * up, 0.54 + 0.46 * np.cos(np.pi * n / (half * up + 1)), 0)
     low = cut * np.sinc(cut * n) * window
     low *= up / low.sum()
-    return np.stack([low[phase::up][::-1] for phase in range(up)]).astype(np.float32)
+    return np.stack([low[phase::up][::-1] for phase in range(up)])
 
 
 def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
     """ceil(len * up / down) samples at up/down times the rate."""
     filters = polyphase_filters(up, down, taps)
     total = -(-len(x) * up // down)
-    padded = np.concatenate([np.zeros(taps // 2, np.float32), x, np.zeros(taps + down, np.float32)])
-    out = np.empty(total, np.float32)
+    padded = np.concatenate([np.zeros(taps // 2), x, np.zeros(taps + down)])
+    out = np.empty(total)
     windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
     for phase in range(up):  # of the outputs whose place times `down` leaves this phase
         first = next((k for k in range(up) if (k * down) % up == phase), None)
@@ -96,19 +101,19 @@ def mel_filters(rate: int, frame: int = FRAME, mels: int = MELS) -> np.ndarray:
     edges = 700 * (10 ** (np.linspace(0, top, mels + 2) / 2595) - 1)
     f = np.linspace(0, rate / 2, frame // 2 + 1)[:, None]
     rise, fall = (f - edges[:-2]) / (edges[1:-1] - edges[:-2]), (edges[2:] - f) / (edges[2:] - edges[1:-1])
-    return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
+    return np.maximum(0, np.minimum(rise, fall))
 
 
 def log_mel(x: np.ndarray, rate: int) -> np.ndarray:
     """Frames x MELS: log power in mel bands of half-overlapping Hann frames; at least one frame."""
     frames = 1 + max(0, -(-(len(x) - FRAME) // HOP))
-    padded = np.concatenate([x, np.zeros(FRAME + HOP, np.float32)])
+    padded = np.concatenate([x, np.zeros(FRAME + HOP)])
     view = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[: (frames - 1) * HOP + 1 : HOP]
-    window, bank = np.hanning(FRAME).astype(np.float32), mel_filters(rate)
-    out = np.empty((frames, MELS), np.float32)
+    window, bank = np.hanning(FRAME), mel_filters(rate)
+    out = np.empty((frames, MELS))
     for k in range(0, frames, BLOCK):
         spectrum = np.fft.rfft(view[k : k + BLOCK] * window)
-        power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
+        power = spectrum.real**2 + spectrum.imag**2
         out[k : k + BLOCK] = np.log(power @ bank + 1e-6)
     return out
 
@@ -133,12 +138,12 @@ def pooled(mel: np.ndarray, a: int, b: int) -> np.ndarray:
     sums = np.concatenate([np.zeros((1, MELS)), np.cumsum(mel[a:b], axis=0, dtype=np.float64)])
     lo = np.minimum(edges[:-1].astype(int), b - 1)
     hi = np.maximum(np.ceil(edges[1:]).astype(int), lo + 1)
-    return ((sums[hi - a] - sums[lo - a]) / (hi - lo)[:, None]).astype(np.float32)
+    return (np.rint((sums[hi - a] - sums[lo - a]) / (hi - lo)[:, None] / STEP) * STEP).astype(np.float32)
 
 
 def features(samples: bytes, rate: int) -> tuple[list[tuple[float, float]], np.ndarray]:
     """Time spans in seconds, and one BINS x MELS tensor each: of the whole recording first, then of each segment."""
-    x = np.frombuffer(samples, np.uint8).astype(np.float32) / 128 - 1
+    x = np.frombuffer(samples, np.uint8) / 128 - 1
     mel = log_mel(resample(x), rate * UP // DOWN)
     energy = 10 / np.log(10) * np.log(np.exp(mel).sum(axis=1))
     found = [(0, len(mel)), *segments(energy)]

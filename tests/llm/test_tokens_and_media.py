@@ -87,3 +87,61 @@ def test_audio_features():
     h = np.concatenate([media.polyphase_filters(up, down)[:, ::-1].T.ravel()])
     full = np.convolve(stuffed, h)[(taps // 2) * up :][: 200 * up : down]
     assert np.abs(full - media.resample(sine, up, down)).max() < 1e-4
+
+
+def test_log_mel_against_sums(monkeypatch):
+    """Every frame's power by the sum of the transform's definition, every band by its triangle."""
+    rate, rng = 10_000, np.random.default_rng(4)
+    x = rng.normal(size=900)
+    frames = 1 + -(-(900 - media.FRAME) // media.HOP)
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * n / (media.FRAME - 1)) for n in range(media.FRAME)]
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * k / (media.MELS + 1) / 2595) - 1) for k in range(media.MELS + 2)]
+    want = np.zeros((frames, media.MELS))
+    n = np.arange(media.FRAME)
+    for t in range(frames):
+        part = np.zeros(media.FRAME)
+        own = x[t * media.HOP : t * media.HOP + media.FRAME]
+        part[: len(own)] = own
+        for m in range(media.MELS):
+            for k in range(media.FRAME // 2 + 1):
+                f = k * rate / media.FRAME
+                weight = max(0, min((f - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - f) / (edges[m + 2] - edges[m + 1])))
+                if weight:
+                    want[t, m] += weight * abs((part * window * np.exp(-2j * np.pi * k * n / media.FRAME)).sum()) ** 2
+    want = np.log(want + 1e-6)
+    assert np.abs(media.log_mel(x, rate) - want).max() < 1e-6
+    monkeypatch.setattr(media, "BLOCK", 2)
+    assert np.abs(media.log_mel(x, rate) - want).max() < 1e-6
+
+
+def test_segments_against_a_walk():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        energy = np.round(rng.normal(0, 2, rng.integers(1, 60)).cumsum() * rng.choice([0.3, 1]), 1)
+        floor = sorted(energy)[len(energy) // 10]
+        on, begun, want = False, 0, []
+        for t, e in enumerate([*energy, -np.inf]):
+            if not on and e > floor + media.BEGIN_DB:
+                on, begun = True, t
+            elif on and e < floor + media.END_DB:
+                on = False
+                want += [(begun, t)] if t - begun >= media.LEAST_FRAMES else []
+        assert media.segments(energy) == want
+
+
+def test_pooled_means():
+    rng = np.random.default_rng(5)
+    mel = rng.normal(size=(50, media.MELS))
+    for a, b in ((0, 50), (3, 8), (10, 11), (20, 37)):
+        for k, row in enumerate(media.pooled(mel, a, b)):
+            lo = min(int(a + k * (b - a) / media.BINS), b - 1)
+            hi = max(int(np.ceil(a + (k + 1) * (b - a) / media.BINS)), lo + 1)
+            assert np.abs(row - mel[lo:hi].mean(axis=0)).max() <= media.STEP / 2 + 1e-6 and not (row / media.STEP % 1).any()
+
+
+def test_the_query_resamples_by_several_phases():
+    assert media.UP > 1 and media.polyphase_filters(media.UP, media.DOWN).shape[0] == media.UP
+    x = np.sin(np.arange(4000) / 9)
+    out = media.resample(x)
+    assert len(out) == 2500 and np.abs(out[20:-20] - np.sin(np.arange(2500) * media.DOWN / media.UP / 9)[20:-20]).max() < 0.02
