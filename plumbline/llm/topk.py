@@ -2,26 +2,31 @@
 
 The index: rows in blocks; in a block the entries of all vectors are dealt to
 segments by descending quantised impact (the power of two that an absolute
-component reaches), each segment a posting of (row, dimension, component). A
-block of queries processes the segments in that order, adding all their scores
-at once. After each segment every row's score is known but for a rest, bounded
-by Cauchy-Schwarz with the norm of the row's entries still to come. A row whose
-bound stays under the k-th best proven score can't be in the result. Only when
-this proof leaves few rows does processing stop; these possible members are
-scored exactly from the whole vectors. Without such a proof all segments are
-processed, and scores are exact as they stand.
+component reaches). A segment has, for every dimension, the postings (row,
+component) of its entries. A block of queries walks the segments in that order
+and adds the scores of the postings of its dimensions; zeros have no postings.
+A segment that holds more than a DENSE-th of all entries is added as one matrix
+product, which is the same sum. After each segment every row's score is known
+but for a rest, bounded by Cauchy-Schwarz with the norm of the row's entries
+still to come. A row whose bound stays under the k-th best proven score can't be
+in the result. Only when this proof leaves few rows does processing stop; these
+possible members are scored exactly from the whole vectors. Without such a proof
+all segments are processed, and scores are exact as they stand.
 
 Components are multiplied by `scale` and floored; scores are integers. Vectors
 that are null, empty or hold a null, NaN or infinite component take no part,
-nor does a null id. Queries meet rows of their own length only. Rows equal in id
-and components count once; others of one id are candidates each, but for
-queries of that id. Ties go to the smaller id. With fewer than k rows all are
-returned; an empty table gives an empty result.
+nor does a null id. Queries meet rows of their own length only; vectors of any
+length do, a block holds ROWS of them. Rows equal in id and components count
+once. Others of one id are candidates each and queries each, ranked apart, but
+no row is a candidate for a query of its id. Ties go to the smaller id. With
+fewer than k rows all are returned; an empty table gives an empty result. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,8 @@ SCALE = 64
 ROWS, QUERIES = 16_384, 1024
 #: Processing stops when at most this share of a block's rows may be members (and the proof holds).
 FEW = 0.02
+#: A segment of more than one in so many of a block's entries is added as a matrix.
+DENSE = 16
 
 
 def quantised(vectors: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
@@ -44,17 +51,36 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: int = SCALE) ->
 
 
 class Segments:
-    """The segments of one block of rows, by descending impact, and the norms of what each leaves to come."""
+    """The postings of one block of rows by descending impact, and the norms of what each segment leaves to come."""
 
     def __init__(self, rows: np.ndarray):
-        self.rows = rows
+        self.rows, (many, dimensions) = rows, rows.shape
         impact = np.where(rows == 0, -1, np.floor(np.log2(np.maximum(np.abs(rows), 1)))).astype(np.int8)
-        self.levels = [level for level in np.unique(impact)[::-1] if level >= 0]
         squares = rows * rows
-        self.parts, self.rest = [], []
-        for level in self.levels:
-            self.parts.append(np.where(impact == level, rows, 0).astype(np.float32))
+        self.postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows and components by dimension, and where each begins
+        self.rest: list[np.ndarray] = []
+        for level in [x for x in np.unique(impact)[::-1] if x >= 0]:
+            dimension, row = np.nonzero((impact == level).T)
+            self.postings.append((row, rows[row, dimension], np.searchsorted(dimension, np.arange(dimensions + 1))))
             self.rest.append(np.sqrt(np.where(impact < level, squares, 0).sum(axis=1)))
+        self.walked = 0  # postings that queries have met
+
+    def add(self, step: int, queries: np.ndarray, score: np.ndarray, at: np.ndarray) -> None:
+        """Adds a segment's scores of the queries at these places."""
+        row, value, begin = self.postings[step]
+        q, kind = queries[at], score.dtype
+        if len(row) * DENSE > self.rows.size:
+            part = np.zeros(self.rows.shape, kind)
+            part[row, np.repeat(np.arange(self.rows.shape[1]), np.diff(begin))] = value
+            score[at] += q.astype(kind) @ part.T
+            self.walked += len(row) * len(at)
+            return
+        for d in np.flatnonzero(np.diff(begin)):
+            asked = np.flatnonzero(q[:, d])
+            if len(asked):
+                members = row[begin[d] : begin[d + 1]]
+                score[np.ix_(at[asked], members)] += np.outer(q[asked, d], value[begin[d] : begin[d + 1]]).astype(kind)
+                self.walked += len(members) * len(asked)
 
 
 def search(ids: np.ndarray, index: Segments, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,36 +92,43 @@ def search(ids: np.ndarray, index: Segments, query_ids: np.ndarray, queries: np.
     kind = np.float32 if bound < 1 << 24 else np.float64
     if bound >= 1 << 53:
         raise ValueError("components too large for exact scores")
-    q, norms = queries.astype(kind), np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-    score = np.zeros((len(q), many), kind)
-    top = min(k + 1, many)  # one more, for the query's own row
-    possible = np.ones(len(q), bool)
-    for step, part in enumerate(index.parts):
-        score[possible] += q[possible] @ part.astype(kind, copy=False).T
-        last = step == len(index.parts) - 1
-        if last or step + 3 < len(index.parts):  # with dense vectors a proof doesn't hold before the last segments; it is sought only there
-            continue
-        rest = norms[:, None] * index.rest[step].astype(np.float64)
-        for j in np.flatnonzero(possible):
-            proven = np.partition(score[j] - rest[j], many - top)[many - top]
-            members = np.flatnonzero(score[j] + rest[j] >= proven - 1e-3)
-            if len(members) <= max(top, FEW * many):
-                exact = index.rows[members] @ queries[j]
-                found.append(_best(j, ids[members], exact, query_ids[j], k))
+    norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+    score = np.zeros((len(queries), many), kind)
+    by_id = np.argsort(ids, kind="stable")
+    first, last = (np.searchsorted(ids[by_id], query_ids, side=side) for side in ("left", "right"))
+    for j in np.flatnonzero(first < last):  # rows of a query's own id are no candidates
+        score[j, by_id[first[j] : last[j]]] = -np.inf
+    free = many - (last - first)
+    possible = free > 0
+    for step in range(len(index.postings)):
+        at = np.flatnonzero(possible)
+        if not len(at):
+            break
+        index.add(step, queries, score, at)
+        if step == len(index.postings) - 1:
+            break
+        for j in at:
+            rest = norms[j] * index.rest[step]
+            high = score[j] + rest + 1e-3
+            low = score[j] - rest
+            limit = max(k, FEW * many)
+            if np.count_nonzero(high >= low.max()) > limit:  # the best proven score is the most that the k-th can be
+                continue
+            proven = np.partition(low, many - min(k, free[j]))[many - min(k, free[j])]
+            members = np.flatnonzero(high >= max(proven, np.finfo(kind).min))
+            if len(members) <= limit:
+                found.append(_best(j, ids[members], index.rows[members] @ queries[j], k))
                 possible[j] = False
     for j in np.flatnonzero(possible):
-        line = score[j]
-        cut = np.partition(line, many - top)[many - top] if many > top else -np.inf
-        members = np.flatnonzero(line >= cut)
-        found.append(_best(j, ids[members], line[members].astype(np.int64), query_ids[j], k))
+        line, n = score[j], min(k, free[j])
+        members = np.flatnonzero(line >= max(np.partition(line, many - n)[many - n], np.finfo(kind).min))
+        found.append(_best(j, ids[members], line[members].astype(np.int64), k))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate([f[c] for f in found]) for c in range(3))  # type: ignore[return-value]
 
 
-def _best(j: int, ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    other = ids != own
-    ids, scores = ids[other], scores[other]
+def _best(j: int, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((ids, -scores))[:k]
     return np.full(len(order), j), ids[order], scores[order]
 
@@ -128,7 +161,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     """
     rows, asked = quantised(vectors, key, vector, scale), quantised(queries, key, vector, scale)
     index, blocks = _blocks(rows, ROWS, "row_block"), _blocks(asked, QUERIES, "query_block")
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("query_id", "vec_id", "score")])
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("query_id", "query", "vec_id", "score")])
     # each block of queries goes to every block of rows of its length
     many = max(1, -(-rows.count() // ROWS))
     sent = blocks.withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).withColumnsRenamed({"ids": "query_ids", "x": "query_x"})
@@ -142,13 +175,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
                     held = (row["row_block"], row["dimensions"]), np.frombuffer(row["ids"], "<i8"), Segments(x)
                 asked_ids = np.frombuffer(row["query_ids"], "<i8")
                 asked_x = np.frombuffer(row["query_x"], "<i4").reshape(-1, row["dimensions"]).astype(np.int64)
+                numbers = np.array([int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in asked_x], np.int64)
                 for at in range(0, len(asked_ids), 256):
                     j, got, scores = search(held[1], held[2], asked_ids[at : at + 256], asked_x[at : at + 256], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(asked_ids[at : at + 256][j]), pa.array(got), pa.array(scores.astype(np.int64))], names=schema.fieldNames())
+                    which = numbers[at : at + 256][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(asked_ids[at : at + 256][j]), pa.array(which), pa.array(got), pa.array(scores.astype(np.int64))], names=schema.fieldNames())
 
     met = sent.join(index, ["row_block", "dimensions"]).select("row_block", "dimensions", "ids", "x", "query_ids", "query_x")
     found = met.mapInArrow(run, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
@@ -156,11 +191,11 @@ def sql(k: int = 20, every: int = 20, scale: int = SCALE) -> str:
     """The same over `embeddings` in DuckDB, for queries whose vec_id `every` divides."""
     return f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0)
+  SELECT q.vec_id AS query_id, q.x AS query, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % {every} = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {k}
+  SELECT *, row_number() OVER (PARTITION BY query_id, query ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= {k}
 """
