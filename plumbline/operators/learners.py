@@ -176,32 +176,47 @@ def probe_f1(rows: DataFrame, k: int) -> float:
     return metrics.macro(metrics.confusion(scored, []), [], k).first()["macro_f1"]
 
 
-def mlp_f1(rows: DataFrame, k: int, seeds: list[int], key: str = "item_id", most: int = MOST) -> list[float]:
-    """Test macro-F1 of the two-layer probe, per seed. rows: key, vec, y, split. Seeds are fitted side by side on a bounded sample; all test rows are scored."""
-    spark = rows.sparkSession
-    got = bounded(rows.where("split IN ('train', 'val')"), key, most).select(key, "split", "y", "vec").toArrow().sort_by(key)
-    x = got.column("vec").combine_chunks().flatten().to_numpy().reshape(len(got), -1).astype(np.float32)
-    y, train = got.column("y").to_numpy(), np.array(got.column("split").to_pylist()) == "train"
-    held = spark.sparkContext.broadcast((x[train], y[train], x[~train], y[~train]))
+def mlp_scores(views: dict[str, DataFrame], k: int, seeds: list[int], key: str = "item_id", most: int = MOST) -> dict[str, list[float]]:
+    """Test macro-F1 of the two-layer probe, per view and seed. views: name -> key, vec, y, split.
+
+    All views and seeds are fitted side by side, each in a task of its own, on bounded samples; all test rows are scored.
+    """
+    if not views:
+        return {}
+    context = (spark := next(iter(views.values())).sparkSession).sparkContext
+    held = {}
+    for name, rows in views.items():
+        got = bounded(rows.where("split IN ('train', 'val')"), key, most).select(key, "split", "y", "vec").toArrow().sort_by(key)
+        x = got.column("vec").combine_chunks().flatten().to_numpy().reshape(len(got), -1).astype(np.float32)
+        y, train = got.column("y").to_numpy(), np.array(got.column("split").to_pylist()) == "train"
+        held[name] = context.broadcast((x[train], y[train], x[~train], y[~train]))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for seed in batch.column("seed").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([seed]), pa.array([pickle.dumps(boosting.fit_probe(*held.value, k, seed).p)], pa.binary())], names=["seed", "model"])
-
-    numbered = spark.createDataFrame([(s,) for s in seeds], "seed long").repartitionByRange(len(seeds), "seed")
-    models = {r["seed"]: boosting.Probe(pickle.loads(r["model"])) for r in numbered.mapInArrow(fit, "seed long, model binary").collect()}
-    held.unpersist()
-    probes = [models[s] for s in seeds]
-
+            for name, seed in zip(batch.column("view").to_pylist(), batch.column("seed").to_pylist(), strict=True):
+                model = pickle.dumps(boosting.fit_probe(*held[name].value, k, seed).p)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([seed]), pa.array([model], pa.binary())], names=["view", "seed", "model"])
+
+    jobs = [(i, name, seed) for i, (name, seed) in enumerate((v, s) for v in views for s in seeds)]
+    dealt = spark.createDataFrame(jobs, "i long, view string, seed long").repartitionByRange(len(jobs), "i")
+    models = {(r["view"], r["seed"]): boosting.Probe(pickle.loads(r["model"])) for r in dealt.mapInArrow(fit, "view string, seed long, model binary").collect()}
+    scored = None
+    for name, rows in views.items():
+        held[name].unpersist()
+        part = _probed(rows, [models[name, s] for s in seeds]).withColumn("view", F.lit(name))
+        scored = part if scored is None else scored.unionByName(part)
+    found = {(r["view"], r["s"]): r["macro_f1"] for r in metrics.macro(metrics.confusion(scored, ["view", "s"]), ["view", "s"], k).collect()}
+    return {name: [found.get((name, i), 0.0) for i in range(len(seeds))] for name in views}
+
+
+def _probed(rows: DataFrame, probes: list[boosting.Probe]) -> DataFrame:
+    """view's test rows as y, s (place of the probe), pred."""
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def labels(vec: pa.Array) -> pa.Array:
         z = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
         return pa.array(np.stack([m.labels(z) for m in probes], axis=1).tolist(), pa.list_(pa.int64()))
 
-    each = rows.where("split = 'test'").select("y", F.posexplode(labels("vec")).alias("s", "pred"))
-    by_seed = {r["s"]: r["macro_f1"] for r in metrics.macro(metrics.confusion(each, ["s"]), ["s"], k).collect()}
-    return [by_seed.get(i, 0.0) for i in range(len(seeds))]
+    return rows.where("split = 'test'").select("y", F.posexplode(labels("vec")).alias("s", "pred"))
 
 
 def modality_scores(encoders: dict[str, tuple[DataFrame, DataFrame]], labels: DataFrame, k: int, key: str = "item_id", seeds: int = 3, probe: str = "mlp") -> DataFrame:
@@ -209,13 +224,12 @@ def modality_scores(encoders: dict[str, tuple[DataFrame, DataFrame]], labels: Da
 
     encoders: name -> (image, text) tables of key, vec; labels: key, y, split. probe: mlp, or logreg (which no seed changes, so it is fitted once).
     """
-    out, drawn = [], seed_list(seeds)
-    for order, (name, (image, words)) in enumerate(encoders.items()):
+    drawn, frames = seed_list(seeds), {}
+    for name, (image, words) in encoders.items():
         both = image.join(words.select(key, F.col("vec").alias("u")), key).select(key, F.concat("vec", "u").alias("vec"))
-        for view, frame in (("image", image), ("text", words), ("both", both)):
-            rows = frame.select(key, "vec").join(labels, key)
-            scores = mlp_f1(rows, k, drawn, key) if probe == "mlp" else [probe_f1(rows, k)] * seeds
-            out += [(name, order, view, s, float(f)) for s, f in zip(drawn, scores, strict=True)]
+        frames |= {f"{view}:{name}": frame.select(key, "vec").join(labels, key) for view, frame in (("image", image), ("text", words), ("both", both))}
+    scores = mlp_scores(frames, k, drawn, key) if probe == "mlp" else {v: [probe_f1(rows, k)] * seeds for v, rows in frames.items()}
+    out = [(name, order, view, s, float(f)) for order, name in enumerate(encoders) for view in ("image", "text", "both") for s, f in zip(drawn, scores[f"{view}:{name}"], strict=True)]
     return labels.sparkSession.createDataFrame(out, "encoder string, enc_order int, view string, seed long, macro_f1 double")
 
 
@@ -285,4 +299,4 @@ def stacked_model(rows: DataFrame, k: int):
     return logistic_probe(rows.select(F.concat("lc", "ln").alias("vec"), "y", "split"), k)
 
 
-__all__ = ["concept_bank", "d3_surface", "d4_source", "fit_shape", "kmeans", "length_auc", "logistic_probe", "medoids", "mlp_f1", "modality_scores", "out_of_fold", "probe_f1", "scorecard", "shape_frame", "stacked_model"]
+__all__ = ["concept_bank", "d3_surface", "d4_source", "fit_shape", "kmeans", "length_auc", "logistic_probe", "medoids", "mlp_scores", "modality_scores", "out_of_fold", "probe_f1", "scorecard", "shape_frame", "stacked_model"]
