@@ -2,6 +2,14 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns
 a DataFrame, which is written as Parquet and read again for the next one.
+
+For every stage: a null or empty text is kept as it is (no voter hits it, it has
+no lines, shingles or tokens) and ends as a row of 0 tokens. Very long texts are
+read whole. Equal texts are treated alike; of near copies the row of the smallest
+id stays, with all rows of that id. Rows without id stay and name no group.
+Repeated rows move together. Other columns, whatever their names, stay up to the
+last stage, but for those that have the names of its results. An empty table
+gives an empty one of the same columns.
 """
 
 from __future__ import annotations
@@ -10,6 +18,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.functions.tables import dropped, kept_until_exit
 from plumbline.llm import bpe, jaccard, line_dedup, mixing, queries, toxicity
 from plumbline.llm.common import shared_folder, table
 
@@ -57,11 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared checkpoint folder and read again."""
+    """All stages over `documents`, each written to the shared checkpoint folder and read again; a stage's folder goes when the next one is written, the last with the session."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            dropped(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+    kept_until_exit(spark, folder)
     return docs

@@ -35,10 +35,15 @@ def written(frame: DataFrame) -> tuple[DataFrame, str]:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    _files(spark, path, "deleteOnExit")
+    kept_until_exit(spark, path)
     return spark.read.schema(frame.schema).parquet(path), path
 
 
+def kept_until_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the session ends."""
+    _files(spark, path, "deleteOnExit")
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a table of `written`."""
     _files(spark, path, "delete", True)
