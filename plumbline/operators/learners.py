@@ -209,6 +209,23 @@ def mlp_scores(views: dict[str, DataFrame], k: int, seeds: list[int], key: str =
     return {name: [found.get((name, i), 0.0) for i in range(len(seeds))] for name in views}
 
 
+def mlp_logits(rows: DataFrame, k: int, seed: int = SEED, key: str = "item_id", most: int = MOST) -> DataFrame:
+    """key, logits: class scores of the two-layer probe on standardised vectors, its epoch chosen on val. rows: key, vec, y, split."""
+    got = bounded(rows.where("split IN ('train', 'val')"), key, most).select(key, "split", "y", "vec").toArrow().sort_by(key)
+    x = got.column("vec").combine_chunks().flatten().to_numpy().reshape(len(got), -1)
+    y, train = got.column("y").to_numpy(), np.array(got.column("split").to_pylist()) == "train"
+    mu, sd = x[train].mean(axis=0), np.where(x[train].std(axis=0) > 0, x[train].std(axis=0), 1.0)
+    z = (x - mu) / sd
+    probe = boosting.fit_probe(z[train], y[train], z[~train], y[~train], k, seed)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def score(vec: pa.Array) -> pa.Array:
+        own = (vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1) - mu) / sd
+        return pa.array(probe.scores(own.astype(np.float32)).astype(np.float64).tolist(), pa.list_(pa.float64()))
+
+    return rows.select(key, score("vec").alias("logits"))
+
+
 def _probed(rows: DataFrame, probes: list[boosting.Probe]) -> DataFrame:
     """view's test rows as y, s (place of the probe), pred."""
     @F.arrow_udf(T.ArrayType(T.LongType()))
