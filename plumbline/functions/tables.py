@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,6 +28,16 @@ def saved(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def positions(rows: DataFrame, key: str = "item_id") -> DataFrame:
+    """key and pos, 0..n-1 in the order of keys (ranks within ranges of keys, then the ranges' running sums)."""
+    # kept, so that both uses see the same ranges
+    ranged = saved(rows.select(key).distinct().repartitionByRange(key).withColumn("_p", F.spark_partition_id()))
+    within = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
+    sums = within.groupBy("_p").count()
+    ahead = sums.select("_p", (F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_a"))
+    return within.join(F.broadcast(ahead), "_p").select(key, (F.col("_r") - 1 + F.coalesce("_a", F.lit(0))).alias("pos"))
+
+
 def written(frame: DataFrame) -> tuple[DataFrame, str]:
     """The same rows, written as Parquet and read again, and the path. It goes when the session ends, or by `dropped`.
 

@@ -80,15 +80,15 @@ def _pack(rows: DataFrame, block: str, size: int) -> DataFrame:
     return dealt.groupBy("_b").applyInArrow(pack, f"{block} int, ids binary, x binary")
 
 
-def block_pairs(left: DataFrame, right: DataFrame, visit: Callable, schema: str, size: int = BLOCK) -> DataFrame:
-    """visit(left ids, left x, right ids, right x) -> columns, for every pair of blocks.
+def block_pairs(left: DataFrame, right: DataFrame, visit: Callable, schema: str, size: int = BLOCK, half: bool = False) -> DataFrame:
+    """visit(left ids, left x, right ids, right x) -> columns, for every pair of blocks; with `half`, of one table, for each unordered pair once.
 
     left and right have id (long) and x (array<double>, one length). Each block is sent to each block of the other side;
     products are dense and nothing but what `visit` returns is kept.
     """
     a, b = _pack(left, "lb", size), _pack(right, "rb", size).withColumnsRenamed({"ids": "rids", "x": "rx"})
     blocks = max(1, -(-right.count() // size))
-    met = a.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(b, "rb").select("ids", "x", "rids", "rx")
+    met = a.withColumn("rb", F.explode(F.sequence(F.col("lb") if half else F.lit(0), F.lit(blocks - 1)))).join(b, "rb").select("ids", "x", "rids", "rx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,12 +119,20 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 1) -> DataFrame:
 
 
 def close_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """a < b, cos: pairs of rows of one table whose product is at least `least`."""
+    """a < b, cos: pairs of rows of one table whose product is at least `least`, all of them; for connections alone see close_links."""
 
     def visit(ids, x, rids, rx):
         i, j = np.nonzero(x @ rx.T >= least)
-        keep = ids[i] < rids[j]
-        i, j = i[keep], j[keep]
-        return [ids[i], rids[j], (x[i] * rx[j]).sum(axis=1)]
+        if np.array_equal(ids, rids):  # a block with itself
+            keep = ids[i] < rids[j]
+            i, j = i[keep], j[keep]
+        return [np.minimum(ids[i], rids[j]), np.maximum(ids[i], rids[j]), (x[i] * rx[j]).sum(axis=1)]
 
-    return block_pairs(rows, rows, visit, "a long, b long, cos double")
+    return block_pairs(rows, rows, visit, "a long, b long, cos double", half=True)
+
+
+def close_links(rows: DataFrame, least: float) -> DataFrame:
+    """a < b: links that connect all that close_pairs connects. Rows of equal vectors hang on the smallest of them, which alone is compared."""
+    heads = rows.groupBy("x").agg(F.min("id").alias("id"))
+    alike = rows.select("x", F.col("id").alias("b")).join(heads.withColumnRenamed("id", "a"), "x").where("a < b").where(dot(F.col("x"), F.col("x")) >= least).select("a", "b")
+    return alike.unionByName(close_pairs(heads.select("id", "x"), least).select("a", "b"))

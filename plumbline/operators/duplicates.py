@@ -143,7 +143,7 @@ def duplicate_links(df: DataFrame, emb: DataFrame | None, least: float = GROUP_C
     links = norm.join(first, "norm").where("a < b").select("a", "b")
     if emb is not None:
         unit = emb.select(F.col(key).alias("id"), vectors.unit(F.col("vec")).alias("x"))
-        links = links.unionByName(vectors.close_pairs(unit, least).select("a", "b"))
+        links = links.unionByName(vectors.close_links(unit, least))
     return links.distinct()
 
 

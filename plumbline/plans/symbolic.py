@@ -12,7 +12,7 @@ from plumbline.plans.registry import query, rounded
 from plumbline.sources.manifest import table
 
 #: A fixed concept bank, scorecard and rules over the first eight dimensions, for four classes (label modulo 4).
-J, K = 8, 4
+J, K = 32, 4
 _NAMES = [f'concept:"c{j}"' for j in range(J)]
 _COEF = [[round(((c * 5 + j * 7) % 13 - 6) / 4, 2) for j in range(J)] for c in range(K)]
 _CARD = pooling.Scorecard(_NAMES, [0.01 * j for j in range(J)], [0.1 + 0.01 * j for j in range(J)], _COEF, [0.05 * c for c in range(K)])
@@ -84,14 +84,14 @@ def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """scores (item_id, feature, value) of six dimensions, calibration rows and their classes."""
+    """scores (item_id, feature, value) of all dimensions, calibration rows and their classes."""
     e = embedded(spark, sf_dir)
-    six = F.explode(F.array(*(F.struct(F.lit(f"f{j}").alias("feature"), F.round(F.get("vec", F.lit(j)), 6).alias("value")) for j in range(6)))).alias("s")
+    each = F.explode(F.transform("vec", lambda x, j: F.struct(F.concat(F.lit("f"), j.cast("string")).alias("feature"), F.round(x, 6).alias("value")))).alias("s")
     calib = e.where("split <> 'test'").select("item_id", F.when(F.col("y") < 3, "a").when(F.col("y") < 6, "b").otherwise("c").alias("class"))
-    return e.select("item_id", six).select("item_id", "s.*"), calib.select("item_id"), calib
+    return e.select("item_id", each).select("item_id", "s.*"), calib.select("item_id"), calib
 
 
-_LIT = f"""{EMBEDDED_SQL}, sc AS (SELECT item_id, 'f' || j AS feature, round(vec[j + 1], 6) AS value FROM embedded, (SELECT unnest(range(6)) AS j)),
+_LIT = f"""{EMBEDDED_SQL}, sc AS (SELECT item_id, 'f' || j AS feature, round(vec[j + 1], 6) AS value FROM embedded, (SELECT unnest(range(64)) AS j)),
 calib AS (SELECT item_id, CASE WHEN y < 3 THEN 'a' WHEN y < 6 THEN 'b' ELSE 'c' END AS class FROM embedded WHERE split <> 'test'),
 qs AS (SELECT DISTINCT feature, q AS cut FROM (SELECT feature, unnest(quantile_cont(value, [0.5, 0.75, 0.9])) AS q FROM sc SEMI JOIN calib USING (item_id) GROUP BY 1)),
 hl AS (SELECT feature, cut, count(*) FILTER (WHERE value > cut) AS t FROM sc SEMI JOIN calib USING (item_id) JOIN qs USING (feature) GROUP BY 1, 2),

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.tables import positions
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder."""
@@ -20,7 +26,10 @@ def manifest_schema(fields: list[str], label: str = "label", split: str | None =
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType | None = None, key: str = "item_id") -> DataFrame:
-    """A CSV (with header) or Parquet manifest; missing strings are empty. Rows get an id where they have none.
+    """A CSV (with header) or Parquet manifest; missing strings are empty.
+
+    Where rows have no id they get one from their content: a hash, made distinct among equal rows by their number, so that
+    splits and draws don't change with the file's partitioning.
 
     A CSV without a schema is read as strings by its header.
     """
@@ -32,13 +41,17 @@ def read_manifest(spark: SparkSession, path: str, schema: T.StructType | None =
         if schema is not None:
             df = df.select(*(F.col(f.name).cast(f.dataType) for f in schema if f.name in df.columns))
     df = df.na.fill("")
-    return df if key in df.columns else df.withColumn(key, F.monotonically_increasing_id())
+    if key in df.columns:
+        return df
+    content = F.xxhash64(*df.columns)
+    hashed = df.withColumn("_content", content)
+    # equal rows are numbered; whichever of them gets which number makes no difference
+    times = F.row_number().over(Window.partitionBy("_content").orderBy(*df.columns))
+    return hashed.withColumn(key, F.when(times == 1, F.col("_content")).otherwise(F.xxhash64("_content", times))).drop("_content")
 
 
 def label_dim(df: DataFrame, label: str) -> DataFrame:
     """label, code: distinct labels in order, from 0."""
-    from pyspark.sql import Window
-
     distinct = df.select(F.col(label).cast("string").alias("label")).distinct()
     return distinct.withColumn("code", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
 
@@ -62,22 +75,19 @@ def embedding_spec(spec: str) -> tuple[str, str, str]:
 def read_embeddings(spark: SparkSession, specs: list[str], ids: DataFrame | None = None, key: str = "item_id") -> DataFrame:
     """item_id, encoder, view, enc_order, vec; encoders in the order they are named, weakest first.
 
-    Parquet files have `item_id` and `vec`; .npy files hold one row per id, in the order of ids.
+    Parquet files have `item_id` and `vec`. An .npy file, or the array that `path.npz#key` names in an archive, holds one row
+    per id, in the order of ids; tasks read their rows of it from the path, which all machines must see.
     """
     out = None
     order: dict[str, int] = {}
     for spec in specs:
         encoder, view, path = embedding_spec(spec)
         place = order.setdefault(encoder, len(order))
-        if path.endswith(".npy"):
-            import numpy as np
-
+        file, _, array = path.partition("#")
+        if file.endswith((".npy", ".npz")):
             if ids is None:
                 raise ValueError("an .npy file needs the manifest's ids")
-            array, keys = np.load(path, mmap_mode="r"), [r[0] for r in ids.select(key).orderBy(key).toLocalIterator()]
-            if len(keys) != len(array):
-                raise ValueError(f"{path}: {len(array)} rows for {len(keys)} items")
-            part = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(keys, array, strict=True)], "item_id long, vec array<double>")
+            part = _npy_rows(ids.select(F.col(key).alias("item_id")), file, array)
         else:
             part = spark.read.parquet(path).select(F.col(key).alias("item_id"), F.col("vec").cast("array<double>").alias("vec"))
         part = part.select("item_id", F.lit(encoder).alias("encoder"), F.lit(view).alias("view"), F.lit(place).alias("enc_order"), "vec")
@@ -85,6 +95,30 @@ def read_embeddings(spark: SparkSession, specs: list[str], ids: DataFrame | None
     return out
 
 
+def _array(file: str, name: str) -> np.ndarray:
+    held = np.load(file, mmap_mode="r") if not name else np.load(file)[name]
+    if held.ndim != 2:
+        raise ValueError(f"{file}: not rows of vectors")
+    return held
+
+
+def _npy_rows(ids: DataFrame, file: str, name: str) -> DataFrame:
+    """item_id, vec: row k of the array for the k-th id. Each task reads its own rows."""
+    places = positions(ids)
+    rows, many = len(_array(file, name)), ids.count()
+    if rows != many:
+        raise ValueError(f"{file}: {rows} rows for {many} items")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _array(file, name)
+        for batch in batches:
+            x = np.asarray(held[batch.column("pos").to_numpy()], np.float64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), lists], names=["item_id", "vec"])
+
+    return places.mapInArrow(read, T.StructType([ids.schema["item_id"], T.StructField("vec", T.ArrayType(T.DoubleType()))]))
+
+
 def aligned(items: DataFrame, emb: DataFrame, key: str = "item_id") -> DataFrame:
     """One row: items, embedded, and how many of either side miss the other (both should be 0)."""
     a, b = items.select(key), emb.select(key)
