@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.tables import saved, shared_folder
 
-__all__ = ["added", "crc_mod3", "fresh", "others", "saved", "shared_folder", "table"]
+__all__ = ["added", "beside", "crc_mod3", "fresh", "others", "saved", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def others(columns: list[str], *names: str) -> list[str]:
     return [c for c in columns if c.lower() not in taken]
 
 
+def beside(key: str, *names: str) -> list[str]:
+    """Names of result columns beside a key: one that the key has (in any case) gets an underscore before it."""
+    return [f"_{n}" if n.lower() == key.lower() else n for n in names]
+
+
 def added(docs: DataFrame, *fields: T.StructField) -> T.StructType:
     """The schema of `docs` with these fields at its end, in place of columns of their names, in whatever case."""
     left = set(others(docs.columns, *(f.name for f in fields)))

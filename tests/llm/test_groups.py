@@ -1,9 +1,12 @@
 """Line dedup, near duplicates, mixing, top-k and the pipeline, against SQL or brute force."""
 
 import sys
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +44,26 @@ def test_hot_windows(spark):
     assert got.where("n_removed = 3").count() == 2999 and got.where("doc_id = 0").first()["n_removed"] == 0
 
 
+def test_many_lines_take_time_in_proportion(spark):
+    """Two equal documents of 80,000 lines, and a document that repeats itself."""
+    text = "\n".join(f"line {i}" for i in range(80_000))
+    rows = [(1, text), (2, text), (3, "\n".join(["a", "b", "c"] * 20_000))]
+    line_dedup.dedup(docs(spark, rows[:1])).count()
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_dedup.dedup(docs(spark, rows).withColumns({"N_LINES": F.lit(0), "_LINES": F.lit(0), "Text_": F.lit(0)}), report=True).collect()}
+    assert time.time() - began < 20
+    assert got[1]["n_removed"] == 0 and got[1]["text"] == text and got[2]["text"] == "" and got[2]["n_removed"] == 80_000
+    assert got[3]["text"] == "a\nb\nc" and got[3]["n_lines"] == 60_000 and got[3]["_LINES"] == 0
+
+
+def test_repeated_rows_against_sql(spark, tmp_path):
+    """Rows that repeat, share an id, or have none: the SQL holds for them too."""
+    hot = "one\ntwo\nthree"
+    rows = [(1, f"{hot}\nx"), (1, f"{hot}\nx"), (1, f"y\n{hot}"), (None, hot), (None, f"z\n{hot}\n"), (4, None), (4, None), (5, ""), (6, "\n\n\n"), (7, f" one\ntwo \nthree\n{hot}")]
+    pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": [r[1] for r in rows]}), f"{tmp_path}/documents.parquet")
+    assert_same(queries.op5_line_dedup(spark, str(tmp_path)), connect(tmp_path), queries.ORACLES["op5_line_dedup"])
+
+
 def shingles(text, k=4):
     import re
 
@@ -101,6 +124,33 @@ def test_weak_chains_in_blocks(spark):
     assert got == brute_components(rows) and {r[2] for r in got} == {0}
 
 
+def test_a_hot_group_is_dealt_to_blocks(spark, monkeypatch):
+    """Most rows in one group of near copies of many sizes: blocks stay small, and components are those of brute force."""
+    monkeypatch.setattr(jaccard, "LEAST_BLOCK", 300)
+    rng = np.random.default_rng(12)
+    base = [f"b{j}" for j in range(120)]
+    rows = []
+    for i in range(300):
+        text = list(base) + [f"e{j}" for j in range(rng.integers(0, 60))]
+        for _ in range(rng.integers(0, 6)):
+            text[rng.integers(0, len(text))] = f"n{rng.integers(0, 50)}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:30])]
+    most = []
+    kept = jaccard._search
+    monkeypatch.setattr(jaccard, "_search", lambda groups, keys, least: (most.append(groups.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0), kept(groups, keys, least))[1])
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(docs(spark, rows).repartition(6)).collect())
+    assert got == brute_components(rows) and max(most) < 120
+
+
+def test_the_longest_lists_fit_their_bitmap(spark, monkeypatch):
+    counted = spark.createDataFrame([(i, 9 + i % 60) for i in range(200)], "shingle long, count long")
+    for bits, want in ((8, range(64, 69)), (6, ()), (10, range(64, 69)), (12, range(9, 69))):  # 15 lists of 64 and more, 96 of 32 to 63
+        monkeypatch.setattr(jaccard, "BITMAP_BITS", bits)
+        assert {r["count"] for r in jaccard.longest(counted).collect()} == set(want)
+    assert jaccard.longest(counted.limit(0)).count() == 0
+
+
 def test_divide_skip_is_exact():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 60)).astype(np.uint64)) for _ in range(120)]
@@ -136,6 +186,20 @@ def test_mixing(spark):
     mixed = mixing.mix(df, repetition=2.0)
     assert mixed.columns == df.columns and mixed.count() == plan.count()
     assert mixing.mix(df.limit(0), repetition=2.0).count() == 0
+    lean = mixing.schedule(df, repetition=2.0, budget=1500)
+    spent = {r["source"]: r["t"] for r in lean.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    assert 1500 <= sum(spent.values()) <= 1500 + 6 * 12 and spent["big"] == pytest.approx(1500 * w["big"]["weight"], abs=12)
+    assert lean.where("tokens = 0").count() == 2  # rows without tokens come once
+    files = mixing.mix(df, repetition=2.0, blocks=3).withColumn("_p", F.spark_partition_id()).collect()
+    at = {(r["source"], r["id"]): [] for r in plan.collect()}
+    for place, r in enumerate(files):
+        at[r["source"], r["doc_id"]].append((r["_p"], place))
+    three = {(r["source"], r["id"], r["epoch"]): (r["block"], r["order"] + str(r["epoch"])) for r in mixing.schedule(df, repetition=2.0, blocks=3).collect()}
+    by_task = defaultdict(list)
+    for (s, i, e), (b, o) in three.items():
+        if len(at[s, i]) == 1:
+            by_task[at[s, i][0][0]].append((at[s, i][0][1], b, o))
+    assert by_task and all([x[1:] for x in sorted(v)] == sorted(x[1:] for x in v) for v in by_task.values())  # each task's rows lie in the permutation's order
     even = mixing.weights(df.where("source LIKE 's%' OR source = 'big'"), entropy=0.999).collect()
     assert -sum(r["weight"] * np.log(r["weight"]) for r in even) >= 0.999 * np.log(5) - 1e-6
     assert mixing.exponent(mixing.weights(df), None, None) == 1.0
@@ -175,7 +239,32 @@ def test_pruned_search_is_exact():
     assert sorted(zip(ids[:40][j].tolist(), got.tolist(), score.tolist(), strict=True)) == sorted((a, c, d) for a, _, c, d in brute_top(ids.tolist(), x, range(40), 5))
 
 
-def test_pipeline(spark, sf):
+def test_postings_are_skipped():
+    """Sparse vectors: a query meets the postings of its own dimensions only, and no more than a proof needs."""
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random((2000, 400)) < 0.01, rng.integers(-60, 60, (2000, 400)), 0)
+    index, ids = topk.Segments(x), np.arange(2000)
+    asked = list(range(0, 2000, 50))
+    j, got, score = topk.search(ids, index, ids[asked], x[asked], 10)
+    assert sorted(zip(ids[asked][j].tolist(), got.tolist(), score.tolist(), strict=True)) == sorted((a, c, d) for a, _, c, d in brute_top(ids.tolist(), x, asked, 10))
+    meeting = sum(int((x[:, np.flatnonzero(x[a])] != 0).sum()) for a in asked)
+    assert index.walked <= meeting < np.count_nonzero(x) * len(asked) / 20
+    # one great component decides: the proof stops before small ones are walked
+    y = np.where(rng.random((2000, 40)) < 0.02, 1, 0)
+    y[:, 0] = rng.permutation(2000) * 50
+    index = topk.Segments(y)
+    topk.search(ids, index, ids[:5], y[:5], 3)
+    assert index.walked < 5 * np.count_nonzero(y) / 4
+
+
+def test_top_k_of_repeated_ids_and_clashing_names(spark):
+    rows = [(20, [1.0, 0.0], 1), (20, [0.0, 1.0], 1), (20, [0.0, 1.0], 2), (1, [1.0, 0.5], 1), (2, [0.5, 1.0], 1), (3, [0.0, 0.0], 1), (4, [1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").withColumns({"ID": F.lit(0), "x": F.lit(0), "block": F.lit(0), "rank": F.lit(0), "Query": F.lit(0)})
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id = 20"), k=2).collect())
+    assert got == [(20, 1, 1, 4096), (20, 1, 2, 4096), (20, 2, 1, 2048), (20, 2, 2, 2048)]
+
+
+def test_pipeline(spark, sf, monkeypatch):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "line_dedup", "ngram_jaccard_join", "source_mixing", "bpe"]
     start = spark.read.parquet(f"{sf}/documents.parquet")
@@ -187,7 +276,8 @@ def test_pipeline(spark, sf):
     assert {r[0] for r in frames[1].select("doc_id").collect()} == {r[0] for r in scored.where("predicted = 0").select("doc_id").collect()}
     assert frames[2].count() == frames[1].count()
     rows = sorted((r["doc_id"], r["text"]) for r in frames[2].select("doc_id", "text").collect())
-    keep = {d for d, n, c in brute_components(rows) if n == 0 or d == c}
+    monkeypatch.setitem(globals(), "shingles", lambda text, of=shingles: of(text, corpus_pipeline.WORDS))
+    keep = {d for d, n, c in brute_components(rows, corpus_pipeline.LEAST) if n == 0 or d == c}
     assert {r[0] for r in frames[3].select("doc_id").collect()} == keep
     assert {r[0] for r in frames[4].select("doc_id").distinct().collect()} == keep
     final = corpus_pipeline.run(spark, sf)
@@ -198,6 +288,47 @@ def test_pipeline(spark, sf):
     assert all(r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest() for r in final.collect())
 
 
+PLAIN = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus(tmp_path, rows, labels):
+    """documents (with columns of clashing names) and labels as files."""
+    extra = {c: pa.array([k for k in range(len(rows))], pa.int64()) for c in ("n_Shingles", "_Gone", "SCORE", "n_tokens", "epoch", "_lines", "known")}
+    columns = {"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string()), "source": pa.array([r[2] for r in rows], pa.string())}
+    pq.write_table(pa.table(columns | extra), f"{tmp_path}/documents.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([r[0] for r in labels], pa.int64()), "quality": pa.array([1] * len(labels), pa.int64()), "toxic": pa.array([r[1] for r in labels], pa.int64())}), f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, clashing names; then an empty table."""
+    long = "x" * 20_000 + " " + "word " * 20_000
+    rows = [(1, "a b c d e f g h", "s"), (1, "a b c d e f g h", "s"), (2, "a b c d e f g h", "t"), (3, None, None), (4, "", "s"), (None, "q r s t u v", "s"), (None, None, None), (5, long, "s"), (5, "other words of five here", "t"), (6, "l1\nl2\nl3\nm", "s"), (7, "l1\nl2\nl3\nn", None)]
+    folder = corpus(tmp_path, rows, [(1, 0), (2, None), (None, 1), (4, 1)])
+    start = spark.read.parquet(f"{folder}/documents.parquet")
+    frames = [start]
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        frames.append(stage(spark, frames[-1], folder).persist())
+        assert frames[-1].columns == start.columns
+    assert frames[1].count() == frames[2].count() == len(rows)
+    assert {r["doc_id"]: r["text"] for r in frames[2].collect()}[7] == "n"
+    # 2 is a copy of 1, whose two rows stay; rows without id or words stay
+    assert Counter(r["doc_id"] for r in frames[3].collect()) == Counter({1: 2, 3: 1, 4: 1, None: 2, 5: 2, 6: 1, 7: 1})
+    assert {(r["doc_id"], r["text"]) for r in frames[4].collect()} == {(r["doc_id"], r["text"]) for r in frames[3].collect()}
+    final = corpus_pipeline.run(spark, folder)
+    assert {r["doc_id"] for r in final.collect()} == {1, 3, 4, None, 5, 6, 7}
+    assert final.where("doc_id IN (3, 4) AND n_tokens <> 0").count() == 0 and final.where("doc_id = 5").agg(F.max("n_tokens")).first()[0] > 20_000
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    folder = corpus(tmp_path, [], [])
+    out = corpus_pipeline.run(spark, folder)
+    assert out.count() == 0 and "decoded_sha256" in out.columns
+    start = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, start, folder).columns == start.columns and stage(spark, start, folder).count() == 0
+
+
 def test_pipeline_drops_near_copies_at_five_words_and_80(spark, sf, monkeypatch):
     base = [f"w{j}" for j in range(60)]
     rows = [(0, " ".join(base)), (1, " ".join(base + [f"more{j}" for j in range(12)])), (2, " ".join(base + [f"much{j}" for j in range(20)]))]
