@@ -2,7 +2,8 @@
 
 A template is sought in a text through windows of one and a half times its
 length that begin every half length, so that some window holds any copy whole.
-In a window, words that are unique to both sides are anchors; the longest
+In a window, words that are unique to the template and to the window (not to the
+whole text) are anchors; the longest
 increasing subsequence of the anchors is kept and the gaps between them are
 aligned in the same way. Gaps without anchors match equal words from both
 ends. Coverage is the share of template words that are matched.
@@ -17,7 +18,9 @@ hits whose spans overlap the highest coverage wins, then more template words,
 then the first name, and what lies between the winners is scanned again. The
 best hit by the same order has columns of its own. A text has a row even if no
 license is found (null license, coverage 0, an empty array); null and empty
-texts are of that kind. Repeated rows are scanned each.
+texts are of that kind. Very long texts are scanned whole, by the places of the
+template's words. Repeated rows are scanned each. An empty table gives an empty
+result. A key may have any name; columns other than key and text are left out.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import beside
+
 LEAST_COVERAGE = 0.8
 #: A template without a word that names its license and of fewer words than this must be matched whole.
 SHORT = 20
@@ -232,7 +237,7 @@ class Scanner:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
     """Per row: the key, n_words, license, coverage, matched words, and the words' range first_word to after_word of the best hit, and all hits in `found`."""
     fields = [T.StructField(n, k) for n, k in (("license", T.StringType()), ("coverage", T.DoubleType()), ("matched", T.LongType()), ("first_word", T.LongType()), ("after_word", T.LongType()))]
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_words", T.LongType()), *fields, T.StructField("found", T.ArrayType(T.StructType(fields)))])
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, f.dataType) for n, f in zip(beside(key, "n_words", *(f.name for f in fields), "found"), [T.StructField("n_words", T.LongType()), *fields, T.StructField("found", T.ArrayType(T.StructType(fields)))], strict=True))])
     chosen = templates or TEMPLATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
