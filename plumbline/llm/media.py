@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import beside
+
 #: Samples a second, and the analysis rate by it: UP / DOWN, so resampling has UP phases.
 RATE, UP, DOWN = 16_000, 5, 8
 TAPS = 25
@@ -33,6 +35,8 @@ FRAME, HOP, MELS, BINS = 256, 128, 16, 8
 BEGIN_DB, END_DB, LEAST_FRAMES = 2.5, 1.5, 4
 #: Frames that are transformed at once; the unit of features.
 BLOCK, STEP = 4096, 1 / 256
+#: Columns that `store` gives beside the key.
+STORED = ("n_bytes", "media", "spans", "tensors")
 
 
 def payload_of(text: str | None) -> bytes:
@@ -175,15 +179,17 @@ def tensors_of(stream: bytes) -> np.ndarray:
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key, `media` (WAV bytes) and, as arrays of equal length, time spans and an Arrow stream of tensors.
 
-    Columns: key, n_bytes, media, spans array<struct<start_s, end_s>>, tensors binary (see tensors_of).
+    Columns: key, n_bytes, media, spans array<struct<start_s, end_s>>, tensors binary (see tensors_of); one that the key's name
+    is gets an underscore before it.
     """
+    n_bytes, media, spans, tensors = beside(key, *STORED)
     schema = T.StructType(
         [
             T.StructField(key, docs.schema[key].dataType),
-            T.StructField("n_bytes", T.LongType()),
-            T.StructField("media", T.BinaryType()),
-            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]))),
-            T.StructField("tensors", T.BinaryType()),
+            T.StructField(n_bytes, T.LongType()),
+            T.StructField(media, T.BinaryType()),
+            T.StructField(spans, T.ArrayType(T.StructType([T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]))),
+            T.StructField(tensors, T.BinaryType()),
         ]
     )
 
@@ -207,13 +213,13 @@ def digest(stored: DataFrame, key: str = "doc_id") -> DataFrame:
     """Reads the stored media back: sizes, sums, and a printable feature (segments, SHA-256 of the tensors and spans)."""
     schema = T.StructType(
         [T.StructField(key, stored.schema[key].dataType)]
-        + [T.StructField(n, k) for n, k in (("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))]
+        + [T.StructField(*beside(key, n), k) for n, k in (("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
-            for wav, times, stream in zip(batch.column("media"), batch.column("spans").to_pylist(), batch.column("tensors"), strict=True):
+            for wav, times, stream in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
                 wav = wav.as_py()
                 payload, _ = samples_of(wav)
                 tensors = tensors_of(stream.as_py())
@@ -222,6 +228,6 @@ def digest(stored: DataFrame, key: str = "doc_id") -> DataFrame:
                 for column, value in zip(columns, got, strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.fieldNames())
 
-    return stored.select(key, "n_bytes", "media", "spans", "tensors").mapInArrow(run, schema)
+    return stored.select(key, *beside(key, *STORED)).mapInArrow(run, schema)

@@ -145,3 +145,42 @@ def test_the_query_resamples_by_several_phases():
     x = np.sin(np.arange(4000) / 9)
     out = media.resample(x)
     assert len(out) == 2500 and np.abs(out[20:-20] - np.sin(np.arange(2500) * media.DOWN / media.UP / 9)[20:-20]).max() < 0.02
+
+
+def test_long_words_go_in_time_linear_to_their_length():
+    """Against the library; a run of 400,000 letters takes seconds."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    ours, theirs = bpe.Bpe(queries.vocabulary()), Tokenizer.from_file(queries.vocabulary())
+    rng = np.random.default_rng(1)
+    for word in ("a" * 5001, "ab" * 3000, "".join(rng.choice(list("ACGT"), 20_000)), "".join(rng.choice(list("abcdeéñ"), 7000))):
+        ids, where = ours.merge([b"hello", word.encode(), b"world"])
+        assert ids[where[1] : where[2]].tolist() == theirs.encode(word, add_special_tokens=False).ids
+    began = time.time()
+    ours.merge(["".join(rng.choice(list("ACGT"), 400_000)).encode()])
+    assert time.time() - began < 15
+
+
+@pytest.mark.parametrize("key", ["doc_id", "N_TOKENS", "media", "Spans", "n_shingles", "license", "text_"])
+def test_keys_of_any_name(spark, key):
+    from plumbline.llm import jaccard, licenses, pii
+
+    df = spark.createDataFrame([(1, "a b c d e mail me@x.org"), (2, None), (3, "a b c d e mail me@x.org"), (3, "")], f"{key} long, text string")
+    for out in (bpe.digest(df, queries.vocabulary(), key=key), media.digest(media.store(df, key=key), key=key), pii.digest(pii.find(df, key=key), key=key), licenses.scan(df, key=key), jaccard.near_duplicates(df, key=key)):
+        assert sorted(r[0] for r in out.collect()) == [1, 2, 3, 3] and len({c.lower() for c in out.columns}) == len(out.columns) and out.columns[0] == key
+    assert sorted(r[0] for r in jaccard.keep_first(df, key=key).collect()) == [1, 2]
+    clash = df.withColumns({"TOKEN_IDS": F.lit(1), "Decoded": F.lit(2)})
+    both = bpe.decode(bpe.encode(clash, queries.vocabulary()), queries.vocabulary())
+    assert both.columns == [key, "text", "token_ids", "decoded"] and {r["decoded"] for r in both.collect()} == {"a b c d e mail me@x.org", ""}
+
+
+def test_equal_rows_give_equal_results(spark):
+    from plumbline.llm import licenses, pii
+
+    text = "Released under the MIT License. Mail ann@example.org or +1 555 010 2030 now."
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (3, None), (4, "word " * 60_000 + text)], "doc_id long, text string")
+    for out in (licenses.scan(df), pii.digest(pii.find(df)), media.digest(media.store(df))):
+        rows = [tuple(r)[1:] for r in out.orderBy("doc_id").collect()]
+        assert rows[0] == rows[1] == rows[2] and len(rows) == 5 and out.limit(0).count() == 0
