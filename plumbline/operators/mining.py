@@ -6,9 +6,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.tables import saved
 
@@ -122,13 +124,47 @@ def f_beta(tp: Column, fired: Column, n_pos: Column, beta: float = BETA) -> Colu
     return (1 + b2) * p * r / F.greatest(b2 * p + r, F.lit(1e-9))
 
 
+#: More than the places of a pool: the base in which conjunctions are numbered.
+PLACES = 1024
+
+
+def _conjunctions(batches: Iterator[pa.RecordBatch], held: dict, max_len: int) -> Iterator[pa.RecordBatch]:
+    """target, code, fired, tp: conjunctions of one to `max_len` pool literals of different features that rows of the batch have."""
+    for batch in batches:
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("has").offsets.to_numpy()))
+        has, kinds = batch.column("has").flatten().to_numpy(), np.array(batch.column("class").to_pylist(), object)
+        for target, pool in held.items():
+            lits, names = np.array([x for x, _ in pool]), [f for _, f in pool]
+            order = np.argsort(lits)
+            at = np.minimum(np.searchsorted(lits[order], has), len(lits) - 1)
+            hit = lits[order][at] == has
+            m = np.zeros((batch.num_rows, len(pool)))
+            m[rows[hit], order[at[hit]]] = 1
+            own = m * (kinds == target)[:, None]
+            apart = np.triu(np.array([[a != b for b in names] for a in names]), 1)
+            found = [(np.arange(len(pool)) + 1, m.sum(axis=0), own.sum(axis=0))]
+            if max_len > 1:
+                i, j = np.nonzero(apart)
+                found.append(((i + 1) * PLACES + j + 1, (m.T @ m)[i, j], (own.T @ m)[i, j]))
+            for i in range(len(pool) if max_len > 2 else 0):
+                j, k = np.nonzero(apart & apart[i][:, None] & apart[i][None, :])
+                if len(j):
+                    both = m * m[:, i : i + 1]
+                    found.append((((i + 1) * PLACES + j + 1) * PLACES + k + 1, (m.T @ both)[j, k], (own.T @ both)[j, k]))
+            code, fired, tp = (np.concatenate([f[c] for f in found]).astype(np.int64) for c in range(3))
+            some = fired > 0
+            yield pa.RecordBatch.from_arrays([pa.array([target] * int(some.sum())), pa.array(code[some]), pa.array(fired[some]), pa.array(tp[some])], names=["target", "code", "fired", "tp"])
+
+
 def clauses(fires: DataFrame, lits: DataFrame, labels: DataFrame, max_len: int = MAX_LEN, pool: int = POOL, min_support: int = MIN_SUPPORT, cap: int = CAND_CAP) -> DataFrame:
     """class, lits (ids in pool order), path (places in the pool), tp, fired, precision, recall, fbeta: candidate conjunctions.
 
     fires: item_id, lit_id over the calibration rows; labels: item_id, class. Each class has a pool of its literals
-    of highest F-beta (higher id first on ties). Supports of pairs and triples only shrink, so each level extends
-    what the last one has kept, by a join on items with a proven small pool.
+    of highest F-beta (higher id first on ties). Rows become 0/1 matrices over a pool, whose products count all pairs
+    and triples of a batch at once; batches send on their counts, of which a pool has a bounded number.
     """
+    if not 1 <= max_len <= 3:
+        raise ValueError("clauses have one to three literals")
     sizes = labels.groupBy("class").agg(F.count("*").alias("n_pos"))
     total = labels.agg(F.count("*").alias("total"))
     class_of = sizes.join(total)
@@ -139,23 +175,20 @@ def clauses(fires: DataFrame, lits: DataFrame, labels: DataFrame, max_len: int =
     singles = fired.join(classes).join(per.withColumnRenamed("class", "target"), ["lit_id", "target"], "left").select("target", "lit_id", "fired", F.coalesce("c", F.lit(0)).alias("tp")).join(F.broadcast(class_of.withColumnRenamed("class", "target")), "target")
     rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc(F.round("fb", 12)), F.desc("lit_id")))
     pooled = saved(singles.withColumn("fb", f_beta(F.col("tp"), F.col("fired"), F.col("n_pos"))).withColumn("pos", rank - 1).where(F.col("pos") < pool).join(F.broadcast(lits.select("lit_id", "feature", "negated")), "lit_id"))
-    level = pooled.select("target", F.array("lit_id").alias("lits"), F.array("pos").alias("path"), F.array("feature").alias("features"), F.col("negated").cast("int").alias("neg"), "tp", "fired")
-    out = level
-    member = pooled.select("target", F.col("lit_id").alias("m_lit"), F.col("pos").alias("m_pos"), F.col("feature").alias("m_feature"), F.col("negated").cast("int").alias("m_neg"))
-    in_pool = saved(seen.join(F.broadcast(pooled.select("lit_id").distinct()), "lit_id", "left_semi"))
-    sets = in_pool.groupBy("item_id", "class").agg(F.collect_set("lit_id").alias("has"))
-    for _ in range(1, max_len):
-        grown = level.join(F.broadcast(member), "target").where((F.col("m_pos") > F.element_at("path", -1)) & ~F.array_contains("features", F.col("m_feature")))
-        wider = grown.select("target", F.concat("lits", F.array("m_lit")).alias("lits"), F.concat("path", F.array("m_pos")).alias("path"), F.concat("features", F.array("m_feature")).alias("features"), (F.col("neg") + F.col("m_neg")).alias("neg"))
-        # of each distinct set of literals the rows that have them all are counted once, for all classes
-        conj = wider.select(F.array_sort("lits").alias("key")).distinct()
-        heads = conj.select("key", F.get("key", F.lit(0)).alias("lit_id"))
-        met = in_pool.select("item_id", "class", "lit_id").join(F.broadcast(heads), "lit_id").join(sets.select("item_id", "has"), "item_id").where(F.forall("key", lambda x: F.array_contains("has", x)))
-        counts = met.groupBy("key", "class").agg(F.count("*").alias("c"))
-        totals = counts.groupBy("key").agg(F.sum("c").alias("fired")).where(F.col("fired") >= min_support)
-        keyed = wider.withColumn("key", F.array_sort("lits")).join(totals, "key").join(counts.select("key", F.col("class").alias("target"), F.col("c").alias("tp")), ["key", "target"], "left")
-        level = saved(keyed.select("target", "lits", "path", "features", "neg", F.coalesce("tp", F.lit(0)).alias("tp"), "fired"))
-        out = out.unionByName(level)
+    held: dict = {}
+    for r in pooled.select("target", "pos", "lit_id", "feature").orderBy("target", "pos").collect():
+        held.setdefault(r["target"], []).append((r["lit_id"], r["feature"]))
+    sets = seen.join(F.broadcast(pooled.select("lit_id").distinct()), "lit_id", "left_semi").groupBy("item_id", "class").agg(F.collect_set("lit_id").alias("has"))
+    counted = sets.select("class", "has").mapInArrow(lambda batches: _conjunctions(batches, held, max_len), T.StructType([T.StructField("target", labels.schema["class"].dataType), *(T.StructField(c, T.LongType()) for c in ("code", "fired", "tp"))]))
+    counts = counted.groupBy("target", "code").agg(F.sum("fired").alias("fired"), F.sum("tp").alias("tp")).where(F.col("fired") >= min_support)
+    # a code holds the places plus one, as digits
+    digit = lambda k: F.floor(F.col("code") / (PLACES**k)) % PLACES
+    path = F.filter(F.array(*(digit(k).cast("int") - 1 for k in (2, 1, 0))), lambda x: x >= 0)
+    by_place = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda x: x[c])
+    dims = pooled.groupBy("target").agg(by_place("lit_id").alias("_l"), by_place("negated").alias("_n"))
+    placed = counts.withColumn("path", path).join(F.broadcast(dims), "target")
+    pick = lambda c: F.transform("path", lambda x: F.get(F.col(c), x))
+    out = placed.select("target", pick("_l").alias("lits"), "path", F.size(F.filter(pick("_n"), lambda x: x)).alias("neg"), "tp", "fired")
     floor = F.greatest(F.lit(MIN_PREC_ABS), F.least(MIN_LIFT * F.col("n_pos") / F.col("total"), F.lit(PREC_CAP)))
     scored = out.join(F.broadcast(class_of.withColumnRenamed("class", "target")), "target").withColumns({"precision": F.col("tp") / F.col("fired"), "recall": F.col("tp") / F.col("n_pos"), "fbeta": f_beta(F.col("tp"), F.col("fired"), F.col("n_pos"))})
     good = scored.where((F.col("neg") <= MAX_NEG) & (F.col("neg") < F.size("lits")) & (F.col("precision") >= floor))
