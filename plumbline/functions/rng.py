@@ -22,6 +22,7 @@ def draw_sql(*parts: str) -> str:
 
 def seed_list(n: int, base: int = SEED) -> list[int]:
     """The base seed and n - 1 integers drawn from it."""
+    # fixed values: generator and range decide the seeds
     return [base, *(int(x) for x in np.random.default_rng(base).integers(0, 2**31 - 1, n - 1))]
 
 
@@ -59,6 +60,11 @@ def capped_sample(df: DataFrame, label: str, key: str, cap: int, seed: int = SEE
     return ranked.join(F.broadcast(total)).where((F.col("_total") <= cap) | (F.col("_rn") <= want)).drop("_rn", "_n", "_total")
 
 
+def sample_with_test(df: DataFrame, label: str, key: str, cap: int, seed: int = SEED) -> DataFrame:
+    """A capped sample of the rows that are not for test, and all test rows."""
+    return capped_sample(df.where("split <> 'test'"), label, key, cap, seed).unionByName(df.where("split = 'test'"))
+
+
 def partitions(df: DataFrame, label: str, key: str, seeds: tuple[int, ...] = (1, 2, 3, 4, 5), test: float = 0.15, val: float = 0.15) -> DataFrame:
     """Fresh stratified train/val/test splits of a pool, one per seed, in long form with a `seed` column."""
     out = [stratified_split(df, label, key, s, 1 - test - val, val).withColumn("seed", F.lit(s)) for s in seeds]

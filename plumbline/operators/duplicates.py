@@ -124,6 +124,23 @@ def novel(df: DataFrame, near: DataFrame | None = None, **how) -> DataFrame:
     return lookup(df, near, **how).where(~F.col("dup"))
 
 
+def novel_criteria(df: DataFrame, nears: dict[str, DataFrame | None], cos_min: float = COS_MIN, key: str = "item_id", field: str = "text") -> DataFrame:
+    """key, a boolean per criterion, and `joint` (all of them) for test rows: whether a row has no duplicate by it.
+
+    A criterion is a nearest_fit table (no row of at least `cos_min`), or None for the normalised text.
+    """
+    test, _ = _sides(df)
+    out = test.select(key)
+    for name, near in nears.items():
+        dup = exact_duplicates(df, key, field).select(key) if near is None else near.where(F.col("cos") >= cos_min).select(key)
+        hit = dup.distinct().withColumn(name, F.lit(False))
+        out = out.join(hit, key, "left").withColumn(name, F.coalesce(name, F.lit(True)))
+    every = F.lit(True)
+    for name in nears:
+        every = every & F.col(name)
+    return out.withColumn("joint", every)
+
+
 def cosine_sweep(df: DataFrame, near: DataFrame, grid: tuple[float, ...] = (0.85, 0.90, 0.95), **how) -> DataFrame:
     """The leak rates at several cosines: cos_min and those of `leak_rates`."""
     out = None

@@ -9,6 +9,7 @@ from plumbline.functions import metrics, rng, text
 from plumbline.operators import decisions, duplicates, relations
 from plumbline.plans.fixtures import CLASSES, EMBEDDED_SQL, LABELLED_SQL, MANIFEST_SQL, NORM, PRED_SQL, WORDS, embedded, labelled, manifest, predictions
 from plumbline.plans.registry import ORACLES, query, rounded
+from plumbline.sources import corpora
 from plumbline.sources.manifest import label_dim as dim
 from plumbline.sources.manifest import table
 
@@ -41,13 +42,14 @@ def text_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {MANIFEST_SQL} SELECT item_id, CASE WHEN starts_with(source, 'src1') THEN md5(trim(concat_ws(' ', title, text), ' ')) ELSE md5(title) END AS fused_md5,
+  md5('') AS none_md5, md5(text) AS caption_md5, md5(title) AS ocr_md5, md5(title) AS parity_md5,
   CASE WHEN starts_with(source, 'src1') THEN 'src1' ELSE 'other' END AS source_group, md5(upper(replace(text, 'ß', 'SS')) || ' !!!') AS cue_md5,
   md5(trim(regexp_replace(replace(text, chr(65533), ' '), '\\s+', ' ', 'g'), ' ')) AS clean_md5 FROM manifest"""
 )
 def text_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, t = manifest(spark, sf_dir), F.col("text")
-    fused = text.compose("fused", F.col("source"), F.col("title"), t, "src1")
-    return m.select("item_id", F.md5(fused).alias("fused_md5"), text.source_group(F.col("source"), "src1").alias("source_group"), F.md5(text.planted_cue(t)).alias("cue_md5"), F.md5(text.squeeze(t)).alias("clean_md5"))
+    modes = [F.md5(text.compose(mode, F.col("source"), F.col("title"), t, "src1")).alias(f"{mode}_md5") for mode in ("fused", "none", "caption", "ocr", "parity")]
+    return m.select("item_id", *modes, text.source_group(F.col("source"), "src1").alias("source_group"), F.md5(text.planted_cue(t)).alias("cue_md5"), F.md5(text.squeeze(t)).alias("clean_md5"))
 
 
 _PHRASES = ("of the", "license", "the and", "que de la")
@@ -395,3 +397,29 @@ def recovery_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def flip_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(decisions.flip_points(spark.createDataFrame(_D3, "task string, lift double, share double")))
+
+
+@query(
+    f"""WITH {LABELLED_SQL}, {_NEAR}, n AS (SELECT item_id, split, {NORM.format(t='text')} AS norm FROM labelled),
+  c AS (SELECT n.item_id, NOT (norm <> '' AND norm IN (SELECT norm FROM n WHERE split <> 'test')) AS caption, coalesce(near.cos, -1) < 0.43 AS image FROM n LEFT JOIN near ON near.item_id = n.item_id WHERE n.split = 'test')
+  SELECT item_id, caption, image, caption AND image AS joint FROM c"""
+)
+def novel_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows that are novel by text, by image and by both."""
+    near = duplicates.nearest_fit(embedded(spark, sf_dir))
+    return duplicates.novel_criteria(labelled(spark, sf_dir), {"caption": None, "image": near}, 0.43)
+
+
+@query(f"WITH {LABELLED_SQL} SELECT item_id, y FROM (SELECT item_id, CASE WHEN lang = 'fr' THEN -1 ELSE y END AS y FROM labelled) WHERE y >= 0")
+def known_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled(spark, sf_dir).select("item_id", F.when(F.col("lang") == "fr", -1).otherwise(F.col("y")).cast("long").alias("y"))
+    return corpora.known(rows)
+
+
+@query(
+    f"""WITH {LABELLED_SQL}, pool AS (SELECT item_id, y, split FROM labelled WHERE split <> 'test'), r AS (SELECT item_id, y, split, {_RANK}, count(*) OVER () AS total FROM pool)
+  SELECT item_id, y, split FROM r WHERE total <= 100 OR rn <= greatest(round(n * 100 / total), 1) UNION ALL SELECT item_id, y, split FROM labelled WHERE split = 'test'"""
+)
+def sample_with_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stratified sample of the train and val rows beside the whole test side."""
+    return rng.sample_with_test(labelled(spark, sf_dir).select("item_id", "y", "split"), "y", "item_id", 100)

@@ -159,3 +159,8 @@ def union(parts: list[DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def known(df: DataFrame, label: str = "y") -> DataFrame:
+    """The rows that have a label (-1 and null stand for none)."""
+    return df.where(F.col(label) >= 0)
