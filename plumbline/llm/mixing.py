@@ -7,19 +7,23 @@ smallest that keeps within the repetition limit. Five steps of the bisection
 are read off one aggregate over the sources, so neither driver nor any task
 holds them all.
 
-The weights are realised without loss: the budget is the least at which every
-source is seen whole at least once. A source is gone through in epochs; each
+The weights are realised within a budget of tokens; without one given, nothing is
+lost: the budget is the least at which every source is seen whole at least once.
+A source is gone through in epochs; each
 epoch is a permutation of its documents by hash, and the last is cut where the
 source's token budget ends. The permuted documents, laid along [0, 1) by tokens
 within their source, are cut into blocks of which each has all sources in
-their weights. Places along a source are prefix sums in two levels, of about
+their weights. `mix` writes a block's documents in the permutation's order, in
+pieces by the order's first digit. Places along a source are prefix sums in two levels, of about
 the square root of its documents each, so a source with a third of all rows
 meets in no one task.
 
 Rows equal in source and id move together as one unit; a null source or id is a
 value of its own. Documents of no words, or null text, have no tokens: they
 come once, at their place in the first epoch (a source without tokens has
-weight 0 and comes once too). An empty table gives an empty result.
+weight 0 and comes once too). Very long texts are counted whole and are one unit;
+ties in the order go by id. An empty table gives an empty result. Other columns
+stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -80,28 +84,32 @@ def exponent(sources: DataFrame, entropy: float | None, repetition: float | None
     return round(a, 9)
 
 
-def weights(docs: DataFrame, source: str = "source", text: str = "text", entropy: float | None = None, repetition: float | None = None) -> DataFrame:
-    """One row per source: source, docs, tokens, weight, and epochs (how often the budget goes through it)."""
+def weights(docs: DataFrame, source: str = "source", text: str = "text", entropy: float | None = None, repetition: float | None = None, budget: int | None = None) -> DataFrame:
+    """One row per source: source, docs, tokens, weight, and epochs (how often the budget of tokens goes through it)."""
     counted = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("docs"), F.sum(tokens_of(F.col(text))).alias("tokens"))
-    return _weights(saved(counted), entropy, repetition)
+    return _weights(saved(counted), entropy, repetition, budget)
 
 
-def _weights(sources: DataFrame, entropy: float | None, repetition: float | None) -> DataFrame:
+def _weights(sources: DataFrame, entropy: float | None, repetition: float | None, budget: int | None = None) -> DataFrame:
     a = exponent(sources, entropy, repetition)
     hi = sources.agg(F.max("tokens").alias("hi")).first()["hi"] or 1
     power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / float(hi), F.lit(a))).otherwise(0.0)
     z = sources.agg(F.sum(power).alias("z")).first()["z"] or 1.0
     # n**(a - 1) is the weight against tokens; it is least for the largest source, which is seen once
-    epochs = F.when(F.col("tokens") > 0, F.pow(float(hi) / F.col("tokens"), F.lit(1.0 - a))).otherwise(1.0)
+    seen = F.pow(float(hi) / F.col("tokens"), F.lit(1.0 - a)) if budget is None else float(budget) * power / z / F.col("tokens")
+    epochs = F.when(F.col("tokens") > 0, seen).otherwise(1.0)
     return sources.withColumn("weight", power / z).withColumn("epochs", F.round(epochs, 6))
 
 
-def schedule(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", entropy: float | None = None, repetition: float | None = None, blocks: int = BLOCKS, seed: str = SEED) -> DataFrame:
-    """One row for each unit and epoch: source, id, tokens, epoch, block, and `order` to sort by within a block."""
+def schedule(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", entropy: float | None = None, repetition: float | None = None, blocks: int = BLOCKS, seed: str = SEED, budget: int | None = None) -> DataFrame:
+    """One row for each unit and epoch: source, id, tokens, epoch, block, and `order` to sort by within a block.
+
+    budget: tokens in all, which may leave out documents or repeat them; by default every document comes at least once.
+    """
     units = docs.groupBy(F.col(source).alias("source"), F.col(key).alias("id")).agg(F.sum(tokens_of(F.col(text))).alias("tokens"))
     units = saved(units)
     sources = units.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
-    plan = _weights(saved(sources), entropy, repetition).select(F.col("source").alias("_s"), F.col("docs").alias("_docs"), F.col("tokens").alias("_tokens"), "weight", "epochs")
+    plan = _weights(saved(sources), entropy, repetition, budget).select(F.col("source").alias("_s"), F.col("docs").alias("_docs"), F.col("tokens").alias("_tokens"), "weight", "epochs")
     joined = units.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
     every = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("epochs").cast("int"), F.lit(1)) - 1)))
@@ -116,25 +124,26 @@ def schedule(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     laid = placed.withColumn("_before", F.sum("tokens").over(within) - F.col("tokens"))
     laid = laid.join(ahead, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("epoch") == F.col("_e2")) & (F.col("_room") == F.col("_r2")))
     start = F.col("_ahead") + F.col("_before") + F.col("epoch") * F.col("_tokens")
-    budget = F.col("epochs") * F.col("_tokens")
-    laid = laid.withColumn("_start", start).where((F.col("epoch") == 0) | (F.col("tokens") > 0) & (F.col("_start") < budget))
-    block = F.when(budget > 0, F.least(F.floor(F.col("_start") * blocks / budget), F.lit(blocks - 1))).otherwise(0).cast("int")
+    end = F.col("epochs") * F.col("_tokens")
+    once = (F.col("epoch") == 0) & (F.lit(budget is None) | (F.col("tokens") == 0))
+    laid = laid.withColumn("_start", start).where(once | (F.col("tokens") > 0) & (F.col("_start") < end))
+    block = F.when(end > 0, F.least(F.floor(F.col("_start") * blocks / end), F.lit(blocks - 1))).otherwise(0).cast("int")
     return laid.select("source", "id", "tokens", F.col("epoch").cast("int").alias("epoch"), block.alias("block"), "order", "weight")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """The rows of `docs`, each as often as the schedule has it; columns stay as they are.
+    """The rows of `docs`, each as often as the schedule has it, block by block in the permutation's order; columns stay as they are.
 
-    Rows are written out in no order; `schedule` gives block and order for a loader.
+    A block is dealt to tasks by the first digit of the order, so a task holds whole pieces of the permutation, sorted.
     """
-    s, i, n = (fresh(name, docs) for name in ("_s", "_i", "_n"))
-    times = schedule(docs, key, source, text, **how).groupBy("source", "id").agg(F.count("*").cast("int").alias(n)).select(F.col("source").alias(s), F.col("id").alias(i), n)
+    s, i, b, o = (fresh(name, docs) for name in ("_s", "_i", "_b", "_o"))
+    times = schedule(docs, key, source, text, **how).select(F.col("source").alias(s), F.col("id").alias(i), F.col("block").alias(b), F.concat(F.col("order"), F.col("epoch").cast("string")).alias(o))
     joined = docs.join(times, docs[key].eqNullSafe(times[i]) & docs[source].eqNullSafe(times[s]))
-    return joined.select("*", F.explode(F.sequence(F.lit(1), F.col(n))).alias(fresh("_copy", joined))).select(*docs.columns)
+    return joined.repartition(F.col(b), F.substring(o, 1, 1)).sortWithinPartitions(b, o).select(*docs.columns)
 
 
 def sql(entropy: float, repetition: float, blocks: int = BLOCKS, seed: str = SEED) -> str:
-    """The schedule of `documents` in DuckDB: doc_id, source, tokens, epoch, block, weight (6 places)."""
+    """The schedule of `documents` in DuckDB: doc_id, source, tokens, epoch, block, place (to sort by in a block), weight (6 places)."""
     return f"""
 WITH RECURSIVE unit AS (
   SELECT source, doc_id, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS tokens FROM documents GROUP BY 1, 2),
@@ -154,9 +163,10 @@ plan AS (
     CASE WHEN n > 0 THEN round(pow(top / n, 1 - a), 6) ELSE 1 END AS epochs FROM src, pick),
 every AS (
   SELECT u.*, p.n, p.weight, p.epochs, unnest(range(greatest(CAST(ceil(p.epochs) AS BIGINT), 1))) AS epoch FROM unit u JOIN plan p ON u.source IS NOT DISTINCT FROM p.source),
+drawn AS (SELECT *, md5('{seed}|' || coalesce(source, chr(0)) || '|' || epoch || '|' || coalesce(doc_id::VARCHAR, chr(0))) AS digest FROM every),
 laid AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY source, epoch ORDER BY md5('{seed}|' || coalesce(source, chr(0)) || '|' || epoch || '|' || coalesce(doc_id::VARCHAR, chr(0))), doc_id) - tokens + epoch * n AS start FROM every)
-SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch,
+  SELECT *, sum(tokens) OVER (PARTITION BY source, epoch ORDER BY digest, doc_id) - tokens + epoch * n AS start FROM drawn)
+SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch, digest AS place,
   CAST(CASE WHEN epochs * n > 0 THEN least(floor(start * {blocks} / (epochs * n)), {blocks} - 1) ELSE 0 END AS INTEGER) AS block, round(weight, 6) AS weight
 FROM laid WHERE epoch = 0 OR tokens > 0 AND start < epochs * n
 """

@@ -37,7 +37,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.schedule(table(spark, sf_dir, "documents"), entropy=ENTROPY, repetition=REPETITION)
-    return plan.select(F.col("id").alias("doc_id"), "source", "tokens", "epoch", "block", F.round("weight", 6).alias("weight"))
+    return plan.select(F.col("id").alias("doc_id"), "source", "tokens", "epoch", "block", F.col("order").alias("place"), F.round("weight", 6).alias("weight"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
