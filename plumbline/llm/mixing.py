@@ -14,7 +14,7 @@ epoch is a permutation of its documents by hash, and the last is cut where the
 source's token budget ends. The permuted documents, laid along [0, 1) by tokens
 within their source, are cut into blocks of which each has all sources in
 their weights. `mix` writes a block's documents in the permutation's order, in
-pieces by the order's first digit. Places along a source are prefix sums in two levels, of about
+pieces by the order's first digits. Places along a source are prefix sums in two levels, of about
 the square root of its documents each, so a source with a third of all rows
 meets in no one task.
 
@@ -39,6 +39,8 @@ BLOCKS = 64
 SEED = "mix"
 #: Bisection steps for each aggregate, and aggregates.
 STEPS, ROUNDS = 5, 9
+#: Pieces of the mix for a shuffle partition, at least, when it is written.
+PIECES = 64
 
 
 def tokens_of(text: Column) -> Column:
@@ -134,12 +136,15 @@ def schedule(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
     """The rows of `docs`, each as often as the schedule has it, block by block in the permutation's order; columns stay as they are.
 
-    A block is dealt to tasks by the first digit of the order, so a task holds whole pieces of the permutation, sorted.
+    A block is dealt to tasks by the first digits of the order, as many as make PIECES pieces or more for a shuffle partition, so
+    a task holds whole pieces of the permutation, sorted.
     """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    digits = next(d for d in range(1, 33) if how.get("blocks", BLOCKS) * 16**d >= PIECES * partitions)
     s, i, b, o = (fresh(name, docs) for name in ("_s", "_i", "_b", "_o"))
     times = schedule(docs, key, source, text, **how).select(F.col("source").alias(s), F.col("id").alias(i), F.col("block").alias(b), F.concat(F.col("order"), F.col("epoch").cast("string")).alias(o))
     joined = docs.join(times, docs[key].eqNullSafe(times[i]) & docs[source].eqNullSafe(times[s]))
-    return joined.repartition(F.col(b), F.substring(o, 1, 1)).sortWithinPartitions(b, o).select(*docs.columns)
+    return joined.repartition(F.col(b), F.substring(o, 1, digits)).sortWithinPartitions(b, o).select(*docs.columns)
 
 
 def sql(entropy: float, repetition: float, blocks: int = BLOCKS, seed: str = SEED) -> str:
