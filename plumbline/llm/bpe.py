@@ -3,19 +3,28 @@
 Words of a batch that are new go through the merges together: their symbols lie
 in one flat array, every round finds each word's pair of lowest rank by binary
 search over sorted pair keys and merges all its places, until no word has a
-known pair. Frequent words are kept in a bounded table from batch to batch.
+known pair. A word of over LONG bytes goes alone, and a round looks only at the
+places whose pair has its rank, so that time follows its length. Frequent words
+are kept in a bounded table from batch to batch.
 
 Null texts count as empty, which give no ids and decode to the empty string;
-repeated rows are encoded each. Text of any length is encoded whole. Added
-tokens of the file (such as an end of text) are taken out of the text before
-words are split, as the file's own library does by default.
+repeated rows are encoded each. Of equal pairs in a row the first is merged.
+Text of any length is encoded whole. An empty table gives an empty result. Other
+columns stay, but one that has a result's name, in any case. Added tokens of the
+file (such as an end of text) are taken out of the text before words are split,
+as the file's own library does by default.
+
+The vocabulary's path is read where the tasks run; a file that only the driver
+has is handed out by SparkContext.addFile first and found by its base name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import added, beside
+
 #: Fixed value: how text is parted into words before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Code points that this release of `regex` counts as letters or numbers and the vocabulary's own library,
@@ -38,6 +49,8 @@ NEWER = (
 )
 #: Words kept with their ids in one worker; beyond it the table is begun anew.
 KEEP_WORDS = 400_000
+#: Bytes of a word beyond which it goes through its merges alone.
+LONG = 2048
 
 
 def byte_characters() -> dict[str, int]:
@@ -77,18 +90,62 @@ class Bpe:
         self.known: dict[str, int] = {}
         self.ids, self.where = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols; the number of merges for an unknown one."""
+        key, none = (left << 32) | right, len(self.rank)
+        at = np.minimum(np.searchsorted(self.keys, key), none - 1)
+        return np.where(self.keys[at] == key, self.rank[at], none)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: ranks in rising order, each with the places where its pair was seen."""
+        n, none = len(word), len(self.rank)
+        symbols = np.append(self.first[np.frombuffer(word, np.uint8)], -1)  # the last place ends the word on either side
+        after, before, alive = np.append(np.arange(1, n + 1), n), np.append(n, np.arange(n)), np.ones(n + 1, bool)
+        places_of: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def put(places: np.ndarray) -> None:
+            rank = self.ranks(symbols[places], symbols[after[places]])
+            order = np.argsort(rank, kind="stable")
+            rank, places = rank[order], places[order]
+            heads = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
+            for a, b in zip(heads, np.append(heads[1:], len(rank)), strict=True):
+                if (r := int(rank[a])) < none:
+                    if r not in places_of:
+                        places_of[r] = []
+                        heappush(waiting, r)
+                    places_of[r].append(places[a:b])
+
+        put(np.arange(n))
+        while waiting:
+            r = heappop(waiting)
+            places = np.unique(np.concatenate(places_of.pop(r)))
+            places = places[alive[places]]
+            places = places[self.ranks(symbols[places], symbols[after[places]]) == r]
+            if not len(places):
+                continue
+            runs = np.concatenate([[True], after[places[:-1]] != places[1:]])
+            begin = np.maximum.accumulate(np.where(runs, np.arange(len(places)), 0))
+            places = places[(np.arange(len(places)) - begin) % 2 == 0]
+            right = after[places]
+            symbols[places], alive[right] = self.result[r], False
+            after[places] = after[right]
+            before[after[places]] = places
+            near = before[places]
+            put(np.unique(np.concatenate([places, near[near < n]])))
+        return symbols[:n][alive[:n]]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many words in one flat array, and each word's first place in it."""
         lengths = np.array([len(w) for w in words], np.int64)
-        symbols = self.first[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words)), lengths)
-        done_symbols, done_owner = [], []
+        long = np.flatnonzero(lengths > LONG)
+        done_symbols = [self.merge_long(words[k]) for k in long]
+        done_owner = [np.full(len(x), k) for k, x in zip(long, done_symbols, strict=True)]
+        symbols = self.first[np.frombuffer(b"".join(w for w in words if len(w) <= LONG), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), np.where(lengths > LONG, 0, lengths))
         none = len(self.rank)
         while len(symbols):
-            key = (symbols[:-1] << 32) | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
-            rank = np.where((self.keys[at] == key) & (owner[:-1] == owner[1:]), self.rank[at], none)
-            rank = np.append(rank, none)
+            rank = np.append(np.where(owner[:-1] == owner[1:], self.ranks(symbols[:-1], symbols[1:]), none), none)
             heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             best = np.minimum.reduceat(rank, heads)
             sizes = np.diff(np.append(heads, len(symbols)))
@@ -196,9 +253,10 @@ def _of(path: str) -> Bpe:
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """All rows and columns of `docs` with an array<int> column of token ids (replacing a column of that name).
 
-    `vocabulary` is the file's path: it is read where the tasks run, or handed out by SparkContext.addFile under its base name.
+    `vocabulary` is the file's path.
     """
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name != ids), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    handed_out(docs, vocabulary)
+    schema = added(docs, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of(_find(vocabulary))
@@ -213,7 +271,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "tok
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """All rows and columns of `rows` with the text that the ids stand for; null ids give an empty text."""
-    schema = T.StructType([*(f for f in rows.schema.fields if f.name != text), T.StructField(text, T.StringType(), False)])
+    handed_out(rows, vocabulary)
+    schema = added(rows, T.StructField(text, T.StringType(), False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of(_find(vocabulary))
@@ -229,7 +288,8 @@ def digest(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 
     The ids are summed as little-endian unsigned 32-bit integers, the decoded text as UTF-8. Rows stay one to one.
     """
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    handed_out(docs, vocabulary)
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, k) for n, k in zip(beside(key, "n_tokens", "ids_sha256", "decoded_sha256"), (T.LongType(), T.StringType(), T.StringType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of(_find(vocabulary))
@@ -256,7 +316,12 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = 4 << 20) -> Iterator[p
         first = last
 
 
-def _find(path: str) -> str:
-    import os
+def handed_out(docs: DataFrame, path: str) -> None:
+    """Has the file sent to all machines unless it already is (once a session)."""
+    context = docs.sparkSession.sparkContext
+    if os.path.exists(path) and os.path.basename(path) not in {f.rsplit("/", 1)[-1] for f in context.listFiles}:
+        context.addFile(path)
+
 
+def _find(path: str) -> str:
     return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
