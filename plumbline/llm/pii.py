@@ -6,12 +6,15 @@ bidirectional LSTM over characters with CRF transitions, trained in numpy from
 labelled spans that a seeded generator plants in invented text. It reads
 overlapping windows; every character takes its tag from the window it lies most
 central in, and spans are read off the whole text's tags. A tagger's span holds
-a digit or an @ by definition, so windows without any are not run. Spans that
+a digit or an @ by definition, so only windows with one and their neighbours on
+either side are run. Spans that
 break the form of their kind (see `formed`) or overlap a base span are dropped;
 base spans always stay.
 
 Null texts count as empty and have no spans. Texts of any length are read
-whole. Repeated rows are tagged each. Offsets are code points, ends exclusive.
+whole. Repeated rows are tagged each, equal texts alike; of spans that begin at
+one place the order is that of KINDS. An empty table gives an empty result. A
+key may have any name. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.common import beside
 from plumbline.llm.words import chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -319,7 +323,7 @@ def tagged(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]
         trigger = np.flatnonzero((c == 3) | (c == 4))
         if len(trigger):
             last = max(0, -(-(len(c) - WINDOW) // STRIDE))
-            hit = np.unique(np.concatenate([np.clip(trigger // STRIDE - j, 0, last) for j in (0, 1)]))
+            hit = np.unique(np.concatenate([np.clip(trigger // STRIDE - j, 0, last) for j in (-1, 0, 1, 2)]))
             windows += [(k, int(w)) for w in hit]
     tags = [None] * len(texts)
     for at in range(0, len(windows), BATCH):
@@ -363,7 +367,7 @@ def _spans(text: str, tags: np.ndarray) -> list[tuple[int, int, int]]:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """Per row: the key, and `spans`, an array<struct<start, kind, end, base>> by start, then kind as in KINDS."""
     item = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("spans", T.ArrayType(item))])
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(*beside(key, "spans"), T.ArrayType(item))])
     held = docs.sparkSession.sparkContext.broadcast(tagger or trained())
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64()), ("base", pa.bool_())]))
 
@@ -392,12 +396,14 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", tagger: Tagge
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts of base spans by kind, the SHA-256 of base spans, all spans as kind:start:end, and how many were added."""
-    base = F.filter("spans", lambda s: s["base"])
+    found = found.toDF("_id", "_all")
+    base = F.filter("_all", lambda s: s["base"])
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    of_kind = lambda kind: F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))
-    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
-    return found.select(key, *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), added)
+    of_kind = lambda kind: F.filter("_all", lambda s: s["base"] & (s["kind"] == kind))
+    counts = [F.size(of_kind(kind)).cast("long") for kind in KINDS]
+    more = F.size(F.filter("_all", lambda s: ~s["base"])).cast("long")
+    names = beside(key, *(f"n_{kind}" for kind in KINDS), "base_sha256", "spans", "n_added")
+    return found.select("_id", *counts, F.sha2(listed(base).cast("binary"), 256), listed(F.col("_all")), more).toDF(key, *names)
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: str = "<{}>", tagger: Tagger | None = None) -> DataFrame:
