@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, jaccard, licenses, line_dedup, media, mixing, pii, quality, topk, toxicity
+from plumbline.llm import bpe, fim, jaccard, licenses, line_dedup, media, mixing, pii, quality, topk, toxicity
 from plumbline.llm.common import crc_mod3, table
 
 #: Mixing: entropy as a share of the most possible, and the most epochs of a source.
@@ -73,8 +73,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_quality, op3_source_mixing, op4_toxicity, op5_line_dedup, op6_pii, op7_bpe, op8_media, op9_ngram_jaccard, op10_topk)
+    f.__name__: f for f in (op1_license_scan, op2_quality, op3_source_mixing, op4_toxicity, op5_line_dedup, op6_pii, op7_bpe, op8_media, op9_ngram_jaccard, op10_topk, op11_fill_in_middle)
 }
 
 ORACLES: dict[str, str] = {
@@ -82,4 +86,5 @@ ORACLES: dict[str, str] = {
     "op5_line_dedup": line_dedup.SQL,
     "op9_ngram_jaccard": jaccard.SQL,
     "op10_topk": topk.sql(),
+    "op11_fill_in_middle": fim.SQL,
 }
