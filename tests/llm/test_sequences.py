@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import fim, queries
+from plumbline.llm import decontaminate, fim, queries
 from plumbline.llm.common import table
 
 TEXTS = [None, "", "a", "ab <P> c", "tail <M>", "<S>", "< P >", "<<P", "one two\n\nthree  four\n", "ñandú 漢字 😀👍🏽", "\n", " ", "x" * 200_000]
@@ -54,3 +55,77 @@ def test_fim_frames(spark, sf):
     assert all(by_id[i]["restored_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(TEXTS))
     assert fim.digest(df.limit(0)).count() == 0 and fim.digest(df.withColumnRenamed("doc_id", "N"), "N").columns[:2] == ["N", "_n"]
     assert queries.op11_fill_in_middle(spark, sf).count() == table(spark, sf, "documents").count()
+
+
+def words(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def plainly_found(text, items):
+    """(words, hit words, items) by comparing every window at every place."""
+    w, hit, found = words(text), set(), set()
+    for name, item in items:
+        v = words(item)
+        for test in [v[k : k + 10] for k in range(len(v) - 9)] or ([v] if v else []):
+            for k in range(len(w) - len(test) + 1):
+                if w[k : k + len(test)] == test:
+                    hit |= set(range(k, k + len(test)))
+                    found.add("" if name is None else str(name))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+def contaminated(seed):
+    """Texts that share passages with items, of words of very different lengths, some repeated."""
+    draw = random.Random(seed)
+    pool = ["a", "b", "bb", "the", "ñandú", "漢字", "Word", "longerword" * 5, "7", "x1"]
+    some = lambda n: draw.choices(pool, k=n)
+    items = [(k, " ".join(some(draw.choice([1, 2, 3, 9, 10, 11, 14, 30])))) for k in range(30)]
+    items += [(None, "q r s t u v w x y z q"), (5, "second row of an id with enough words to be a window"), (90, None), (91, "..."), (92, items[3][1]), (93, "Z" * 3000), (94, "a " * 12)]
+    texts = [None, "", "?!", "a " * 40, "Z" * 3000 + " tail", "b" + "z" * 3000, "q R;s--t\nu\tv w\x00x y z"]
+    for _ in range(120):
+        parts = [some(draw.randrange(20))]
+        for _ in range(draw.randrange(3)):
+            v = words(draw.choice(items)[1])
+            a = draw.randrange(len(v) + 1)
+            parts += [v[a : a + draw.randrange(25)], some(draw.randrange(8))]
+        texts.append("".join(w + draw.choice([" ", ", ", "\n", "--", "_"]) for p in parts for w in p))
+    return texts, items
+
+
+@pytest.mark.parametrize(("seed", "part", "words_of_piece"), [(1, 4 << 20, 4096), (2, 4 << 20, 3), (3, 300, 5)])
+def test_decontamination_by_brute_force(spark, monkeypatch, seed, part, words_of_piece):
+    monkeypatch.setattr(decontaminate, "PART_BYTES", part)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", words_of_piece)
+    texts, items = contaminated(seed)
+    docs = spark.createDataFrame([(k, t, "o", 3) for k, t in enumerate(texts)], "doc_id long, text string, HITS string, item int").repartition(3)
+    got = decontaminate.digest(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    rows = {r["doc_id"]: tuple(r)[1:] for r in got.collect()}
+    assert len(rows) == len(texts)
+    for k, t in enumerate(texts):
+        assert rows[k] == plainly_found(t, items), (k, t)
+    assert len({r[4] for r in rows.values()}) == 2
+
+
+def test_decontamination_spans_and_edges(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven", "k"), (2, "short item here", "k"), (None, "nothing", "k")], "doc_id long, text string, more string")
+    tests = spark.createDataFrame([("x", "TWO three four five six seven eight nine ten eleven twelve"), ("y", "Item, here")], "item_id string, text string")
+    found = {r["doc_id"]: r for r in decontaminate.find(docs, tests).collect()}
+    assert [tuple(h) for h in found[1]["hits"]] == [(1, 11)] and found[1]["items"] == ["x"] and found[1]["more"] == "k"
+    assert [tuple(h) for h in found[2]["hits"]] == [(1, 3)] and found[None]["hits"] == []
+    assert [r["doc_id"] for r in decontaminate.clean(docs, tests).collect()] == [None]
+    assert decontaminate.clean(docs, tests.limit(0)).count() == 3 and decontaminate.digest(docs, tests.limit(0)).where("contaminated or n_words < 1").count() == 0
+    assert decontaminate.digest(docs.limit(0), tests).count() == 0
+    # an item in many others, and one text in many rows
+    many = spark.createDataFrame([(k, "the same ten words stand in every one of these") for k in range(3000)], "item_id long, text string")
+    row = decontaminate.digest(spark.createDataFrame([(1, "so: the same ten words stand in every one of these!")] * 3, "doc_id long, text string"), many).collect()
+    assert len(row) == 3 and all(r["n_items"] == 3000 and r["n_hit"] == 10 for r in row)
+
+
+def test_long_texts_are_searched_whole():
+    item = " ".join(f"w{k}" for k in range(20_000))
+    text = " ".join(f"v{k}" for k in range(300_000)) + " " + item
+    pieces = [("i", b" ".join(w.encode() for w in item.split()[s : s + 4096 + 9]) + b" ") for s in range(0, 19_991, 4096)]
+    ((_, n, hits),) = decontaminate.Searcher(pieces).search(pa.array([text]))
+    assert list(n) == [320_000] and hits == {0: ([(300_000, 320_000)], ["i"])}
