@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, fim, jaccard, licenses, line_dedup, media, mixing, pii, quality, topk, toxicity
+from plumbline.llm import bpe, decontaminate, fim, jaccard, licenses, line_dedup, media, mixing, pii, quality, runs, topk, toxicity
 from plumbline.llm.common import crc_mod3, table
 
 #: Mixing: entropy as a share of the most possible, and the most epochs of a source.
@@ -81,8 +81,16 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_quality, op3_source_mixing, op4_toxicity, op5_line_dedup, op6_pii, op7_bpe, op8_media, op9_ngram_jaccard, op10_topk, op11_fill_in_middle, op12_decontamination)
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_quality, op3_source_mixing, op4_toxicity, op5_line_dedup, op6_pii, op7_bpe,
+        op8_media, op9_ngram_jaccard, op10_topk, op11_fill_in_middle, op12_decontamination, op13_periodic_runs,
+    )
 }
 
 ORACLES: dict[str, str] = {

@@ -3,12 +3,15 @@
 import hashlib
 import random
 import re
+import zlib
+from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, fim, queries
+from plumbline.llm import decontaminate, fim, queries, runs
 from plumbline.llm.common import table
 
 TEXTS = [None, "", "a", "ab <P> c", "tail <M>", "<S>", "< P >", "<<P", "one two\n\nthree  four\n", "ñandú 漢字 😀👍🏽", "\n", " ", "x" * 200_000]
@@ -129,3 +132,81 @@ def test_long_texts_are_searched_whole():
     pieces = [("i", b" ".join(w.encode() for w in item.split()[s : s + 4096 + 9]) + b" ") for s in range(0, 19_991, 4096)]
     ((_, n, hits),) = decontaminate.Searcher(pieces).search(pa.array([text]))
     assert list(n) == [320_000] and hits == {0: ([(300_000, 320_000)], ["i"])}
+
+
+def plain_runs(w):
+    """All runs, by trying every period at every place."""
+    n, out = len(w), []
+    for p in range(1, n // 4 + 1):
+        i = 0
+        while i + p < n:
+            k = i
+            while k + p < n and w[k] == w[k + p]:
+                k += 1
+            if k > i and k + p - i >= max(6, 4 * p) and not any(all(w[x] == w[x + q] for x in range(i, k + p - q)) for q in range(1, p)):
+                out.append((i, k + p - i, p))
+            i = max(k, i) + 1
+    return sorted((s, length, p) for s, length, p in out)
+
+
+@pytest.mark.parametrize("short", [4096, 10])
+def test_runs_by_brute_force(monkeypatch, short):
+    """Two and three letters, planted repetitions within repetitions; the path of long texts too."""
+    monkeypatch.setattr(runs, "SHORT", short)
+    monkeypatch.setattr(runs, "SLICE", 40)
+    monkeypatch.setattr(runs, "AT_ONCE", 64 if short > 10 else 5)
+    monkeypatch.setattr(runs, "SURVIVORS", 1 << 14 if short > 10 else 7)
+    runs._short.cache_clear()
+    draw, many = np.random.default_rng(3), 0
+    for k in range(700):
+        w = list(draw.integers(0, 2 + k % 3, draw.integers(0, 60)))
+        for _ in range(k % 4):
+            at, p = draw.integers(0, len(w) + 1), draw.integers(1, 9)
+            w[at:at] = (w[at : at + p] or [1]) * int(draw.integers(1, 9))
+        want = plain_runs(w)
+        assert runs.Finder(np.array(w, "int32")).runs() == want, w
+        many += len(want)
+    assert many > 800
+    runs._short.cache_clear()
+
+
+def test_runs_of_long_texts():
+
+    draw = np.random.default_rng(4)
+    natural = draw.zipf(1.4, 300_000).clip(0, 50_000).astype(np.int32)
+    assert [r for r in runs.Finder(natural).runs() if r[2] > 3] == []
+    natural[100_000:250_000] = np.resize(np.arange(60_001, 61_001, dtype=np.int32), 150_000)
+    assert [r for r in runs.Finder(natural).runs() if r[2] > 3] == [(100_000, 150_000, 1000)]
+    assert runs.Finder(np.zeros(1_000_000, np.int32)).runs() == [(0, 1_000_000, 1)]
+    assert runs.Finder(np.resize(np.array([0, 1, 0, 2], np.int32), 400_001)).runs() == [(0, 400_001, 4)]
+
+
+def test_run_query_and_edges(spark, sf):
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, sf, "documents").collect() if len(r["text"] or "") < 4000}
+    seen = 0
+    for r in queries.op13_periodic_runs(spark, sf).collect():
+        if r["doc_id"] not in docs:
+            continue
+        w = re.findall(r"[^\x20\x09-\x0D]+", docs[r["doc_id"]])
+        h, n = zlib.crc32(str(r["doc_id"]).encode()), len(w)
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [*w[:a], *(w[a + (i - a) % p] for i in range(a, n))]
+        want = plain_runs(w)
+        gone = {k for s, length, p in want for k in range(s + p, s + length)}
+        assert r["n_runs"] == len(want)
+        best = min(want, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2]), default=None)
+        assert (r["start"], r["length"], r["period"], r["exponent_milli"]) == ((*best, 1000 * best[1] // best[2]) if best else (None,) * 4)
+        assert r["runs_sha256"] == hashlib.sha256("".join(f"{s},{length},{p}\n" for s, length, p in want).encode()).hexdigest()
+        assert r["collapsed_sha256"] == hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
+        seen += bool(want)
+    assert seen > 20
+    df = spark.createDataFrame([(1, None, "k"), (2, "", "k"), (None, "a b " * 5, "k"), (1, "x\u00a0y " * 7, "k")], "doc_id long, text string, RUNS string")
+    found = runs.find(df)
+    assert found.columns == ["doc_id", "text", "n_words", "runs", "best", "collapsed"]
+    rows = {(r["doc_id"], r["text"]): r for r in found.collect()}
+    assert rows[(None, "a b " * 5)]["collapsed"] == "a b" and rows[(1, "x\u00a0y " * 7)]["n_words"] == 7 and rows[(1, None)]["best"] is None
+    assert runs.digest(df.limit(0)).count() == 0 and runs.digest(df).where("n_runs = 0 and start is null").count() == 2
+    assert runs.digest(df.withColumnRenamed("doc_id", "best"), "best").count() == 4
