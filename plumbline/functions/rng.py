@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,30 @@ def draw_sql(*parts: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
 
 
+#: The constants of the splitmix64 generator.
+_STEP, _FIRST, _SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def places(seed: int, stream: int, first: int, last: int, n: int) -> np.ndarray:
+    """Draws number first to last - 1 of a stream, each one of 0..n-1 with equal odds."""
+    u = np.uint64
+    z = np.arange(first, last, dtype=u) * u(_STEP) + u(int(md5(f"{seed}|{stream}".encode()).hexdigest()[:16], 16))
+    z = (z ^ (z >> u(30))) * u(_FIRST)
+    z = (z ^ (z >> u(27))) * u(_SECOND)
+    z ^= z >> u(31)
+    return ((z >> u(11)).astype(np.float64) * 2.0**-53 * n).astype(np.int64)
+
+
+def places_sql(seed: str, stream: str, i: str, n: str) -> str:
+    """Draw number i of a stream in DuckDB SQL."""
+    cut = f"% {1 << 64}::UHUGEINT)::UBIGINT"
+    key = f"CAST('0x' || substr(md5(concat_ws('|', {seed}, {stream})), 1, 16) AS UBIGINT)"
+    z = f"(({i}::UHUGEINT * {_STEP}::UHUGEINT + {key}::UHUGEINT) {cut}"
+    out = f"list_transform([{z}], lambda z: (xor(z, z >> 30)::UHUGEINT * {_FIRST}::UHUGEINT {cut})"
+    out = f"list_transform({out}, lambda z: (xor(z, z >> 27)::UHUGEINT * {_SECOND}::UHUGEINT {cut})"
+    return f"CAST(floor(list_transform({out}, lambda z: (xor(z, z >> 31) >> 11)::DOUBLE * {2.0**-53!r}::DOUBLE)[1] * {n}) AS BIGINT)"
+
+
 def seed_list(n: int, base: int = SEED) -> list[int]:
     """The base seed and n - 1 integers drawn from it."""
     # fixed values: generator and range decide the seeds

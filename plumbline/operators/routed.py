@@ -57,7 +57,7 @@ def _long(rows: DataFrame) -> DataFrame:
     return rows.select("item_id", F.posexplode("s").alias("j", "value")).select("item_id", F.format_string("c%03d", "j").alias("feature"), "value")
 
 
-def fit(rows: DataFrame, concepts: int = 12, folds: int = 3, acc_tol: float | None = 0.01) -> Routed:
+def fit(rows: DataFrame, concepts: int = 30, folds: int = 5, acc_tol: float | None = 0.01) -> Routed:
     """rows: item_id, image, words, word (a naming word), label, split, fold-free log probabilities `ln` of another classifier.
 
     Rules and the scorecard see train and val only. The pooling weight is chosen on out-of-fold scorecard predictions, with the

@@ -225,7 +225,7 @@ def planted(items: DataFrame, label: str, rho: float, key: str = "item_id") -> D
     return items.withColumn("text", F.when(hit, text.planted_cue(F.col("text"))).otherwise(F.col("text")))
 
 
-def calibration_runs(items: DataFrame, k: int, rhos: list[float], b: int = 200) -> DataFrame:
+def calibration_runs(items: DataFrame, k: int, rhos: list[float], b: int = resampling.B) -> DataFrame:
     """rho, lift, level, verdict of D3 on planted runs; rho 0 is the control."""
     out = None
     for rho in rhos:

@@ -41,15 +41,15 @@ def modality_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def concept_bank_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embedded(spark, sf_dir)
     words = F.concat(F.lit("w"), F.col("y").cast("string"))
-    bank = learners.concept_bank(e.where("item_id % 2 = 0").select("item_id", "vec", words.alias("word")), e.where("item_id % 2 = 1").select("item_id", "vec"), 12)
+    bank = learners.concept_bank(e.where("item_id % 2 = 0").select("item_id", "vec", words.alias("word")), e.where("item_id % 2 = 1").select("item_id", "vec"), 30)
     return rounded(bank.select("concept_id", "name", "n_text", "n_img"))
 
 
 @query()
 def oof_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold log probabilities of each row's class."""
-    e = rng.stratified_folds(embedded(spark, sf_dir).select("item_id", "vec", "y"), "y", "item_id", 3)
-    out = learners.out_of_fold(e, 10, 3)
+    e = rng.stratified_folds(embedded(spark, sf_dir).select("item_id", "vec", "y"), "y", "item_id", 5)
+    out = learners.out_of_fold(e, 10, 5)
     return rounded(out.select("item_id", F.array_max("lc").alias("best_log_prob")))
 
 

@@ -50,12 +50,12 @@ def beam_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {MANIFEST_SQL}, c AS (SELECT CASE WHEN starts_with(source, 'src1') THEN 'src1' ELSE 'other' END AS "group", trim(title, ' ') AS cap, substr(text, 1, 80) AS b, substr(text, 1, 40) AS a FROM manifest)
+    f"""WITH {MANIFEST_SQL}, c AS (SELECT CASE WHEN starts_with(source, 'src1') THEN 'src1' ELSE 'other' END AS "group", trim(title, ' ') AS cap, text AS b, trim(regexp_replace(replace(text, chr(65533), ' '), '\\s+', ' ', 'g'), ' ') AS a FROM manifest)
   SELECT "group", count(*) AS n, count(*) FILTER (WHERE cap = trim(b, ' ')) AS equal_before, round(avg(length(b)), 6) AS length_before, round(avg(CAST(length(b) = 0 AS DOUBLE)), 6) AS empty_before,
     count(*) FILTER (WHERE cap = trim(a, ' ')) AS equal_after, round(avg(length(a)), 6) AS length_after, round(avg(CAST(length(a) = 0 AS DOUBLE)), 6) AS empty_after FROM c GROUP BY 1"""
 )
 def channel_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = manifest(spark, sf_dir).withColumns({"before": F.substring("text", 1, 80), "after": F.substring("text", 1, 40)})
+    m = manifest(spark, sf_dir).withColumns({"before": F.col("text"), "after": text.squeeze(F.col("text"))})
     return rounded(regimes.channel_correction(m, text.source_group(F.col("source"), "src1"), "title", "before", "after"))
 
 

@@ -14,8 +14,17 @@ H = rng.draw_sql
 #: Resamples in the queries and their SQL.
 REPS = resampling.B
 
-_POS = "p AS (SELECT *, dense_rank() OVER (ORDER BY item_id) - 1 AS pos FROM pred), n AS (SELECT count(DISTINCT item_id) AS n FROM pred)"
-_DRAWS = f"w AS (SELECT b, {H('43', 'b', 'i')} % n AS pos, count(*) AS w FROM n, (SELECT unnest(range({REPS})) AS b), (SELECT unnest(range((SELECT n FROM n))) AS i) GROUP BY 1, 2)"
+
+def _draws(columns: str, unit: str = "item_id", where: str = "true") -> str:
+    """w: b, item_id and how often its unit is drawn; units lie by the hash of their patterns' counts, `columns` say which."""
+    return f"""un AS (SELECT item_id, {unit} AS unit, concat_ws('|', {columns}) AS k FROM pred WHERE {where}),
+  uc AS (SELECT unit, k || 'x' || count(*) AS k FROM un GROUP BY un.unit, un.k), uh AS (SELECT unit, md5(string_agg(k, ';' ORDER BY k)) AS h FROM uc GROUP BY 1),
+  pl AS (SELECT unit, row_number() OVER (ORDER BY h, unit) - 1 AS place, count(*) OVER () AS n FROM uh), nn AS (SELECT count(*) AS n FROM uh),
+  dr AS (SELECT b, {rng.places_sql("'43'", 'b', 'i', 'n')} AS place, count(*) AS w FROM nn, (SELECT unnest(range({REPS})) AS b), (SELECT unnest(range((SELECT n FROM nn))) AS i) GROUP BY 1, 2),
+  w AS (SELECT b, m.item_id, dr.w FROM dr JOIN pl USING (place) JOIN (SELECT DISTINCT item_id, unit FROM un) m USING (unit))"""
+
+
+_DRAWS = _draws("1, seed, y, pa, pb")
 _C = f"cls AS (SELECT unnest(range({CLASSES})) AS class)"
 
 
@@ -25,9 +34,9 @@ def _f1(side: str, weight: str, source: str, by: str) -> str:
     return f"SELECT {by}, avg(CASE WHEN d > 0 THEN 2 * tp / d ELSE 0.0 END) AS f FROM ({one}) GROUP BY {by}"
 
 
-def _paired_sql(draws: str, head: str = "") -> str:
-    return f"""WITH {PRED_SQL}, {_POS}{head}, {draws}, {_C},
-  j AS (SELECT w.b, p.seed, y, pa, pb, w.w FROM p JOIN w USING (pos)),
+def _paired_sql(draws: str) -> str:
+    return f"""WITH {PRED_SQL}, {draws}, {_C},
+  j AS (SELECT w.b, pred.seed, y, pa, pb, w.w FROM pred JOIN w USING (item_id)),
   fa AS ({_f1('pa', 'w', 'j', 'b, seed')}), fb AS ({_f1('pb', 'w', 'j', 'b, seed')}),
   ac AS (SELECT b, seed, sum(CASE WHEN pa = y THEN w ELSE 0 END) / sum(w) - sum(CASE WHEN pb = y THEN w ELSE 0 END) / sum(w) AS d FROM j GROUP BY 1, 2),
   bt AS (SELECT fa.b, avg(fa.f - fb.f) AS df, (SELECT avg(d) FROM ac WHERE ac.b = fa.b) AS da FROM fa JOIN fb USING (b, seed) GROUP BY 1),
@@ -48,12 +57,7 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resampling.paired_interval(p, n, CLASSES, b=REPS))
 
 
-_GROUP_DRAWS = f"""g AS (SELECT DISTINCT item_id // 10 AS grp, pos FROM p), gi AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS g FROM (SELECT DISTINCT grp FROM g)), gn AS (SELECT count(*) AS n FROM gi),
-  gw AS (SELECT b, {H('43', 'b', 'i')} % n AS g, count(*) AS w FROM gn, (SELECT unnest(range({REPS})) AS b), (SELECT unnest(range((SELECT n FROM gn))) AS i) GROUP BY 1, 2),
-  w AS (SELECT b, g.pos, gw.w FROM gw JOIN gi USING (g) JOIN g ON g.grp = gi.grp)"""
-
-
-@query(_paired_sql(_GROUP_DRAWS))
+@query(_paired_sql(_draws("1, seed, y, pa, pb", "item_id // 10")))
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, _ = _placed(spark, sf_dir)
     groups = p.select(F.floor(F.col("item_id") / 10).alias("group"), "pos").distinct()
@@ -63,7 +67,7 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PRED_SQL}, {_POS}, {_DRAWS}, {_C}, j AS (SELECT w.b, y, pa, 1 AS maj, w.w FROM p JOIN w USING (pos) WHERE seed = 0), one AS (SELECT 0 AS b, y, pa, 1 AS maj FROM pred WHERE seed = 0),
+    f"""WITH {PRED_SQL}, {_draws("1, y, pa", where="seed = 0")}, {_C}, j AS (SELECT w.b, y, pa, 1 AS maj, w.w FROM pred JOIN w USING (item_id) WHERE seed = 0), one AS (SELECT 0 AS b, y, pa, 1 AS maj FROM pred WHERE seed = 0),
   fa AS ({_f1('pa', 'w', 'j', 'b')}), fm AS ({_f1('maj', 'w', 'j', 'b')}), oa AS ({_f1('pa', '1', 'one', 'b')}), om AS ({_f1('maj', '1', 'one', 'b')})
   SELECT 'lift' AS metric, (SELECT round(oa.f - om.f, 6) FROM oa, om) AS mean, round(quantile_cont(fa.f - fm.f, 0.025), 6) AS lo, round(quantile_cont(fa.f - fm.f, 0.975), 6) AS hi FROM fa JOIN fm USING (b)
   UNION ALL SELECT 'share', (SELECT round(f / 0.8, 6) FROM oa), round(quantile_cont(f / 0.8, 0.025), 6), round(quantile_cont(f / 0.8, 0.975), 6) FROM fa"""
@@ -75,7 +79,7 @@ def bootstrap_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PRED_SQL}, {_POS}, {_DRAWS}, {_C}, j AS (SELECT w.b, seed, y, pa, w.w FROM p JOIN w USING (pos)),
+    f"""WITH {PRED_SQL}, {_draws("seed, y, pa")}, {_C}, j AS (SELECT w.b, seed, y, pa, w.w FROM pred JOIN w USING (item_id)),
   c AS (SELECT b, seed, class, sum(CASE WHEN y = class AND pa = class THEN w ELSE 0 END) AS tp, sum(CASE WHEN y = class THEN w ELSE 0 END) + sum(CASE WHEN pa = class THEN w ELSE 0 END) AS d FROM j, cls GROUP BY ALL),
   f AS (SELECT b, class, avg(CASE WHEN d > 0 THEN 2 * tp / d ELSE 0.0 END) AS f FROM c GROUP BY 1, 2),
   o AS (SELECT seed, class, sum(CAST(y = class AND pa = class AS INT)) AS tp, sum(CAST(y = class AS INT)) + sum(CAST(pa = class AS INT)) AS d FROM pred, cls GROUP BY ALL)

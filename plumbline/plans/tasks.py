@@ -38,8 +38,8 @@ def task_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def shape_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D3 of every task, with intervals from 200 resamples each."""
-    return rounded(tasks.screen(registry(spark, sf_dir), {"toxicity": 0.9, "quality": 0.9}, b=200))
+    """D3 of every task, with intervals."""
+    return rounded(tasks.screen(registry(spark, sf_dir), {"toxicity": 0.9, "quality": 0.9}))
 
 
 _RESULTS = [("toxicity", "D3"), ("toxicity", "D6"), ("toxicity", "D3"), ("both", "D3")]
@@ -165,11 +165,11 @@ def threshold_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EMBEDDED_SQL}, l AS (SELECT b AS backbone, item_id, vec[b * 8 + 1 : b * 8 + 8] AS z FROM embedded, (SELECT unnest(range(3)) AS b)), m AS (SELECT *, list_max(z) AS hi FROM l)
+    f"""WITH {EMBEDDED_SQL}, l AS (SELECT b AS backbone, item_id, vec[b * 8 + 1 : b * 8 + 8] AS z FROM embedded, (SELECT unnest(range(8)) AS b)), m AS (SELECT *, list_max(z) AS hi FROM l)
   SELECT 'b' || backbone AS backbone, item_id, round(list_max(z) - hi - ln(list_sum(list_transform(z, lambda x: exp(x - hi)))), 6) AS best, round(z[1] - hi - ln(list_sum(list_transform(z, lambda x: exp(x - hi)))), 6) AS first FROM m"""
 )
 def backbone_log_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = embedded(spark, sf_dir).select("item_id", F.posexplode(F.array(*(F.slice("vec", b * 8 + 1, 8) for b in range(3)))).alias("b", "logits"))
+    e = embedded(spark, sf_dir).select("item_id", F.posexplode(F.array(*(F.slice("vec", b * 8 + 1, 8) for b in range(8)))).alias("b", "logits"))
     lp = tasks.expert_log_probs(e.select(F.concat(F.lit("b"), F.col("b").cast("string")).alias("backbone"), "item_id", "logits"))
     return rounded(lp.select("backbone", "item_id", F.array_max("lc").alias("best"), F.get("lc", F.lit(0)).alias("first")))
 
@@ -182,7 +182,7 @@ def probe_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PRED_SQL}, {system_tier._POS}, {system_tier._DRAWS}, {system_tier._C}, j AS (SELECT w.b, p.seed, y, pa, pb, w.w FROM p JOIN w USING (pos)),
+    f"""WITH {PRED_SQL}, {system_tier._DRAWS}, {system_tier._C}, j AS (SELECT w.b, pred.seed, y, pa, pb, w.w FROM pred JOIN w USING (item_id)),
   one AS (SELECT -1 AS b, seed, y, pa, pb, 1 AS w FROM pred), al AS (SELECT * FROM j UNION ALL SELECT * FROM one),
   fa AS ({system_tier._f1('pa', 'w', 'al', 'b, seed')}), fb AS ({system_tier._f1('pb', 'w', 'al', 'b, seed')}),
   ac AS (SELECT b, seed, sum(CASE WHEN pa = y THEN w ELSE 0 END) / sum(w) AS a, sum(CASE WHEN pb = y THEN w ELSE 0 END) / sum(w) AS c FROM al GROUP BY 1, 2),

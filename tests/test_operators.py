@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,28 +102,88 @@ def test_softmax(spark):
     assert got == pytest.approx(x - np.log(np.exp(x).sum()))
 
 
+def macro_f1(y, p, k):
+    d = [(2 * ((y == c) & (p == c)).sum(), (y == c).sum() + (p == c).sum()) for c in range(k)]
+    return sum(a / b if b else 0.0 for a, b in d) / k
+
+
 def test_registered_bootstraps_draw_all_resamples(spark):
-    """Lift and share of the registered query, against numpy with 2000 resamples on a small table."""
+    """Lift and share of the registered query, against numpy with 2000 resamples on a small table: units by the hash of what they hold."""
     import hashlib
 
+    from plumbline.functions import rng
     from plumbline.plans import fixtures, system_tier
 
     assert system_tier.REPS == resampling.B == 2000
-    rows = sorted((r["item_id"], r["y"], r["pa"]) for r in fixtures.predictions(spark, "/root/testdata/sf0.001").where("seed = 0").collect())
-    y, pa = (np.array([r[c] for r in rows]) for c in (1, 2))
+    rows = [(r["y"], r["pa"]) for r in fixtures.predictions(spark, "/root/testdata/sf0.001").where("seed = 0").collect()]
+    rows.sort(key=lambda r: hashlib.md5(f"1|{r[0]}|{r[1]}x1".encode()).hexdigest())
+    y, pa = (np.array([r[c] for r in rows]) for c in (0, 1))
     n, k = len(rows), fixtures.CLASSES
-    drawn = np.array([[int(hashlib.md5(f"43|{b}|{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)] for b in range(2000)])
-
-    def f1(y, p):
-        d = [(2 * ((y == c) & (p == c)).sum(), (y == c).sum() + (p == c).sum()) for c in range(k)]
-        return sum(a / b if b else 0.0 for a, b in d) / k
-
-    f = np.array([(f1(y[d], pa[d]), f1(y[d], np.ones(n, int))) for d in drawn])
+    f = np.array([(macro_f1(y[d], pa[d], k), macro_f1(y[d], np.ones(n, int), k)) for d in (rng.places(43, b, 0, n, n) for b in range(2000))])
     want = {"lift": np.percentile(f[:, 0] - f[:, 1], [2.5, 97.5]), "share": np.percentile(f[:, 0] / 0.8, [2.5, 97.5])}
     for r in system_tier.bootstrap_lift(spark, "/root/testdata/sf0.001").collect():
         assert [r["lo"], r["hi"]] == pytest.approx(want[r["metric"]], abs=2e-6)
 
 
+def predicted(spark, n, seeds=3, k=3, groups=None):
+    """pos, seed, y, pa, pb of n rows as a frame, and as arrays (y; seeds x n)."""
+    g = np.random.default_rng(7)
+    y = g.integers(0, k, n)
+    hard = (g.random(groups)[np.arange(n) % groups] if groups else g.random(n)) < 0.3
+    side = lambda p: np.where(hard & (g.random((seeds, n)) < 0.8) | (g.random((seeds, n)) < p), g.integers(0, k, (seeds, n)), y)
+    pa, pb = side(0.1), side(0.2)
+    frame = {"pos": np.tile(np.arange(n), seeds), "seed": np.repeat(np.arange(seeds), n), "y": np.tile(y, seeds), "pa": pa.ravel(), "pb": pb.ravel()}
+    return spark.createDataFrame(pd.DataFrame(frame)), y, pa, pb
+
+
+def plain_intervals(y, pa, pb, k, draw, b):
+    stats = lambda i: np.mean([[macro_f1(y[i], a[i], k) - macro_f1(y[i], c[i], k), (a[i] == y[i]).mean() - (c[i] == y[i]).mean()] for a, c in zip(pa, pb, strict=True)], axis=0)
+    boot = np.array([stats(draw()) for _ in range(b)])
+    return stats(np.arange(len(y))), np.percentile(boot, [2.5, 97.5], axis=0)
+
+
+def test_row_bootstrap_of_many_rows_is_the_plain_one(spark):
+    """10,000 rows: mean and ends against draws row by row, within what 600 resamples leave open."""
+    n, k = 10_000, 3
+    frame, y, pa, pb = predicted(spark, n, k=k)
+    g = np.random.default_rng(1)
+    mean, ends = plain_intervals(y, pa, pb, k, lambda: g.integers(0, n, n), 600)
+    for r in resampling.paired_interval(frame, n, k).collect():
+        m = ["d_macro_f1", "d_acc"].index(r["metric"])
+        width = ends[1, m] - ends[0, m]
+        assert r["mean"] == pytest.approx(mean[m]) and abs(r["lo"] - ends[0, m]) < 0.12 * width and abs(r["hi"] - ends[1, m]) < 0.12 * width
+
+
+def test_cluster_bootstrap_draws_whole_clusters(spark):
+    """6,000 clusters, one of them large: as whole clusters drawn plainly, and wider than rows."""
+    n, groups, k = 12_000, 6_000, 3
+    frame, y, pa, pb = predicted(spark, n, 2, k, groups)
+    group = np.arange(n) % groups
+    group[9_000:] = 17
+    members = [np.flatnonzero(group == c) for c in range(groups)]
+    g = np.random.default_rng(2)
+    mean, ends = plain_intervals(y, pa, pb, k, lambda: np.concatenate([members[c] for c in g.integers(0, groups, groups)]), 500)
+    place = spark.createDataFrame(pd.DataFrame({"pos": np.arange(n), "group": group}))
+    drawn = frame.join(resampling.group_positions(place), "pos").drop("pos").withColumnRenamed("place", "pos")
+    for r in resampling.paired_interval(drawn, groups, k).collect():
+        m = ["d_macro_f1", "d_acc"].index(r["metric"])
+        width = ends[1, m] - ends[0, m]
+        assert r["mean"] == pytest.approx(mean[m]) and abs(r["lo"] - ends[0, m]) < 0.12 * width and abs(r["hi"] - ends[1, m]) < 0.12 * width
+
+
+def test_blocks_and_chunks_change_no_draw(spark, monkeypatch):
+    n = 700
+    frame, *_ = predicted(spark, n, 2)
+    by = ["seed", "y", "pa", "pb"]
+    rows = lambda: sorted(tuple(r) for r in resampling.resampled(frame, by, n, 30).collect())
+    one = rows()
+    assert sum(r[-1] for r in one) == 30 * n * 2
+    monkeypatch.setattr(resampling, "ENTRIES", 40)
+    monkeypatch.setattr(resampling, "CHUNK", 100)
+    assert rows() == one
+    assert resampling.resampled(frame.limit(0), by, 0, 30).count() == 0
+
+
 def test_positions_and_bootstrap_of_equals(spark):
     p = spark.createDataFrame([(i * 3, s, i % 3, i % 3, i % 3) for i in range(30) for s in range(2)], "item_id long, seed long, y long, pa long, pb long")
     pos = resampling.positions(p)
