@@ -1,4 +1,4 @@
-"""Operators for preparing training text at scale: ten of them, each usable on its own.
+"""Operators for preparing training text at scale: thirteen of them, each usable on its own.
 
 Nothing else in the library imports this subpackage.
 """

@@ -26,12 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.tables import written
+from plumbline.functions.tables import dropped, written
 from plumbline.llm.common import fresh, others, saved
 
 WIDTH = 3
 #: A hash with more than a HEAVY-th of all windows is heavy; so there are fewer than HEAVY of them.
 HEAVY = 2000
+#: Documents that lose lines, and lines lost, up to which they are sent to the texts rather than shuffled with them (some 20 MB).
+SENT = 250_000
 _GAP = "\x1f"
 
 
@@ -59,8 +61,8 @@ def windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document that loses lines: _d and _gone, the sorted places of its removed lines."""
-    each, _ = written(windows(docs, key, text))
+    """One row per document that loses lines, kept: _d and _gone, the sorted places of its removed lines."""
+    each, path = written(windows(docs, key, text))
     first = F.min(F.struct("_d", "_p"))
     repeated = saved(each.groupBy("_h").agg(F.count("*").alias("_n"), first.alias("_first")).where("_n > 1"))
     total = repeated.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
@@ -68,7 +70,9 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     later = lambda side: each.join(side.select("_h", "_first"), "_h").where(F.struct("_d", "_p") > F.col("_first")).select("_d", "_p")
     found = later(F.broadcast(heavy)).unionByName(later(rest))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("_p"), lambda p: F.sequence(p, p + WIDTH - 1)))))
-    return found.groupBy("_d").agg(covered.alias("_gone"))
+    lost = saved(found.groupBy("_d").agg(covered.alias("_gone")))
+    dropped(docs.sparkSession, path)
+    return lost
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool = False) -> DataFrame:
@@ -78,6 +82,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool
     """
     own, other, gone, lines = (fresh(name, docs) for name in ("_own", "_other", "_gone", "_lines"))
     lost = removed_lines(docs, key, text).select(F.col("_d").alias(other), F.col("_gone").alias(gone))
+    size = lost.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(gone)), F.lit(0)).alias("places")).first()
+    if size["n"] + size["places"] <= SENT:
+        # few enough lose lines: the texts stay where they are
+        lost = F.broadcast(lost)
     # split before the join, which keeps the optimizer from splitting again for every line
     named = docs.withColumns({own: _document(key, text), lines: _lines(F.col(text))})
     joined = named.drop(text).join(lost, F.col(own).eqNullSafe(F.col(other)), "left")

@@ -7,9 +7,12 @@ smallest that keeps within the repetition limit. Five steps of the bisection
 are read off one aggregate over the sources, so neither driver nor any task
 holds them all.
 
-The weights are realised within a budget of tokens; without one given, nothing is
-lost: the budget is the least at which every source is seen whole at least once.
-A source is gone through in epochs; each
+The weights are realised within a budget of tokens. A budget that is given needs
+a repetition limit too: no source is seen more often, and what sources at the
+limit leave goes to the others in their weights (a level found by bisection over
+aggregates); a budget beyond what the limit allows is an error. Without a budget
+nothing is lost: it is the least at which every source is seen whole at least
+once. A source is gone through in epochs; each
 epoch is a permutation of its documents by hash, and the last is cut where the
 source's token budget ends. The permuted documents, laid along [0, 1) by tokens
 within their source, are cut into blocks of which each has all sources in
@@ -41,6 +44,8 @@ SEED = "mix"
 STEPS, ROUNDS = 5, 9
 #: Pieces of the mix for a shuffle partition, at least, when it is written.
 PIECES = 64
+#: Epochs of a source, at most: a mix without a repetition limit that needs more is an error.
+MOST_EPOCHS = 10_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -86,32 +91,62 @@ def exponent(sources: DataFrame, entropy: float | None, repetition: float | None
     return round(a, 9)
 
 
-def weights(docs: DataFrame, source: str = "source", text: str = "text", entropy: float | None = None, repetition: float | None = None, budget: int | None = None) -> DataFrame:
+def weights(docs: DataFrame, source: str = "source", text: str = "text", entropy: float | None = None, repetition: float | None = None, budget: int | None = None, passes: float | None = None) -> DataFrame:
     """One row per source: source, docs, tokens, weight, and epochs (how often the budget of tokens goes through it)."""
     counted = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("docs"), F.sum(tokens_of(F.col(text))).alias("tokens"))
-    return _weights(saved(counted), entropy, repetition, budget)
+    return _weights(saved(counted), entropy, repetition, budget, passes)
 
 
-def _weights(sources: DataFrame, entropy: float | None, repetition: float | None, budget: int | None = None) -> DataFrame:
+def _weights(sources: DataFrame, entropy: float | None, repetition: float | None, budget: int | None = None, passes: float | None = None) -> DataFrame:
     a = exponent(sources, entropy, repetition)
-    hi = sources.agg(F.max("tokens").alias("hi")).first()["hi"] or 1
+    head = sources.agg(F.max("tokens").alias("hi"), F.sum("tokens").alias("t")).first()
+    hi, total = head["hi"] or 1, head["t"] or 0
     power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / float(hi), F.lit(a))).otherwise(0.0)
-    z = sources.agg(F.sum(power).alias("z")).first()["z"] or 1.0
-    # n**(a - 1) is the weight against tokens; it is least for the largest source, which is seen once
-    seen = F.pow(float(hi) / F.col("tokens"), F.lit(1.0 - a)) if budget is None else float(budget) * power / z / F.col("tokens")
-    epochs = F.when(F.col("tokens") > 0, seen).otherwise(1.0)
-    return sources.withColumn("weight", power / z).withColumn("epochs", F.round(epochs, 6))
-
-
-def schedule(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", entropy: float | None = None, repetition: float | None = None, blocks: int = BLOCKS, seed: str = SEED, budget: int | None = None) -> DataFrame:
+    if budget is None and passes is None:
+        # n**(a - 1) is the weight against tokens; it is least for the largest source, which is seen once
+        z = sources.agg(F.sum(power).alias("z")).first()["z"] or 1.0
+        made = sources.withColumn("weight", power / z)
+        seen = F.pow(float(hi) / F.col("tokens"), F.lit(1.0 - a))
+    else:
+        goal = float(budget if budget is not None else passes * total)
+        if repetition is None:
+            raise ValueError("a budget needs a repetition limit")
+        if goal > repetition * total * (1 + 1e-12):
+            raise ValueError(f"a budget of {goal:.0f} tokens repeats {total} tokens more than {repetition} times")
+        capped = F.least(F.lit(_level(sources, power, repetition, goal)) * power, repetition * F.col("tokens"))
+        made = sources.withColumn("weight", F.when(F.lit(goal > 0), capped / F.lit(goal or 1.0)).otherwise(0.0))
+        seen = capped / F.col("tokens")
+    made = made.withColumn("epochs", F.round(F.when(F.col("tokens") > 0, seen).otherwise(1.0), 6))
+    if (made.agg(F.max("epochs").alias("e")).first()["e"] or 0) > MOST_EPOCHS:
+        raise ValueError(f"a source would come more than {MOST_EPOCHS} times; give a repetition limit")
+    return made
+
+
+def _level(sources: DataFrame, power: Column, repetition: float, goal: float) -> float:
+    """The least level, to 45 halvings of the highest one, at which sum(min(level * power, repetition * tokens)) reaches the goal."""
+    most = repetition * F.col("tokens")
+    live = sources.where("tokens > 0")
+    top = live.agg(F.max(most / power).alias("x")).first()["x"] or 0.0
+    lo, hi = 0.0, 1.0
+    for _ in range(ROUNDS):
+        width = (hi - lo) / 2**STEPS
+        points = [lo + width * k for k in range(1, 2**STEPS)]
+        row = live.agg(*(F.sum(F.least(F.lit(top * x) * power, most)).alias(f"s{k}") for k, x in enumerate(points))).first()
+        k = next((k for k in range(len(points)) if (row[f"s{k}"] or 0.0) >= goal * (1 - 1e-12)), len(points))
+        lo, hi = lo + width * k, lo + width * (k + 1)
+    return top * hi
+
+
+def schedule(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", entropy: float | None = None, repetition: float | None = None, blocks: int = BLOCKS, seed: str = SEED, budget: int | None = None, passes: float | None = None) -> DataFrame:
     """One row for each unit and epoch: source, id, tokens, epoch, block, and `order` to sort by within a block.
 
-    budget: tokens in all, which may leave out documents or repeat them; by default every document comes at least once.
+    budget: tokens in all, which may leave out documents or repeat them; or passes, the budget as a multiple of all tokens. By default
+    every document comes at least once.
     """
     units = docs.groupBy(F.col(source).alias("source"), F.col(key).alias("id")).agg(F.sum(tokens_of(F.col(text))).alias("tokens"))
     units = saved(units)
     sources = units.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
-    plan = _weights(saved(sources), entropy, repetition, budget).select(F.col("source").alias("_s"), F.col("docs").alias("_docs"), F.col("tokens").alias("_tokens"), "weight", "epochs")
+    plan = _weights(saved(sources), entropy, repetition, budget, passes).select(F.col("source").alias("_s"), F.col("docs").alias("_docs"), F.col("tokens").alias("_tokens"), "weight", "epochs")
     joined = units.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
     every = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("epochs").cast("int"), F.lit(1)) - 1)))
@@ -127,7 +162,7 @@ def schedule(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     laid = laid.join(ahead, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("epoch") == F.col("_e2")) & (F.col("_room") == F.col("_r2")))
     start = F.col("_ahead") + F.col("_before") + F.col("epoch") * F.col("_tokens")
     end = F.col("epochs") * F.col("_tokens")
-    once = (F.col("epoch") == 0) & (F.lit(budget is None) | (F.col("tokens") == 0))
+    once = (F.col("epoch") == 0) & (F.lit(budget is None and passes is None) | (F.col("tokens") == 0))
     laid = laid.withColumn("_start", start).where(once | (F.col("tokens") > 0) & (F.col("_start") < end))
     block = F.when(end > 0, F.least(F.floor(F.col("_start") * blocks / end), F.lit(blocks - 1))).otherwise(0).cast("int")
     return laid.select("source", "id", "tokens", F.col("epoch").cast("int").alias("epoch"), block.alias("block"), "order", "weight")
@@ -147,7 +182,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     return joined.repartition(F.col(b), F.substring(o, 1, digits)).sortWithinPartitions(b, o).select(*docs.columns)
 
 
-def sql(entropy: float, repetition: float, blocks: int = BLOCKS, seed: str = SEED) -> str:
+def sql(entropy: float, repetition: float, passes: float, blocks: int = BLOCKS, seed: str = SEED) -> str:
     """The schedule of `documents` in DuckDB: doc_id, source, tokens, epoch, block, place (to sort by in a block), weight (6 places)."""
     return f"""
 WITH RECURSIVE unit AS (
@@ -163,9 +198,16 @@ bis(k, lo, hi) AS (
         list_sum(list_transform(ns, lambda x: pow(x / t, (bis.lo + bis.hi) / 2) * (bis.lo + bis.hi) / 2 * ln(x / t))) AS l FROM bis, head WHERE k < {STEPS * ROUNDS}) b)),
 ent AS (SELECT CASE WHEN -list_sum(list_transform(ns, lambda x: x / t * ln(x / t))) >= {entropy} * ln(len(ns)) - 1e-12 THEN 1.0 ELSE (SELECT lo FROM bis ORDER BY k DESC LIMIT 1) END AS a FROM head),
 pick AS (SELECT CASE WHEN head.hi = head.lo THEN 1.0 ELSE round(greatest(a, 1 - ln({repetition}) / ln(head.hi / head.lo)), 9) END AS a, head.hi AS top FROM ent, head),
+live AS (SELECT list(n::DOUBLE ORDER BY n) AS ns, list(pow(n / top, a) ORDER BY n) AS ps, sum(n)::DOUBLE * {passes} AS goal, max({repetition} * n / pow(n / top, a)) AS far FROM src, pick WHERE n > 0),
+lev(k, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, CASE WHEN ok THEN lo ELSE m END, CASE WHEN ok THEN m ELSE hi END FROM (
+    SELECT lev.*, (lev.lo + lev.hi) / 2 AS m, list_sum(list_transform(range(1, len(ns) + 1), lambda i: least(far * ((lev.lo + lev.hi) / 2) * ps[i], {repetition} * ns[i]))) >= goal * (1 - 1e-12) AS ok FROM lev, live WHERE k < {STEPS * ROUNDS})),
+lvl AS (SELECT far * (SELECT hi FROM lev ORDER BY k DESC LIMIT 1) AS level, goal FROM live),
 plan AS (
-  SELECT source, n, CASE WHEN n > 0 THEN pow(n / top, a) ELSE 0 END / (SELECT sum(pow(n / top, a)) FROM src, pick WHERE n > 0) AS weight,
-    CASE WHEN n > 0 THEN round(pow(top / n, 1 - a), 6) ELSE 1 END AS epochs FROM src, pick),
+  SELECT source, n, CASE WHEN n > 0 THEN least(level * pow(n / top, a), {repetition} * n) / goal ELSE 0 END AS weight,
+    CASE WHEN n > 0 THEN round(least(level * pow(n / top, a), {repetition} * n) / n, 6) ELSE 1 END AS epochs FROM src, pick, lvl),
 every AS (
   SELECT u.*, p.n, p.weight, p.epochs, unnest(range(greatest(CAST(ceil(p.epochs) AS BIGINT), 1))) AS epoch FROM unit u JOIN plan p ON u.source IS NOT DISTINCT FROM p.source),
 drawn AS (SELECT *, md5('{seed}|' || coalesce(source, chr(0)) || '|' || epoch || '|' || coalesce(doc_id::VARCHAR, chr(0))) AS digest FROM every),
@@ -173,5 +215,5 @@ laid AS (
   SELECT *, sum(tokens) OVER (PARTITION BY source, epoch ORDER BY digest, doc_id) - tokens + epoch * n AS start FROM drawn)
 SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch, digest AS place,
   CAST(CASE WHEN epochs * n > 0 THEN least(floor(start * {blocks} / (epochs * n)), {blocks} - 1) ELSE 0 END AS INTEGER) AS block, round(weight, 6) AS weight
-FROM laid WHERE epoch = 0 OR tokens > 0 AND start < epochs * n
+FROM laid WHERE epoch = 0 AND tokens = 0 OR tokens > 0 AND start < epochs * n
 """

@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -364,6 +366,13 @@ def _spans(text: str, tags: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
+def apart(added: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The added spans that no base span overlaps; base spans come by start."""
+    starts = [s[0] for s in base]
+    furthest = list(accumulate((s[2] for s in base), max))
+    return [s for s in added if not (k := bisect_left(starts, s[2])) or furthest[k - 1] <= s[0]]
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """Per row: the key, and `spans`, an array<struct<start, kind, end, base>> by start, then kind as in KINDS."""
     item = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])
@@ -387,7 +396,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", tagger: Tagge
                 out: list[list[dict]] = [[] for _ in range(len(column))]
                 for k, t, added in zip(places, texts, tagged(held.value, texts), strict=True):
                     base = base_spans(t)
-                    more = [s for s in added if not any(a < s[2] and s[0] < b for a, _, b in base)]
+                    more = apart(added, base)
                     out[k] = [{"start": a, "kind": KINDS[kind], "end": b, "base": is_base} for (a, kind, b), is_base in sorted([*((s, True) for s in base), *((s, False) for s in more)])]
                 yield pa.RecordBatch.from_arrays([piece.column(key), pa.array(out, arrow)], names=schema.fieldNames())
 
@@ -415,7 +424,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: str =
         if not x:
             return x
         base = base_spans(x)
-        spans = sorted([*base, *(s for s in tagged(held.value, [x])[0] if not any(a < s[2] and s[0] < b for a, _, b in base))])
+        spans = sorted([*base, *apart(tagged(held.value, [x])[0], base)])
         out, at = [], 0
         for start, kind, end in spans:
             if start >= at:

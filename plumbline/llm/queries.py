@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from plumbline.llm import bpe, decontaminate, fim, jaccard, licenses, line_dedup, media, mixing, pii, quality, runs, topk, toxicity
 from plumbline.llm.common import crc_mod3, table
 
-#: Mixing: entropy as a share of the most possible, and the most epochs of a source.
-ENTROPY, REPETITION = 0.98, 3.0
+#: Mixing: entropy as a share of the most possible, the most epochs of a source, and the budget as a multiple of all tokens.
+ENTROPY, REPETITION, PASSES = 0.98, 3.0, 2.0
 
 
 def vocabulary() -> str:
@@ -36,7 +36,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.schedule(table(spark, sf_dir, "documents"), entropy=ENTROPY, repetition=REPETITION)
+    plan = mixing.schedule(table(spark, sf_dir, "documents"), entropy=ENTROPY, repetition=REPETITION, passes=PASSES)
     return plan.select(F.col("id").alias("doc_id"), "source", "tokens", "epoch", "block", F.col("order").alias("place"), F.round("weight", 6).alias("weight"))
 
 
@@ -94,7 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op3_source_mixing": mixing.sql(ENTROPY, REPETITION),
+    "op3_source_mixing": mixing.sql(ENTROPY, REPETITION, PASSES),
     "op5_line_dedup": line_dedup.SQL,
     "op9_ngram_jaccard": jaccard.SQL,
     "op10_topk": topk.sql(),

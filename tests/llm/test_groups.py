@@ -205,6 +205,46 @@ def test_mixing(spark):
     assert mixing.exponent(mixing.weights(df), None, None) == 1.0
 
 
+def plainly_filled(tokens, power, repetition, goal):
+    """Epochs by handing what capped sources leave to the others, one by one."""
+    capped = set()
+    while True:
+        left = goal - sum(repetition * tokens[s] for s in capped)
+        z = sum(power[s] for s in tokens if s not in capped)
+        over = {s for s in tokens if s not in capped and left * power[s] / z > repetition * tokens[s] * (1 + 1e-9)}
+        if not over:
+            return {s: repetition if s in capped else left * power[s] / z / tokens[s] for s in tokens}
+        capped |= over
+
+
+@pytest.mark.parametrize(("budget", "entropy"), [(300, 0.98), (1500, 0.98), (2500, 0.9), (2999, 1.0), (3060, 0.98)])
+def test_a_budget_keeps_the_repetition_limit(spark, budget, entropy):
+    tokens = {"big": 850, "mid": 100, "small": 50, "tiny": 20}
+    df = docs(spark, [(k * 1000 + i, "w " * 5, s) for k, (s, t) in enumerate(tokens.items()) for i in range(t // 5)], ", source string")
+    a = mixing.exponent(mixing.weights(df), entropy, 3.0)
+    want = plainly_filled(tokens, {s: (t / 850) ** a for s, t in tokens.items()}, 3.0, budget)
+    found = {r["source"]: r for r in mixing.weights(df, entropy=entropy, repetition=3.0, budget=budget).collect()}
+    for s in tokens:
+        assert found[s]["epochs"] == pytest.approx(want[s], abs=2e-6) and found[s]["weight"] == pytest.approx(want[s] * tokens[s] / budget, abs=1e-6)
+    plan = mixing.schedule(df, entropy=entropy, repetition=3.0, budget=budget)
+    spent = {r["source"]: (r["t"], r["e"]) for r in plan.groupBy("source").agg(F.sum("tokens").alias("t"), F.max("epoch").alias("e")).collect()}
+    assert all(t <= 3 * tokens[s] and e < 3 and abs(t - want[s] * tokens[s]) <= 5 for s, (t, e) in spent.items())
+
+
+def test_budgets_that_cannot_be_met(spark):
+    df = docs(spark, [(1, "a " * 1000, "x"), (2, "b " * 20, "y")], ", source string")
+    for how in ({"budget": 20_000, "repetition": 3.0}, {"budget": 500}, {"passes": 3.1, "repetition": 3.0}):
+        with pytest.raises(ValueError):
+            mixing.schedule(df, entropy=0.98, **how)
+    huge = docs(spark, [(i, "a " * 5000, "x") for i in range(200)] + [(999, "b", "y")], ", source string")
+    with pytest.raises(ValueError):
+        mixing.schedule(huge, entropy=1.0)
+    empty = docs(spark, [(1, "", "x"), (2, None, "y"), (3, " ", None)], ", source string")
+    for how in ({}, {"passes": 2.0}, {"budget": 0}):
+        assert mixing.schedule(empty, entropy=0.98, repetition=3.0, **how).where("tokens = 0 and epoch = 0 and weight = 0").count() == 3
+    assert mixing.schedule(empty.limit(0), repetition=3.0, passes=2.0).count() == 0
+
+
 def brute_top(ids, x, asked, k):
     out = []
     for j in asked:
