@@ -9,8 +9,10 @@ aligned in the same way. Gaps without anchors match equal words from both
 ends. Coverage is the share of template words that are matched.
 
 A hit must also match the words that name its license, as far as its template
-has them (NAMES); a template of fewer than SHORT words that has none counts
-only when it is matched whole.
+has them (NAMES), and the text must not add, between the words that it matches,
+a word that tells another license (TELLING): a notice of the LGPL is none of the
+GPL. A template of fewer than SHORT words that has no naming word counts only
+when it is matched whole.
 
 Windows whose words cannot reach the least coverage, by counting, are passed
 over; that drops nothing. All licenses are found, each at all its places: of
@@ -44,12 +46,20 @@ SHORT = 20
 #: The words that tell a license from others; for other licenses those of the name itself, but for 0.
 NAMES: dict[str, str] = {
     "GPL-3.0": "gnu general public 3",
+    "LGPL-3.0": "gnu lesser general public 3",
+    "AGPL-3.0": "gnu affero general public 3",
     "MPL-2.0": "mozilla mpl 2",
     "CC-BY-4.0": "cc by creative commons attribution 4",
     "CC-BY-SA-4.0": "cc by sa creative commons attribution sharealike 4",
     "CC-BY-NC-4.0": "cc by nc creative commons attribution noncommercial 4",
+    "CC-BY-ND-4.0": "cc by nd creative commons attribution noderivatives 4",
+    "CC-BY-NC-SA-4.0": "cc by nc sa creative commons attribution noncommercial sharealike 4",
+    "CC-BY-NC-ND-4.0": "cc by nc nd creative commons attribution noncommercial noderivatives 4",
 }
 
+#: Words that, where a text adds them inside a notice, make it that of another license.
+TELLING = frozenset("lesser library affero sa sharealike nc noncommercial nd noderivatives noderivs clause 0 gnu mozilla apache mit bsd isc cc".split())
+
 #: Public licence texts and customary notices.
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
@@ -77,6 +87,20 @@ TEMPLATES: dict[str, list[str]] = {
         "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General "
         "Public License for more details.",
     ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "Lesser General Public License for more details.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it "
+        "will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "Affero General Public License for more details.",
+    ],
     "BSD": ["Released under the BSD License.", "Licensed under the BSD License."],
     "BSD-3-Clause": [
         "Released under the BSD 3-Clause License.",
@@ -103,6 +127,9 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
 }
 
 _word = re.compile(r"[^\W_]+")
@@ -169,6 +196,7 @@ class Scanner:
         self.templates = [(name, words_of(text)) for name, texts in sorted(templates.items()) for text in texts]
         self.counts = [Counter(words) for _, words in self.templates]
         self.naming = [frozenset(words_of(NAMES.get(name, name))) & set(words) - {"0"} for name, words in self.templates]
+        self.telling = [TELLING - set(words) for _, words in self.templates]
         self.vocabulary = frozenset(w for _, words in self.templates for w in words)
 
     def scan(self, text: str | None) -> tuple[int, str | None, float, int, int, int, list[tuple[str, float, int, int, int]]]:
@@ -195,12 +223,15 @@ class Scanner:
                 if w in vocabulary:
                     places.setdefault(w, []).append(k)
         hits: set[tuple] = set()
-        for (name, template), counts, naming in zip(self.templates, self.counts, self.naming, strict=True):
+        for (name, template), counts, naming, telling in zip(self.templates, self.counts, self.naming, self.telling, strict=True):
             need = self.least * len(template) if naming or len(template) >= SHORT else len(template)
             if not all(w in places for w in naming) or sum(min(c, len(places.get(w, ()))) for w, c in counts.items()) < need:
                 continue
-            for matched, first, after in self._windows(words, places, template, counts, need, naming):
-                hits.add((-matched / len(template), -len(template), name, first, after, matched))
+            for matched, first, after, reach in self._windows(words, places, template, counts, need, naming):
+                # none of these words is in the template, so what the span has of them is added; where the template's end is
+                # not matched, the words in its place are looked at too
+                if telling.isdisjoint(words[first:reach]):
+                    hits.add((-matched / len(template), -len(template), name, first, after, matched))
         return hits
 
     @staticmethod
@@ -214,7 +245,7 @@ class Scanner:
                 insort(kept, (first, after, hit))
         return [k[2] for k in kept]
 
-    def _windows(self, words: list[str], places: dict[str, list[int]], template: list[str], counts: Counter, need: float, naming: frozenset[str]) -> Iterator[tuple[int, int, int]]:
+    def _windows(self, words: list[str], places: dict[str, list[int]], template: list[str], counts: Counter, need: float, naming: frozenset[str]) -> Iterator[tuple[int, int, int, int]]:
         m = len(template)
         step, width = max(1, m // 2), -(-3 * m // 2) + 1
         rare = min(counts, key=lambda w: (len(places.get(w, ())) / counts[w], w))
@@ -228,10 +259,11 @@ class Scanner:
             if len(pairs) >= need and naming.issubset(template[y] for _, y in pairs):
                 first, after = s + pairs[0][0], s + pairs[-1][0] + 1
                 # from its end, the span leaves out earlier words that a notice before it shares with the template
+                open_end = m - 1 - pairs[-1][1]
                 back = align(words[first:after][::-1], template[::-1])
                 if len(back) >= len(pairs) and naming.issubset(template[-1 - y] for _, y in back):
-                    first, after, pairs = after - back[-1][0] - 1, after - back[0][0], back
-                yield len(pairs), first, after
+                    first, after, pairs, open_end = after - back[-1][0] - 1, after - back[0][0], back, back[0][1]
+                yield len(pairs), first, after, after + (open_end and open_end + 1)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:

@@ -1,5 +1,6 @@
 """Licenses, quality, toxicity, personal data."""
 
+import random
 import re
 import zlib
 
@@ -72,6 +73,90 @@ def test_licenses(spark, sf):
     assert licenses.scan(edge(spark)).count() == len(EDGE) and licenses.scan(edge(spark).limit(0)).count() == 0
 
 
+def test_no_license_of_another_name_at_full_coverage():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    cases = {
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "This work is licensed under the GNU Library General Public License, version 3.": None,
+        "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Released under the BSD 2-Clause License.": None, "Released under the BSD 3-Clause License.": "BSD-3-Clause", "Released under the MIT-0 License.": None,
+        licenses.TEMPLATES["LGPL-3.0"][1]: "LGPL-3.0", licenses.TEMPLATES["AGPL-3.0"][1]: "AGPL-3.0", licenses.TEMPLATES["GPL-3.0"][1]: "GPL-3.0",
+    }
+    for text, want in cases.items():
+        assert scanner.scan("word " * 9 + text + " more" * 9)[1] == want, text
+
+
+def plain_align(a, b):
+    """Patience alignment by its definition, recursively, with a quadratic longest increasing subsequence."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+        tail += 1
+    out = [(k, k) for k in range(head)] + [(len(a) - k, len(b) - k) for k in range(1, tail + 1)]
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    anchors = [(k, y.index(w)) for k, w in enumerate(x) if x.count(w) == 1 and y.count(w) == 1]
+    best: list[list] = []
+    for k, (_, place) in enumerate(anchors):
+        before = max((best[j] for j in reversed(range(k)) if anchors[j][1] < place), key=len, default=[])  # of equally long ones the last
+        best.append([*before, anchors[k]])
+    kept = max(reversed(best), key=len, default=[])
+    if kept:
+        for (x0, y0), (x1, y1) in zip([(-1, -1), *kept], [*kept, (len(x), len(y))], strict=True):
+            out += [(head + x0 + 1 + p, head + y0 + 1 + q) for p, q in plain_align(x[x0 + 1 : x1], y[y0 + 1 : y1])]
+        out += [(head + p, head + q) for p, q in kept]
+    return sorted(out)
+
+
+def test_alignments_are_those_of_a_plain_aligner():
+    draw = random.Random(8)
+    for _ in range(600):
+        a, b = (draw.choices("abcdefghijklmnopqrstuvw", k=draw.randrange(1, 25)) for _ in range(2))
+        got = licenses.align(a, b)
+        assert got == plain_align(a, b)
+        assert all(a[x] == b[y] for x, y in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
+def test_scan_is_that_of_every_window(spark):
+    """Mutated notices among other words: all windows of all templates are aligned plainly, without counting first."""
+    scanner, draw = licenses.Scanner(licenses.TEMPLATES), random.Random(9)
+    notices = [(name, text) for name, texts in licenses.TEMPLATES.items() for text in texts if len(text) < 500]
+
+    def plain_best(words):
+        best = None
+        for (name, template), naming, telling in zip(scanner.templates, scanner.naming, scanner.telling, strict=True):
+            need = 0.8 * len(template) if naming or len(template) >= licenses.SHORT else len(template)
+            step, width = max(1, len(template) // 2), -(-3 * len(template) // 2) + 1
+            for s in range(0, len(words), step):
+                pairs = plain_align(words[s : s + width], template)
+                if len(pairs) < need or not naming <= {template[y] for _, y in pairs}:
+                    continue
+                first, after, missing = s + pairs[0][0], s + pairs[-1][0] + 1, len(template) - 1 - pairs[-1][1]
+                back = plain_align(words[first:after][::-1], template[::-1])
+                if len(back) >= len(pairs) and naming <= {template[-1 - y] for _, y in back}:
+                    pairs = back
+                    last = after
+                    first, after, missing = last - back[-1][0] - 1, last - back[0][0], back[0][1]
+                if telling.isdisjoint(words[first : after + (missing + 1 if missing else 0)]):
+                    rank = (-len(pairs) / len(template), -len(template), name)
+                    best = min(best or rank, rank)
+        return best
+
+    hits = 0
+    for _ in range(60):
+        name, text = draw.choice(notices)
+        words = [w for w in licenses.words_of(text) if draw.random() < 0.97]
+        words[draw.randrange(len(words) + 1) : 0] = draw.choices(["lesser", "old", "word", "sa"], k=draw.randrange(2))
+        whole = draw.choices(["some", "other", "the", "license"], k=draw.randrange(12)) + words + draw.choices(["under", "and", "x"], k=draw.randrange(12))
+        want, got = plain_best(whole), scanner.scan(" ".join(whole))
+        assert (got[1], got[2]) == ((want[2], -want[0]) if want else (None, 0.0)), whole
+        hits += want is not None
+    assert hits > 25
+
+
 def test_all_licenses_of_a_text(spark):
     scanner = licenses.Scanner(licenses.TEMPLATES)
     two = scanner.scan("Released under the MIT License. Licensed under CC BY-NC 4.0.")
