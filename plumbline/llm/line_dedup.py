@@ -32,8 +32,6 @@ from plumbline.llm.common import fresh, others, saved
 WIDTH = 3
 #: A hash with more than a HEAVY-th of all windows is heavy; so there are fewer than HEAVY of them.
 HEAVY = 2000
-#: Documents that lose lines, and lines lost, up to which they are sent to the texts rather than shuffled with them (some 20 MB).
-SENT = 250_000
 _GAP = "\x1f"
 
 
@@ -82,10 +80,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool
     """
     own, other, gone, lines = (fresh(name, docs) for name in ("_own", "_other", "_gone", "_lines"))
     lost = removed_lines(docs, key, text).select(F.col("_d").alias(other), F.col("_gone").alias(gone))
-    size = lost.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(gone)), F.lit(0)).alias("places")).first()
-    if size["n"] + size["places"] <= SENT:
-        # few enough lose lines: the texts stay where they are
-        lost = F.broadcast(lost)
     # split before the join, which keeps the optimizer from splitting again for every line
     named = docs.withColumns({own: _document(key, text), lines: _lines(F.col(text))})
     joined = named.drop(text).join(lost, F.col(own).eqNullSafe(F.col(other)), "left")
