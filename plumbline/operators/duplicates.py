@@ -170,11 +170,11 @@ def components(items: DataFrame, links: DataFrame, key: str = "item_id") -> Data
     return items.select(key).join(labels, F.col(key) == F.col("node"), "left").select(key, F.coalesce("label", key).alias("component"))
 
 
-def group_split(comp: DataFrame, labels: DataFrame, folds: int = 20, test: int = 3, val: int = 3, key: str = "item_id", label: str = "y") -> DataFrame:
-    """key, component, split: whole groups on one side.
+def group_folds(comp: DataFrame, labels: DataFrame, folds: int, key: str = "item_id", label: str = "y") -> DataFrame:
+    """key, component, fold: whole groups in one fold.
 
-    Groups are ranked within their majority class, large ones first, and dealt to folds in turn there and back; the first folds are test,
-    the next val. No group crosses, and classes and sizes come out even.
+    Groups are ranked within their majority class, large ones first, and dealt to folds in turn there and back. No group crosses, and
+    classes and sizes come out even.
     """
     joined = comp.join(labels.select(key, F.col(label).alias("y")), key)
     counts = joined.groupBy("component", "y").count()
@@ -188,8 +188,13 @@ def group_split(comp: DataFrame, labels: DataFrame, folds: int = 20, test: int =
     dealt = buckets.join(ahead, ["major", "size", "b"]).withColumn("r", rank)
     turn, place = F.floor(F.col("r") / folds) % 2, F.col("r") % folds
     fold = F.when(turn == 0, place).otherwise(folds - 1 - place)
+    return joined.select(key, "component").join(dealt.select("component", fold.alias("fold")), "component").select(key, "component", "fold")
+
+
+def group_split(comp: DataFrame, labels: DataFrame, folds: int = 20, test: int = 3, val: int = 3, key: str = "item_id", label: str = "y") -> DataFrame:
+    """key, component, split: whole groups on one side, those of the first folds on test, of the next on val."""
     side = F.when(F.col("fold") < test, "test").when(F.col("fold") < test + val, "val").otherwise("train")
-    return joined.select(key, "component").join(dealt.withColumn("fold", fold).select("component", side.alias("split")), "component").select(key, "component", "split")
+    return group_folds(comp, labels, folds, key, label).select(key, "component", side.alias("split"))
 
 
 def crossing(links: DataFrame, split: DataFrame, key: str = "item_id") -> DataFrame:

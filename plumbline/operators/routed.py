@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors
-from plumbline.functions.rng import stratified_folds
 from plumbline.functions.tables import saved
-from plumbline.operators import learners, mining, pooling
+from plumbline.operators import classifier, learners, mining, pooling
+
+#: Folds whose jobs run at once.
+SIDE_BY_SIDE = 5
 
 
 @dataclass
@@ -57,40 +61,62 @@ def _long(rows: DataFrame) -> DataFrame:
     return rows.select("item_id", F.posexplode("s").alias("j", "value")).select("item_id", F.format_string("c%03d", "j").alias("feature"), "value")
 
 
-def fit(rows: DataFrame, concepts: int = 30, folds: int = 5, acc_tol: float | None = 0.01) -> Routed:
+def bank_of(part: DataFrame, concepts: int) -> tuple[list[list[float]], list[float], list[float]]:
+    """Centroids and the means of words and images of a concept bank over these rows."""
+    made = learners.concept_bank(part.select("item_id", F.col("words").alias("vec"), "word"), part.select("item_id", F.col("image").alias("vec")), concepts)
+    return [list(r["centroid"]) for r in made.orderBy("concept_id").collect()], _mean(part, "words"), _mean(part, "image")
+
+
+def card_of(part: DataFrame, n: int, k: int) -> pooling.Scorecard:
+    """A scorecard over n concept scores. part: s, y, split."""
+    return learners.scorecard(part.select(F.col("s").alias("vec"), "y", "split"), [f"c{j:03d}" for j in range(n)], k)
+
+
+def concept_oof(rows: DataFrame, k: int, concepts: int = 30, folds: int = 5, groups: DataFrame | None = None, rebuild: bool = True) -> DataFrame:
+    """item_id, fold, lc: log probabilities of every row by a scorecard that has not seen its fold.
+
+    The concept bank is made anew without each fold, as mining it uses labels; rebuild=False keeps one bank of all rows, which leaks and
+    is for measuring that. groups (item_id, component): no group is parted, so no row is scored by its near copies. The folds' fits run
+    side by side. rows: item_id, image, words, word, y, split (train or val).
+    """
+    dealt = saved(rows.join(classifier.folds_of(rows, folds, groups), "item_id"))
+    shared = None if rebuild else bank_of(dealt, concepts)
+
+    def one(f: int) -> DataFrame:
+        inside = dealt.where(F.col("fold") != f)
+        own = shared or bank_of(inside, concepts)
+        card = card_of(scored(inside, *own), len(own[0]), k)
+        held = scored(dealt.where(F.col("fold") == f), *own)
+        return saved(held.select("item_id", "fold", vectors.log_softmax(card.logits(card.standardised(F.col("s")))).alias("lc")))
+
+    with ThreadPool(min(folds, SIDE_BY_SIDE)) as pool:
+        parts = pool.map(inheritable_thread_target(dealt.sparkSession)(one), range(folds))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def fit(rows: DataFrame, concepts: int = 30, folds: int = 5, acc_tol: float | None = 0.01, groups: DataFrame | None = None) -> Routed:
     """rows: item_id, image, words, word (a naming word), label, split, fold-free log probabilities `ln` of another classifier.
 
     Rules and the scorecard see train and val only. The pooling weight is chosen on out-of-fold scorecard predictions, with the
-    concept bank built anew without each fold, so no row meets a bank that has seen it.
+    concept bank built anew without each fold, so no row meets a bank that has seen it (nor, with groups, one that has seen its copies).
     """
     rows = saved(rows)
-    known = rows.where("split IN ('train', 'val')")
     classes = sorted(r[0] for r in rows.select("label").distinct().collect())
-    y = F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1
-
-    def bank(part: DataFrame) -> tuple:
-        made = learners.concept_bank(part.select("item_id", F.col("words").alias("vec"), "word"), part.select("item_id", F.col("image").alias("vec")), concepts)
-        return [list(r["centroid"]) for r in made.orderBy("concept_id").collect()], _mean(part, "words"), _mean(part, "image")
-
-    def card_of(part: DataFrame, n: int) -> pooling.Scorecard:
-        return learners.scorecard(part.select(F.col("s").alias("vec"), y.cast("long").alias("y"), "split"), [f"c{j:03d}" for j in range(n)], len(classes))
-
-    parts = None
-    dealt = saved(stratified_folds(known, "label", "item_id", folds))
-    for f in range(folds):
-        inside = dealt.where(F.col("fold") != f)
-        own = bank(inside)
-        card = card_of(scored(inside, *own), len(own[0]))
-        held = scored(dealt.where(F.col("fold") == f), *own).select(y.cast("long").alias("y"), vectors.log_softmax(card.logits(card.standardised(F.col("s")))).alias("lc"), "ln")
-        parts = saved(held) if parts is None else parts.unionByName(saved(held))
-    weight = pooling.select_weight(pooling.operating_points(parts, len(classes)), acc_tol=acc_tol).first()["w"]
-    centroids, mu_t, mu_v = bank(known)
+    y = (F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1).cast("long")
+    rows = rows.withColumn("y", y)
+    known = rows.where("split IN ('train', 'val')")
+    parts = concept_oof(known, len(classes), concepts, folds, groups).join(known.select("item_id", "y", "ln"), "item_id")
+    weight = pooling.select_weight(pooling.operating_points(saved(parts.select("y", "lc", "ln")), len(classes)), acc_tol=acc_tol).first()["w"]
+    centroids, mu_t, mu_v = bank_of(known, concepts)
     full = saved(scored(rows, centroids, mu_t, mu_v))
     calib = full.where("split IN ('train', 'val')")
     lits = saved(mining.literals(_long(calib), calib))
     fires, labels = mining.true_literals(_long(calib), lits), calib.select("item_id", F.col("label").alias("class"))
     rules = saved(mining.greedy_dnf(mining.clauses(fires, lits, labels), fires, labels))
-    return Routed(classes, centroids, mu_t, mu_v, card_of(full, len(centroids)), lits, rules, weight)
+    return Routed(classes, centroids, mu_t, mu_v, card_of(full, len(centroids), len(classes)), lits, rules, weight)
 
 
 def decide(rows: DataFrame, system: Routed) -> DataFrame:
