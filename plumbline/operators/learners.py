@@ -146,6 +146,9 @@ def logistic_probe(rows: DataFrame, k: int, cs: tuple[float, ...] = PROBE_CS, l1
     best = None
     for c in cs:
         model = LogisticRegression(labelCol="y", featuresCol="features", weightCol="w", family="multinomial", standardization=False, regParam=1.0 / (c * total), elasticNetParam=1.0 if l1 else 0.0, maxIter=100).fit(train)
+        if len(cs) == 1:
+            best = (0.0, c, model)
+            break
         scored = model.transform(ready.where("split = 'val'")).select(F.col("y").cast("long").alias("y"), F.col("prediction").cast("long").alias("pred"))
         f1 = metrics.macro(metrics.confusion(scored, []), [], k).first()["macro_f1"]
         if best is None or f1 > best[0]:
@@ -154,9 +157,14 @@ def logistic_probe(rows: DataFrame, k: int, cs: tuple[float, ...] = PROBE_CS, l1
     return best[2], mu, sd, best[1]
 
 
-def scorecard(rows: DataFrame, names: list[str], k: int, l1: bool = False, prior: bool = False) -> Scorecard:
-    """A scorecard over concept scores, trained on train, its C chosen on val; with the classes' log shares added if `prior`."""
-    model, mu, sd, _ = logistic_probe(rows, k, CARD_CS, l1)
+def scorecard(rows: DataFrame, names: list[str], k: int, l1: bool = False, prior: bool = False, cs: tuple[float, ...] = CARD_CS) -> Scorecard:
+    """A scorecard over concept scores, trained on train, its C chosen on val (if there is a choice); with the classes' log shares added if `prior`."""
+    return chosen_scorecard(rows, names, k, l1, prior, cs)[0]
+
+
+def chosen_scorecard(rows: DataFrame, names: list[str], k: int, l1: bool = False, prior: bool = False, cs: tuple[float, ...] = CARD_CS) -> tuple[Scorecard, float]:
+    """The same, and its C."""
+    model, mu, sd, c = logistic_probe(rows, k, cs, l1)
     m = model.coefficientMatrix.toArray()
     log_prior = None
     if prior:
@@ -164,7 +172,7 @@ def scorecard(rows: DataFrame, names: list[str], k: int, l1: bool = False, prior
         import math
 
         log_prior = [math.log(max(counts.get(c, 0), 1) / sum(counts.values())) for c in range(k)]
-    return Scorecard(names, mu, sd, [list(map(float, w)) for w in m], list(map(float, model.interceptVector.toArray())), log_prior)
+    return Scorecard(names, mu, sd, [list(map(float, w)) for w in m], list(map(float, model.interceptVector.toArray())), log_prior), c
 
 
 def probe_f1(rows: DataFrame, k: int) -> float:

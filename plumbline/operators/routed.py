@@ -13,8 +13,8 @@ from plumbline.functions import vectors
 from plumbline.functions.tables import saved
 from plumbline.operators import classifier, learners, mining, pooling
 
-#: Folds whose jobs run at once.
-SIDE_BY_SIDE = 5
+#: Folds whose jobs run at once, and the C of scorecards that are fitted out of fold by themselves.
+SIDE_BY_SIDE, CARD_C = 5, 0.1
 
 
 @dataclass
@@ -67,17 +67,18 @@ def bank_of(part: DataFrame, concepts: int) -> tuple[list[list[float]], list[flo
     return [list(r["centroid"]) for r in made.orderBy("concept_id").collect()], _mean(part, "words"), _mean(part, "image")
 
 
-def card_of(part: DataFrame, n: int, k: int) -> pooling.Scorecard:
-    """A scorecard over n concept scores. part: s, y, split."""
-    return learners.scorecard(part.select(F.col("s").alias("vec"), "y", "split"), [f"c{j:03d}" for j in range(n)], k)
+def card_of(part: DataFrame, n: int, k: int, c: float | None = None) -> tuple[pooling.Scorecard, float]:
+    """A scorecard over n concept scores, and its C (chosen on val if none is given). part: s, y, split."""
+    rows = part.select(F.col("s").alias("vec"), "y", "split") if c is None else part.select(F.col("s").alias("vec"), "y", F.lit("train").alias("split"))
+    return learners.chosen_scorecard(rows, [f"c{j:03d}" for j in range(n)], k, cs=learners.CARD_CS if c is None else (c,))
 
 
-def concept_oof(rows: DataFrame, k: int, concepts: int = 30, folds: int = 5, groups: DataFrame | None = None, rebuild: bool = True) -> DataFrame:
+def concept_oof(rows: DataFrame, k: int, concepts: int = 30, folds: int = 5, groups: DataFrame | None = None, rebuild: bool = True, c: float = CARD_C) -> DataFrame:
     """item_id, fold, lc: log probabilities of every row by a scorecard that has not seen its fold.
 
     The concept bank is made anew without each fold, as mining it uses labels; rebuild=False keeps one bank of all rows, which leaks and
     is for measuring that. groups (item_id, component): no group is parted, so no row is scored by its near copies. The folds' fits run
-    side by side. rows: item_id, image, words, word, y, split (train or val).
+    side by side, each on all rows outside of the fold, with a C that no fold chooses. rows: item_id, image, words, word, y.
     """
     dealt = saved(rows.join(classifier.folds_of(rows, folds, groups), "item_id"))
     shared = None if rebuild else bank_of(dealt, concepts)
@@ -85,7 +86,7 @@ def concept_oof(rows: DataFrame, k: int, concepts: int = 30, folds: int = 5, gro
     def one(f: int) -> DataFrame:
         inside = dealt.where(F.col("fold") != f)
         own = shared or bank_of(inside, concepts)
-        card = card_of(scored(inside, *own), len(own[0]), k)
+        card, _ = card_of(scored(inside, *own), len(own[0]), k, c)
         held = scored(dealt.where(F.col("fold") == f), *own)
         return saved(held.select("item_id", "fold", vectors.log_softmax(card.logits(card.standardised(F.col("s")))).alias("lc")))
 
@@ -108,15 +109,16 @@ def fit(rows: DataFrame, concepts: int = 30, folds: int = 5, acc_tol: float | No
     y = (F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1).cast("long")
     rows = rows.withColumn("y", y)
     known = rows.where("split IN ('train', 'val')")
-    parts = concept_oof(known, len(classes), concepts, folds, groups).join(known.select("item_id", "y", "ln"), "item_id")
-    weight = pooling.select_weight(pooling.operating_points(saved(parts.select("y", "lc", "ln")), len(classes)), acc_tol=acc_tol).first()["w"]
     centroids, mu_t, mu_v = bank_of(known, concepts)
     full = saved(scored(rows, centroids, mu_t, mu_v))
+    card, c = card_of(full, len(centroids), len(classes))
+    parts = concept_oof(known, len(classes), concepts, folds, groups, c=c).join(known.select("item_id", "y", "ln"), "item_id")
+    weight = pooling.select_weight(pooling.operating_points(saved(parts.select("y", "lc", "ln")), len(classes)), acc_tol=acc_tol).first()["w"]
     calib = full.where("split IN ('train', 'val')")
     lits = saved(mining.literals(_long(calib), calib))
     fires, labels = mining.true_literals(_long(calib), lits), calib.select("item_id", F.col("label").alias("class"))
     rules = saved(mining.greedy_dnf(mining.clauses(fires, lits, labels), fires, labels))
-    return Routed(classes, centroids, mu_t, mu_v, card_of(full, len(centroids), len(classes)), lits, rules, weight)
+    return Routed(classes, centroids, mu_t, mu_v, card, lits, rules, weight)
 
 
 def decide(rows: DataFrame, system: Routed) -> DataFrame:
