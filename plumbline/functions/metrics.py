@@ -45,6 +45,19 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     return part.join(head).select(F.when(least > 0, F.sqrt(F.greatest(F.col("s") - 1, F.lit(0.0)) / least)).otherwise(0.0).alias("v"))
 
 
+def cramers_v_by(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """by, v: as cramers_v within each group."""
+    cells = df.groupBy(F.col(by).alias("g"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("o"))
+    rows = cells.groupBy(F.col("g").alias("g1"), F.col("a").alias("a1")).agg(F.sum("o").alias("ra"))
+    cols = cells.groupBy(F.col("g").alias("g2"), F.col("b").alias("b2")).agg(F.sum("o").alias("cb"))
+    same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
+    joined = cells.join(rows, same("g", "g1") & same("a", "a1")).join(cols, same("g", "g2") & same("b", "b2"))
+    sides = joined.groupBy("g").agg(F.sum(F.col("o") * F.col("o") / (F.col("ra") * F.col("cb"))).alias("s"))
+    least = rows.groupBy("g1").agg(F.count("*").alias("r")).join(cols.groupBy("g2").agg(F.count("*").alias("c")), same("g1", "g2"))
+    d = F.least("r", "c") - 1
+    return sides.join(least, same("g", "g1")).select(F.col("g").alias(by), F.when(d > 0, F.sqrt(F.greatest(F.col("s") - 1, F.lit(0.0)) / d)).otherwise(0.0).alias("v"))
+
+
 def auc(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
     """by, auc: the Mann-Whitney statistic with half credit for ties.
 

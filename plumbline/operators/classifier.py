@@ -164,8 +164,11 @@ def _cells(y: np.ndarray, pred: np.ndarray, n: np.ndarray, k: int) -> np.ndarray
     return np.bincount(y * k + pred, n, k * k)
 
 
-def fit(rows: DataFrame, k: int, models: int = 1, hidden: int | None = None, class_weighted: bool = True, standardise: bool = True, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, seed: int = SEED) -> tuple[list[Classifier], list[float]]:
-    """Models side by side, and their macro-F1 on check rows. rows: x, y, fit, check (bits of models); class weights are each model's own."""
+def fit(rows: DataFrame, k: int, models: int = 1, hidden: int | None = None, class_weighted: bool = True, standardise: bool = True, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, seed: int | list[int] = SEED) -> tuple[list[Classifier], list[float]]:
+    """Models side by side, and their macro-F1 on check rows. rows: x, y, fit, check (bits of models); class weights are each model's own.
+
+    seed: of the start, one for all models or one for each.
+    """
     if models > MOST_MODELS:
         raise ValueError(f"{models} models side by side; {MOST_MODELS} at most")
     blocks = packed(rows.withColumn("n", F.lit(1)))
@@ -188,9 +191,14 @@ def fit(rows: DataFrame, k: int, models: int = 1, hidden: int | None = None, cla
         sd = np.maximum(np.sqrt(np.maximum(squares / n - (sums / n) ** 2, 0)), 1e-6) if standardise else np.ones_like(sums)
         weights = n / (k * np.maximum(sizes, 1)) if class_weighted else np.ones_like(sizes)
         wsum = np.maximum((weights * sizes).sum(axis=1), 1e-12)
-        d, g = mu.shape[1], np.random.default_rng(seed)
-        uniform = lambda i, o: [g.uniform(-1, 1, i * o) / np.sqrt(i), g.uniform(-1, 1, o) / np.sqrt(i)]
-        start = np.concatenate(uniform(d, k) if hidden is None else [*uniform(d, hidden), *uniform(hidden, k)])
+        d = mu.shape[1]
+
+        def start(seed: int) -> np.ndarray:
+            g = np.random.default_rng(seed)
+            uniform = lambda i, o: [g.uniform(-1, 1, i * o) / np.sqrt(i), g.uniform(-1, 1, o) / np.sqrt(i)]
+            return np.concatenate(uniform(d, k) if hidden is None else [*uniform(d, hidden), *uniform(hidden, k)])
+
+        starts = np.stack([start(s) for s in (seed if isinstance(seed, list) else [seed] * models)])
 
         def compute(theta: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, fits: np.ndarray, checks: np.ndarray) -> np.ndarray:
             out = []
@@ -201,7 +209,7 @@ def fit(rows: DataFrame, k: int, models: int = 1, hidden: int | None = None, cla
                 out.append(_cells(y[seen], model.forward(x[seen])[2].argmax(axis=1), n[seen], k))
             return np.concatenate(out)
 
-        theta, f1 = descend(blocks, np.tile(start, (models, 1)), compute, k, steps, rate, decay)
+        theta, f1 = descend(blocks, starts, compute, k, steps, rate, decay)
     finally:
         blocks.release()
     return [Classifier(t, m, s, k, hidden) for t, m, s in zip(theta, mu, sd, strict=True)], f1.tolist()

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import boosting, metrics, text, vectors
 from plumbline.functions.rng import SEED, draw, seed_list
+from plumbline.functions.tables import saved
 from plumbline.operators import decisions, resampling
 from plumbline.operators.pooling import Scorecard
 
@@ -54,6 +55,75 @@ def fit_shape(rows: DataFrame, k: int, key: str = "item_id", most: int = MOST) -
     return boosting.fit_trees(x[~held], y[~held], k, x[held], y[held])
 
 
+#: Rows that a model of one of many groups is fitted on at most, and rows of a group that a task scores.
+MOST_EACH, PIECE = 20_000, 50_000
+
+
+def shape_models(rows: DataFrame, by: str, k: int, key: str = "item_id", most: int = MOST_EACH, rounds: int = 500, rate: float = 0.08) -> DataFrame:
+    """`by`, key, y, p: class probabilities of every test row by its group's own shape model; groups are fitted side by side, each in a task.
+
+    A group's sample is bounded by drawn order, and its test rows are dealt to tasks in pieces, each with the group's model, so neither a
+    group nor a model meets all rows or the driver. A group without train and val rows has no results. rows: by, key, split, y and shape.
+    """
+    known = rows.where("split IN ('train', 'val')")
+    sizes = known.groupBy(by).agg(F.count("*").alias("_n"))
+    sample = known.join(F.broadcast(sizes), by).where((F.col("_n") <= most) | (draw("fit", F.col(key)) % F.col("_n") < most)).select(by, key, "split", F.col("y").cast("long").alias("y"), *text.FEATURES)
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by(key)
+        x, y = np.stack([group.column(c).to_numpy() for c in text.FEATURES], axis=1), group.column("y").to_numpy()
+        held = np.array(group.column("split").to_pylist()) == "val"
+        if not held.any():
+            held = np.random.default_rng(SEED).random(len(y)) < 0.15
+        model = boosting.fit_trees(x[~held], y[~held], k, x[held], y[held], rounds, rate)
+        return pa.table({by: group.column(by).slice(0, 1), "model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    models = saved(sample.groupBy(by).applyInArrow(fit, T.StructType([rows.schema[by], T.StructField("model", T.BinaryType())])))
+    test = rows.where("split = 'test'").select(by, key, F.col("y").cast("long").alias("y"), *text.FEATURES)
+    pieces = test.groupBy(by).agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_pieces"))
+    dealt = test.join(F.broadcast(pieces), by).withColumn("_piece", (draw("piece", F.col(key)) % F.col("_pieces")).cast("int")).drop("_pieces")
+    sent = models.join(F.broadcast(pieces), by).select(by, F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)).alias("_piece"), "model")
+
+    schema = T.StructType([rows.schema[by], rows.schema[key], T.StructField("y", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
+
+    def score(group: pa.Table, model: pa.Table) -> pa.Table:
+        if not len(group) or not len(model):
+            return pa.table({f: pa.array([], t) for f, t in ((by, group.schema.field(by).type), (key, group.schema.field(key).type), ("y", pa.int64()), ("p", pa.list_(pa.float64())))})
+        p = pickle.loads(model.column("model")[0].as_py()).probabilities(np.stack([group.column(c).to_numpy() for c in text.FEATURES], axis=1))
+        return pa.table({by: group.column(by), key: group.column(key), "y": group.column("y"), "p": pa.array(p.tolist(), pa.list_(pa.float64()))})
+
+    return dealt.groupBy(by, "_piece").cogroup(sent.groupBy(by, "_piece")).applyInArrow(score, schema)
+
+
+def d3_by(rows: DataFrame, by: str, k: int, key: str = "item_id", **how) -> DataFrame:
+    """by, n_test, shape_f1, majority_f1, lift, level, verdict of D3 within every group at once (no intervals, no text reference).
+
+    rows: by, key, split, y and shape.
+    """
+    scored = saved(shape_models(rows, by, k, key, **how).select(by, "y", (F.array_position("p", F.array_max("p")) - 1).alias("pred")))
+    top = rows.where("split IN ('train', 'val')").groupBy(by, "y").count().groupBy(by).agg(F.max_by("y", F.struct("count", -F.col("y"))).alias("top"))
+    f1 = lambda cells, name: metrics.macro(metrics.confusion(cells, [by]), [by], k).select(by, F.col("macro_f1").alias(name))
+    base = scored.join(F.broadcast(top), by).drop("pred").withColumnRenamed("top", "pred")
+    out = scored.groupBy(by).agg(F.count("*").alias("n_test")).join(f1(scored, "shape_f1"), by).join(f1(base, "majority_f1"), by).withColumn("lift", F.col("shape_f1") - F.col("majority_f1"))
+    return out.withColumn("level", decisions.d3_level(F.col("lift"), F.lit(None).cast("double"))).withColumn("verdict", decisions.d3_verdict(F.col("level")))
+
+
+def d4_by(df: DataFrame, by: str, field: str, source: str, label: str, key: str = "item_id") -> DataFrame:
+    """by, sources, auc, v, verdict of D4 within every group at once. df: by, key, split, the text field, source and label."""
+    names = sorted(r[0] for r in df.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s")).distinct().limit(MOST_SOURCES + 1).collect())
+    if len(names) > MOST_SOURCES:
+        raise ValueError(f"{source} has over {MOST_SOURCES} values: no source column")
+    code = F.array_position(F.array(*map(F.lit, names)), F.coalesce(F.col(source).cast("string"), F.lit(""))) - 1
+    rows = text.with_shape(df, F.col(field), key, "split", by, code.alias("y"))
+    p = shape_models(rows, by, len(names), key, rounds=200, rate=0.1).select(by, "y", F.posexplode("p").alias("code", "p"))
+    own = rows.select(by, "y").distinct()
+    # a source that the group lacks has no curve
+    auc = metrics.auc(p.withColumn("p", F.round("p", 9)), [by, "code"], "p", F.col("y") == F.col("code")).join(own.withColumnRenamed("y", "code"), [by, "code"], "left_semi").groupBy(by).agg(F.avg("auc").alias("auc"))
+    v = metrics.cramers_v_by(df, by, source, label)
+    counted = own.groupBy(by).agg(F.count("*").alias("sources"))
+    return counted.join(auc, by, "left").join(v, by, "left").select(by, "sources", "auc", "v", decisions.d4_verdict(F.col("auc"), F.col("v"), F.col("sources")).alias("verdict"))
+
+
 def with_probabilities(rows: DataFrame, model: boosting.Trees, out: str = "p") -> DataFrame:
     """`rows` (with the shape features) and the class probabilities."""
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
