@@ -76,7 +76,8 @@ def read_embeddings(spark: SparkSession, specs: list[str], ids: DataFrame | None
     """item_id, encoder, view, enc_order, vec; encoders in the order they are named, weakest first.
 
     Parquet files have `item_id` and `vec`. An .npy file, or the array that `path.npz#key` names in an archive, holds one row
-    per id, in the order of ids; tasks read their rows of it from the path, which all machines must see.
+    per id, in the order of ids; `path.npz#key@ids` names the archive's array of ids besides, by which rows are then known, as
+    text and in any order. Tasks read their rows from the path, which all machines must see.
     """
     out = None
     order: dict[str, int] = {}
@@ -87,7 +88,9 @@ def read_embeddings(spark: SparkSession, specs: list[str], ids: DataFrame | None
         if file.endswith((".npy", ".npz")):
             if ids is None:
                 raise ValueError("an .npy file needs the manifest's ids")
-            part = _npy_rows(ids.select(F.col(key).alias("item_id")), file, array)
+            name, by_id, held_ids = array.partition("@")
+            items = ids.select(F.col(key).alias("item_id"))
+            part = _by_held_ids(items, file, name, held_ids) if by_id else _npy_rows(items, file, array)
         else:
             part = spark.read.parquet(path).select(F.col(key).alias("item_id"), F.col("vec").cast("array<double>").alias("vec"))
         part = part.select("item_id", F.lit(encoder).alias("encoder"), F.lit(view).alias("view"), F.lit(place).alias("enc_order"), "vec")
@@ -119,6 +122,34 @@ def _npy_rows(ids: DataFrame, file: str, name: str) -> DataFrame:
     return places.mapInArrow(read, T.StructType([ids.schema["item_id"], T.StructField("vec", T.ArrayType(T.DoubleType()))]))
 
 
+#: Rows of an archive that a task turns into vectors at once.
+_ROWS = 8192
+
+
+def _by_held_ids(ids: DataFrame, file: str, name: str, held_ids: str) -> DataFrame:
+    """item_id, vec: the rows whose id the archive holds; an item that it lacks is an error. Of a repeated id the first row counts."""
+    spark, n = ids.sparkSession, len(np.load(file)[held_ids])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = names = None
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                if held is None:
+                    held, names = _array(file, name), np.load(file)[held_ids]
+                x = np.asarray(held[first : first + _ROWS], np.float64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                known = names[first : first + _ROWS].astype(str).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(x)), pa.int64()), pa.array(known, pa.string()), lists], names=["_row", "_id", "vec"])
+
+    rows = spark.range(0, max(n, 1), _ROWS).mapInArrow(read, "_row long, _id string, vec array<double>")
+    rows = rows.groupBy("_id").agg(F.min_by("vec", "_row").alias("vec"))
+    joined = ids.join(rows, ids["item_id"].cast("string") == rows["_id"], "left")
+    missing = joined.where("vec IS NULL").limit(1).count()
+    if missing:
+        raise ValueError(f"{file}: no vector for some items")
+    return joined.select("item_id", "vec")
+
+
 def aligned(items: DataFrame, emb: DataFrame, key: str = "item_id") -> DataFrame:
     """One row: items, embedded, and how many of either side miss the other (both should be 0)."""
     a, b = items.select(key), emb.select(key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +34,21 @@ def decide(rows: DataFrame, card: pooling.Scorecard, w: float) -> DataFrame:
     d = pooling.decompose(rows.withColumn("z", card.standardised(F.col("s"))), card, w)
     d = d.select("*", *pooling.evidence_state(F.col("pred"), F.col("fired"), F.col("trigger")))
     return pooling.evidence_record(d, card.names)
+
+
+def decide_stream(stream: DataFrame, out: str, checkpoint: str, decision: Callable[[DataFrame], DataFrame]):
+    """Starts a query that writes the decisions on what has arrived to `out`, one folder a batch, and ends when all is done.
+
+    A batch that is run again after a stop overwrites its own folder, so a restart from the checkpoint repeats no row and loses none.
+    decision: rows -> decisions, of single rows (as `decide` or routed.decide), the same as on a table.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        decision(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def decided(spark, out: str, schema) -> DataFrame:
+    """The decisions that a stream has written so far."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)

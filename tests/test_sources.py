@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.plans import audit
-from plumbline.sources import corpora, manifest, release
+from plumbline.sources import caches, corpora, manifest, release
 from plumbline.streaming import live
 
 
@@ -93,3 +93,75 @@ def test_streams(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
         assert spark.table(name).count() == expected
+
+
+def test_caches_compute_what_they_lack_only(spark, tmp_path):
+    """Contents are computed once; a run that is lost keeps its finished pieces; a full cache computes nothing."""
+    path, log = str(tmp_path / "cache"), tmp_path / "log"
+    log.mkdir()
+
+    def reader(broken=None):
+        def make():
+            def read(content):
+                if content == broken:
+                    raise RuntimeError("lost")
+                (log / f"{content.decode()}-{len(list(log.iterdir()))}").touch()
+                return content.decode().upper()
+
+            return read
+
+        return make
+
+    files = spark.createDataFrame([(f"p{i}", f"c{i % 30}".encode()) for i in range(60)] + [("none", None)], "path string, content binary")
+    done = lambda: sorted({f.name.split("-")[0] for f in log.iterdir()})
+    with pytest.raises(Exception, match="lost"):
+        caches.texts(files, reader(b"c7"), path, pieces=8)
+    kept = caches.read(spark, path, spark.createDataFrame([], "key string, text string").schema).count()
+    got = {r["path"]: r["text"] for r in caches.texts(files, reader(), path, pieces=8).collect()}
+    assert 0 < kept < 30 and len(got) == 61 and got["p7"] == got["p37"] == "C7" and got["none"] == "" and len(done()) == 30
+    for f in log.iterdir():
+        f.unlink()
+    assert caches.texts(files, reader(), path, pieces=8).count() == 61 and done() == []
+    assert caches.texts(files.limit(3), reader(), path, force=True).count() == 3 and len(done()) == 3
+    items = spark.createDataFrame([(1, "ab"), (2, "abc"), (3, "ab"), (4, None)], "item_id long, text string")
+    encoder = lambda: lambda texts: np.array([[len(t or ""), 1.0] for t in texts])
+    vec = {r["item_id"]: r["vec"] for r in caches.vectors(items, encoder, "text", str(tmp_path / "v")).collect()}
+    assert vec[1] == vec[3] == pytest.approx([2 / 5**0.5, 1 / 5**0.5]) and vec[4] == [0.0, 1.0]
+
+
+def test_archives_by_the_ids_they_hold(spark, tmp_path):
+    file = str(tmp_path / "e.npz")
+    np.savez(file, ids=np.array(["3", "1", "2", "1"]), vu=np.arange(8.0).reshape(4, 2))
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "item_id long")
+    got = {r["item_id"]: r["vec"] for r in manifest.read_embeddings(spark, [f"e:image={file}#vu@ids"], ids).collect()}
+    assert got == {3: [0.0, 1.0], 1: [2.0, 3.0], 2: [4.0, 5.0]}
+    with pytest.raises(ValueError, match="no vector"):
+        manifest.read_embeddings(spark, [f"e:image={file}#vu@ids"], spark.createDataFrame([(9,)], "item_id long")).count()
+
+
+def test_live_decisions_after_a_stop_equal_the_table(spark, tmp_path):
+    """A stream of several batches that fails in the middle and starts again from its checkpoint."""
+    from plumbline.plans import symbolic
+
+    rows = symbolic._rows(spark, "/root/testdata/sf0.001").select("item_id", "s", "ln", "fired", "trigger")
+    rows.repartition(6, "item_id").write.parquet(str(tmp_path / "in"))
+    decision = lambda df: live.decide(df, symbolic._CARD, 0.4).select("item_id", "pred", "state", "suspicion")
+    want = sorted(tuple(r) for r in decision(rows).collect())
+    seen = []
+
+    def failing(df):
+        seen.append(1)
+        if len(seen) == 3:
+            raise RuntimeError("stopped")
+        return decision(df)
+
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "check")
+    with pytest.raises(Exception, match="stopped"):
+        live.decide_stream(stream(), out, checkpoint, failing).awaitTermination()
+    part = live.decided(spark, out, decision(rows).schema).count()
+    assert 0 < part < len(want)
+    live.decide_stream(stream(), out, checkpoint, decision).awaitTermination()
+    assert sorted(tuple(r) for r in live.decided(spark, out, decision(rows).schema).collect()) == want
+    live.decide_stream(stream(), out, checkpoint, decision).awaitTermination()
+    assert live.decided(spark, out, decision(rows).schema).count() == len(want)
