@@ -91,7 +91,7 @@ def beam_dnf(cands: DataFrame, fires: DataFrame, labels: DataFrame, width: int =
         best = states.select("target", "ranks", "f") if best is None else best.unionByName(states.select("target", "ranks", "f"))
     if best is None:
         return sizes.select(F.col("target").alias("class"), F.array().cast("array<bigint>").alias("ranks"), F.lit(0.0).alias("fbeta")).limit(0)
-    win = F.max_by(F.struct("ranks", "f"), F.struct("f", -F.size("ranks"))).alias("b")
+    win = F.min_by(F.struct("ranks", "f"), F.struct(-F.col("f"), F.size("ranks"), "ranks")).alias("b")
     return best.groupBy(F.col("target").alias("class")).agg(win).select("class", "b.ranks", F.col("b.f").alias("fbeta"))
 
 

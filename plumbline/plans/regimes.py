@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import metrics, rng, text, vectors
+from plumbline.functions.tables import kept_until_exit, shared_folder
 from plumbline.operators import decisions, duplicates, mining, pooling, regimes, relations
 from plumbline.plans import symbolic
 from plumbline.plans.fixtures import EMBEDDED_SQL, LABELLED_SQL, MANIFEST_SQL, NORM, PRED_SQL, embedded, labelled, manifest, predictions
 from plumbline.plans.registry import query, rounded
-from plumbline.sources import corpora, release
+from plumbline.sources import caches, corpora, release
 from plumbline.sources.manifest import aligned, table
 
 H = rng.draw_sql
@@ -37,13 +41,48 @@ def prototype_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(test.select("item_id", F.col("predicate").alias("class"), vectors.dot(vectors.unit_eps(F.col("vec")), F.col("prototype")).alias("score")))
 
 
-@query()
+_LEVELS = [0.05 + 0.9 * i / (regimes.CANDIDATES - 1) for i in range(regimes.CANDIDATES)]
+_APART = f"abs({{q}} - q) >= {regimes.SEPARATION} - 1e-12"
+
+
+@query(
+    f"""WITH {symbolic._LIT}, cs AS (SELECT feature, value, class FROM sc JOIN calib USING (item_id)), tot AS (SELECT count(*) AS total FROM calib), np AS (SELECT class, count(*) AS n_pos FROM calib GROUP BY 1),
+  qc AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, {_LEVELS}))) AS cuts, list_distinct(quantile_cont(value, [0.5, 0.75, 0.9])) AS fixed FROM cs GROUP BY 1),
+  ea AS (SELECT feature, unnest(range(len(cuts))) AS i, unnest(cuts) AS cut, len(cuts) AS m FROM qc),
+  hi AS (SELECT feature, i, cut, m, class, count(*) AS tp, sum(count(*)) OVER (PARTITION BY feature, i) AS fired FROM cs JOIN ea USING (feature) WHERE value > cut GROUP BY feature, i, cut, m, class),
+  bs AS (SELECT feature, i, cut, m, max(round({symbolic._fb('tp', 'fired', 'n_pos')}, 12)) AS s FROM hi JOIN np USING (class), tot WHERE fired >= {mining.MIN_SUPPORT} AND fired <= {mining.MAX_SUPPORT_FRAC} * total GROUP BY 1, 2, 3, 4),
+  rk AS (SELECT feature, cut, CASE WHEN m > 1 THEN i / (m - 1) ELSE 0.0 END AS q, row_number() OVER (PARTITION BY feature ORDER BY s DESC, i) AS r FROM bs),
+  a1 AS (SELECT feature, r AS r1, q AS q1 FROM rk WHERE r = 1), a2 AS (SELECT feature, r1, q1, min(r) AS r2, arg_min(q, r) AS q2 FROM rk JOIN a1 USING (feature) WHERE {_APART.format(q='q1')} GROUP BY 1, 2, 3),
+  a3 AS (SELECT feature, min(r) AS r3 FROM rk JOIN a2 USING (feature) WHERE {_APART.format(q='q1')} AND {_APART.format(q='q2')} GROUP BY 1),
+  ch AS (SELECT feature, cut, row_number() OVER (PARTITION BY feature ORDER BY CASE WHEN r = 1 OR r = r2 OR r = r3 THEN 0 ELSE 1 END, r) AS k FROM rk LEFT JOIN a2 USING (feature) LEFT JOIN a3 USING (feature))
+  SELECT feature, round(cut, 6) AS cut FROM ch WHERE k <= {regimes.KEEP} UNION ALL SELECT feature, round(unnest(fixed), 6) FROM qc ANTI JOIN rk USING (feature)"""
+)
 def learned_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, _, labels = symbolic._features(spark, sf_dir)
     return rounded(regimes.learned_cuts(scores, labels))
 
 
-@query()
+def _beam_sql(rounds: int = mining.MAX_CLAUSES) -> str:
+    """Unions of clauses, the best BEAM of a class going on from round to round; equal coverage counts once."""
+    parts = [
+        f"top AS (SELECT target, rank, lits FROM cands WHERE rank <= {regimes.BEAM_CANDS}), cov AS (SELECT target, rank, list(item_id) AS c FROM top JOIN has ON list_has_all(h, lits) GROUP BY 1, 2)",
+        "own AS (SELECT class AS target, list(item_id) AS mine, count(*) AS n_pos FROM calib GROUP BY 1), b0 AS (SELECT target, []::BIGINT[] AS ranks, []::BIGINT[] AS c, 0.0::DOUBLE AS f FROM own)",
+    ]
+    for i in range(1, rounds + 1):
+        union = f"SELECT b.target, list_append(b.ranks, cov.rank) AS ranks, list_sort(list_distinct(list_concat(b.c, cov.c))) AS c FROM b{i - 1} b JOIN cov ON cov.target = b.target AND NOT list_contains(b.ranks, cov.rank)"
+        parts += [
+            f"n{i} AS (SELECT *, row_number() OVER (PARTITION BY target, c ORDER BY ranks) AS o FROM ({union}))",
+            f"f{i} AS (SELECT n.target, ranks, c, round({symbolic._fb('len(list_intersect(c, mine))', 'len(c)', 'n_pos')}, 12) AS f FROM n{i} n JOIN own ON own.target = n.target WHERE o = 1)",
+            f"b{i} AS (SELECT target, ranks, c, f FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY f DESC, ranks) AS k FROM f{i}) WHERE k <= {regimes.BEAM})",
+        ]
+    parts.append("every AS (" + " UNION ALL ".join(f"SELECT target, ranks, f FROM b{i}" for i in range(1, rounds + 1)) + ")")
+    return ", ".join(parts)
+
+
+@query(
+    f"""WITH {symbolic._CL}, {_beam_sql()}
+  SELECT target AS class, array_to_string(ranks, ',') AS ranks, round(f, 6) AS fbeta FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY f DESC, len(ranks), ranks) AS k FROM every) WHERE k = 1"""
+)
 def beam_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands, fires, labels, _ = symbolic._clauses(spark, sf_dir)
     return rounded(regimes.beam_dnf(cands, fires, labels).withColumn("ranks", F.array_join(F.transform("ranks", lambda x: x.cast("string")), ",")))
@@ -127,6 +166,22 @@ def not_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.not_cached(d, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id")), ["item_id"])
 
 
+@query(
+    f"""WITH {MANIFEST_SQL}, e AS (SELECT DISTINCT text FROM manifest WHERE item_id % 2 = 0)
+  SELECT item_id, md5({NORM.format(t='text')}) AS norm_md5, CAST(CASE WHEN text IN (SELECT text FROM e) THEN 1 ELSE 2 END AS BIGINT) AS run FROM manifest"""
+)
+def cached_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache by content, filled by half of the documents and then by all: each value says which run has computed it."""
+    items = manifest(spark, sf_dir).select("item_id", "text", corpora.content_key(F.col("text")).alias("key"))
+    path = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    kept_until_exit(spark, path)
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("norm_md5", T.StringType()), T.StructField("run", T.LongType())])
+    work = lambda run: lambda rows: rows.select("key", F.md5(text.normal(F.col("text"))).alias("norm_md5"), F.lit(run).cast("long").alias("run"))
+    caches.filled(items.where("item_id % 2 = 0").select("key", "text"), work(1), path, schema, pieces=4)
+    cache = caches.filled(items.select("key", "text"), work(2), path, schema, pieces=4)
+    return items.join(cache, "key").select("item_id", "norm_md5", "run")
+
+
 @query(
     f"""WITH {LABELLED_SQL}, c AS (SELECT lang, label AS a, CAST(y % 2 AS VARCHAR) AS b, count(*) AS o FROM labelled GROUP BY ALL)
   SELECT lang, CAST(sum(o) AS BIGINT) AS n, CAST(sum(o) FILTER (WHERE a = 'toxic') AS BIGINT) AS toxic, round(sum(o) FILTER (WHERE b = '1') / sum(o), 6) AS good_share FROM c GROUP BY 1"""

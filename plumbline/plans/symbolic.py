@@ -140,13 +140,33 @@ def _clauses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return mining.clauses(fires, lits, labels), fires, labels, every
 
 
+def _greedy_sql(rounds: int = mining.MAX_CLAUSES) -> str:
+    """Clauses added one by one, a round after the other, while they raise the union's F-beta."""
+    parts = [
+        "ht AS (SELECT target, rank, item_id, CAST(class = target AS INT) AS pos FROM cands JOIN has ON list_has_all(h, lits))",
+        "l0 AS (SELECT * FROM ht), s0 AS (SELECT class AS target, n_pos, 0::BIGINT AS tp, 0::BIGINT AS fired, -1.0::DOUBLE AS best FROM ncl)",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"g{i} AS (SELECT target, rank, sum(pos) AS dtp, count(*) AS dfired FROM l{i} GROUP BY 1, 2)",
+            f"u{i} AS (SELECT target, rank, coalesce(dtp, 0) AS dtp, coalesce(dfired, 0) AS dfired, best, {_fb('(s.tp + coalesce(dtp, 0))', '(s.fired + coalesce(dfired, 0))', 's.n_pos')} AS fb FROM (SELECT target, rank FROM cands) c LEFT JOIN g{i} USING (target, rank) JOIN s{i} s USING (target))",
+            f"p{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(fb, 12) DESC, rank) AS k FROM u{i} WHERE round(fb, 12) > round(best, 12)) WHERE k = 1)",
+            f"l{i + 1} AS (SELECT * FROM l{i} ANTI JOIN (SELECT l.target, l.item_id FROM l{i} l SEMI JOIN p{i} p ON p.target = l.target AND p.rank = l.rank) USING (target, item_id))",
+            f"s{i + 1} AS (SELECT target, n_pos, tp + coalesce(dtp, 0) AS tp, fired + coalesce(dfired, 0) AS fired, coalesce(fb, 2.0) AS best FROM s{i} LEFT JOIN (SELECT target, dtp, dfired, fb FROM p{i}) USING (target))",
+        ]
+    parts.append("pk AS (" + " UNION ALL ".join(f"SELECT target, rank, {i}::BIGINT AS clause_id, fb FROM p{i}" for i in range(rounds)) + ")")
+    return ", ".join(parts)
+
+
+@query(
+    f"""WITH {_CL}, {_greedy_sql()} SELECT pk.target AS class, clause_id, array_to_string(lits, ',') AS lits, round(precision, 4) AS precision, round(recall, 4) AS recall, c.fired AS support, round(fb, 6) AS dnf_fbeta
+  FROM pk JOIN cands c ON c.target = pk.target AND c.rank = pk.rank"""
+)
 def dnf_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     cands, fires, labels, _ = _clauses(spark, sf_dir)
     return rounded(mining.greedy_dnf(cands, fires, labels).withColumn("lits", F.array_join(F.transform("lits", lambda x: x.cast("string")), ",")))
 
 
-query()(dnf_greedy)
-
 _FIRE = f"""{_CL}, rules AS (SELECT * FROM cands WHERE rank <= 3), ah AS (SELECT item_id, list(lit_id) AS h FROM fires GROUP BY 1),
 rc AS (SELECT e.item_id, r.target, coalesce(list_has_all(h, lits), false) AS hit, precision FROM (SELECT item_id FROM embedded) e CROSS JOIN rules r LEFT JOIN ah ON ah.item_id = e.item_id),
 fr AS (SELECT item_id, target AS class, bool_or(hit) AS fired, max(CASE WHEN hit THEN precision ELSE 0.0 END) AS trigger, count(*) FILTER (WHERE hit) AS n_clauses FROM rc GROUP BY 1, 2)"""
