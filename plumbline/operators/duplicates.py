@@ -180,11 +180,11 @@ def group_folds(comp: DataFrame, labels: DataFrame, folds: int, key: str = "item
     counts = joined.groupBy("component", "y").count()
     groups = counts.groupBy("component").agg(F.max_by("y", F.struct("count", -F.col("y"))).alias("major"), F.sum("count").alias("size"))
     # ranks within (class, size) and running counts of sizes, so that singletons don't meet in one task
-    buckets = groups.withColumn("b", F.pmod(F.xxhash64("component"), F.lit(256)))
+    buckets = groups.withColumn("d", draw("group", F.col("component"))).withColumn("b", F.shiftright("d", 24))
     sums = buckets.groupBy("major", "size", "b").count()
     w = Window.partitionBy("major").orderBy(F.desc("size"), "b")
     ahead = sums.select("major", "size", "b", (F.sum("count").over(w) - F.col("count")).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy("major", "size", "b").orderBy(draw("group", F.col("component")), "component")) + F.col("ahead") - 1
+    rank = F.row_number().over(Window.partitionBy("major", "size", "b").orderBy("d", "component")) + F.col("ahead") - 1
     dealt = buckets.join(ahead, ["major", "size", "b"]).withColumn("r", rank)
     turn, place = F.floor(F.col("r") / folds) % 2, F.col("r") % folds
     fold = F.when(turn == 0, place).otherwise(folds - 1 - place)

@@ -41,20 +41,42 @@ def bounded(rows: DataFrame, key: str, most: int = MOST) -> DataFrame:
     return rows if n <= most else rows.where(draw("fit", F.col(key)) % n < most)
 
 
-def _arrays(rows: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    got = rows.select(key, "split", "y", *text.FEATURES).toArrow().sort_by(key)
-    return np.stack([got.column(c).to_numpy() for c in text.FEATURES], axis=1), got.column("y").to_numpy(), np.array(got.column("split").to_pylist())
-
-
-def fit_shape(rows: DataFrame, k: int, key: str = "item_id", most: int = MOST) -> boosting.Trees:
-    """Boosted trees on the shape of train rows, ended by the loss on val rows (of a drawn 15% of train without any)."""
-    x, y, split = _arrays(bounded(rows.where("split IN ('train', 'val')"), key, most), key)
+def _fit_trees(x: np.ndarray, y: np.ndarray, split: np.ndarray, k: int, source: bool) -> boosting.Trees:
+    """D3's trees, ended by the loss on val rows (of a drawn 15% of train without any), or D4's: 200 rounds at 0.1, ended by a drawn tenth of over 10,000 rows."""
+    if source:
+        held = np.random.default_rng(SEED).random(len(y)) < (0.1 if len(y) > 10_000 else 0)
+        return boosting.fit_trees(x[~held], y[~held], k, x[held], y[held], rounds=200, rate=0.1)
     held = split == "val"
     if not held.any():
         held = np.random.default_rng(SEED).random(len(y)) < 0.15
     return boosting.fit_trees(x[~held], y[~held], k, x[held], y[held])
 
 
+def fit_shape(rows: DataFrame, k: int, key: str = "item_id", most: int = MOST) -> boosting.Trees:
+    """Boosted trees on the shape of train rows."""
+    return fit_shapes({"": (rows, k, False)}, key, most)[""]
+
+
+def fit_shapes(jobs: dict[str, tuple[DataFrame, int, bool]], key: str = "item_id", most: int = MOST) -> dict[str, boosting.Trees]:
+    """Models by name, all fitted side by side, each in a task of its own. jobs: name -> (rows with shape features, split and y; classes; whether it is D4's)."""
+    sample = None
+    for name, (rows, _, _) in jobs.items():
+        part = bounded(rows.where("split IN ('train', 'val')"), key, most).select(F.lit(name).alias("job"), key, "split", F.col("y").cast("long").alias("y"), *text.FEATURES)
+        sample = part if sample is None else sample.unionByName(part)
+    how = {name: rest for name, (_, *rest) in jobs.items()}
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by(key)
+        x, y = np.stack([group.column(c).to_numpy() for c in text.FEATURES], axis=1), group.column("y").to_numpy()
+        name = group.column("job")[0].as_py()
+        model = pickle.dumps(_fit_trees(x, y, np.array(group.column("split").to_pylist()), *how[name]))
+        return pa.table({"job": pa.array([name]), "model": pa.array([model], pa.binary())})
+
+    models = {r["job"]: pickle.loads(r["model"]) for r in sample.groupBy("job").applyInArrow(fit, "job string, model binary").collect()}
+    none = np.zeros((0, len(text.FEATURES)))
+    return {name: models.get(name) or boosting.fit_trees(none, np.zeros(0, int), how[name][0]) for name in jobs}
+
+
 #: Rows that a model of one of many groups is fitted on at most, and rows of a group that a task scores.
 MOST_EACH, PIECE = 20_000, 50_000
 
@@ -161,23 +183,26 @@ def d3_surface(df: DataFrame, field: str, target: str, k: int, text_ref: float |
     return done.withColumn("level", decisions.d3_level(F.col("lift"), F.col("share"))).withColumn("verdict", decisions.d3_verdict(F.col("level")))
 
 
-def d4_source(df: DataFrame, field: str, source: str, label: str, key: str = "item_id", shaped: DataFrame | None = None) -> DataFrame:
+def source_rows(df: DataFrame, field: str, source: str, key: str = "item_id", shaped: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Shape features with the source's code as y, and how many sources there are."""
+    names = [r[0] for r in df.select(F.col(source).cast("string")).distinct().orderBy(source).limit(MOST_SOURCES + 1).collect()]
+    if len(names) > MOST_SOURCES:
+        raise ValueError(f"{source} has over {MOST_SOURCES} values: no source column")
+    code = F.array_position(F.array(*map(F.lit, names)), F.col(source).cast("string")) - 1
+    rows = text.with_shape(df, F.col(field), key, "split", source) if shaped is None else shaped
+    return rows.withColumn("y", F.coalesce(code, F.lit(names.index(None) if None in names else 0))), len(names)
+
+
+def d4_source(df: DataFrame, field: str, source: str, label: str, key: str = "item_id", shaped: DataFrame | None = None, model: boosting.Trees | None = None) -> DataFrame:
     """One row: one-vs-rest AUC of shape for the source (mean over sources), Cramer's V of source and label, verdict.
 
-    `shaped`: shape features beside the source column. 200 rounds at 0.1, ended by a drawn tenth of the rows where there are over 10,000.
+    `shaped`, `model`: shape features beside the source column, and a model of fit_shapes, if at hand.
     """
     v = metrics.cramers_v(df, source, label)
-    names = [r[0] for r in df.select(F.col(source).cast("string")).distinct().orderBy(source).limit(MOST_SOURCES + 1).collect()]
-    k = len(names)
-    if k > MOST_SOURCES:
-        raise ValueError(f"{source} has over {MOST_SOURCES} values: no source column")
+    rows, k = source_rows(df, field, source, key, shaped)
     if k < 2:
         return v.select(F.lit(None).cast("double").alias("auc"), "v", F.lit(k).cast("long").alias("sources"), F.lit("note").alias("verdict"))
-    code = F.array_position(F.array(*map(F.lit, names)), F.col(source).cast("string")) - 1
-    rows = (text.with_shape(df, F.col(field), key, "split", source) if shaped is None else shaped).withColumn("y", F.coalesce(code, F.lit(names.index(None) if None in names else 0)))
-    x, y, _ = _arrays(bounded(rows.where("split IN ('train', 'val')"), key), key)
-    held = np.random.default_rng(SEED).random(len(y)) < (0.1 if len(y) > 10_000 else 0)
-    model = boosting.fit_trees(x[~held], y[~held], k, x[held], y[held], rounds=200, rate=0.1)
+    model = model or fit_shapes({"": (rows, k, True)}, key)[""]
     p = with_probabilities(rows.where("split = 'test'"), model).select("y", F.posexplode("p").alias("code", "p"))
     auc = metrics.auc(p.withColumn("p", F.round("p", 9)), ["code"], "p", F.col("y") == F.col("code")).agg(F.avg("auc").alias("auc"))
     return auc.join(v).select("auc", "v", F.lit(k).cast("long").alias("sources"), decisions.d4_verdict(F.col("auc"), F.col("v"), F.lit(k)).alias("verdict"))
