@@ -1,5 +1,6 @@
 """Line dedup, near duplicates, mixing, top-k and the pipeline, against SQL or brute force."""
 
+import heapq
 import sys
 import time
 from collections import Counter, defaultdict
@@ -161,6 +162,17 @@ def test_divide_skip_is_exact():
         assert sorted(index.overlapping(q, 85).tolist()) == want
 
 
+def test_short_lists_count_as_a_heap_merge_of_them_would():
+    """The counts that stand for the heap of cursors: of the same lists, member by member."""
+    rng = np.random.default_rng(18)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 40)).astype(np.uint64)) for _ in range(80)]
+    index = jaccard.Index(sets)
+    for q in sets:
+        begin, end = index.lists(q)
+        merged = Counter(heapq.merge(*(index.members[a:b].tolist() for a, b in zip(begin, end, strict=True))))
+        assert merged == {k: c for k, c in enumerate(index.merged(begin, end).tolist()) if c}
+
+
 def test_near_duplicate_edges(spark):
     df = docs(spark, [(None, "a b c d e", 1), (3, "a b c d e", 1), (3, "a b c d e", 1), (4, None, 1), (5, " ", 1), (None, None, 1)], ", _gone int")
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect())

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -443,6 +444,18 @@ def test_personal_data_query(spark, sf):
     assert hit / (hit + missed) > 0.9 and hit / (hit + wrong) > 0.9
 
 
+def test_added_spans_by_one_sweep():
+    rng = random.Random(6)
+    for _ in range(400):
+        spans = lambda n: [(a, rng.randrange(4), a + rng.randrange(1, 9)) for a in (rng.randrange(40) for _ in range(n))]
+        base, added = sorted(spans(rng.randrange(6))), spans(rng.randrange(6))
+        assert pii.apart(added, base) == [s for s in added if not any(a < s[2] and s[0] < b for a, _, b in base)]
+    text = "reach a%d@mail.example.com " * 40_000 % tuple(range(40_000))
+    began = time.time()
+    base = pii.base_spans(text)
+    assert len(base) == 40_000 and pii.apart([(s + 1, 0, s + 3) for s, _, _ in base], base) == [] and time.time() - began < 20
+
+
 def test_windows_are_reconciled_and_edges_hold(spark):
     alone = "call me@mail7.example.com now"
     for pad in range(20, 60):  # wherever it lies against the windows, the span is one and the same
