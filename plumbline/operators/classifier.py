@@ -64,7 +64,8 @@ def packed(rows: DataFrame) -> Blocks:
 
     cast = [F.col("x").cast("array<double>").alias("x"), *(F.col(c).cast("long").alias(c) for c in ("y", "n", "fit", "check"))]
     table, path = written(rows.select(*cast).mapInArrow(run, "x binary, y binary, n binary, fit binary, check binary"))
-    parts = 2 * spark.sparkContext.defaultParallelism
+    # no more tasks a step than there are blocks
+    parts = max(1, min(2 * spark.sparkContext.defaultParallelism, table.count()))
     return Blocks(table.repartition(parts).persist(), parts, path)
 
 

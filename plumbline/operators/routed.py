@@ -5,9 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import vectors
 from plumbline.functions.tables import saved
@@ -53,8 +56,37 @@ def _mean(df: DataFrame, column: str) -> list[float]:
 
 
 def scored(rows: DataFrame, centroids: list[list[float]], mu_text: list[float], mu_image: list[float]) -> DataFrame:
-    """rows with s, the concept scores. rows: image, words (vectors)."""
-    return rows.withColumn("s", pooling.concept_scores(F.col("words"), F.col("image"), centroids, mu_text, mu_image))
+    """rows with s, the concept scores of pooling.concept_scores, by batches (a bank is too large an expression). rows: image, words (vectors)."""
+    bank, mu_t, mu_v = (np.asarray(x, float) for x in (centroids, mu_text, mu_image))
+    bank = bank.reshape(len(centroids), len(mu_t))
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def scores(words: pa.Array, image: pa.Array) -> pa.Array:
+        def side(vec: pa.Array, mu: np.ndarray) -> np.ndarray:
+            x = vec.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vec), len(mu))
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) - mu
+            return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) @ bank.T
+
+        return _lists(np.maximum(side(words, mu_t), side(image, mu_v)))
+
+    return rows.withColumn("s", scores(F.col("words"), F.col("image")))
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def card_log_probs(card: pooling.Scorecard, s: Column) -> Column:
+    """Log probabilities of a scorecard on raw concept scores, by batches."""
+    mu, sd, coef, offset = (np.asarray(x, float) for x in (card.mu, card.sd, card.coef, card.offset))
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def log_probs(s: pa.Array) -> pa.Array:
+        z = (s.flatten().to_numpy(zero_copy_only=False).reshape(len(s), len(mu)) - mu) / sd @ coef.T + offset
+        z = z - z.max(axis=1, keepdims=True)
+        return _lists(z - np.log(np.exp(z).sum(axis=1, keepdims=True)))
+
+    return log_probs(s)
 
 
 def _long(rows: DataFrame) -> DataFrame:
@@ -88,7 +120,7 @@ def concept_oof(rows: DataFrame, k: int, concepts: int = 30, folds: int = 5, gro
         own = shared or bank_of(inside, concepts)
         card, _ = card_of(scored(inside, *own), len(own[0]), k, c)
         held = scored(dealt.where(F.col("fold") == f), *own)
-        return saved(held.select("item_id", "fold", vectors.log_softmax(card.logits(card.standardised(F.col("s")))).alias("lc")))
+        return saved(held.select("item_id", "fold", card_log_probs(card, F.col("s")).alias("lc")))
 
     with ThreadPool(min(folds, SIDE_BY_SIDE)) as pool:
         parts = pool.map(inheritable_thread_target(dealt.sparkSession)(one), range(folds))

@@ -138,3 +138,17 @@ def test_concept_scores_out_of_fold_with_groups(spark):
     assert np.mean(right) > 0.85
     leaky = routed.concept_oof(df, 2, concepts=4, folds=3, rebuild=False)
     assert leaky.count() == 200
+
+
+def test_concept_scores_by_batches_are_those_of_columns(spark):
+    from plumbline.operators import pooling
+
+    g = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, g.normal(size=5).tolist(), g.normal(size=5).tolist()) for i in range(30)] + [(99, [0.0] * 5, [0.0] * 5)], "item_id long, image array<double>, words array<double>")
+    bank, mu = g.normal(size=(3, 5)).tolist(), (g.normal(size=5).tolist(), g.normal(size=5).tolist())
+    card = pooling.Scorecard(["a", "b", "c"], [0.1, 0.2, 0.3], [1.0, 2.0, 0.5], [[1.0, -1.0, 0.5], [0.2, 0.4, -2.0]], [0.1, -0.2], [-0.5, -1.0])
+    both = routed.scored(df, bank, *mu).withColumn("c", pooling.concept_scores(F.col("words"), F.col("image"), bank, *mu))
+    both = both.withColumns({"lp": routed.card_log_probs(card, F.col("s")), "logits": card.logits(card.standardised(F.col("c")))})
+    for r in both.collect():
+        assert r["s"] == pytest.approx(r["c"]) and r["lp"] == pytest.approx(classifier._log_softmax(np.array([r["logits"]]))[0])
+    assert routed.scored(df.limit(0), bank, *mu).count() == 0
