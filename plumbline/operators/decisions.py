@@ -46,6 +46,15 @@ def d5_decide(scores: DataFrame, tol: float = TOL, determines: float = DETERMINE
     return out.select(claim("image"), claim("text"), F.col("top.macro_f1").alias("best_single"), F.col("top.encoder").alias("best_encoder"), F.col("top.view").alias("best_view"), F.when(F.col("top.macro_f1") >= determines, "FLAG").otherwise("ok").alias("verdict"))
 
 
+def d5_stability(scores: DataFrame, tol: float = TOL, determines: float = DETERMINES) -> DataFrame:
+    """image_claim, text_claim, verdict, seeds: how many seeds, each decided alone, come to each outcome. scores as in d5_decide."""
+    out = None
+    for seed in sorted(r[0] for r in scores.select("seed").distinct().collect()):
+        row = d5_decide(scores.where(F.col("seed") == seed), tol, determines)
+        out = row if out is None else out.unionByName(row)
+    return out.groupBy("image_claim", "text_claim", "verdict").agg(F.count("*").alias("seeds"))
+
+
 def threshold_rates(rows: DataFrame, grid: list[float], stat: str, by: list[str]) -> DataFrame:
     """by, t, rate: the share of rows whose statistic reaches each threshold."""
     each = rows.withColumn("t", F.explode(F.array(*map(F.lit, grid))))

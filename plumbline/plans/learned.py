@@ -37,6 +37,15 @@ def modality_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(decisions.d5_decide(scores))
 
 
+@query()
+def modality_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How D5's claims hold over ten seeds, each decided by itself."""
+    e = embedded(spark, sf_dir)
+    part = lambda a, n: e.select("item_id", F.slice("vec", a, n).alias("vec"))
+    scores = learners.modality_scores({"small": (part(1, 16), part(33, 16)), "large": (part(1, 32), part(33, 32))}, e.select("item_id", "y", "split"), 10, seeds=10)
+    return decisions.d5_stability(scores)
+
+
 @query()
 def concept_bank_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embedded(spark, sf_dir)

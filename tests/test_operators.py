@@ -201,6 +201,12 @@ def test_system_verdicts(spark):
     assert (got["n_changed"], got["fixes"], got["breaks"], got["verdict"]) == (1, 1, 0, "FLAG")
 
 
+def test_claims_of_single_seeds(spark):
+    rows = [(e, o, v, s, f) for s in range(3) for e, o in (("weak", 0), ("strong", 1)) for v, f in (("image", 0.5), ("text", 0.6), ("both", 0.7 if s else 0.6))]
+    got = {(r["image_claim"], r["verdict"]): r["seeds"] for r in decisions.d5_stability(spark.createDataFrame(rows, "encoder string, enc_order int, view string, seed long, macro_f1 double")).collect()}
+    assert got == {("contributes under every encoder", "ok"): 2, ("adds little under the strongest encoder", "ok"): 1}
+
+
 def test_unfaithful_explanations_are_flagged(spark):
     g = np.random.default_rng(0)
     w = [[1.0, 0, 0, 0, 0, 0], [-1.0, 0, 0, 0, 0, 0]]
