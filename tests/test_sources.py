@@ -165,3 +165,20 @@ def test_live_decisions_after_a_stop_equal_the_table(spark, tmp_path):
     assert sorted(tuple(r) for r in live.decided(spark, out, decision(rows).schema).collect()) == want
     live.decide_stream(stream(), out, checkpoint, decision).awaitTermination()
     assert live.decided(spark, out, decision(rows).schema).count() == len(want)
+
+
+def test_system_tier_from_the_command_line(spark, tmp_path):
+    from plumbline.__main__ import main
+
+    rows = [(i, s, c, i % 2, i % 2 if c == "rich" or i % 5 else 1 - i % 2, i % 2 if i % 5 else 1 - i % 2) for i in range(60) for s in range(3) for c in ("rich", "equal")]
+    spark.createDataFrame(rows, "item_id long, seed long, config string, y long, pa long, pb long").write.parquet(str(tmp_path / "p.parquet"))
+    (tmp_path / "i.csv").write_text("component,input\nN,image\nP,post\n")
+    (tmp_path / "f.csv").write_text("y,pred_full,pred_without\n1,1,0\n0,0,0\n")
+    assert main(["system", "--predictions", str(tmp_path / "p.parquet"), "--equal", "equal", "--inventory", str(tmp_path / "i.csv"), "--system", "N", "P", "--baseline", "N", "--available", "image", "post", "--influence", str(tmp_path / "f.csv"), "--out", str(tmp_path / "a")]) == 0
+    got = json.loads((tmp_path / "a.json").read_text())
+    assert got["meta"] == {"items": 60, "seeds": 3, "classes": 2, "equal": "equal"} and got["S1"]["verdict"] == "FLAG"
+    configs = {c["config"]: c for c in got["S2"]["configs"]}
+    assert configs["equal"]["margin"] == 0 and configs["rich"]["margin_lo"] > 0 and got["S2"]["verdict"] == "FLAG" and got["S2"]["gains"] == ["rich"]
+    assert got["S4"]["n_changed"] == 1 and "verdict" in got["S3"]
+    with pytest.raises(ValueError, match="no predictions"):
+        main(["system", "--predictions", str(tmp_path / "p.parquet"), "--equal", "other", "--out", str(tmp_path / "b")])
