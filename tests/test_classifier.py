@@ -34,14 +34,14 @@ def test_gradients(hidden):
 
 def test_classifier_learns_and_partitionings_agree(spark):
     df = rows_of(spark)
-    one, f1 = classifier.classifier(df.repartition(1), 3, hidden=8, steps=30)
-    many, other = classifier.classifier(df.repartition(7), 3, hidden=8, steps=30)
+    one, f1 = classifier.classifier(df.repartition(1), 3, hidden=8, steps=16, rate=0.1)
+    many, other = classifier.classifier(df.repartition(7), 3, hidden=8, steps=16, rate=0.1)
     assert one.theta == pytest.approx(many.theta, abs=1e-8) and f1 == pytest.approx(other)
     test = df.where("split = 'test'").select("y", classifier.logits([one], F.col("vec"), F.lit(0)).alias("z")).collect()
     assert np.mean([np.argmax(r["z"]) == r["y"] for r in test]) > 0.8
     # weights make more rows those of rare classes
-    plain, _ = classifier.classifier(df, 3, steps=30, class_weighted=False)
-    weighted, _ = classifier.classifier(df, 3, steps=30)
+    plain, _ = classifier.classifier(df, 3, steps=16, rate=0.1, class_weighted=False)
+    weighted, _ = classifier.classifier(df, 3, steps=16, rate=0.1)
     every = df.collect()
     rare = lambda m: sum(np.argmax(m.forward(np.array([r["vec"]]))[2]) > 0 for r in every)
     assert rare(weighted) > rare(plain)
@@ -93,7 +93,7 @@ def policy_rows(spark):
 
 def test_policy_flips_by_a_good_rule_only(spark):
     df = policy_rows(spark)
-    policy = classifier.learned_policy(df, 3, [0.0, 1.0, 0.0])
+    policy = classifier.learned_policy(df, 3, [0.0, 1.0, 0.0], steps=60, rate=0.1)
     own = policy.own()
     assert own[1] > 1.0 and own[2] < 0.05 and (own >= 0).all() and policy.f1 > 0.9
     probs = F.transform("logits", F.exp)
@@ -132,11 +132,11 @@ def test_concept_scores_out_of_fold_with_groups(spark):
         rows.append((i, (centre + g.normal(size=4) * 0.3).tolist(), (centre + g.normal(size=4) * 0.3).tolist(), f"w{c}", c, ["train", "train", "val"][i // 2 % 3]))
     df = spark.createDataFrame(rows, "item_id long, image array<double>, words array<double>, word string, y long, split string")
     groups = df.select("item_id", F.floor(F.col("item_id") / 4).alias("component"))
-    got = routed.concept_oof(df, 2, concepts=4, folds=3, groups=groups).join(groups, "item_id")
+    got = routed.concept_oof(df, 2, concepts=4, folds=2, groups=groups).join(groups, "item_id")
     assert got.count() == 200 and got.groupBy("component").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
     right = [r["y"] == int(np.argmax(r["lc"])) for r in got.join(df.select("item_id", "y"), "item_id").collect()]
     assert np.mean(right) > 0.85
-    leaky = routed.concept_oof(df, 2, concepts=4, folds=3, rebuild=False)
+    leaky = routed.concept_oof(df, 2, concepts=4, folds=2, rebuild=False)
     assert leaky.count() == 200
 
 
