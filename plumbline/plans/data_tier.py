@@ -74,20 +74,6 @@ def d1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relations.profile(manifest(spark, sf_dir), ["text", "title"], "source"))
 
 
-_DECLARED = (("title", "src0", "typed"), ("title", "src1", "first line"), ("text", "src0", "crawl"), ("text", "src1", "crawl"))
-
-
-@query(
-    f"""WITH d(field, source, method) AS (VALUES {', '.join(str(r) for r in _DECLARED)}), w(field) AS (VALUES ('title'), ('text'), ('caption')),
-  m AS (SELECT field, list_sort(list_distinct(list(method))) AS m FROM d GROUP BY 1)
-  SELECT w.field, CASE WHEN m IS NULL THEN 'note' WHEN len(m) > 1 THEN 'FLAG' ELSE 'ok' END AS verdict,
-    CASE WHEN m IS NULL THEN 'provenance not declared' WHEN len(m) > 1 THEN 'produced differently across sources: ' || array_to_string(m, ' | ')
-      ELSE 'one production method for every source' END AS why FROM w LEFT JOIN m USING (field)"""
-)
-def d1_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.provenance(spark.createDataFrame(list(_DECLARED), "field string, source string, method string"), ["title", "text", "caption"])
-
-
 def _tail_sql(k: str, n: str, p: str) -> str:
     term = f"lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p})"
     terms = f"list_transform(range(CAST({k} AS BIGINT), CAST({n} AS BIGINT) + 1), lambda i: {term})"
@@ -113,20 +99,6 @@ def d2_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relations.relations(labelled(spark, sf_dir), ["title", "text"], "label"))
 
 
-_BASES, _SIZES = (0.3, 0.5, 0.7, 0.9, 0.95, 0.97), (20, 50, 100, 200)
-
-
-@query(
-    f"""WITH g AS (SELECT base, n FROM (SELECT unnest({list(_BASES)}::DOUBLE[]) AS base), (SELECT unnest({list(_SIZES)}) AS n)),
-  e AS (SELECT base, CAST(n AS BIGINT) AS n, unnest(range(1, n + 1)) AS k FROM g), t AS (SELECT *, {_tail_sql('k', 'n', 'base')} AS lp FROM e),
-  m AS (SELECT base, n, min(k) FILTER (WHERE k >= n * 0.95 - 1e-9 AND lp <= log10(1e-3)) AS k_min FROM t GROUP BY 1, 2)
-  SELECT m.base, m.n, m.k_min, round(t.lp, 6) AS log10_rate FROM m LEFT JOIN t ON t.base = m.base AND t.n = m.n AND t.k = m.k_min"""
-)
-def d2_false_flag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.createDataFrame([(b, n) for b in _BASES for n in _SIZES], "base double, n long")
-    return rounded(relations.false_flag_rates(grid))
-
-
 @query(f"WITH {LABELLED_SQL} SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT lang AS label FROM labelled)")
 def label_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dim(labelled(spark, sf_dir), "lang")
@@ -340,70 +312,6 @@ def knn_vote_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(duplicates.knn_vote(embedded(spark, sf_dir), 25, 10, balanced=True))
 
 
-_D3 = [("a", 0.35, 0.90), ("b", 0.20, 0.80), ("c", 0.05, 0.99), ("d", 0.20, 0.50), ("e", 0.40, None), ("f", 0.15, 0.75), ("g", 0.30, 0.84), ("h", -0.1, None)]
-_D3_SQL = "t(task, lift, share) AS (VALUES " + ", ".join(f"('{a}', {b}::DOUBLE, {'NULL' if c is None else c}::DOUBLE)" for a, b, c in _D3) + ")"
-_LEVEL = "CASE WHEN share IS NOT NULL AND lift >= {0} AND share >= 0.85 THEN 'severe' WHEN share IS NOT NULL AND lift >= {1} AND share >= 0.75 THEN 'notable' WHEN lift < {2} THEN 'clean' ELSE '' END"
-
-
-@query(f"WITH {_D3_SQL}, l AS (SELECT *, {_LEVEL.format(0.30, 0.15, 0.10)} AS level FROM t) SELECT task, level, CASE WHEN level IN ('severe', 'notable') THEN 'FLAG' WHEN level = 'clean' THEN 'ok' ELSE 'note' END AS verdict FROM l")
-def d3_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_D3, "task string, lift double, share double")
-    return rows.select("task", decisions.d3_level(F.col("lift"), F.col("share")).alias("level")).select("task", "level", decisions.d3_verdict(F.col("level")).alias("verdict"))
-
-
-_D5 = [(e, o, v, s, round(b + 0.01 * s, 3)) for e, o, vs in (("small", 0, (0.60, 0.70, 0.705)), ("large", 1, (0.75, 0.91, 0.93))) for v, b in zip(("image", "text", "both"), vs, strict=True) for s in range(3)]
-
-
-@query(
-    f"""WITH s(encoder, enc_order, view, seed, f) AS (VALUES {', '.join(str(r) for r in _D5)}),
-  m AS (SELECT encoder, enc_order, view, avg(f) AS f FROM s GROUP BY ALL), p AS (SELECT encoder, enc_order, max(f) FILTER (WHERE view = 'image') AS fi, max(f) FILTER (WHERE view = 'text') AS ft, max(f) FILTER (WHERE view = 'both') AS fb FROM m GROUP BY 1, 2),
-  v AS (SELECT *, fb - ft AS vi, fb - fi AS vt FROM p), k AS (SELECT max_by(vi, enc_order) AS si, min_by(vi, enc_order) AS wi, max_by(vt, enc_order) AS st, min_by(vt, enc_order) AS wt FROM v),
-  b AS (SELECT f, encoder, view FROM m WHERE view <> 'both' ORDER BY f DESC, encoder DESC, view DESC LIMIT 1)
-  SELECT CASE WHEN si < 0.01 THEN 'adds little under the strongest encoder' WHEN wi < 0.01 THEN 'encoder-limited' ELSE 'contributes under every encoder' END AS image_claim,
-    CASE WHEN st < 0.01 THEN 'adds little under the strongest encoder' WHEN wt < 0.01 THEN 'encoder-limited' ELSE 'contributes under every encoder' END AS text_claim,
-    round(CAST(f AS DOUBLE), 6) AS best_single, encoder AS best_encoder, view AS best_view, CASE WHEN f >= 0.9 THEN 'FLAG' ELSE 'ok' END AS verdict FROM k, b"""
-)
-def d5_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(decisions.d5_decide(spark.createDataFrame(_D5, "encoder string, enc_order int, view string, seed int, macro_f1 double")))
-
-
-_CAL = [(f"t{t}", k, round(0.02 * ((t * 7 + s * 3 + (11 if k == "leak" else 0)) % 17), 3), round(0.03 * ((t * 5 + s) % 13), 3)) for t in range(5) for k in ("control", "leak") for s in range(6)]
-_CAL_SQL = "c(task, kind, stat, oracle) AS (VALUES " + ", ".join(f"('{a}', '{b}', {x}::DOUBLE, {y}::DOUBLE)" for a, b, x, y in _CAL) + ")"
-_GRID = [0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.35]
-
-
-def _calibration(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CAL, "task string, kind string, stat double, oracle double")
-
-
-@query(f"WITH {_CAL_SQL}, g AS (SELECT unnest({_GRID}::DOUBLE[]) AS t) SELECT kind, t, round(avg(CAST(stat >= t AS DOUBLE)), 6) AS rate FROM c, g GROUP BY 1, 2")
-def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(decisions.threshold_rates(_calibration(spark), _GRID, "stat", ["kind"]))
-
-
-@query(
-    f"""WITH {_CAL_SQL}, g AS (SELECT unnest({_GRID}::DOUBLE[]) AS t), k AS (SELECT * FROM c WHERE kind = 'control'), h AS (SELECT DISTINCT task FROM k),
-  r AS (SELECT h.task, t, avg(CAST(stat >= t AS DOUBLE)) AS f FROM h, g, k WHERE k.task <> h.task GROUP BY 1, 2), b AS (SELECT task, min(t) FILTER (WHERE f <= 0.05) AS t FROM r GROUP BY 1)
-  SELECT b.task AS held_out, b.t, round((SELECT avg(CAST(stat >= b.t AS DOUBLE)) FROM k WHERE k.task = b.task), 6) AS rate FROM b"""
-)
-def loo_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(decisions.leave_one_out_threshold(_calibration(spark), _GRID, "stat"))
-
-
-@query(f"WITH {_CAL_SQL} SELECT task, round(regr_slope(stat, oracle), 6) AS slope FROM c GROUP BY 1")
-def recovery_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(decisions.recovery_slope(_calibration(spark), ["task"], "stat", "oracle"))
-
-
-@query(
-    f"""WITH {_D3_SQL}, g AS (SELECT unnest(range(500, 1501, 5)) / 1000 AS m), e AS (
-    SELECT task, m, {_LEVEL.format('least(0.30::DOUBLE * m, 1.0)', 'least(0.15::DOUBLE * m, 1.0)', 'least(0.10::DOUBLE * m, 1.0)')} <> {_LEVEL.format(0.30, 0.15, 0.10)} AS changed FROM t, g)
-  SELECT task, max(m) FILTER (WHERE m < 1 AND changed) AS below, min(m) FILTER (WHERE m > 1 AND changed) AS above FROM e GROUP BY 1"""
-)
-def flip_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(decisions.flip_points(spark.createDataFrame(_D3, "task string, lift double, share double")))
-
-
 @query(
     f"""WITH {LABELLED_SQL}, {_NEAR}, n AS (SELECT item_id, split, {NORM.format(t='text')} AS norm FROM labelled),
   c AS (SELECT n.item_id, NOT (norm <> '' AND norm IN (SELECT norm FROM n WHERE split <> 'test')) AS caption, coalesce(near.cos, -1) < 0.43 AS image FROM n LEFT JOIN near ON near.item_id = n.item_id WHERE n.split = 'test')

@@ -20,15 +20,6 @@ from plumbline.sources.manifest import aligned, table
 H = rng.draw_sql
 
 
-@query(
-    """WITH c(class) AS (VALUES ('kitchen'), ('work')), t(kind, place, a, b) AS (VALUES ('context', 0, 'a ', ''), ('context', 1, 'a ', ' scene'), ('context', 2, 'a photo of a ', ' setting'),
-  ('stereotype', 0, 'a woman in a ', ' setting'), ('stereotype', 1, 'a woman engaged in ', ''), ('stereotype', 2, 'a meme about a woman and ', ''))
-  SELECT class || '_' || kind AS predicate, CAST(place AS BIGINT) AS place, a || class || b AS prompt FROM c, t"""
-)
-def prompt_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regimes.prompts(spark.createDataFrame([("kitchen",), ("work",)], "class string"))
-
-
 @query(
     f"""WITH {EMBEDDED_SQL}, m AS (SELECT y, i, avg(u[i + 1]) AS m FROM unit, (SELECT unnest(range(64)) AS i) GROUP BY 1, 2), p AS (SELECT y, list(m ORDER BY i) AS v FROM m GROUP BY 1),
   q AS (SELECT y, v, sqrt(list_dot_product(v, v)) + 1e-8 AS n FROM p)
@@ -129,14 +120,6 @@ def tweet_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, sf_dir).select("item_id", F.md5(text.tweet(F.col("text"))).alias("tweet_md5"))
 
 
-_NAMES = ["NOT a>0.5", 'says:"x"', "b>c>-1.25", "NOT flag"]
-
-
-@query("SELECT * FROM (VALUES ('NOT a>0.5', true, 'a', 0.5::DOUBLE), ('says:\"x\"', false, 'says:\"x\"', NULL), ('b>c>-1.25', false, 'b>c', -1.25), ('NOT flag', true, 'flag', NULL)) t(name, negated, feature, cut)")
-def literal_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", text.parsed_literal(F.col("name")).alias("p")).select("name", "p.*")
-
-
 @query("WITH v AS (SELECT user_id, list(event_type ORDER BY event_id) AS l FROM events GROUP BY 1) SELECT user_id, CAST(list_filter(list_transform(l, lambda x: CASE x WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 END), lambda v: v IS NOT NULL)[1] AS BIGINT) AS y FROM v")
 def first_known_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda s: s["event_type"]).alias("l"))
@@ -191,27 +174,6 @@ def within_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.when(F.col("label") == "toxic", 1)).alias("toxic"), F.avg((F.col("y") % 2).cast("double")).alias("good_share")))
 
 
-_D4 = [("a", 0.9, 0.6, 3), ("b", 0.9, 0.4, 3), ("c", 0.7, 0.9, 2), ("d", None, 0.0, 1)]
-
-
-@query("SELECT task, CASE WHEN sources < 2 THEN 'note' WHEN auc >= 0.8 AND v >= 0.5 THEN 'FLAG' ELSE 'ok' END AS verdict FROM (VALUES ('a', 0.9, 0.6, 3), ('b', 0.9, 0.4, 3), ('c', 0.7, 0.9, 2), ('d', NULL, 0.0, 1)) t(task, auc, v, sources)")
-def d4_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_D4, "task string, auc double, v double, sources int")
-    return rows.select("task", decisions.d4_verdict(F.col("auc"), F.col("v"), F.col("sources")).alias("verdict"))
-
-
-@query("SELECT task, CASE WHEN bool_or(v = 'FLAG') THEN 'FLAG' WHEN bool_or(v = 'ok') THEN 'ok' ELSE 'note' END AS verdict FROM (VALUES ('a', 'ok'), ('a', 'FLAG'), ('b', 'note'), ('b', 'ok'), ('c', 'note')) t(task, v) GROUP BY 1")
-def verdict_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("a", "ok"), ("a", "FLAG"), ("b", "note"), ("b", "ok"), ("c", "note")], "task string, v string")
-    return rows.groupBy("task").agg(relations.worst(F.col("v")).alias("verdict"))
-
-
-@query("SELECT CAST(i AS BIGINT) AS i, round(ln(CASE WHEN a IS NULL THEN 0.25 ELSE 0.05 + CASE WHEN i = a THEN 0.8 ELSE 0 END END), 6) AS lp, CAST(a AS BIGINT) AS answer FROM (VALUES (NULL::INT), (2)) t(a), (SELECT unnest(range(4)) AS i)")
-def answer_log_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(None,), (2,)], "a int")
-    return rounded(rows.select(F.col("a").alias("answer"), F.posexplode(pooling.answer_log_probs(F.col("a"), 4)).alias("i", "lp")))
-
-
 @query(
     f"""WITH {symbolic._BASE}, f AS (SELECT {symbolic._argmax_sql('ln')} AS b, {symbolic._argmax_sql(f"list_transform(range(0, {symbolic.K}), lambda i: ln[i + 1] + trigger[i + 1])")} AS r, {symbolic._argmax_sql('lc')} AS c,
     {symbolic._argmax_sql(f"list_transform(range(0, {symbolic.K}), lambda i: lc[i + 1] + trigger[i + 1])")} AS d FROM base) SELECT count(*) AS n, count(*) FILTER (WHERE b <> r) AS by_rules, count(*) FILTER (WHERE b <> c) AS by_free, count(*) FILTER (WHERE b <> d) AS by_both FROM f"""

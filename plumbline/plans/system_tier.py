@@ -90,35 +90,6 @@ def perclass_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resampling.class_intervals(p.select("pos", "seed", "y", F.col("pa").alias("pred")), n, CLASSES, b=REPS))
 
 
-_INPUTS = [("encoder", "image"), ("encoder", "caption"), ("rules", "caption"), ("rules", "ocr"), ("probe", "image")]
-
-
-@query(
-    f"""WITH c(component, input) AS (VALUES {', '.join(str(r) for r in _INPUTS)}), s AS (SELECT DISTINCT input FROM c WHERE component IN ('encoder', 'rules')), b AS (SELECT DISTINCT input FROM c WHERE component = 'probe'),
-  l AS (SELECT (SELECT list_sort(list(input)) FROM s) AS system_inputs, (SELECT list_sort(list(input)) FROM b) AS baseline_inputs, (SELECT list_sort(list(input)) FROM s WHERE input NOT IN (SELECT input FROM b)) AS o, (SELECT list_sort(list(input)) FROM s WHERE input NOT IN ('image', 'caption')) AS u)
-  SELECT array_to_string(system_inputs, ',') AS system_inputs, array_to_string(baseline_inputs, ',') AS baseline_inputs, array_to_string(o, ',') AS only_in_system, array_to_string(u, ',') AS unavailable_at_inference,
-    CASE WHEN len(o) > 0 OR len(u) > 0 THEN 'FLAG' ELSE 'ok' END AS verdict FROM l"""
-)
-def s1_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = system.s1_inventory(spark.createDataFrame(_INPUTS, "component string, input string"), ["encoder", "rules"], ["probe"], ["image", "caption"])
-    return out.select(*(F.array_join(c, ",").alias(c) if c != "verdict" else F.col(c) for c in out.columns))
-
-
-_S2 = [("equal", 0.012, -0.01, None), ("caption", 0.19, 0.15, 0.10), ("ocr", 0.03, 0.005, -0.02), ("none", -0.02, -0.05, -0.03)]
-
-
-@query(
-    f"""WITH t(config, margin, margin_lo, swing_lo) AS (VALUES {', '.join(f"('{a}', {b}::DOUBLE, {c}::DOUBLE, {'NULL' if d is None else d}::DOUBLE)" for a, b, c, d in _S2)}),
-  g AS (SELECT * FROM t WHERE config <> 'equal' AND margin_lo > 0)
-  SELECT (SELECT string_agg(config, ',' ORDER BY config) FROM g) AS gains, (SELECT string_agg(config, ',' ORDER BY config) FROM g WHERE swing_lo > 0) AS gain_partly_from_inputs,
-    round((SELECT max(margin) FROM t) - (SELECT margin FROM t WHERE config = 'equal'), 6) AS swing, CASE WHEN (SELECT count(*) FROM g WHERE swing_lo > 0) > 0 THEN 'FLAG' ELSE 'ok' END AS verdict,
-    CASE WHEN (SELECT count(*) FROM g) > 0 AND (SELECT margin_lo FROM t WHERE config = 'equal') <= 0 THEN 'FLAG' ELSE 'ok' END AS verdict_no_gain_survives"""
-)
-def s2_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = system.s2_verdict(spark.createDataFrame(_S2, "config string, margin double, margin_lo double, swing_lo double"), "equal")
-    return rounded(out.withColumns({c: F.array_join(c, ",") for c in ("gains", "gain_partly_from_inputs")}))
-
-
 @query(
     f"""SELECT CASE WHEN lo > 0 THEN 'caption' ELSE '' END AS gains, CASE WHEN lo > 0 THEN 'caption' ELSE '' END AS gain_partly_from_inputs, round(greatest(mean, 0), 6) AS swing,
     CASE WHEN lo > 0 THEN 'FLAG' ELSE 'ok' END AS verdict, CASE WHEN lo > 0 THEN 'FLAG' ELSE 'ok' END AS verdict_no_gain_survives FROM ({ORACLES['paired_bootstrap']}) p WHERE metric = 'd_macro_f1'"""
@@ -213,19 +184,6 @@ def s5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(system.s5_faithfulness(_scored(spark, sf_dir), _W, _BIAS))
 
 
-_S6 = [(p, m, round(b + 0.01 * ((p * k) % 5), 3)) for m, b, k in (("d_macro_f1", 0.01, 3), ("d_acc", -0.02, 2)) for p in range(5)]
-
-
-@query(
-    f"""WITH d(part, metric, value) AS (VALUES {', '.join(f"({p}, '{m}', {v}::DOUBLE)" for p, m, v in _S6)}), c(metric, criterion) AS (VALUES ('d_macro_f1', 0.0::DOUBLE), ('d_acc', 0.005::DOUBLE)),
-  s AS (SELECT metric, avg(value) AS mean, stddev_pop(value) AS sd, criterion, avg(value) >= criterion AS met FROM d JOIN c USING (metric) GROUP BY metric, criterion)
-  SELECT metric, round(mean, 6) AS mean, round(sd, 6) AS sd, criterion, met, CASE WHEN (SELECT bool_and(met) FROM s) THEN 'ok' ELSE 'FLAG' END AS verdict FROM s"""
-)
-def s6_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deltas = spark.createDataFrame(_S6, "partition int, metric string, value double")
-    return rounded(system.s6_verdict(deltas, spark.createDataFrame([("d_macro_f1", 0.0), ("d_acc", 0.005)], "metric string, criterion double")))
-
-
 _QUOTED = "'split'"
 
 

@@ -42,30 +42,6 @@ def shape_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tasks.screen(registry(spark, sf_dir), {"toxicity": 0.9, "quality": 0.9}))
 
 
-_RESULTS = [("toxicity", "D3"), ("toxicity", "D6"), ("toxicity", "D3"), ("both", "D3")]
-
-
-@query(
-    f"""WITH n AS (SELECT unnest({list(TASKS)}) AS task), r(task, check_) AS (VALUES {', '.join(map(str, _RESULTS))}), c AS (SELECT task, count(DISTINCT check_) AS c FROM r GROUP BY 1)
-  SELECT task, c IS NOT NULL AS done, coalesce(c, 0) AS checks FROM n LEFT JOIN c USING (task)"""
-)
-def task_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.status(spark.createDataFrame([(t,) for t in TASKS], "task string"), spark.createDataFrame(_RESULTS, "task string, check string"))
-
-
-_KINDS = [("a", 1, 1, 0, 2), ("b", 2, 3, 2, 1), ("c", 0, 0, 1, 0)]
-
-
-@query(
-    f"""WITH t(task, texts, sources, encoders, systems) AS (VALUES {', '.join(map(str, _KINDS))}),
-  n(check_, need, least, why) AS (VALUES {', '.join(f"('{c}', '{n}', {tasks.LEAST.get(n, 1)}, '{w}')" for c, (n, w) in tasks.NEEDS.items())}),
-  x AS (SELECT task, check_, why, CASE need WHEN 'texts' THEN texts WHEN 'sources' THEN sources WHEN 'encoders' THEN encoders ELSE systems END >= least AS run FROM t, n)
-  SELECT task, check_ AS "check", run, CASE WHEN run THEN '' ELSE 'n/a: ' || why END AS why FROM x"""
-)
-def task_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.dispatch(spark.createDataFrame(_KINDS, "task string, texts int, sources int, encoders int, systems int"))
-
-
 @query(f"WITH {LABELLED_SQL} SELECT item_id, CASE lang WHEN 'fr' THEN 0 ELSE 1 END AS y, split FROM labelled WHERE lang IN ('fr', 'en')")
 def restricted_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tasks.restricted(labelled(spark, sf_dir), ["fr", "en"], "lang").select("item_id", "y", "split"))
@@ -91,18 +67,6 @@ def group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tasks.group_sizes(QUERIES["dup_components"](spark, sf_dir)))
 
 
-_SEEDS = [(s, seed, m, round(0.5 + 0.01 * ((i * 7 + seed * 3 + len(m)) % 11), 4)) for i, s in enumerate(("margin", "entropy", "rules")) for seed in range(5) for m in ("auroc", "caught")]
-
-
-@query(
-    f"""WITH t(signal, seed, metric, value) AS (VALUES {', '.join(f"('{a}', {b}, '{c}', {d}::DOUBLE)" for a, b, c, d in _SEEDS)}),
-  d AS (SELECT t.signal, t.metric, round(t.value - b.value, 12) AS d FROM t JOIN t b ON b.signal = 'margin' AND b.seed = t.seed AND b.metric = t.metric WHERE t.signal <> 'margin')
-  SELECT signal, metric, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS sd, count(*) AS seeds, CAST(count(*) FILTER (WHERE d > 0) AS BIGINT) AS seeds_better FROM d GROUP BY 1, 2"""
-)
-def feasibility_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(tasks.against_base(spark.createDataFrame(_SEEDS, "signal string, seed int, metric string, value double"), "margin"))
-
-
 _STATE = "CASE WHEN item_id % 7 = 0 THEN 'CONTESTED' WHEN item_id % 3 = 0 THEN 'SUPPORTED' ELSE 'SILENT' END"
 
 
@@ -156,14 +120,6 @@ def pool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tasks.pool_summary(_pool(spark, sf_dir)))
 
 
-_DEFAULTS, _OVERRIDE = [("support", 15.0), ("precision", 0.35), ("lift", 3.0)], [("lift", 2.5), ("other", 1.0)]
-
-
-@query(f"WITH d(name, value) AS (VALUES {', '.join(map(str, _DEFAULTS))}), o(name, v) AS (VALUES {', '.join(map(str, _OVERRIDE))}) SELECT name, CAST(coalesce(v, value) AS DOUBLE) AS value FROM d LEFT JOIN o USING (name)")
-def threshold_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.thresholds(spark.createDataFrame(_DEFAULTS, "name string, value double"), spark.createDataFrame(_OVERRIDE, "name string, value double"))
-
-
 @query(
     f"""WITH {EMBEDDED_SQL}, l AS (SELECT b AS backbone, item_id, vec[b * 8 + 1 : b * 8 + 8] AS z FROM embedded, (SELECT unnest(range(8)) AS b)), m AS (SELECT *, list_max(z) AS hi FROM l)
   SELECT 'b' || backbone AS backbone, item_id, round(list_max(z) - hi - ln(list_sum(list_transform(z, lambda x: exp(x - hi)))), 6) AS best, round(z[1] - hi - ln(list_sum(list_transform(z, lambda x: exp(x - hi)))), 6) AS first FROM m"""
@@ -269,4 +225,3 @@ def concept_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir).select((F.col("label") == "toxic").cast("long").alias("y"), F.least(F.length("text") / 4000.0, F.lit(1.0)).cast("double").alias("s"))
     return rounded(tasks.best_cut(rows, "s"))
-
