@@ -151,7 +151,7 @@ def naming_tokens(c: Column, stop_words: list[str]) -> Column:
 
 
 def split_merged(word: Column, vocabulary: Column) -> Column:
-    """A run-together word as the fewest vocabulary words that spell it (longer first words on ties), else itself alone.
+    """A run-together word as the fewest vocabulary words that spell it (the longest last word on ties), else itself alone.
 
     Dynamic programming over places: the best split of every beginning.
     """

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from plumbline.functions import boosting, metrics, text, vectors
 from plumbline.functions.rng import SEED, draw, seed_list
 from plumbline.functions.tables import saved
-from plumbline.operators import decisions, resampling
+from plumbline.operators import decisions, naming, resampling
 from plumbline.operators.pooling import Scorecard
 
 #: Inverse regularisation grids, least first.
@@ -375,11 +375,12 @@ def medoids(rows: DataFrame, clusters: DataFrame, centres: list[list[float]], ke
     return joined.groupBy("cluster").agg(F.max_by(F.struct(key, "cos"), F.struct("cos", -F.col(key))).alias("m")).select("cluster", "m.*")
 
 
-def concept_bank(phrases: DataFrame, images: DataFrame, k: int, members: int = 2) -> DataFrame:
+def concept_bank(phrases: DataFrame, images: DataFrame, k: int, members: int = 2, captions: DataFrame | None = None) -> DataFrame:
     """concept_id, name, centroid, n_text, n_img: clusters of centred unit vectors of both modalities with `members` at least.
 
     phrases: item_id, vec, word; images: item_id, vec. Each modality is centred by its mean. A concept is named by its most frequent
-    words (three at most, by count, then alphabet); equal names get -2, -3 in the order of clusters.
+    words (three at most, by count, then alphabet); one without phrases by the captions of the images of largest product with its centre
+    (captions: item_id, word, each once), or "image" without any. Equal names get -2, -3 in the order of clusters.
     """
     def centred(df: DataFrame) -> DataFrame:
         u = df.withColumn("_u", vectors.unit(F.col("vec"))).withColumn("_one", F.lit(1))
@@ -395,6 +396,13 @@ def concept_bank(phrases: DataFrame, images: DataFrame, k: int, members: int = 2
     top = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("count"), "word"))
     names = counted.withColumn("r", top).where("r <= 3").groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda s: s["word"]), "-").alias("base"))
     again = F.row_number().over(Window.partitionBy("base").orderBy("cluster"))
+    if captions is not None:
+        bare = sizes.join(names, "cluster", "left_anti").select("cluster").collect()  # k at most
+        if bare:
+            spark = phrases.sparkSession
+            heads = spark.createDataFrame([(int(r[0]), [float(x) for x in centres[r[0]]]) for r in bare], "id long, x array<double>")
+            top = naming.top_members(heads, v.select(F.col("item_id").alias("id"), F.col("c").alias("x")))
+            names = names.unionByName(naming.names_of_members(top, captions).select(F.col("concept").alias("cluster"), F.col("name").alias("base")))
     named = sizes.join(names, "cluster", "left").withColumn("base", F.coalesce("base", F.lit("image"))).withColumn("n", again)
     table = F.array(*(F.array(*map(F.lit, c)) for c in centres))
     return named.select(F.col("cluster").alias("concept_id"), F.when(F.col("n") > 1, F.concat_ws("-", "base", F.col("n").cast("string"))).otherwise(F.col("base")).alias("name"), F.element_at(table, (F.col("cluster") + 1).cast("int")).alias("centroid"), "n_text", "n_img")
