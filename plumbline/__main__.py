@@ -24,6 +24,7 @@ def main(argv: list[str] | None = None) -> int:
     data.add_argument("--provenance")
     data.add_argument("--emb", nargs="*", default=[], metavar="ENCODER:VIEW=path")
     data.add_argument("--nulls", type=int, default=20)
+    data.add_argument("--timed", action="store_true", help="run the checks one after the other and report their seconds")
     data.add_argument("--out", default="audit")
     runs = tiers.add_parser("system", help="checks that need predictions: item_id, seed, config, y, pa, pb")
     runs.add_argument("--predictions", required=True)
@@ -43,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{a.out}.json written")
         return 0
     manifest = read_manifest(spark, a.manifest)
-    spec = AuditSpec(a.label, a.text, a.split, a.source, read_provenance(spark, a.provenance) if a.provenance else None, read_embeddings(spark, a.emb, manifest) if a.emb else None, nulls=a.nulls)
+    spec = AuditSpec(a.label, a.text, a.split, a.source, read_provenance(spark, a.provenance) if a.provenance else None, read_embeddings(spark, a.emb, manifest) if a.emb else None, nulls=a.nulls, timed=a.timed)
     result = run_data_tier(manifest, spec)
     Path(f"{a.out}.json").write_text(to_json(result))
     Path(f"{a.out}.md").write_text(markdown(result))
