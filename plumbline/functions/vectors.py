@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+#: Rows of a block, and of a left block that meet a right one at once.
+BLOCK, STRIP = 4096, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,7 +74,7 @@ def _pack(rows: DataFrame, block: str, size: int) -> DataFrame:
     n = max(1, -(-rows.count() // size))
 
     def pack(table: pa.Table) -> pa.Table:
-        x = np.stack([np.asarray(v, "<f8") for v in table.column("x").to_pylist()])
+        x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8", copy=False)
         return pa.table({block: pa.array([table.column("_b")[0].as_py()], pa.int32()), "ids": pa.array([table.column("id").to_numpy().astype("<i8").tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
 
     dealt = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
@@ -81,21 +82,25 @@ def _pack(rows: DataFrame, block: str, size: int) -> DataFrame:
 
 
 def block_pairs(left: DataFrame, right: DataFrame, visit: Callable, schema: str, size: int = BLOCK, half: bool = False) -> DataFrame:
-    """visit(left ids, left x, right ids, right x) -> columns, for every pair of blocks; with `half`, of one table, for each unordered pair once.
+    """visit(left ids, left x, right ids, right x, same) -> columns, for every pair of blocks; with `half`, of one table, for each unordered pair once.
 
     left and right have id (long) and x (array<double>, one length). Each block is sent to each block of the other side;
-    products are dense and nothing but what `visit` returns is kept.
+    products are dense and nothing but what `visit` returns is kept. A task holds one pair at a time, of which `visit` gets STRIP rows of
+    the left block each time. `same`: both blocks are one and the same (its rows may come in another order).
     """
     a, b = _pack(left, "lb", size), _pack(right, "rb", size).withColumnsRenamed({"ids": "rids", "x": "rx"})
     blocks = max(1, -(-right.count() // size))
-    met = a.withColumn("rb", F.explode(F.sequence(F.col("lb") if half else F.lit(0), F.lit(blocks - 1)))).join(b, "rb").select("ids", "x", "rids", "rx")
+    met = a.withColumn("rb", F.explode(F.sequence(F.col("lb") if half else F.lit(0), F.lit(blocks - 1)))).join(b, "rb").select((F.lit(half) & (F.col("lb") == F.col("rb"))).alias("same"), "ids", "x", "rids", "rx")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, rids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["rids"], "<i8")
-                x, rx = (np.frombuffer(row[k], "<f8").reshape(len(i), -1) for k, i in (("x", ids), ("rx", rids)))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in visit(ids, x, rids, rx)], names=[c.split()[0] for c in schema.split(", ")])
+            for k in range(batch.num_rows):
+                # views of the batch, not copies
+                ids, x, rids, rx = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in (("ids", "<i8"), ("x", "<f8"), ("rids", "<i8"), ("rx", "<f8")))
+                x, rx, same = x.reshape(len(ids), -1), rx.reshape(len(rids), -1), batch.column("same")[k].as_py()
+                for at in range(0, len(ids), STRIP):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in visit(ids[at : at + STRIP], x[at : at + STRIP], rids, rx, same)], names=names)
 
     return met.mapInArrow(run, schema)
 
@@ -103,15 +108,16 @@ def block_pairs(left: DataFrame, right: DataFrame, visit: Callable, schema: str,
 def nearest(queries: DataFrame, rows: DataFrame, k: int = 1) -> DataFrame:
     """query_id, id, cos, rank: the k rows of largest product with each query, the smaller id first on ties. Vectors of length 1."""
 
-    def visit(ids, x, rids, rx):
+    def visit(ids, x, rids, rx, _):
         s = x @ rx.T
         take = min(k, s.shape[1])
-        out = []
-        for i in range(len(ids)):
-            near = np.flatnonzero(s[i] >= np.partition(s[i], s.shape[1] - take)[s.shape[1] - take])
-            near = near[np.lexsort((rids[near], -s[i][near]))][:take]
-            out.append((np.full(len(near), ids[i]), rids[near], s[i][near]))
-        return [np.concatenate(c) for c in zip(*out, strict=True)]
+        least = s.max(axis=1) if take == 1 else np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take]
+        i, j = np.nonzero(s >= least[:, None])
+        order = np.lexsort((rids[j], -s[i, j], i))
+        i, j = i[order], j[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < take  # of equal ones at the end, those of the smaller ids
+        i, j = i[first], j[first]
+        return [ids[i], rids[j], s[i, j]]
 
     found = block_pairs(queries, rows, visit, "query_id long, id long, cos double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "id"))
@@ -121,12 +127,13 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 1) -> DataFrame:
 def close_pairs(rows: DataFrame, least: float) -> DataFrame:
     """a < b, cos: pairs of rows of one table whose product is at least `least`, all of them; for connections alone see close_links."""
 
-    def visit(ids, x, rids, rx):
-        i, j = np.nonzero(x @ rx.T >= least)
-        if np.array_equal(ids, rids):  # a block with itself
-            keep = ids[i] < rids[j]
-            i, j = i[keep], j[keep]
-        return [np.minimum(ids[i], rids[j]), np.maximum(ids[i], rids[j]), (x[i] * rx[j]).sum(axis=1)]
+    def visit(ids, x, rids, rx, same):
+        s = x @ rx.T
+        near = s >= least
+        if same:
+            near &= ids[:, None] < rids
+        i, j = np.nonzero(near)
+        return [np.minimum(ids[i], rids[j]), np.maximum(ids[i], rids[j]), s[i, j]]
 
     return block_pairs(rows, rows, visit, "a long, b long, cos double", half=True)
 

@@ -95,6 +95,23 @@ def test_nearest_ties_take_the_smaller_id(spark):
     assert [tuple(x)[:2] for x in vectors.close_pairs(r, 0.9).collect()] == [(1, 3)]
 
 
+def test_close_pairs_of_a_block_that_comes_in_two_orders(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [1.0, 0.0] if k % 2 else [0.0, 1.0]) for k in range(8)], "id long, x array<double>").coalesce(1)
+    plain = vectors._pack
+    monkeypatch.setattr(vectors, "_pack", lambda r, block, size: plain(r.orderBy(F.desc("id") if block == "rb" else "id").coalesce(1), block, size))
+    assert sorted(tuple(x)[:2] for x in vectors.close_pairs(rows, 0.9).collect()) == [(a, b) for a in range(8) for b in range(a + 1, 8) if (a - b) % 2 == 0]
+
+
+def test_blocks_meet_in_strips(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "STRIP", 3)
+    rows = spark.createDataFrame([(k, [float(k % 3 == c) for c in range(3)]) for k in range(10)], "id long, x array<double>")
+    met = vectors.block_pairs(rows, rows, lambda ids, x, rids, rx, same: [[len(ids)], [len(rids)]], "n long, m long")
+    most = [tuple(r) for r in met.collect()]
+    assert max(n for n, _ in most) <= 3 and sum(n * m for n, m in most) == 100
+    found = vectors.nearest(rows, rows, 2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"]) for r in found] == [(k, other) for k in range(10) for other in (k % 3, k % 3 + 3)]
+
+
 def test_softmax(spark):
     z = [1000.0, 1001.0, -5.0]
     got = spark.createDataFrame([(z,)], "z array<double>").select(vectors.log_softmax(F.col("z"))).first()[0]
