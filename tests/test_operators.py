@@ -366,3 +366,13 @@ def test_routed_system_end_to_end(spark, tmp_path):
     again = routed.decide(df, routed.load(spark, str(tmp_path / "m")))
     same = [tuple(r) for r in got.select("item_id", "label_pred", "state").orderBy("item_id").collect()]
     assert same == [tuple(r) for r in again.select("item_id", "label_pred", "state").orderBy("item_id").collect()]
+
+
+def test_probes_learn_without_their_rows_in_the_driver(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, [float(k % 2), 1.0, 0.5 * (k % 3)], k % 2, ("train", "val", "test")[k % 3]) for k in range(60)], "item_id long, vec array<double>, y long, split string")
+
+    def refused(self):
+        raise AssertionError("rows collected")
+
+    monkeypatch.setattr(type(rows), "toArrow", refused)
+    assert len(learners.mlp_scores({"a": rows}, 2, [1, 2])["a"]) == 2
