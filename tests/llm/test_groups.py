@@ -392,3 +392,11 @@ def test_pipeline_drops_near_copies_at_five_words_and_80(spark, sf, monkeypatch)
     got = sorted(r["doc_id"] for r in stage(spark, docs(spark, rows), sf).collect())
     monkeypatch.setitem(globals(), "shingles", lambda text, of=shingles: of(text, 5))
     assert got == sorted(d for d, n, c in brute_components(rows, 80) if n == 0 or d == c)
+
+
+def test_long_sets_with_few_shingles_in_common_are_no_candidates(spark):
+    own = lambda node, first, n: [(x, node, n) for x in range(first, first + 330)]
+    # two sets of 2,000 with 5 posted shingles in common, and two with 200
+    rows = own(1, 0, 2000) + own(2, 325, 2000) + own(3, 10_000, 2000) + own(4, 10_130, 2000)
+    posted = spark.createDataFrame(rows, "shingle long, node long, n int")
+    assert [tuple(r) for r in jaccard.candidates(posted, 85).collect()] == [(3, 4)]
