@@ -67,7 +67,7 @@ def shape(c: Column) -> list[Column]:
 
 def normal(c: Column) -> Column:
     """Lower case, letters a-z and digits only, single spaces: the form in which texts are exact duplicates."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(raw(c)), "[^a-z0-9 ]", " "), r"\s+", " "))
+    return phrase_normal(c)  # one pass: what is not a letter or digit is a space, and runs of spaces are one
 
 
 def phrase_normal(c: Column) -> Column:

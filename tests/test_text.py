@@ -83,3 +83,10 @@ def test_perturbed(spark):
     got = one(spark, lambda c: text.perturbed(c, F.lit(4)), "One, two THREE")
     assert got == "one three"
     assert one(spark, lambda c: text.perturbed(c, F.lit(4)), "One two") == "one two"
+
+
+def test_normal_form_in_one_pass(spark):
+    rows = spark.createDataFrame([(t,) for t in EDGE], "t string")
+    two = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), "[^a-z0-9 ]", " "), r"\s+", " "))
+    assert all(a == b for a, b in rows.select(text.normal(F.col("t")), two).collect())
+    assert str(text.normal(F.col("t"))).count("regexp_replace") == 1
