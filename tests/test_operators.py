@@ -376,3 +376,21 @@ def test_probes_learn_without_their_rows_in_the_driver(spark, monkeypatch):
 
     monkeypatch.setattr(type(rows), "toArrow", refused)
     assert len(learners.mlp_scores({"a": rows}, 2, [1, 2])["a"]) == 2
+
+
+def test_tree_histograms_repeat_no_rows():
+    import tracemalloc
+
+    from plumbline.functions import boosting
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 9))
+    y = (x[:, 0] > 0).astype(int)
+    tracemalloc.start()
+    model = boosting.fit_trees(x, y, 2, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # once rows and features were flattened and repeated as 8-byte numbers, several times over
+    assert peak < 4 * x.nbytes
+    binned = model.binned(x)
+    assert binned.dtype == np.uint8 and all((binned[:, j] == np.searchsorted(model.edges[j], x[:, j])).all() for j in range(9))
