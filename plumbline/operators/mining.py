@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ MIN_PREC_ABS, MIN_LIFT, PREC_CAP, CAND_CAP = 0.35, 3.0, 0.80, 2000
 
 #: N-grams whose counts a task holds before it sends them on.
 HELD_GRAMS = 400_000
+#: Most frequent words of a class whose phrases are counted first, and words that are sent to tasks at most (beyond, all phrases are counted).
+WIDE, MOST_WORDS = 1000, 100_000
 #: English words that phrases leave out unless another list is given (see stop_words).
 STOP_WORDS = (
     "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down "
@@ -43,19 +46,25 @@ def ngrams(text: str | None, sizes: tuple[int, int] = NGRAMS, stops: frozenset[s
     return {" ".join(words[i : i + n]) for n in range(sizes[0], sizes[1] + 1) for i in range(len(words) - n + 1)}
 
 
-def gram_counts(docs: DataFrame, text: str, label: str, stops: list[str] = STOP_WORDS) -> DataFrame:
-    """term, class, c: documents of the class that have the n-gram. Counted in Arrow batches first, so that few strings are shuffled."""
+def gram_counts(docs: DataFrame, text: str, label: str, stops: list[str] = STOP_WORDS, sizes: tuple[int, int] = NGRAMS, masks: dict[str, int] | None = None) -> DataFrame:
+    """term, class, c: documents of the class that have the n-gram. Counted in Arrow batches first, so that few strings are shuffled.
+
+    masks: words and the classes (as bits) whose phrases they may be part of; n-grams without a class that all of their words share are left out.
+    """
     out_of = frozenset(stops)
+    held = None if masks is None else docs.sparkSession.sparkContext.broadcast(masks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        known = None if held is None else held.value
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([k[1] for k in counts], pa.string()), pa.array([k[0] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "class", "c"])
 
         for batch in batches:
             for t, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                counts.update((kind, g) for g in ngrams(t.as_py(), stops=out_of))
+                grams = ngrams(t.as_py(), sizes, out_of) if known is None else masked_ngrams(t.as_py(), known, sizes, out_of)
+                counts.update((kind, g) for g in grams)
                 if len(counts) > HELD_GRAMS:
                     yield out()
                     counts.clear()
@@ -65,21 +74,102 @@ def gram_counts(docs: DataFrame, text: str, label: str, stops: list[str] = STOP_
     return met.groupBy("term", "class").agg(F.sum("c").alias("c"))
 
 
-def mine_phrases(docs: DataFrame, text: str, label: str, k: int = TOP_K, min_df: int = MIN_DF, alpha: float = ALPHA, stops: list[str] = STOP_WORDS) -> DataFrame:
-    """class, rank, term, logodds: the k terms whose presence speaks most for each class, of all terms of `min_df` documents at least.
-
-    Smoothed log odds; of the 3k best (then by term) those with more words first on ties. `class` is a string.
-    """
-    by_term = gram_counts(docs, text, label, stops).groupBy("term").agg(F.sum("c").alias("df"), F.map_from_entries(F.collect_list(F.struct("class", "c"))).alias("by")).where(F.col("df") >= min_df)
-    sizes = docs.groupBy(F.col(label).cast("string").alias("class")).agg(F.count("*").alias("n"))
+def masked_ngrams(text: str | None, masks: dict[str, int], sizes: tuple[int, int] = NGRAMS, stops: frozenset[str] = frozenset(STOP_WORDS)) -> set[str]:
+    """Those of `ngrams` whose words share a class (a bit of their masks)."""
+    words = [w for w in re.findall(r"\w{2,}", (text or "").lower()) if w not in stops]
+    own = [masks.get(w, 0) for w in words]
+    found = set()
+    for i, mask in enumerate(own):
+        for n in range(1, min(sizes[1], len(words) - i) + 1):
+            mask &= own[i + n - 1]
+            if not mask:
+                break
+            if n >= sizes[0]:
+                found.add(" ".join(words[i : i + n]))
+    return found
+
+
+def _scored(counts: DataFrame, sizes: DataFrame, min_df: int, alpha: float) -> DataFrame:
+    """class, term, logodds of all terms of `min_df` documents at least. sizes: class, n."""
+    by_term = counts.groupBy("term").agg(F.sum("c").alias("df"), F.map_from_entries(F.collect_list(F.struct("class", "c"))).alias("by")).where(F.col("df") >= min_df)
     total = sizes.agg(F.sum("n").alias("total"))
     # labels are few: a row for each
     met = by_term.join(F.broadcast(sizes.join(total))).withColumn("c", F.coalesce(F.try_element_at("by", "class"), F.lit(0)))
     rest, rest_n = F.col("df") - F.col("c"), F.col("total") - F.col("n")
     odds = F.log((F.col("c") + alpha) / (F.col("n") - F.col("c") + alpha)) - F.log((rest + alpha) / (rest_n - rest + alpha))
-    scored = met.select("class", "term", F.round(odds, 12).alias("logodds"))
+    return met.select("class", "term", F.round(odds, 12).alias("logodds"))
+
+
+def _leading(scored: DataFrame, most: int) -> DataFrame:
+    """The `most` best terms of each class, by log odds and then by term."""
     first = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("logodds"), "term"))
-    best = scored.withColumn("r", first).where(F.col("r") <= 3 * k)
+    return scored.withColumn("r", first).where(F.col("r") <= most)
+
+
+def needed(n: int, total: int, least: float, alpha: float = ALPHA) -> int:
+    """The fewest documents of a class of n (of `total`) by which a term that no other class has reaches the log odds `least`; n + 1 if none do."""
+    low, high = 0, n + 1
+    while low < high:
+        c = (low + high) // 2
+        if math.log((c + alpha) / (n - c + alpha)) - math.log(alpha / (total - n + alpha)) >= least - 1e-9:
+            high = c
+        else:
+            low = c + 1
+    return low
+
+
+def mine_phrases(docs: DataFrame, text: str, label: str, k: int = TOP_K, min_df: int = MIN_DF, alpha: float = ALPHA, stops: list[str] = STOP_WORDS, wide: int = WIDE, most: int = MOST_WORDS) -> DataFrame:
+    """class, rank, term, logodds: the k terms whose presence speaks most for each class, of all terms of `min_df` documents at least.
+
+    Smoothed log odds; of the 3k best (then by term) those with more words first on ties. `class` is a string. A phrase is in no more
+    documents of a class than any of its words, so the log odds it can reach are bounded by its words' counts: words are counted first, then
+    the phrases of each class's `wide` most frequent words, whose 3k-th best is a limit, then those of all words by which a phrase
+    can reach it. What is left out is never among the 3k best. With over `most` such words all phrases are counted.
+    """
+    sizes = saved(docs.groupBy(F.col(label).cast("string").alias("class")).agg(F.count("*").alias("n")))
+    classes = {r["class"]: (place, r["n"]) for place, r in enumerate(sizes.orderBy("class").collect())}
+    total = sum(n for _, n in classes.values())
+    words = saved(gram_counts(docs, text, label, stops, (1, 1)))
+
+    def limits(counts: DataFrame) -> dict[str, int]:
+        """By class: the documents that a word of one of its 3k best phrases has at least."""
+        worst = {r["class"]: r["logodds"] for r in _leading(_scored(counts, sizes, min_df, alpha), 3 * k).where(F.col("r") == 3 * k).collect()}
+        return {c: max(1, needed(n, total, worst[c], alpha)) if c in worst else 0 for c, (_, n) in classes.items()}
+
+    def masks(least: dict[str, int]) -> dict[str, int] | None:
+        """The words that reach their class's count; None if there are too many, or a class has no limit."""
+        if not all(least.values()):
+            return None
+        bars = F.create_map(*(F.lit(x) for pair in least.items() for x in pair))
+        enough = words.where(F.col("c") >= F.try_element_at(bars, F.col("class")))
+        rows = enough.select("term", "class").limit(most + 1).collect()
+        if len(rows) > most:
+            return None
+        out: dict[str, int] = {}
+        for r in rows:
+            out[r["term"]] = out.get(r["term"], 0) | 1 << classes[r["class"]][0]
+        return out
+
+    def with_phrases(known: dict[str, int] | None) -> DataFrame:
+        longer = gram_counts(docs, text, label, stops, (NGRAMS[0] + 1, NGRAMS[1]), known)
+        return saved(words.unionByName(longer))
+
+    if None in classes:
+        counts = gram_counts(docs, text, label, stops)
+    else:
+        least = limits(words)
+        # the count that each class's `wide` most frequent words have
+        place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("c"), "term"))
+        first = {r["class"]: r["c"] for r in words.withColumn("r", place).where(F.col("r") == wide).collect()} if all(least.values()) else {}
+        start = {c: max(v, first.get(c, 0)) for c, v in least.items()}
+        known = masks(start)
+        counts = with_phrases(known)
+        if known is not None and start != least:
+            better = {c: max(v, least[c]) for c, v in limits(counts).items()}
+            # counted already where no class needs less than it had
+            if any(better[c] < start[c] for c in start):
+                counts = with_phrases(masks({c: min(better[c], start[c]) for c in start}))
+    best = _leading(_scored(counts, sizes, min_df, alpha), 3 * k)
     last = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("logodds"), F.desc(F.size(F.split("term", " "))), "term"))
     return best.withColumn("rank", last.cast("long")).where(F.col("rank") <= k).select("class", "rank", "term", "logodds")
 

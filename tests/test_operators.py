@@ -394,3 +394,48 @@ def test_tree_histograms_repeat_no_rows():
     assert peak < 4 * x.nbytes
     binned = model.binned(x)
     assert binned.dtype == np.uint8 and all((binned[:, j] == np.searchsorted(model.edges[j], x[:, j])).all() for j in range(9))
+
+
+def _plain_phrases(rows, k, min_df):
+    """All terms counted, one class after the other."""
+    counts, sizes = {}, {}
+    for text, c in rows:
+        sizes[c] = sizes.get(c, 0) + 1
+        for g in mining.ngrams(text):
+            counts.setdefault(g, {})[c] = counts.get(g, {}).get(c, 0) + 1
+    out, total, a = set(), sum(sizes.values()), mining.ALPHA
+    for c, n in sizes.items():
+        scored = []
+        for g, by in counts.items():
+            if (df := sum(by.values())) >= min_df:
+                own, rest = by.get(c, 0), df - by.get(c, 0)
+                scored.append((-round(np.log((own + a) / (n - own + a)) - np.log((rest + a) / (total - n - rest + a)), 12), g))
+        best = sorted(scored)[: 3 * k]
+        out |= {(c, i + 1, g) for i, (_, g) in enumerate(sorted(best, key=lambda s: (s[0], -len(s[1].split(" ")), s[1]))[:k])}
+    return out
+
+
+def test_phrases_by_bounds_equal_all_phrases(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        c = "abc"[i % 3]
+        # common words, words of a class, words of few texts
+        words = [f"w{x}" for x in rng.zipf(1.5, 25) if x < 60] + [f"{c}{x}" for x in rng.integers(0, 6, 4)] + [f"r{x}" for x in rng.integers(0, 900, 12)]
+        rows.append((" ".join(rng.permutation(words)), c))
+    docs = spark.createDataFrame(rows, "text string, label string")
+    spread, inner = [], mining.gram_counts
+
+    def seen(*a, **b):
+        spread.append((out := inner(*a, **b)).count())
+        return out
+
+    monkeypatch.setattr(mining, "gram_counts", seen)
+    for k, how in ((2, {}), (2, {"wide": 5}), (4, {"wide": 20}), (4, {"most": 3}), (400, {})):
+        got = {(r["class"], r["rank"], r["term"]) for r in mining.mine_phrases(docs, "text", "label", k, **how).collect()}
+        assert got == _plain_phrases(rows, k, mining.MIN_DF)
+        if k == 2:
+            # once every n-gram went from task to task
+            assert sum(spread) < inner(docs, "text", "label").count() / 2
+        spread.clear()
+    assert mining.mine_phrases(docs.limit(0), "text", "label", 2).count() == 0
