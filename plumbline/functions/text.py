@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,10 @@ _known = np.zeros(0x1100, bool)
 _UPPER, _DIGIT, _ALNUM, _SPACE, _WORD = 1, 2, 4, 8, 16
 
 
+#: Bytes of a lower-cased text in its normal form: a-z, 0-9 and the mark between texts (0) stay, others are spaces.
+_PLAIN = np.array([b if chr(b).isascii() and chr(b).isalnum() and not chr(b).isupper() or not b else 32 for b in range(256)], np.uint8)
+
+
 def raw(c: Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(c, F.lit(""))
@@ -75,6 +82,34 @@ def phrase_normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(raw(c)), "[^a-z0-9]+", " "))
 
 
+def normal_forms(texts: pa.Array) -> list[bytes]:
+    """`normal` of texts (null as empty), a batch at once."""
+    flat = "\x00".join((t or "").replace("\x00", " ") for t in texts.to_pylist()).lower().encode("utf-8", "replace")
+    data = _PLAIN[np.frombuffer(flat, np.uint8)]
+    # of spaces in a row the first stays
+    gap = data == 32
+    return [form.strip(b" ") for form in data[~(gap & np.concatenate([[False], gap[:-1]]))].tobytes().split(b"\x00")] if len(texts) else []
+
+
+def normal_digests(df: DataFrame, field: str, *keep: str, least: int = 1) -> DataFrame:
+    """`keep` and digest, the SHA-256 of the text's normal form (binary); rows whose form has fewer than `least` characters are left out.
+
+    For joins and groups by equal forms: a digest is 32 bytes, where forms are as long as texts. Texts are read once.
+    """
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("digest", T.BinaryType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                forms = normal_forms(part.column(len(keep)))
+                rows = pa.array([k for k, form in enumerate(forms) if len(form) >= least], pa.int64())
+                digests = pa.array([hashlib.sha256(form).digest() for form in forms if len(form) >= least], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows) for k in range(len(keep))), digests], names=schema.fieldNames())
+
+    return df.select(*keep, F.col(field).alias("_text")).mapInArrow(run, schema)
+
+
 def has_phrase(normalised: Column, phrase: str | Column) -> Column:
     """Whether whole words of the phrase stand in a normalised text."""
     p = F.lit(phrase) if isinstance(phrase, str) else phrase

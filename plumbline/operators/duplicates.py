@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import graph, text, vectors
 from plumbline.functions.rng import draw
+from plumbline.functions.tables import saved
 
 COS_MIN, FLAG_SHARE, NULLS = 0.90, 0.05, 20
 GROUP_COS, MIN_TEXT = 0.95, 3
@@ -18,8 +19,14 @@ def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def exact_duplicates(df: DataFrame, key: str = "item_id", field: str = "text") -> DataFrame:
     """Test rows (key, norm) whose normalised, non-empty text occurs in train or val."""
-    test, fit = _sides(df.withColumn("norm", text.normal(F.col(field))).where("norm <> ''"))
-    return test.select(key, "norm").join(fit.select("norm").distinct(), "norm", "left_semi")
+    test, fit = (text.normal_digests(side, field, *keep) for side, keep in zip(_sides(df), (dict.fromkeys((key, field)), ()), strict=True))
+    return test.join(fit.distinct(), "digest", "left_semi").select(key, text.normal(F.col(field)).alias("norm"))
+
+
+def exact_keys(df: DataFrame, key: str = "item_id", field: str = "text") -> DataFrame:
+    """The keys of `exact_duplicates` alone: no text goes from task to task."""
+    test, fit = _sides(df)
+    return text.normal_digests(test, field, key).join(text.normal_digests(fit, field).distinct(), "digest", "left_semi").select(key)
 
 
 def nearest_fit(emb: DataFrame, key: str = "item_id") -> DataFrame:
@@ -132,7 +139,7 @@ def novel_criteria(df: DataFrame, nears: dict[str, DataFrame | None], cos_min: f
     test, _ = _sides(df)
     out = test.select(key)
     for name, near in nears.items():
-        dup = exact_duplicates(df, key, field).select(key) if near is None else near.where(F.col("cos") >= cos_min).select(key)
+        dup = exact_keys(df, key, field) if near is None else near.where(F.col("cos") >= cos_min).select(key)
         hit = dup.distinct().withColumn(name, F.lit(False))
         out = out.join(hit, key, "left").withColumn(name, F.coalesce(name, F.lit(True)))
     every = F.lit(True)
@@ -155,9 +162,10 @@ def duplicate_links(df: DataFrame, emb: DataFrame | None, least: float = GROUP_C
 
     Equal texts are linked to their first item, which joins the group as all pairs would, without making them.
     """
-    norm = df.select(F.col(key).alias("b"), text.normal(F.col(field)).alias("norm")).where(F.length("norm") >= MIN_TEXT)
-    first = norm.groupBy("norm").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
-    links = norm.join(first, "norm").where("a < b").select("a", "b")
+    # kept, as both uses would else read all texts
+    same = saved(text.normal_digests(df.select(F.col(key).alias("b"), F.col(field).alias("_t")), "_t", "b", least=MIN_TEXT))
+    first = same.groupBy("digest").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
+    links = same.join(first, "digest").where("a < b").select("a", "b")
     if emb is not None:
         unit = emb.select(F.col(key).alias("id"), vectors.unit(F.col("vec")).alias("x"))
         links = links.unionByName(vectors.close_links(unit, least))

@@ -197,7 +197,7 @@ maj AS (SELECT norm, y AS exact_answer FROM (SELECT *, row_number() OVER (PARTIT
 
 @query(f"WITH {MANIFEST_SQL}, n AS (SELECT item_id, split, {NORM.format(t='text')} AS norm FROM manifest) SELECT item_id FROM n WHERE split = 'test' AND norm <> '' AND norm IN (SELECT norm FROM n WHERE split <> 'test')")
 def dup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.exact_duplicates(manifest(spark, sf_dir)).select("item_id")
+    return duplicates.exact_keys(manifest(spark, sf_dir))
 
 
 _NEAR = f"""{EMBEDDED_SQL}, s AS (SELECT t.item_id, f.item_id AS fit_id, list_dot_product(t.u, f.u) AS cos FROM unit t, unit f WHERE t.split = 'test' AND f.split <> 'test'),

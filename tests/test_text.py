@@ -90,3 +90,28 @@ def test_normal_form_in_one_pass(spark):
     two = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), "[^a-z0-9 ]", " "), r"\s+", " "))
     assert all(a == b for a, b in rows.select(text.normal(F.col("t")), two).collect())
     assert str(text.normal(F.col("t"))).count("regexp_replace") == 1
+
+
+def test_normal_forms_in_batches(spark):
+    import hashlib
+
+    import pyarrow as pa
+
+    texts = [None, "", "  Ab -- c\x00D!", "é", "xKyİz", "a\n\tb", "ß" * 3 + "9", "Größe 12 ", " q", "\U0001f600a", "aΣ b", " ", "ZZ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    want = {r["id"]: r["n"] for r in rows.select("id", text.normal(F.col("t")).alias("n")).collect()}
+    assert [f.decode() for f in text.normal_forms(pa.array(texts))] == [want[k] for k in range(len(texts))]
+    for least in (1, 3):
+        got = {r["id"]: bytes(r["digest"]) for r in text.normal_digests(rows, "t", "id", least=least).collect()}
+        assert got == {k: hashlib.sha256(n.encode()).digest() for k, n in want.items() if len(n) >= least}
+    assert text.normal_forms(pa.array([], pa.string())) == []
+
+
+def test_copies_are_found_by_digests(spark):
+    from plumbline.operators import duplicates
+
+    rows = spark.createDataFrame([(1, "A b!", "train"), (2, "a  B", "test"), (3, "other", "test"), (4, "", "test"), (5, None, "train")], "item_id long, text string, split string")
+    assert duplicates.exact_duplicates(rows).collect() == [(2, "a b")] and duplicates.exact_keys(rows).collect() == [(2,)]
+    # once both sides were parted by whole normal forms
+    plan = duplicates.exact_keys(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and "digest" in plan
