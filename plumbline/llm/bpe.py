@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import added, beside
+from plumbline.llm.common import added, beside, giving_back
 
 #: Fixed value: how text is parted into words before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -47,8 +47,9 @@ NEWER = (
     "1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 "
     "1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 )
-#: Words kept with their ids in one worker; beyond it the table is begun anew.
-KEEP_WORDS = 400_000
+#: Words kept with their ids in one worker, beyond which the table is begun anew, and words that are looked up at once. A worker keeps its
+#: table through later tasks, so both are small: 400,000 and 200,000 were held before.
+KEEP_WORDS, AT_ONCE = 160_000, 80_000
 #: Bytes of a word beyond which it goes through its merges alone.
 LONG = 2048
 
@@ -189,7 +190,7 @@ class Bpe:
         for text in texts:
             group.append(self._parts(text or ""))
             size += len(group[-1])
-            if size > 200_000:
+            if size > AT_ONCE:
                 out += self._encode(group)
                 group, size = [], 0
         return out + self._encode(group)
@@ -258,6 +259,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "tok
     handed_out(docs, vocabulary)
     schema = added(docs, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False))
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of(_find(vocabulary))
         for batch in batches:
@@ -274,6 +276,7 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "token_ids", text: str =
     handed_out(rows, vocabulary)
     schema = added(rows, T.StructField(text, T.StringType(), False))
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of(_find(vocabulary))
         for batch in batches:
@@ -291,6 +294,7 @@ def digest(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     handed_out(docs, vocabulary)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, k) for n, k in zip(beside(key, "n_tokens", "ids_sha256", "decoded_sha256"), (T.LongType(), T.StringType(), T.StringType()), strict=True))])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _of(_find(vocabulary))
         for batch in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import added, crc_mod3, fresh
+from plumbline.llm.common import added, crc_mod3, fresh, giving_back
 from plumbline.llm.features import UNIT, Keys, design, feature_counts, fit_logistic, letter_features, presence, sample_of, select, strongest, word_key
 from plumbline.llm.words import SPACE, chunks, spans
 
@@ -218,6 +218,7 @@ def voted(rows: DataFrame, voters: Voters) -> DataFrame:
     """`rows` (with a column text) with `votes` for the text, one bit per voter."""
     schema = T.StructType([*(f for f in rows.schema.fields if f.name != "text"), T.StructField("votes", T.LongType())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [voters.votes(list(letter_features(data, offsets)), data, offsets) for _, _, data, offsets in chunks(batch.column("text"))]
@@ -263,6 +264,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", score_column: str =
     schema = added(docs, T.StructField(score_column, T.DoubleType(), False))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), pa.array(held.value.scores(batch.column(text)))], names=schema.fieldNames())

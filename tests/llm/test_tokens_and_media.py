@@ -184,3 +184,29 @@ def test_equal_rows_give_equal_results(spark):
     for out in (licenses.scan(df), pii.digest(pii.find(df)), media.digest(media.store(df))):
         rows = [tuple(r)[1:] for r in out.orderBy("doc_id").collect()]
         assert rows[0] == rows[1] == rows[2] and len(rows) == 5 and out.limit(0).count() == 0
+
+
+def test_memory_is_given_back_between_batches():
+    import re
+
+    import pyarrow as pa
+
+    from plumbline.llm.common import giving_back
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+    seen = []
+
+    @giving_back
+    def run(batches):
+        for batch in batches:
+            parts = [bytes(1000) + bytes([k % 256]) for k in range(100_000)]  # small objects, which the allocator keeps once freed
+            kept = parts[::5000]
+            del parts
+            yield batch
+            seen.append((held(), len(kept)))
+
+    before = held()
+    assert len(list(run(iter([pa.record_batch([pa.array([1])], names=["a"])] * 2)))) == 2
+    assert all(after - before < 60 for after, _ in seen)
