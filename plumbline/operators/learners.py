@@ -364,17 +364,21 @@ def modality_scores(encoders: dict[str, tuple[DataFrame, DataFrame]], labels: Da
     return labels.sparkSession.createDataFrame(out, "encoder string, enc_order int, view string, seed long, macro_f1 double")
 
 
-def kmeans(rows: DataFrame, k: int, seeds: int = 4, key: str = "item_id") -> tuple[DataFrame, list[list[float]]]:
-    """(key, cluster), centres: the best of several starts by within-cluster cost. rows: key, vec."""
-    ready = rows.select(key, array_to_vector("vec").alias("features")).persist()
+def kmeans(rows: DataFrame, k: int, seeds: int = 4, key: str = "item_id", keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[list[float]]]:
+    """(key, keep, cluster), centres: the best of several starts by within-cluster cost. rows: key, vec, keep.
+
+    Iterations are matrix products over blocks of rows. Pass rows that are kept: clusters are told from them again when they are asked for.
+    """
+    ready = rows.select(key, *keep, array_to_vector("vec").alias("features"))
+    points = ready.select("features").persist()
     best = None
     for s in range(seeds):
-        model = KMeans(k=k, seed=SEED + s, featuresCol="features", predictionCol="cluster").fit(ready)
+        model = KMeans(k=k, seed=SEED + s, featuresCol="features", predictionCol="cluster", solver="block").fit(points)
         if best is None or model.summary.trainingCost < best[0]:
             best = (model.summary.trainingCost, model)
-    out = best[1].transform(ready).select(key, F.col("cluster").cast("long").alias("cluster"))
+    out = best[1].transform(ready).select(key, *keep, F.col("cluster").cast("long").alias("cluster"))
     centres = [list(map(float, c)) for c in best[1].clusterCenters()]
-    ready.unpersist()
+    points.unpersist()
     return out, centres
 
 
@@ -386,22 +390,30 @@ def medoids(rows: DataFrame, clusters: DataFrame, centres: list[list[float]], ke
     return joined.groupBy("cluster").agg(F.max_by(F.struct(key, "cos"), F.struct("cos", -F.col(key))).alias("m")).select("cluster", "m.*")
 
 
-def concept_bank(phrases: DataFrame, images: DataFrame, k: int, members: int = 2, captions: DataFrame | None = None) -> DataFrame:
+def mean_unit(rows: DataFrame, column: str = "vec") -> list[float]:
+    """The mean of the rows' unit vectors; empty without rows."""
+    units = rows.select(F.lit(1).alias("k"), vectors.unit(F.col(column)).alias("u"))
+    got = vectors.mean_vector(units, ["k"], "u", "m").first()
+    return list(got["m"]) if got else []
+
+
+def concept_bank(phrases: DataFrame, images: DataFrame, k: int, members: int = 2, captions: DataFrame | None = None, means: tuple[list[float], list[float]] | None = None) -> DataFrame:
     """concept_id, name, centroid, n_text, n_img: clusters of centred unit vectors of both modalities with `members` at least.
 
-    phrases: item_id, vec, word; images: item_id, vec. Each modality is centred by its mean. A concept is named by its most frequent
-    words (three at most, by count, then alphabet); one without phrases by the captions of the images of largest product with its centre
-    (captions: item_id, word, each once), or "image" without any. Equal names get -2, -3 in the order of clusters.
+    phrases: item_id, vec, word; images: item_id, vec. Each modality is centred by its mean (means: those of phrases and images, if they are
+    known). A concept is named by its most frequent words (three at most, by count, then alphabet); one without phrases by the captions of
+    the images of largest product with its centre (captions: item_id, word, each once), or "image" without any. Equal names get -2, -3 in
+    the order of clusters.
     """
-    def centred(df: DataFrame) -> DataFrame:
-        u = df.withColumn("_u", vectors.unit(F.col("vec"))).withColumn("_one", F.lit(1))
-        mean = vectors.mean_vector(u, ["_one"], "_u", "_m")
-        return u.join(F.broadcast(mean), "_one").select(*df.columns, vectors.unit(vectors.minus(F.col("_u"), F.col("_m"))).alias("c"))
-
-    t, v = centred(phrases).select("item_id", "c", "word", F.lit(1).alias("t")), centred(images).select("item_id", "c", F.lit(None).cast("string").alias("word"), F.lit(0).alias("t"))
-    every = t.unionByName(v).withColumn("key", F.concat_ws(":", "t", "item_id")).withColumnRenamed("c", "vec")
-    clusters, centres = kmeans(every.select("key", "vec"), k, key="key")
-    joined = every.join(clusters, "key")
+    def centred(df: DataFrame, mean: list[float]) -> DataFrame:
+        u = df.withColumn("_u", vectors.unit(F.col("vec")))
+        return u.select(*df.columns, vectors.unit(vectors.minus(F.col("_u"), F.array(*map(F.lit, mean)).cast("array<double>"))).alias("c"))
+
+    mu_t, mu_v = means or (mean_unit(phrases), mean_unit(images))
+    t, v = centred(phrases, mu_t).select("item_id", "c", "word", F.lit(1).alias("t")), centred(images, mu_v).select("item_id", "c", F.lit(None).cast("string").alias("word"), F.lit(0).alias("t"))
+    # kept, so that the starts, sizes and names read the same rows and none is joined to its cluster
+    every = saved(t.unionByName(v))
+    joined, centres = kmeans(every.withColumnRenamed("c", "vec"), k, keep=("word", "t"))
     sizes = joined.groupBy("cluster").agg(F.sum("t").cast("long").alias("n_text"), F.sum(1 - F.col("t")).cast("long").alias("n_img")).where(F.col("n_text") + F.col("n_img") >= members)
     counted = joined.where("word IS NOT NULL").groupBy("cluster", "word").count()
     top = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("count"), "word"))
@@ -412,7 +424,7 @@ def concept_bank(phrases: DataFrame, images: DataFrame, k: int, members: int = 2
         if bare:
             spark = phrases.sparkSession
             heads = spark.createDataFrame([(int(r[0]), [float(x) for x in centres[r[0]]]) for r in bare], "id long, x array<double>")
-            top = naming.top_members(heads, v.select(F.col("item_id").alias("id"), F.col("c").alias("x")))
+            top = naming.top_members(heads, every.where("t = 0").select(F.col("item_id").alias("id"), F.col("c").alias("x")))
             names = names.unionByName(naming.names_of_members(top, captions).select(F.col("concept").alias("cluster"), F.col("name").alias("base")))
     named = sizes.join(names, "cluster", "left").withColumn("base", F.coalesce("base", F.lit("image"))).withColumn("n", again)
     table = F.array(*(F.array(*map(F.lit, c)) for c in centres))

@@ -88,7 +88,8 @@ def decompose(rows: DataFrame, card: Scorecard, w: float) -> DataFrame:
     """
     coef = F.array(*map(_array, card.coef))
     offset = _array(card.offset)
-    d = rows.withColumn("lc", vectors.log_softmax(card.logits(F.col("z")))).withColumn("scores", pooled(F.col("lc"), F.col("ln"), w))
+    # a column of its own: log_softmax names its argument several times
+    d = rows.withColumn("_lg", card.logits(F.col("z"))).withColumn("lc", vectors.log_softmax(F.col("_lg"))).drop("_lg").withColumn("scores", pooled(F.col("lc"), F.col("ln"), w))
     first, second = vectors.top_two(F.col("scores"))
     d = d.withColumns({"pred": first, "runner_up": second})
     at = lambda a, k: F.element_at(a, (F.col(k) + 1).cast("int"))

@@ -50,11 +50,6 @@ def load(spark, path: str) -> Routed:
     return Routed(classes, centroids, mu_text, mu_image, pooling.Scorecard.load(spark, f"{path}/card"), spark.read.parquet(f"{path}/literals"), spark.read.parquet(f"{path}/rules"), weight)
 
 
-def _mean(df: DataFrame, column: str) -> list[float]:
-    units = df.select(F.lit(1).alias("k"), vectors.unit(F.col(column)).alias("u"))
-    return list(vectors.mean_vector(units, ["k"], "u", "m").first()["m"])
-
-
 def scored(rows: DataFrame, centroids: list[list[float]], mu_text: list[float], mu_image: list[float]) -> DataFrame:
     """rows with s, the concept scores of pooling.concept_scores, by batches (a bank is too large an expression). rows: image, words (vectors)."""
     bank, mu_t, mu_v = (np.asarray(x, float) for x in (centroids, mu_text, mu_image))
@@ -95,8 +90,9 @@ def _long(rows: DataFrame) -> DataFrame:
 
 def bank_of(part: DataFrame, concepts: int) -> tuple[list[list[float]], list[float], list[float]]:
     """Centroids and the means of words and images of a concept bank over these rows."""
-    made = learners.concept_bank(part.select("item_id", F.col("words").alias("vec"), "word"), part.select("item_id", F.col("image").alias("vec")), concepts)
-    return [list(r["centroid"]) for r in made.orderBy("concept_id").collect()], _mean(part, "words"), _mean(part, "image")
+    mu_text, mu_image = learners.mean_unit(part, "words"), learners.mean_unit(part, "image")
+    made = learners.concept_bank(part.select("item_id", F.col("words").alias("vec"), "word"), part.select("item_id", F.col("image").alias("vec")), concepts, means=(mu_text, mu_image))
+    return [list(r["centroid"]) for r in made.orderBy("concept_id").collect()], mu_text, mu_image
 
 
 def card_of(part: DataFrame, n: int, k: int, c: float | None = None) -> tuple[pooling.Scorecard, float]:

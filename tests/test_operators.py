@@ -439,3 +439,21 @@ def test_phrases_by_bounds_equal_all_phrases(spark, monkeypatch):
             assert sum(spread) < inner(docs, "text", "label").count() / 2
         spread.clear()
     assert mining.mine_phrases(docs.limit(0), "text", "label", 2).count() == 0
+
+
+def test_concept_bank_does_not_make_its_rows_for_every_step(spark):
+    g = np.random.default_rng(6)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        seen.add(1)
+        return v
+
+    touch = F.udf(counted, "array<double>")
+    at = lambda i: (np.eye(4)[i % 3] * 5 + g.normal(size=4) * 0.05).tolist()
+    phrases = spark.createDataFrame([(i, at(i), "abc"[i % 3]) for i in range(30)], "item_id long, vec array<double>, word string")
+    images = spark.createDataFrame([(i, at(i)) for i in range(40)], "item_id long, vec array<double>")
+    bank = learners.concept_bank(phrases.withColumn("vec", touch("vec")), images.withColumn("vec", touch("vec")), 3).collect()
+    assert {(r["name"], r["n_text"]) for r in bank} == {("a", 10), ("b", 10), ("c", 10)} and sum(r["n_img"] for r in bank) == 40
+    # nine times before: for means, clusters, sizes, names and both sides of the joins between them
+    assert seen.value <= 3 * 70
