@@ -61,3 +61,23 @@ def test_bank_names_clusters_without_phrases(spark):
     plain = {r["name"].split("-")[0] for r in learners.concept_bank(phrases, images, 6).collect()}
     named = [r["name"] for r in learners.concept_bank(phrases, images, 6, captions=captions).collect()]
     assert "image" in plain and not any(n.startswith("image") for n in named) and any(n.startswith("s") for n in named)
+
+
+def test_splits_need_no_table_of_all_substrings(spark, monkeypatch):
+    pieces = spark.createDataFrame([(p,) for p in ("the", "kitchen", "kit", "chen", "want", "of", "i", "äöü", "sea", "side")], "word string")
+    words = spark.createDataFrame([(w,) for w in ("thekitchen", "iwant", "kitchen", "seaside", "äöüsea", "seasides", "xyzzy", "kitchenseaside")], "word string")
+    right = {"thekitchen": ["the", "kitchen"], "iwant": ["i", "want"], "seaside": ["sea", "side"], "äöüsea": ["äöü", "sea"], "kitchenseaside": ["kitchen", "sea", "side"]}
+    inner, sent = naming._cut, spark.sparkContext.accumulator(0)
+
+    def counted(batches, least):
+        for batch in inner(batches, least):
+            sent.add(sum(map(len, batch.column("parts").to_pylist())))
+            yield batch
+
+    monkeypatch.setattr(naming, "_cut", counted)
+    assert dict(naming.split_words(words, pieces).collect()) == right
+    # once every substring met the pieces
+    assert sent.value == 12
+    # a table that takes everything for a piece: parts are doubted and the result is the same
+    monkeypatch.setattr(naming, "_table", lambda pieces: np.full(1 << naming.BITS - 3, 255, np.uint8))
+    assert dict(naming.split_words(words, pieces).collect()) == right
