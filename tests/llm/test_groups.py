@@ -400,3 +400,41 @@ def test_long_sets_with_few_shingles_in_common_are_no_candidates(spark):
     rows = own(1, 0, 2000) + own(2, 325, 2000) + own(3, 10_000, 2000) + own(4, 10_130, 2000)
     posted = spark.createDataFrame(rows, "shingle long, node long, n int")
     assert [tuple(r) for r in jaccard.candidates(posted, 85).collect()] == [(3, 4)]
+
+
+def test_sets_are_sent_smaller_than_their_hashes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("aeinorst"), 5)) for _ in range(400)]
+    rows = []
+    for i in range(20):
+        text = list(rng.choice(words, 600))
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:-1], "É"]))]
+    sent, kept = [], jaccard._search
+
+    def search(groups, keys, least):
+        held = groups.withColumn("bytes", sum(F.length(c) for c, kind in groups.dtypes if kind == "binary"))
+        sent.append(held.agg(F.sum("bytes"), F.sum("n")).first())
+        return kept(groups, keys, least)
+
+    monkeypatch.setattr(jaccard, "_search", search)
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(docs(spark, rows)).collect())
+    assert got == brute_components(rows) and sent[0][1] > 20_000 and sent[0][0] < 4 * sent[0][1]
+
+
+def test_packed_sets_come_back():
+    texts = pa.array(["", " ", "one", "One  two\tthree", "a b c d e f a b c d", "É è " * 300, "x" * 5000])
+    want = [s.tolist() for _, s in jaccard.sets_of(texts)]
+    sent = pa.array([jaccard.packed(t, jaccard.K) for t in texts], pa.binary())
+    assert [s.tolist() for s in jaccard.unpacked(sent)] == want
+
+
+def test_shuffles_of_the_join_are_deleted(spark):
+    where = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = lambda: where.shuffleStatuses().size()
+    rows = planted()
+    jaccard.linked(docs(spark, rows), "text", jaccard.K, jaccard.LEAST)
+    before, most = held(), time.time() + 20
+    jaccard.linked(docs(spark, rows), "text", jaccard.K, jaccard.LEAST)
+    while held() > before + 8 and time.time() < most:
+        time.sleep(0.2)
+    assert held() <= before + 8
