@@ -457,3 +457,40 @@ def test_concept_bank_does_not_make_its_rows_for_every_step(spark):
     assert {(r["name"], r["n_text"]) for r in bank} == {("a", 10), ("b", 10), ("c", 10)} and sum(r["n_img"] for r in bank) == 40
     # nine times before: for means, clusters, sizes, names and both sides of the joins between them
     assert seen.value <= 3 * 70
+
+
+def test_learners_see_all_rows(spark):
+    import pickle
+
+    import numpy as np
+
+    from plumbline.functions import text
+
+    n = 215_000
+    rows = spark.range(n).select(F.col("id").alias("item_id"), F.when(F.col("id") % 10 < 8, "train").otherwise("val").alias("split"), (F.col("id") % 1000 == 1).cast("long").alias("y"), *(F.lit(1.0).alias(c) for c in text.FEATURES))
+    model = learners.fit_shape(rows, 2)
+    assert np.allclose(np.exp(model.start), [1 - 215 / 172_000, 215 / 172_000], rtol=1e-12)
+
+    def ids(job, batches):
+        got = np.concatenate([b.column("id").to_numpy() for b in batches])
+        return pickle.dumps((job, len(got), bool((np.diff(got) > 0).all())))
+
+    assert learners._streamed([(rows, [0, 2]), (rows.where("item_id < 5"), [1])], "item_id", [], ids) == {0: (0, n, True), 1: (1, 5, True), 2: (2, n, True)}
+
+
+def test_learners_from_files_are_those_from_memory():
+    import numpy as np
+
+    from plumbline.functions import boosting
+
+    rng = np.random.default_rng(5)
+    x, held_x = rng.normal(size=(300, 6)), rng.normal(size=(90, 6))
+    y, held_y = (x[:, 0] > 0).astype(int), (held_x[:, 0] > 0).astype(int)
+    held, own = boosting.Stored(6), boosting.Stored(6)
+    for part in np.array_split(x, 7):
+        own.add(boosting.normal_rows(part))
+    held.add(held_x[:0])
+    held.add(held_x)
+    got, want = boosting.fit_probe(own, y, held, held_y, 2, 3, epochs=4), boosting.fit_probe(x, y, held_x, held_y, 2, 3, epochs=4)
+    assert all(np.array_equal(a, b) for a, b in zip(got.p, want.p, strict=True))
+    assert np.array_equal(np.concatenate(list(held.pieces(40))), held_x.astype(np.float32)) and np.array_equal(held[np.array([88, 0])], held_x[[88, 0]].astype(np.float32))
