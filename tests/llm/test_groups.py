@@ -438,3 +438,25 @@ def test_shuffles_of_the_join_are_deleted(spark):
     while held() > before + 8 and time.time() < most:
         time.sleep(0.2)
     assert held() <= before + 8
+
+
+def test_stages_of_the_pipeline_leave_no_shuffles(spark, monkeypatch, tmp_path):
+    docs(spark, [(i, f"text {i}") for i in range(50)]).write.parquet(str(tmp_path / "documents.parquet"))
+    where = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    seen = []
+
+    def stage(spark, frame, sf_dir):
+        most = time.time() + 10
+        while seen and where.shuffleStatuses().size() > seen[0] and time.time() < most:
+            time.sleep(0.2)
+        seen.append(where.shuffleStatuses().size())
+        for k in range(5, 8):
+            frame = frame.repartition(k, "text")
+            frame.count()
+        return frame.groupBy("doc_id").agg(F.max("text").alias("text"))
+
+    jaccard.swept(spark)
+    time.sleep(2)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"s{k}", stage) for k in range(4)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 50
+    assert max(seen) <= seen[0]
