@@ -494,3 +494,25 @@ def test_learners_from_files_are_those_from_memory():
     got, want = boosting.fit_probe(own, y, held, held_y, 2, 3, epochs=4), boosting.fit_probe(x, y, held_x, held_y, 2, 3, epochs=4)
     assert all(np.array_equal(a, b) for a, b in zip(got.p, want.p, strict=True))
     assert np.array_equal(np.concatenate(list(held.pieces(40))), held_x.astype(np.float32)) and np.array_equal(held[np.array([88, 0])], held_x[[88, 0]].astype(np.float32))
+
+
+def test_plans_of_the_data_tier_do_not_hold_how_embeddings_came_about(spark, monkeypatch):
+    from plumbline.plans import audit
+
+    rows = spark.createDataFrame([(k, f"text {k % 7}", ("a", "b")[k % 2], ("train", "val", "test")[k % 3]) for k in range(30)], "item_id long, text string, label string, split string")
+    made = rows.select("item_id").repartition(3).withColumn("made_here", F.col("item_id") * 2.0)
+    emb = made.select("item_id", F.lit("e").alias("encoder"), F.lit("text:text").alias("view"), F.lit(0).alias("enc_order"), F.array("made_here", F.lit(1.0)).alias("vec"))
+    plans = []
+
+    class Stop(Exception):
+        pass
+
+    def scores(views, k, seeds):
+        plans.extend(v._jdf.queryExecution().optimizedPlan().toString() for v in views.values())
+        raise Stop
+
+    monkeypatch.setattr(audit.learners, "fit_shapes", lambda jobs: {})
+    monkeypatch.setattr(audit.learners, "mlp_scores", scores)
+    with pytest.raises(Stop):
+        audit.run_data_tier(rows, audit.AuditSpec("label", ["text"], "split", embeddings=emb))
+    assert len(plans) == 1 and "made_here" not in plans[0] and "Repartition" not in plans[0]
